@@ -9,10 +9,12 @@ from __future__ import annotations
 
 import os
 import random
+import re
 import zlib
 from bisect import bisect_left, insort
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -24,10 +26,26 @@ CACHE_ENTRIES = 400_000
 _tokenizers: dict = {}
 
 
+#: What the vocabulary's rules make of a lower-case text without characters beyond U+00FF; such a text needs no composition.
+FAST = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zªµºß-öø-ÿ]+|[0-9²³¹¼-¾]|[^0-9²³¹¼-¾a-zªµºß-öø-ÿ\\t-\\r \\x85\\xa0]+")
+
+
+def _byte_letters() -> list[str]:
+    """The letter by which byte-level vocabularies write each byte."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    letters, extra = {b: chr(b) for b in plain}, 256
+    for b in range(256):
+        if b not in letters:
+            letters[b] = chr(extra)
+            extra += 1
+    return [letters[b] for b in range(256)]
+
+
 class WordIds(dict):
-    """Word (bytes between white space) -> its ids as little-endian unsigned 32-bit numbers.
+    """Word (Latin-1 bytes between white space) -> its ids as little-endian unsigned 32-bit numbers.
 
     The vocabulary drops white space and no rule of it looks across, so the ids of a text are those of its words.
+    Words and the pre-tokens they consist of are kept for as long as there is room.
     """
 
     def __init__(self, path: str):
@@ -36,17 +54,31 @@ class WordIds(dict):
 
         super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
-
-    def learn(self, words: set[bytes]) -> None:
-        new = [w for w in words if w not in self]
-        for i in range(0, len(new), 4096):
-            part = new[i : i + 4096]
-            for word, e in zip(part, self.tokenizer.encode_batch([w.decode() for w in part], add_special_tokens=False)):
-                self[word] = b"".join(x.to_bytes(4, "little") for x in e.ids)
-
-    def trim(self) -> None:
+        self.model, self.letters, self.parts = self.tokenizer.model, _byte_letters(), {}
+
+    def __missing__(self, word: bytes) -> bytes:
+        ids = []
+        for part in FAST.findall(word.decode("latin-1")):
+            known = self.parts.get(part)
+            if known is None:
+                tokens = self.model.tokenize("".join([self.letters[b] for b in part.encode()]))
+                known = self.parts[part] = b"".join([t.id.to_bytes(4, "little") for t in tokens])
+            ids.append(known)
+        self[word] = found = b"".join(ids)
+        return found
+
+    def encode(self, text: str) -> bytes:
         if len(self) > CACHE_ENTRIES:
             self.clear()
+        if len(self.parts) > CACHE_ENTRIES:
+            self.parts.clear()
+        try:
+            fast = bool(text.encode("latin-1")) and "<|" not in text
+        except UnicodeEncodeError:
+            fast = False
+        if not fast:
+            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        return b"".join(map(self.__getitem__, text.lower().encode("latin-1").split()))
 
 
 def cut_batches(batches: Iterator[pa.RecordBatch], path: str, capacity: int) -> Iterator[pa.RecordBatch]:
@@ -55,15 +87,11 @@ def cut_batches(batches: Iterator[pa.RecordBatch], path: str, capacity: int) ->
         _tokenizers[path] = WordIds(path)
     ids = _tokenizers[path]
     for whole in batches:
-        for at in range(0, whole.num_rows, 256):
-            batch = whole.slice(at, 256)
-            texts = [(t.as_py() or "").encode().split() for t in batch.column("text")]
-            ids.trim()
-            for words in texts:
-                ids.learn(set(words).difference(ids))
+        for at in range(0, whole.num_rows, 1024):
+            batch = whole.slice(at, 1024)
             rows: list[tuple[int, int, int, int, int]] = []
-            for k, words in enumerate(texts):
-                data = b"".join(map(ids.__getitem__, words)) + b"\0\0\0\0"
+            for k, text in enumerate(batch.column("text")):
+                data = ids.encode(text.as_py() or "") + b"\0\0\0\0"
                 for piece, start in enumerate(range(0, len(data) // 4, capacity)):
                     part = data[4 * start : 4 * (start + capacity)]
                     rows.append((k, piece, start, len(part) // 4, zlib.crc32(part)))

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from parkflow.llm import langid, licenses, media, mixing, packing, pii, tokencount, topk
+from parkflow.llm import langid, licenses, media, mixing, neardup, packing, pii, tokencount, topk
 from parkflow.llm.common import table
 
 
@@ -20,6 +20,10 @@ def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan_licenses(table(spark, sf_dir, "documents"))
 
 
+def op2_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op3_pii_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.scan_pii(table(spark, sf_dir, "documents"))
 
@@ -51,6 +55,7 @@ def op10_pack_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_license_scan": op1_license_scan,
+    "op2_minhash_dedup": op2_minhash_dedup,
     "op3_pii_spans": op3_pii_spans,
     "op4_media_columns": op4_media_columns,
     "op5_token_counts": op5_token_counts,
