@@ -162,6 +162,16 @@ def held_out():
     return F.crc32(F.col("doc_id").cast("string")) % 5 == 0
 
 
+def annotate(rows: DataFrame, model: tuple[list[str], np.ndarray], path: str) -> DataFrame:
+    """rows(text, ...) with lang_pred and score in place of the text."""
+    import hashlib
+
+    key = hashlib.sha256(model[1].tobytes() + repr(model[0]).encode()).hexdigest()
+    shared = rows.sparkSession.sparkContext.broadcast(model)
+    kept = rows.drop("text").withColumns({"lang_pred": F.lit(""), "score": F.lit(0.0)}).schema
+    return rows.mapInArrow(task("parkflow.llm.langid", "predict_batches", path=path, model=shared, key=key), kept)
+
+
 def identify(docs: DataFrame, model: tuple[list[str], np.ndarray], path: str) -> DataFrame:
     """doc_id, held_out, lang_pred and score for every row of docs(doc_id, text).
 
@@ -169,13 +179,7 @@ def identify(docs: DataFrame, model: tuple[list[str], np.ndarray], path: str) ->
     text where no language was learned, is `und` with score 0. A null doc_id isn't held out. Repeated rows are
     predicted each; other columns, language and source among them, aren't read.
     """
-    import hashlib
-
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    key = hashlib.sha256(model[1].tobytes() + repr(model[0]).encode()).hexdigest()
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-    rows = docs.select("doc_id", F.coalesce(held_out(), F.lit(False)).alias("held_out"), "text")
-    return rows.mapInArrow(task("parkflow.llm.langid", "predict_batches", path=path, model=shared, key=key), f"doc_id {kind}, held_out boolean, lang_pred string, score double")
+    return annotate(docs.select("doc_id", F.coalesce(held_out(), F.lit(False)).alias("held_out"), "text"), model, path)
 
 
 def identify_languages(docs: DataFrame, path: str) -> DataFrame:

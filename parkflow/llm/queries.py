@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from parkflow.llm import langid, licenses, media, mixing, neardup, packing, pii, tokencount, topk
+from parkflow.llm import langid, licenses, media, mixing, neardup, packing, pii, substrings, tokencount, topk
 from parkflow.llm.common import table
 
 
@@ -49,6 +49,10 @@ def op8_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(table(spark, sf_dir, "documents"))
 
 
+def op9_repeated_strings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.remove_repeats(table(spark, sf_dir, "documents")).drop("kept")
+
+
 def op10_pack_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"), 2048)
 
@@ -62,6 +66,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_language_id": op6_language_id,
     "op7_exact_top_k": op7_exact_top_k,
     "op8_mix_sources": op8_mix_sources,
+    "op9_repeated_strings": op9_repeated_strings,
     "op10_pack_sequences": op10_pack_sequences,
 }
 
