@@ -62,8 +62,9 @@ def _track_video(least: float, alive: int) -> Callable[[pd.DataFrame], pd.DataFr
         rows = rows.sort_values(["frame_index", "x", "y", "w", "h", "class_id"], kind="stable").reset_index(drop=True)
         ids, live, following = np.zeros(len(rows), np.int64), [], 1
         boxes, frames = rows[["x", "y", "w", "h"]].to_numpy(float), rows["frame_index"].to_numpy()
-        for frame in np.unique(frames):
-            at = np.flatnonzero(frames == frame)
+        each, first = np.unique(frames, return_index=True)
+        for frame, begin, end in zip(each, first, [*first[1:], len(rows)]):
+            at = np.arange(begin, end)
             live = [t for t in live if frame - t[1] <= alive]
             pairs = _assign(_iou_matrix(boxes[at], np.array([t[2] for t in live])), least) if live else []
             for d, t in pairs:
