@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from parkflow.llm import langid, licenses, media, mixing, neardup, packing, pii, substrings, tokencount, topk
+from parkflow.llm import langid, licenses, media, mixing, neardup, oracles, packing, pii, substrings, tokencount, topk
 from parkflow.llm.common import table
 
 
@@ -25,7 +26,7 @@ def op2_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_pii_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pii.scan_pii(table(spark, sf_dir, "documents"))
+    return pii.scan_pii(table(spark, sf_dir, "documents")).drop("scores")
 
 
 def op4_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -46,7 +47,7 @@ def op7_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mix_sources(table(spark, sf_dir, "documents"))
+    return mixing.mix_sources(table(spark, sf_dir, "documents")).withColumn("first_position", F.round("first_position", 9))
 
 
 def op9_repeated_strings(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -70,4 +71,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_pack_sequences": op10_pack_sequences,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = oracles.ORACLE_SQL
