@@ -12,6 +12,8 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from itertools import groupby
+from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
@@ -20,7 +22,7 @@ from pyspark.sql import functions as F
 
 from parkflow.llm.common import saved, task
 
-GRAM = 32
+GRAM, LARGE = 32, 100
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 
 
@@ -124,11 +126,13 @@ def maximal_repeats(left: list[bytes], right: list[bytes], least: int) -> Iterat
     of suffixes that share `least` bytes or more around their place."""
     n = len(left)
     by_right = sorted(range(n), key=right.__getitem__)
-    by_left = sorted(range(n), key=left.__getitem__)
     rank = [0] * n
-    for k, i in enumerate(by_left):
+    for k, i in enumerate(sorted(range(n), key=left.__getitem__)):
         rank[i] = k
+    most = max(map(len, left))
     for length, first, last in intervals([common_prefix(right[a], right[b]) for a, b in zip(by_right, by_right[1:])]):
+        if length + most < least:
+            continue
         members = sorted(by_right[first : last + 1], key=rank.__getitem__)
         shared = [common_prefix(left[a], left[b]) for a, b in zip(members, members[1:])]
         run = 0
@@ -141,19 +145,61 @@ def maximal_repeats(left: list[bytes], right: list[bytes], least: int) -> Iterat
                 run = k + 1
 
 
-def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[list[dict]]:
-    """Rows that share a key, from batches sorted by it."""
-    own: list[dict] = []
+def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple]]:
+    """Rows that share a key (the first column), from batches sorted by it."""
+    own: list[tuple] = []
     for batch in batches:
-        for row in batch.to_pylist():
-            if own and own[0]["key"] != row["key"]:
+        for key, rows in groupby(zip(*(c.to_pylist() for c in batch.columns)), key=itemgetter(0)):
+            if own and own[0][0] != key:
                 yield own
                 own = []
-            own.append(row)
+            own.extend(rows)
     if own:
         yield own
 
 
+def _classes(order: list[int], lcp: np.ndarray, length: int) -> np.ndarray:
+    """The interval that each member is in where the tree of common prefixes is cut at a length."""
+    out = np.empty(len(order), np.int64)
+    out[order] = np.concatenate([[0], np.cumsum(lcp < length)])
+    return out
+
+
+def _reaches_by_level(left: list[bytes], right: list[bytes], least: int) -> dict[int, tuple[int, int]]:
+    """The same as the tree gives, for large groups: both trees are cut at every pair of lengths that adds up to
+    `least`; members in one interval of both share such a string."""
+    n = len(left)
+    by_left, by_right = sorted(range(n), key=left.__getitem__), sorted(range(n), key=right.__getitem__)
+    lcp_left, lcp_right = (np.array([common_prefix(x[a], x[b]) for a, b in zip(o, o[1:])]) for x, o in ((left, by_left), (right, by_right)))
+    low, high = np.full(n, least + 1), np.full(n, -1)
+    for d in range(0, least + 1):
+        if not ((lcp_left >= least - d).any() and (lcp_right >= d).any()):
+            continue
+        key = _classes(by_left, lcp_left, least - d) * n + _classes(by_right, lcp_right, d)
+        order = np.argsort(key, kind="stable")
+        same = key[order[1:]] == key[order[:-1]]
+        hit = np.zeros(n, bool)
+        hit[order[1:][same]] = hit[order[:-1][same]] = True
+        low[hit] = np.minimum(low[hit], d)
+        high[hit] = d
+    return {int(i): (least - int(low[i]), int(high[i])) for i in np.flatnonzero(high >= 0)}
+
+
+def _reaches(left: list[bytes], right: list[bytes], least: int) -> dict[int, tuple[int, int]]:
+    """The farthest that any repeat of each member reaches to the left and to the right."""
+    if len(left) == 2:  # one interval, one pair
+        a, b = common_prefix(*left), common_prefix(*right)
+        return {0: (a, b), 1: (a, b)} if a + b >= least else {}
+    if len(left) > LARGE:
+        return _reaches_by_level(left, right, least)
+    reach: dict[int, tuple[int, int]] = {}
+    for length, members, near in maximal_repeats(left, right, least):
+        for i, n in zip(members, near):
+            a, b = reach.get(i, (0, 0))
+            reach[i] = max(a, n), max(b, length)
+    return reach
+
+
 def repeat_batches(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
     """How far each place's repeats reach: k1, k2, pos, to_left, to_right."""
     out: list[tuple] = []
@@ -164,12 +210,8 @@ def repeat_batches(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], ["k1", "k2", "pos", "to_left", "to_right"])
 
     for rows in _groups(batches):
-        reach: dict[int, list[int]] = {}
-        for length, members, near in maximal_repeats([r["left"] for r in rows], [r["right"] for r in rows], least):
-            for i, left in zip(members, near):
-                own = reach.setdefault(i, [0, 0])
-                own[0], own[1] = max(own[0], left), max(own[1], length)
-        out += [(rows[i]["k1"], rows[i]["k2"], rows[i]["pos"], a, b) for i, (a, b) in reach.items() if rows[i]["single"]]
+        _, single, k1, k2, pos, left, right = zip(*rows)
+        out += [(k1[i], k2[i], pos[i], a, b) for i, (a, b) in _reaches(left, right, least).items() if single[i]]
         if len(out) > 20_000:
             yield table()
             out.clear()
@@ -219,7 +261,7 @@ def cut_batches(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.Re
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *[pa.array(c, t) for c, t in zip(rows, (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary()))]], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
 
 
-def remove_repeats(docs: DataFrame, least: int = 400, group_rows: int = 20_000) -> DataFrame:
+def remove_repeats(docs: DataFrame, least: int = 400, group_rows: int = 50_000) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and kept (the bytes left) for every row of docs(doc_id, text):
     each byte covered by a string of `least` bytes that also starts anywhere else is removed.
 
@@ -241,7 +283,7 @@ def remove_repeats(docs: DataFrame, least: int = 400, group_rows: int = 20_000)
     asked = asked.groupBy("k1", "k2").agg(F.collect_list(F.struct("key", "single", "many", "pos")).alias("asked"))
     around = saved(texts.select("k1", "k2", "text").join(asked, ["k1", "k2"]).mapInArrow(run("context_batches"), "key long, single boolean, many boolean, k1 long, k2 int, pos int, left binary, right binary"))
     reach = "k1 long, k2 int, pos int, to_left int, to_right int"
-    compared = around.filter("not many").repartition("key").sortWithinPartitions("key").mapInArrow(run("repeat_batches"), reach)
+    compared = around.filter("not many").select("key", "single", "k1", "k2", "pos", "left", "right").repartition("key").sortWithinPartitions("key").mapInArrow(run("repeat_batches"), reach)
     windows = around.filter("many").mapInArrow(run("window_batches"), "w1 long, w2 long, k1 long, k2 int, pos int, to_left int, single boolean")
     occurrence = F.struct("k1", "k2", F.col("pos") - F.col("to_left"))  # places of one document may see the same string
     repeated = windows.groupBy("w1", "w2").agg(F.min(occurrence).alias("first"), F.max(occurrence).alias("last"), F.bool_and("single").alias("single")).filter("first <> last or not single").select("w1", "w2")

@@ -43,7 +43,7 @@ def some_texts():
     return texts
 
 
-@pytest.mark.parametrize("group_rows", [20_000, 4])
+@pytest.mark.parametrize("group_rows", [50_000, 4])
 def test_removed_bytes(spark, docs_of, odd, group_rows):
     check(docs_of, [*[t for t in odd if len(t or "") < 2000], *some_texts()], 64, group_rows=group_rows)
 
@@ -70,3 +70,22 @@ def test_intervals_are_the_tree():
     words = sorted(["banana", "bandana", "ban", "band", "can", "cane", "x"])
     lcp = [len(os.path.commonprefix(p)) for p in zip(words, words[1:])]
     assert sorted(substrings.intervals(lcp)) == sorted([(0, 0, 6), (3, 0, 3), (4, 2, 3), (3, 4, 5)])
+
+
+def test_levels_give_what_the_tree_gives():
+    rng = random.Random(8)
+    base = "".join(rng.choice("abcd") for _ in range(200))
+    left, right = [], []
+    for _ in range(150):
+        t = list(base)
+        for _ in range(rng.randrange(4)):
+            t[rng.randrange(200)] = rng.choice("xyz")
+        left.append("".join(t[:90][::-1][: rng.randint(60, 90)]).encode())
+        right.append("".join(t[90:][: rng.randint(70, 110)]).encode())
+    tree: dict[int, tuple[int, int]] = {}
+    for length, members, near in substrings.maximal_repeats(left, right, 100):
+        for i, n in zip(members, near):
+            a, b = tree.get(i, (0, 0))
+            tree[i] = max(a, n), max(b, length)
+    level = substrings._reaches_by_level(left, right, 100)
+    assert level.keys() == tree.keys() and all((min(a, 100), min(b, 100)) == level[i] for i, (a, b) in tree.items())
