@@ -18,14 +18,14 @@ from pyspark.sql import functions as F
 from parkflow.llm.common import task
 
 CACHE_ENTRIES, LONGEST, SMOOTHING, UNKNOWN = 300_000, 40, 0.1, 1e-8
-LETTER = re.compile(r"[^\W\d_]")
+WORD = re.compile(r"[^\W\d_]+")
 UNDETERMINED = "und"
 _state: dict = {}
 
 
 def words_of(text: str) -> list[str]:
-    """Lower-case words with a mark for the word's start; very long ones in parts."""
-    found = text.lower().split()
+    """Runs of letters in lower case; very long ones in parts."""
+    found = WORD.findall(text.lower())
     if max(map(len, found), default=0) <= LONGEST:
         return found
     return [w[i : i + LONGEST] for w in found for i in range(0, len(w), LONGEST)]
@@ -82,23 +82,72 @@ def train(labelled: DataFrame, path: str) -> tuple[list[str], np.ndarray]:
     return langs, table / table.sum(axis=0)
 
 
-def forward(words: list[str], pieces: dict[str, int], table: np.ndarray) -> np.ndarray:
+_STEP, _SPREAD = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
+
+
+class Lookup:
+    """Numbers of pieces by a hash of their letters, for whole arrays at a time.
+
+    A piece has its place in the first table, or in a later one where its place is taken."""
+
+    def __init__(self, pieces: dict[str, int], bits: int = 20):
+        self.longest, self.tables = max(map(len, pieces)), []
+        hashes = {self.hash_of(p): i for p, i in pieces.items()}
+        if len(hashes) < len(pieces):
+            raise ValueError("two pieces have one hash")
+        while hashes:
+            keys, numbers, left = np.zeros(1 << bits, np.uint64), np.full(1 << bits, -1, np.int32), {}
+            for h, i in hashes.items():
+                at = self.places(np.array([h], np.uint64), bits)[0]
+                if numbers[at] < 0:
+                    keys[at], numbers[at] = h, i
+                else:
+                    left[h] = i
+            self.tables.append((bits, keys, numbers))
+            hashes, bits = left, max(8, bits - 4)
+
+    @staticmethod
+    def places(h: np.ndarray, bits: int) -> np.ndarray:
+        return (((h ^ (h >> np.uint64(31))) * _SPREAD) >> np.uint64(64 - bits)).astype(np.int64)
+
+    @staticmethod
+    def hash_of(piece: str) -> int:
+        h = 0
+        for c in piece:
+            h = (h * int(_STEP) + ord(c) + 1) % 2**64
+        return h
+
+    def find(self, h: np.ndarray) -> np.ndarray:
+        """Number of each hash's piece, -1 for none."""
+        out = np.full(len(h), -1, np.int32)
+        for bits, keys, numbers in self.tables:
+            at = self.places(h, bits)
+            out = np.where(keys[at] == h, numbers[at], out)
+        return out
+
+
+def forward(words: list[str], lookup: Lookup, table: np.ndarray) -> np.ndarray:
     """Log probability of words of one length in each language, all segmentations summed."""
     n = len(words[0]) + 1
+    letters = np.empty((n, len(words)), np.uint64)
+    letters[0] = ord("▁")
+    letters[1:] = np.frombuffer("".join(words).encode("utf-32-le"), np.uint32).reshape(-1, n - 1).T
+    letters += np.uint64(1)
+    probability = np.vstack([table, np.full(table.shape[1], UNKNOWN)])
     alpha = np.zeros((n + 1, len(words), table.shape[1]))
     alpha[0] = 1.0
-    marked = ["▁" + w for w in words]
-    longest = _state.setdefault("longest", max(map(len, pieces)))
-    padded = np.vstack([table, np.zeros(table.shape[1]), np.full(table.shape[1], UNKNOWN)])
-    none, unknown = len(table), len(table) + 1
-    for j in range(1, n + 1):
-        for i in range(max(0, j - longest), j):
-            at = [pieces.get(w[i:j], none) for w in marked]
-            if j - i == 1:
-                at = [unknown if x == none else x for x in at]
-            elif at.count(none) == len(at):
-                continue
-            alpha[j] += alpha[i] * padded[at]
+    with np.errstate(over="ignore"):
+        for i in range(n):
+            h = np.zeros(len(words), np.uint64)
+            for j in range(i + 1, min(n, i + lookup.longest) + 1):
+                h = h * _STEP + letters[j - 1]
+                piece = lookup.find(h)
+                if j == i + 1:
+                    alpha[j] += alpha[i] * probability[piece]  # -1 is the row of unknown letters
+                else:
+                    at = np.flatnonzero(piece >= 0)
+                    if len(at):
+                        alpha[j, at] += alpha[i, at] * probability[piece[at]]
     return np.log(np.maximum(alpha[n], 1e-300))
 
 
@@ -106,7 +155,7 @@ class Scorer:
     """Log probabilities of words, kept for as long as there is room."""
 
     def __init__(self, path: str, table: np.ndarray):
-        self.pieces, self.table = _pieces(path), table
+        self.lookup, self.table = Lookup(_pieces(path)), table
         self.index: dict[str, int] = {}
         self.rows = np.zeros((CACHE_ENTRIES * 2, table.shape[1]))
 
@@ -122,7 +171,7 @@ class Scorer:
             by_length[len(w)].append(w)
         for group in by_length.values():
             at = len(self.index)
-            self.rows[at : at + len(group)] = forward(group, self.pieces, self.table)
+            self.rows[at : at + len(group)] = forward(group, self.lookup, self.table)
             self.index.update(zip(group, range(at, at + len(group))))
 
     def score(self, words: list[str]) -> np.ndarray:
@@ -137,10 +186,10 @@ def predict_batches(batches: Iterator[pa.RecordBatch], path: str, model: tuple[l
         _state["scorer", key] = Scorer(path, table)
     scorer = _state["scorer", key]
     for whole in batches:
-        for at in range(0, whole.num_rows, 512):
-            batch = whole.slice(at, 512)
+        for at in range(0, whole.num_rows, 1024):
+            batch = whole.slice(at, 1024)
             texts = [t.as_py() for t in batch.column("text")]
-            words = [words_of(t) if t and langs and LETTER.search(t) else [] for t in texts]
+            words = [words_of(t) if t and langs and any(map(str.isalpha, t)) else [] for t in texts]
             scorer.learn(set().union(*words))
             pred, score = [], []
             for w in words:
