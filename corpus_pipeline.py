@@ -28,9 +28,9 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep one document of each group of near-duplicates, the one with the smallest doc_id, and one row of it; rows
-    without a doc_id stay."""
-    kept = neardup.near_duplicates(docs).filter("kept").select(F.col("doc_id").alias("__kept"))
+    """Keep one document of each group of near-duplicates (a similarity of 0.8 or more by shingles of five words), the
+    one with the smallest doc_id, and one row of it; rows without a doc_id stay."""
+    kept = neardup.near_duplicates(docs, width=5, percent=80, bands=40).filter("kept").select(F.col("doc_id").alias("__kept"))
     return docs.filter("doc_id is not null").join(kept, F.col("doc_id") == F.col("__kept"), "left_semi").dropDuplicates(["doc_id"]).unionByName(docs.filter("doc_id is null"))
 
 

@@ -79,27 +79,27 @@ def super_minhash(items: np.ndarray, slots: int = SLOTS) -> np.ndarray:
 
 
 def band_hashes(signature: np.ndarray) -> np.ndarray:
-    rows = signature.reshape(BANDS, ROWS)
-    out = mix(np.arange(1, BANDS + 1, dtype=np.uint64))
+    rows = signature.reshape(-1, ROWS)
+    out = mix(np.arange(1, len(rows) + 1, dtype=np.uint64))
     for k in range(ROWS):
         out = mix(out * _M2 + rows[:, k])
     return out.view(np.int64)
 
 
-def sign_batches(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
+def sign_batches(batches: Iterator[pa.RecordBatch], width: int, bands: int = BANDS) -> Iterator[pa.RecordBatch]:
     """doc_id, n_shingles, two halves of a hash of the set, and the bands."""
     with np.errstate(over="ignore"):
         for whole in batches:
             for at in range(0, whole.num_rows, 1024):
                 batch = whole.slice(at, 1024)
-                n, one, two, bands = [], [], [], []
+                n, one, two, hashes = [], [], [], []
                 for text in batch.column("text"):
                     s = shingle_set(text.as_py(), width)
                     n.append(len(s))
                     one.append(int(mix(s + np.uint64(1)).sum(dtype=np.uint64).astype(np.int64)))
                     two.append(int(mix(s ^ _M1).sum(dtype=np.uint64).astype(np.int64)))
-                    bands.append(band_hashes(super_minhash(s)) if len(s) else [])
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(one, pa.int64()), pa.array(two, pa.int64()), pa.array(bands, pa.list_(pa.int64()))], ["doc_id", "n_shingles", "one", "two", "bands"])
+                    hashes.append(band_hashes(super_minhash(s, bands * ROWS)) if len(s) else [])
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(one, pa.int64()), pa.array(two, pa.int64()), pa.array(hashes, pa.list_(pa.int64()))], ["doc_id", "n_shingles", "one", "two", "bands"])
 
 
 _kept: dict = {}
@@ -241,7 +241,7 @@ def all_links(pairs: DataFrame, texts: DataFrame, width: int, percent: int, bloc
     return compared.filter("link").select("a", F.col("hub").alias("b")).unionByName(more)
 
 
-def near_duplicates(docs: DataFrame, width: int = 3, percent: int = 85) -> DataFrame:
+def near_duplicates(docs: DataFrame, width: int = 3, percent: int = 85, bands: int = BANDS) -> DataFrame:
     """doc_id, n_shingles, component_id and kept for docs(doc_id, text): documents are linked when 100 times the size
     of the intersection of their shingle sets is at least `percent` times that of the union.
 
@@ -250,10 +250,10 @@ def near_duplicates(docs: DataFrame, width: int = 3, percent: int = 85) -> DataF
     count as one. Other columns are ignored.
 
     125 slots in 25 bands of five: two documents at a similarity of 0.85 share no band with a probability of
-    (1 - 0.85**5)**25 < 5e-7.
+    (1 - 0.85**5)**25 < 5e-7. A lower `percent` needs more `bands`: at 0.8, 25 miss 5e-5 and 40 miss 1.3e-7.
     """
     texts = docs.filter("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    signed = saved(texts.mapInArrow(task("parkflow.llm.neardup", "sign_batches", width=width), "doc_id long, n_shingles long, one long, two long, bands array<long>"))
+    signed = saved(texts.mapInArrow(task("parkflow.llm.neardup", "sign_batches", width=width, bands=bands), "doc_id long, n_shingles long, one long, two long, bands array<long>"))
     signed = signed.groupBy("doc_id").agg(F.min(F.struct("n_shingles", "one", "two", "bands")).alias("s")).select("doc_id", "s.*")
     sets = signed.filter("n_shingles > 0").groupBy("one", "two", "n_shingles").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands"))
     sets = saved(sets)

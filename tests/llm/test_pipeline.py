@@ -1,5 +1,6 @@
 """The pipeline's stages, each against a plain version on its own input."""
 
+import random
 import re
 import zlib
 from collections import Counter
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from parkflow.llm.queries import ORACLE_SQL, QUERIES, vocabulary
-from tests.llm.test_duplicates import plain_components
+from tests.llm.test_duplicates import family, plain_components, plain_set
 from tests.llm.test_small_operators import plain_targets
 from tests.llm.test_text_operators import plain
 
@@ -42,6 +43,26 @@ def test_duplicate_stage(spark, docs_of, odd):
     assert sorted(r.doc_id for r in got.collect()) == sorted(i for i, c in enumerate(components) if i == c)
 
 
+def test_duplicate_stage_by_five_words(spark, docs_of, odd):
+    rng = random.Random(3)
+    long = [f"w{i}" for i in range(1200)]
+    scattered = [f"v{i}" for i in range(1000)]
+    edited = [f"e{i}" if i % 40 == 20 else w for i, w in enumerate(scattered)]  # 0.86 by three words, 0.78 by five
+    texts = [*odd, " ".join(long[:1000]), " ".join(long), " ".join(scattered), " ".join(edited), *family(rng, 100, 9), *family(rng, 40, 5, 24)]
+    sets = [plain_set(t, 5) for t in texts]
+    component = list(range(len(texts)))
+    for i, a in enumerate(sets):
+        for j in range(i):
+            n = len(a & sets[j])
+            if a and 100 * n >= 80 * (len(a) + len(sets[j]) - n) and component[i] != component[j]:
+                low, high = sorted((component[i], component[j]))
+                component = [low if c == high else c for c in component]
+    got = sorted(r.doc_id for r in STAGE["near_duplicates"](spark, docs_of(texts), "").collect())
+    assert got == sorted(set(component))
+    at = len(odd)
+    assert at in got and at + 1 not in got and {at + 2, at + 3} <= set(got)
+
+
 def test_personal_data_stage(spark, docs_of, odd):
     texts = [*odd, "write to a@b.co or +1 415 555 2671, 10.0.0.1", "4111 1111 1111 1111.1.1.1", None]
     docs = docs_of(texts)
