@@ -54,8 +54,15 @@ def _rest(values: np.ndarray, step: int) -> list[np.ndarray]:
     return [np.sqrt(square[d:].sum(axis=0)) for d in range(step, len(values) + step, step)]
 
 
+def _first_of_each(order: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
+    """The first k places of `order` whose ids differ."""
+    _, first = np.unique(ids[order], return_index=True)
+    return order[np.sort(first)[:k]]
+
+
 def best(queries: dict, candidates: dict, k: int, step: int = 16, rows: int = 2048):
-    """(query id, candidate id, score) of the k best of each query among these candidates, the query itself left out."""
+    """(query id, candidate id, score) of the k best of each query among these candidates, the query itself left out. An
+    id that is repeated among the candidates has one place, that of its best score."""
     q_ids, q = _open(queries)
     c_ids, c = _open(candidates)
     order = np.argsort(-(c * c).sum(axis=0), kind="stable")  # long vectors first: the k-th best rises early
@@ -64,6 +71,7 @@ def best(queries: dict, candidates: dict, k: int, step: int = 16, rows: int = 20
     exact = np.float64 if max(np.abs(q).max(initial=0), 1) * max(np.abs(c).max(initial=0), 1) * len(q) < 2**52 else object
     if exact is object:  # beyond what doubles hold exactly
         q, c = (np.array([[int(x) for x in row] for row in m], dtype=object).reshape(m.shape) for m in (q, c))
+    repeated = len(np.unique(c_ids)) < len(c_ids)
     top_s = np.full((len(q_ids), k), -np.inf, dtype=exact)
     top_i = np.full((len(q_ids), k), np.iinfo(np.int64).max)
     for at in range(0, len(c_ids), rows):
@@ -83,8 +91,10 @@ def best(queries: dict, candidates: dict, k: int, step: int = 16, rows: int = 20
         all_s = np.concatenate([top_s, score], axis=1)
         all_i = np.concatenate([top_i, np.broadcast_to(ids[alive], score.shape)], axis=1)
         for r in np.flatnonzero((score >= top_s[:, -1:]).any(axis=1)):
-            pick = np.lexsort((all_i[r], -all_s[r]))[:k] if exact is not object else sorted(range(all_s.shape[1]), key=lambda j: (-all_s[r, j], all_i[r, j]))[:k]
-            top_s[r], top_i[r] = all_s[r, pick], all_i[r, pick]
+            pick = np.lexsort((all_i[r], -all_s[r])) if exact is not object else np.array(sorted(range(all_s.shape[1]), key=lambda j: (-all_s[r, j], all_i[r, j])))
+            pick = _first_of_each(pick, all_i[r], k) if repeated else pick[:k]
+            top_s[r], top_i[r] = -np.inf, np.iinfo(np.int64).max
+            top_s[r, : len(pick)], top_i[r, : len(pick)] = all_s[r, pick], all_i[r, pick]
     found = np.argwhere(top_s > -np.inf)
     return [(int(q_ids[r]), int(top_i[r, j]), int(top_s[r, j])) for r, j in found]
 
@@ -102,7 +112,7 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, scale: int = 256,
 
     Components are floor(scale * x). Vectors that are null, or hold a null or a component that isn't finite, take no
     part; vectors of different lengths never meet; an empty vector scores 0. Rows repeated under one id take part
-    once. Every block of queries is matched with every block of candidates (a fixed query set against all rows), and
+    once, by their best score. Every block of queries is matched with every block of candidates (a fixed query set against all rows), and
     only k rows of each meeting are shuffled.
     """
     def packed(df: DataFrame, rows: int) -> DataFrame:
@@ -114,6 +124,7 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, scale: int = 256,
     c = packed(vectors, candidate_rows).drop("block")
     # Both sides are blocks: thousands of vectors a row, joined on their number of dimensions.
     met = c.join(q, c["dims"] == q["q_dims"])
-    found = met.mapInArrow(task("parkflow.llm.topk", "search_batches", k=k), "query_id long, vec_id long, score long").distinct()
+    found = met.mapInArrow(task("parkflow.llm.topk", "search_batches", k=k), "query_id long, vec_id long, score long")
+    found = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     rank = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
     return found.withColumn("rank", F.row_number().over(rank)).filter(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")

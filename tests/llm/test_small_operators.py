@@ -162,6 +162,22 @@ def test_top_k(spark):
     assert sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in got) == sorted(want)
 
 
+def test_top_k_of_repeated_rows(spark):
+    import duckdb
+
+    rows = [(0, [1.0, 0.0])] * 3 + [(1, [9.0, 0.0])] * 20 + [(2, [8.0, 1.0])] * 7 + [(3, [0.5, 0.0]), (3, [7.0, 0.0])] + [(i, [7.0 - i / 10, 2.0]) for i in range(4, 12)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    given = "with v as (select unnest(?) as vec_id, unnest(?::double[][]) as e), d as (select distinct vec_id, list_transform(e, lambda x: floor(256*x)) as e from v)"
+    want = duckdb.execute(given + """, s as (select q.vec_id as q, c.vec_id as c, max(cast(list_dot_product(q.e, c.e) as bigint)) as s from d q join d c on q.vec_id=0 and c.vec_id<>0 group by 1,2)
+     select q, row_number() over (order by s desc, c) as r, c, s from s qualify r<=5""", [[i for i, _ in rows], [v for _, v in rows]]).fetchall()
+    for part in (df.coalesce(1), df.repartition(4)):
+        for block in (8192, 6):
+            got = topk.top_k(part, df.filter("vec_id = 0"), 5, candidate_rows=block).collect()
+            assert sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in got) == sorted(want)
+    few = topk.top_k(df.filter("vec_id < 3").coalesce(1), df.filter("vec_id = 0"), 5).collect()
+    assert sorted((r["rank"], r.vec_id) for r in few) == [(1, 1), (2, 2)]
+
+
 def test_top_k_beyond_doubles(spark):
     df = spark.createDataFrame([(0, [1e12, 1.0]), (1, [1e12, 2.0]), (2, [1e12, 3.0])], "vec_id long, embedding array<double>")
     big = topk.top_k(df.select("vec_id", df.embedding.cast("array<double>").alias("embedding")), df.filter("vec_id = 0"), 2, scale=1)
