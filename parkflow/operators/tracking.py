@@ -163,10 +163,14 @@ def track_motion(tracked: DataFrame, compat: bool = False) -> DataFrame:
 
 def similarity_candidates(detections: DataFrame, gallery: DataFrame, similarity: Column, max_gap: float | None = None) -> DataFrame:
     """det, entity_id and the best similarity of a detection to each entity's exemplars (of one camera, within
-    max_gap). Columns of detections are prefixed d_, those of the gallery g_."""
+    max_gap). Columns of detections are prefixed d_, those of the gallery g_. With max_gap, rows meet in time buckets of
+    one gap and their neighbours only."""
     on = F.col("d_camera") == F.col("g_camera")
     if max_gap is not None:
-        on = on & (F.abs(F.col("d_t") - F.col("g_t")) <= max_gap)
+        bucket = lambda t: F.floor(F.col(t) / max(max_gap, 1e-9))
+        detections = detections.withColumn("__d", bucket("d_t"))
+        gallery = gallery.withColumn("__g", F.explode(F.array(bucket("g_t") - 1, bucket("g_t"), bucket("g_t") + 1)))
+        on = on & (F.col("__d") == F.col("__g")) & (F.abs(F.col("d_t") - F.col("g_t")) <= max_gap)
     return detections.join(gallery, on).withColumn("__s", similarity).groupBy("d_id", "g_entity").agg(F.max("__s").alias("similarity"))
 
 

@@ -232,6 +232,14 @@ def c_entities(spark, sf_dir):
     return _tagged(found, "entity_id")
 
 
+@query("""select distinct 'left' as f, entity_id as id from instance where direction_lr=-1
+ union all select distinct 'unknown', entity_id from instance where direction_lr=0 or direction_fb=0""")
+def c_entities_direction(spark, sf_dir):
+    """C16 over all entities."""
+    _, instance, _ = _catalog(spark, sf_dir)
+    return _tagged({k: filters.entities_by_direction(instance, k) for k in ("left", "unknown")}, "entity_id")
+
+
 @query("""with a as (select image_id from image where analyzed), b as (select image_id from instance where confidence>=0.5 and type_id=2), c as (select image_id from image where epoch_s%86400<=21600), d as (select image_id from instance where type_id=5)
  select distinct image_id from (select image_id from a intersect select image_id from b union select image_id from c intersect select image_id from d)""")
 def c_expression(spark, sf_dir):
@@ -422,6 +430,12 @@ def e_plate_dwell_gap(spark, sf_dir):
     return plates.plate_dwell(_readings(spark, sf_dir).filter("img_path like 'cam0%'"), 1, 200_000.0).select("entry", "exit", "sightings")
 
 
+@query()
+def e_plate_dwell_gap_all(spark, sf_dir):
+    """D12 with a gap, E16, E17 over all readings."""
+    return plates.plate_dwell(_readings(spark, sf_dir), 1, 200_000.0).select("entry", "exit", "sightings")
+
+
 CROSSINGS = FUZZY + """, grp as (select img_path, plate_group from plate_reading join comp using (plate_text)), sz as (select plate_group, count(*) as n, (select max(t_us)/1e6-min(t_us)/1e6 from plate_reading q join comp c on q.plate_text=c.plate_text where c.plate_group=grp.plate_group) as dwell from grp group by 1),
  x as (select truth, count(*) as sightings, count(plate_group) as rd, count(distinct plate_group) as clusters, min(plate_group) as plate_group, max(t_us)/1e6-min(t_us)/1e6 as true_dwell from plate_reading left join grp using (img_path) group by 1 having count(*)>=2),
  crossings as (select truth, sightings, clusters, case when clusters=0 then 'dropped' when clusters>1 then 'split' when rd=sightings and sz.n=sightings then 'exact' else 'corrupted' end as status, true_dwell, case when clusters=1 then sz.dwell end as ocr_dwell from x left join sz using (plate_group))"""
@@ -766,6 +780,17 @@ def g_best_match(spark, sf_dir):
     return _rounded(tracking.best_match(found, 0.1, 0.98), similarity=6)
 
 
+@query("""with s as (select a.vec_id as d_id, b.label as g_entity, max(case when a.vec_id=b.vec_id then -1 else list_dot_product(cast(a.embedding as double[]), cast(b.embedding as double[])) end) as similarity from profile a join profile b on a.camera=b.camera and abs(a.t-b.t)<=400 group by 1,2),
+ r as (select *, row_number() over (partition by d_id order by similarity desc, g_entity) as r, lead(similarity) over (partition by d_id order by similarity desc, g_entity) as second from s)
+ select d_id, g_entity, round(similarity,6) as similarity from r where r=1 and similarity>=0.1 and (second is null or second<=-1 or greatest(1-similarity,1e-6)/greatest(1-second,1e-6)<=0.98)""")
+def g_best_match_all(spark, sf_dir):
+    """D20, G6 of every profile against all others."""
+    p = view(spark, sf_dir, "profile")
+    side = lambda s: p.select(F.col("camera").alias(f"{s}_camera"), F.col("t").alias(f"{s}_t"), F.col("vec_id").alias(f"{s}_id"), F.col("label").alias(f"{s}_entity"), F.col("embedding").alias(f"{s}_v"))
+    other = F.when(F.col("d_id") == F.col("g_id"), -1.0).otherwise(vectors.cosine(F.col("d_v"), F.col("g_v")))
+    return _rounded(tracking.best_match(tracking.similarity_candidates(side("d"), side("g"), other, 400), 0.1, 0.98), similarity=6)
+
+
 def _matched(spark, sf_dir) -> DataFrame:
     cars = view(spark, sf_dir, "gt_car").withColumn("t", F.col("cross_cs") / 100)
     tracks = view(spark, sf_dir, "gt_track").withColumn("t", F.col("last_cs") / 100)

@@ -139,6 +139,35 @@ def test_fuzzy_plates(spark):
     assert [(x.plate_text, x.dwell, x.sightings, x.variants) for x in r] == [("381KE4", 11949.89, 3, "381KE4,381KE9,38IKE4")]
 
 
+def test_dwell_with_a_gap_of_all_readings(spark, tmp_path):
+    at = lambda i: 1_704_067_200 + 9_000 * i + 150_000 * (i // 25)
+    rows = [(i, at(i), i * i % 7) for i in range(1, 120)]
+    events = spark.createDataFrame([(i, t, u) for i, t, u in rows], "event_id long, s long, user_id long")
+    events.select("event_id", F.timestamp_seconds("s").alias("ts"), "user_id").write.parquet(str(tmp_path / "events.parquet"))
+    seen = []
+    for i, t, u in rows:
+        truth = f"{(u * 7919 + 13) % 999983:06d}"
+        if i % 23:
+            seen.append((truth if i % 17 else truth[:5] + "X", t))
+    near = {(a, b): duckdb.sql(f"select levenshtein('{a}','{b}')").fetchall()[0][0] <= 1 for a in {p for p, _ in seen} for b in {p for p, _ in seen}}
+    group = list(range(len(seen)))
+    for i, (a, s) in enumerate(seen):
+        for j, (b, t) in enumerate(seen[:i]):
+            if near[a, b] and abs(s - t) <= 200_000 and group[i] != group[j]:
+                low, high = sorted((group[i], group[j]))
+                group = [low if g == high else g for g in group]
+    times = [[t for (_, t), h in zip(seen, group) if h == g] for g in sorted(set(group))]
+    want = sorted((float(min(t)), float(max(t)), len(t)) for t in times if len(t) >= 2)
+    assert len(want) > 10
+    assert sorted(tuple(r) for r in QUERIES["e_plate_dwell_gap_all"](spark, str(tmp_path)).collect()) == want
+
+
+def test_whole_tables_hold_what_subsets_leave_out(spark):
+    rows = lambda name: {tuple(r) for r in QUERIES[name](spark, DATA).collect()}
+    assert {r for r in rows("c_entities") if r[0] in ("left", "unknown")} < rows("c_entities_direction")
+    assert any(d % 10 for d, *_ in rows("g_best_match_all"))
+
+
 def test_components_of_a_long_path(spark):
     nodes, edges = spark.range(40).withColumnRenamed("id", "id"), spark.range(39).selectExpr("id as a", "id + 1 as b")
     assert {r.component for r in graph.connected_components(nodes, edges).collect()} == {0}
