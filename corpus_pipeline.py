@@ -14,8 +14,10 @@ LEAST_SCORE = 0.4
 
 
 def _tagged(docs: DataFrame) -> DataFrame:
-    """The rows with a number each, fixed by writing them, so that decisions can be joined back row by row."""
-    return saved(docs.withColumn("__row", F.monotonically_increasing_id()))
+    """The rows with a number each, fixed by writing them, so that decisions can be joined back row by row, and a hash
+    that doesn't depend on how they are laid out."""
+    own = F.xxhash64(*[F.col(c) for c, kind in docs.dtypes if "map<" not in kind])
+    return saved(docs.withColumns({"__row": F.monotonically_increasing_id(), "__hash": own}))
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -41,12 +43,15 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Take documents as often as the mixture takes most of them (0 to 3 times), in the order of the curriculum."""
+    """Take documents as often as the mixture takes most of them (0 to 3 times), each copy where the curriculum comes
+    to it. Within a source they stand by doc_id as in op8, those of null or equal ids by a hash of the row."""
     rows = _tagged(docs)
-    mix = mixing.mix_sources(rows.select(F.col("__row").alias("doc_id"), "text", "source"))
-    copies = mix.filter("size > 0").select(F.col("doc_id").alias("__mixed"), F.round(F.col("taken") / F.col("size")).cast("int").alias("__copies"), F.col("first_position").alias("__position")).filter("__copies > 0")
-    taken = rows.join(copies, F.col("__row") == F.col("__mixed")).withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies"))))
-    return taken.repartitionByRange(F.col("__copy"), F.col("__position"), F.col("__row")).sortWithinPartitions("__copy", "__position").select(*docs.columns)
+    mix = mixing.placed(rows.select("doc_id", "text", "source", "__hash", "__row"), ties=("__hash", "__row")).filter("size > 0")
+    mix = mix.withColumn("__copies", F.round(F.col("taken") / F.col("size")).cast("int")).filter("__copies > 0")
+    mix = mix.withColumn("__copy", F.explode(F.sequence(F.lit(0), F.col("__copies") - 1)))
+    copies = mix.select(F.col("__row").alias("__mixed"), mixing.place_of_copy(F.col("__copy")).alias("__position"))
+    taken = rows.join(copies, F.col("__row") == F.col("__mixed"))
+    return taken.repartitionByRange("__position", "__hash").sortWithinPartitions("__position", "__hash").select(*docs.columns)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -8,7 +8,7 @@ the demand, and range-sorting by that time gives the training order.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 WORD = r"[^\x20\x09-\x0D]+"
@@ -60,9 +60,17 @@ def mix_sources(docs: DataFrame, epochs: int = 3, weights: tuple[int, ...] = (1,
     The running sum is taken in two levels, within 4096 slices of each source by hash and over the slices' sums, so
     no source is ordered by one task.
     """
-    rows = docs.select("doc_id", "source", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"))
+    out = placed(docs, epochs, weights)
+    place = time_of((F.col("start") + F.col("size") / 2) / F.greatest(F.col("target"), F.col("start") + F.col("size")), slope(F.col("weight")))
+    return out.select("doc_id", "source", "size", "source_size", "target", "taken", F.when(F.col("taken") > 0, place).alias("first_position"))
+
+
+def placed(docs: DataFrame, epochs: int = 3, weights: tuple[int, ...] = (1, 2, 3), ties: tuple[str, ...] = ()) -> DataFrame:
+    """As mix_sources, with start (the words of the source ahead of the document), weight and the columns `ties`. Those
+    order documents of one doc_id and size, and stand for a doc_id that is null."""
+    rows = docs.select("doc_id", "source", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"), *ties)
     rows = rows.withColumn("key", F.coalesce(F.concat(F.lit("s"), "source"), F.lit("")))
-    rows = rows.withColumn("rank", F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"))).withColumn("slice", F.substring("rank", 1, 3))
+    rows = rows.withColumn("rank", F.md5(F.coalesce(F.col("doc_id").cast("string"), *[F.col(c).cast("string") for c in ties], F.lit("")).cast("binary"))).withColumn("slice", F.substring("rank", 1, 3))
     slices = rows.groupBy("key", "slice").agg(F.sum("size").alias("slice_size"))
     sizes = slices.groupBy("key").agg(F.sum("slice_size").alias("source_size")).withColumn("source", F.when(F.col("key") != "", F.substring("key", 2, 2**31 - 1)))
     targets = source_targets(sizes.select("source", "source_size"), epochs, weights)
@@ -70,7 +78,7 @@ def mix_sources(docs: DataFrame, epochs: int = 3, weights: tuple[int, ...] = (1,
     slices = slices.withColumn("slice_from", F.coalesce(F.sum("slice_size").over(over), F.lit(0)))
     targets = targets.withColumn("key", F.coalesce(F.concat(F.lit("s"), "source"), F.lit(""))).drop("source")
     slices = slices.join(targets, "key").select("key", "slice", "slice_from", "source_size", "target", "weight")
-    within = Window.partitionBy("key", "slice").orderBy("rank", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    within = Window.partitionBy("key", "slice").orderBy("rank", "doc_id", "size", *ties).rowsBetween(Window.unboundedPreceding, -1)
     rows = rows.withColumn("ahead", F.coalesce(F.sum("size").over(within), F.lit(0)))
     rows = rows.join(slices, ["key", "slice"])
     start = F.col("slice_from") + F.col("ahead")
@@ -78,9 +86,13 @@ def mix_sources(docs: DataFrame, epochs: int = 3, weights: tuple[int, ...] = (1,
     rounds = F.when(F.col("source_size") > 0, F.floor(whole / F.col("source_size"))).otherwise(0).cast("long")
     rest = whole - rounds * F.col("source_size")
     taken = rounds * F.col("size") + F.greatest(F.lit(0), F.least(F.col("size"), rest - start))
-    place = time_of((start + F.col("size") / 2) / F.greatest(F.col("target"), start + F.col("size")), slope(F.col("weight")))
-    out = rows.select("doc_id", "source", "size", "source_size", "target", taken.cast("long").alias("taken"), place.alias("place"))
-    return out.select("doc_id", "source", "size", "source_size", "target", "taken", F.when(F.col("taken") > 0, F.col("place")).alias("first_position"))
+    return rows.select("doc_id", "source", "size", "source_size", "target", taken.cast("long").alias("taken"), start.alias("start"), "weight", *ties)
+
+
+def place_of_copy(copy: Column) -> Column:
+    """Position of a placed document's copy 0, 1, ...: each round goes through the whole source once more."""
+    share = (F.col("start") + F.col("size") / 2 + copy * F.col("source_size")) / F.col("target")
+    return time_of(F.least(F.lit(1.0), share), slope(F.col("weight")))
 
 
 def training_order(mix: DataFrame) -> DataFrame:

@@ -1,5 +1,7 @@
 """The pipeline's stages, each against a plain version on its own input."""
 
+import hashlib
+import math
 import random
 import re
 import zlib
@@ -95,6 +97,32 @@ def test_mixture_stage(spark, docs_of):
         assert abs(words[s] - target) <= 12
 
 
+def test_mixture_follows_the_curriculum_in_any_layout(spark, docs_of):
+    rng = random.Random(8)
+    texts = [(" ".join(["w"] * rng.randint(1, 30)), "en", s) for s in "a" * 90 + "b" * 25 + "c" * 12]
+    docs = docs_of(texts)
+    got = [r.doc_id for r in STAGE["mixture"](spark, docs, "").collect()]
+    size = [len(t.split()) for t, _, _ in texts]
+    sizes = {s: sum(n for n, (_, _, x) in zip(size, texts) if x == s) for s in "abc"}
+    places = {}
+    for g, (s, target) in zip((-0.5, 0.0, 0.5), sorted(plain_targets(sizes).items())):
+        start = 0
+        for i in sorted((i for i, t in enumerate(texts) if t[2] == s), key=lambda i: hashlib.md5(str(i).encode()).hexdigest()):
+            taken = sum(max(0, min(size[i], int(target) - r * sizes[s] - start)) for r in range(3))
+            shares = [min(1, (start + size[i] / 2 + r * sizes[s]) / target) for r in range(int(taken / size[i] + 0.5))]
+            places[i] = [x if g == 0 else (math.sqrt((1 - g) ** 2 + 4 * g * x) - (1 - g)) / (2 * g) for x in shares]
+            start += size[i]
+    assert Counter(got) == {i: len(p) for i, p in places.items() if p}
+    assert max(map(len, places.values())) > 1 and min(map(len, places.values())) == 0
+    order = [places[i].pop(0) for i in got]
+    assert all(a <= b + 1e-9 for a, b in zip(order, order[1:]))
+
+    mixed = docs.withColumn("doc_id", F.expr("if(doc_id % 5 = 0, null, if(doc_id % 5 = 1, 1, doc_id))")).withColumn("n_chars", F.hash("text", F.rand(1)))
+    mixed = spark.createDataFrame(mixed.collect(), mixed.schema)
+    first, second = ([tuple(r) for r in STAGE["mixture"](spark, d, "").collect()] for d in (mixed.coalesce(1), mixed.repartition(7, F.rand(2))))
+    assert first == second and any(r[0] is None for r in first)
+
+
 def test_pack_stage_and_run(spark, tmp_path):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     docs.withColumn("kept", F.lit("x")).write.parquet(str(tmp_path / "documents.parquet"))
