@@ -2,65 +2,76 @@
 
 from __future__ import annotations
 
-import uuid
-
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from parkflow.functions.geometry import Box, boxes_close, similar_size, union_box_agg
+from parkflow.tables import dropped, written
 
 
-def written(df: DataFrame) -> DataFrame:
-    """Rows written to the folder that the cluster shares and read again, so that lineage ends."""
-    spark = df.sparkSession
-    where = spark.conf.get("spark.checkpoint.dir", None)
-    if not where:
-        context = spark.sparkContext._jsc.sc()
-        if context.getCheckpointDir().isEmpty():
-            if not spark.sparkContext.master.startswith("local"):
-                raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
-            import tempfile
+def connected_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """id and component (the least id reachable) for nodes(id) and edges(a, b); repeated nodes and edges count once.
 
-            spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-"))
-        where = context.getCheckpointDir().get()
-    path = f"{where}/parkflow-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    Large-star and small-star steps in turn (Kiveris et al., Connected Components in MapReduce and Beyond), each a join
+    and a grouped minimum on the edges, until every node has one edge, to its least. A round's table replaces that of
+    the round before.
+    """
+    links = written(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    before = None
+    while True:
+        both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
+        large = both.filter("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        least = large.groupBy("a").agg(F.min("b").alias("m"))
+        small = large.join(least, "a").filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        after = written(small.unionByName(least.select("a", F.col("m").alias("b"))).filter("a <> b").distinct())
+        dropped(links)
+        links = after
+        now = links.agg(F.count("*"), F.sum(F.hash("a", "b").cast("long")), F.countDistinct("a")).first()
+        if now == before and now[0] == now[2]:
+            break
+        before = now
+    root = links.groupBy(F.col("a").alias("id")).agg(F.min("b").alias("component"))
+    return nodes.select("id").distinct().join(root, "id", "left").select("id", F.coalesce("component", "id").alias("component"))
 
 
-def connected_components(nodes: DataFrame, edges: DataFrame, rounds: int = 60) -> DataFrame:
-    """id and component (the least id reachable) for nodes(id) and edges(a, b).
+def close_pairs(boxes: DataFrame, distance: int = 60, ratio: float = 2.5, compat: bool = False, cell: int = 256) -> DataFrame:
+    """image_id, a, b: pairs of boxes(image_id, idx, x, y, w, h) of one image that are close and similar in size.
 
-    Each round gives every node the least label among its neighbours and their labels' labels (a join and a grouped
-    minimum each), so paths shorten by doubling; it ends when no label changes.
+    Boxes meet in upright strips of the image, `cell` pixels wide: each enters those that it or its surroundings touch,
+    and a pair counts in the first strip that both are in.
     """
-    both = written(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).filter("a <> b").distinct())
-    labels = written(nodes.select("id", F.col("id").alias("label")))
-    for _ in range(rounds):
-        near = both.join(labels, F.col("b") == F.col("id")).groupBy("a").agg(F.min("label").alias("near"))
-        step = labels.join(near, F.col("id") == F.col("a"), "left").select("id", "label", F.least("label", F.coalesce("near", "label")).alias("new"))
-        jump = step.select(F.col("id").alias("j"), F.col("new").alias("jumped"))
-        after = written(step.join(jump, F.col("new") == F.col("j")).select("id", "label", F.least("new", "jumped").alias("new")))
-        changed = not after.filter("new <> label").isEmpty()
-        labels = after.select("id", F.col("new").alias("label"))
-        if not changed:
-            break
-    return labels.select("id", F.col("label").alias("component"))
+    strip = lambda x: F.floor(x / cell).cast("long")
+    dealt = boxes.withColumn("__first", strip(F.col("x"))).withColumn("__strip", F.explode(F.sequence("__first", F.greatest("__first", strip(F.col("x") + F.col("w") + distance)))))
+    a, b = dealt.alias("a"), dealt.alias("b")
+    p, q = (Box(*(F.col(f"{s}.{c}") for c in "xywh")) for s in "ab")
+    meet = (F.col("a.image_id") == F.col("b.image_id")) & (F.col("a.__strip") == F.col("b.__strip")) & (F.col("a.idx") < F.col("b.idx"))
+    once = F.col("a.__strip") == F.greatest("a.__first", "b.__first")
+    return a.join(b, meet & once & boxes_close(p, q, distance, compat) & similar_size(p, q, ratio)).select(F.col("a.image_id").alias("image_id"), F.col("a.idx").alias("a"), F.col("b.idx").alias("b"))
 
 
-def close_pairs(boxes: DataFrame, distance: int = 60, ratio: float = 2.5, compat: bool = False) -> DataFrame:
-    """image_id, a, b: pairs of boxes(image_id, idx, x, y, w, h) of one image that are close and similar in size."""
-    a, b = boxes.alias("a"), boxes.alias("b")
-    p, q = (Box(*(F.col(f"{s}.{c}") for c in "xywh")) for s in "ab")
-    near = (F.col("a.image_id") == F.col("b.image_id")) & (F.col("a.idx") < F.col("b.idx"))
-    return a.join(b, near & boxes_close(p, q, distance, compat) & similar_size(p, q, ratio)).select(F.col("a.image_id").alias("image_id"), F.col("a.idx").alias("a"), F.col("b.idx").alias("b"))
+def _components_of_image(pairs: pd.DataFrame) -> pd.DataFrame:
+    parent: dict[int, int] = {}
+
+    def root(i: int) -> int:
+        while parent.setdefault(i, i) != i:
+            parent[i] = i = parent[parent[i]]
+        return i
+
+    for a, b in zip(pairs["a"].tolist(), pairs["b"].tolist()):
+        low, high = sorted((root(a), root(b)))
+        parent[high] = low
+    return pd.DataFrame({"idx": list(parent), "cluster": [root(i) for i in parent]})
 
 
 def box_clusters(boxes: DataFrame, distance: int = 60, ratio: float = 2.5) -> DataFrame:
-    """boxes with cluster: the least idx that close pairs lead to. idx must be unique over all images."""
-    pairs = close_pairs(boxes, distance, ratio)
-    found = connected_components(boxes.select(F.col("idx").alias("id")), pairs).withColumnsRenamed({"id": "idx", "component": "cluster"})
-    return boxes.join(found, "idx")
+    """boxes with cluster: the least idx that close pairs lead to. idx must be unique over all images.
+
+    No pair leaves its image, so the pairs of each image are joined apart; what one image shows bounds a group.
+    """
+    found = close_pairs(boxes, distance, ratio).groupBy("image_id").applyInPandas(_components_of_image, "idx long, cluster long")
+    return boxes.join(found, "idx", "left").withColumn("cluster", F.coalesce("cluster", "idx"))
 
 
 def cluster_boxes(clustered: DataFrame) -> DataFrame:

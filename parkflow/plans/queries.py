@@ -720,10 +720,10 @@ def e_occupancy_stats(spark, sf_dir):
 
 
 def _image_boxes(spark, sf_dir) -> DataFrame:
-    return view(spark, sf_dir, "instance").select("image_id", (F.col("image_id") * 1000 + F.col("entity_id")).alias("idx"), F.col("type_id").alias("class_id"), "x", "y", F.col("width").alias("w"), F.col("height").alias("h"), "entity_id")
+    return view(spark, sf_dir, "instance").select("image_id", (F.col("image_id") * 1_000_000_000 + F.col("entity_id")).alias("idx"), F.col("type_id").alias("class_id"), "x", "y", F.col("width").alias("w"), F.col("height").alias("h"), "entity_id")
 
 
-IB = """ib as (select image_id, image_id*1000+entity_id as idx, type_id as class_id, x, y, width as w, height as h, entity_id from instance)"""
+IB = """ib as (select image_id, image_id*1000000000+entity_id as idx, type_id as class_id, x, y, width as w, height as h, entity_id from instance)"""
 CLOSE = """a.image_id=b.image_id and a.x<=b.x+b.w+60 and b.x<=a.x+a.w+60 and a.y<=b.y+b.h+60 and b.y<=a.y+a.h+60 and greatest(a.w*a.h,b.w*b.h)<=2.5*least(a.w*a.h,b.w*b.h)"""
 
 

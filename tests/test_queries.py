@@ -1,6 +1,7 @@
 """Every registered query of the detection analytics against its SQL, and rules that SQL can't state."""
 
 import math
+import random
 from pathlib import Path
 
 import duckdb
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 from parkflow.functions import clock, geometry, labels, vectors
 from parkflow.functions.geometry import Box
 from parkflow.operators import filters, graph, plates, scoring, speed, tracking
-from parkflow.plans.queries import ORACLE_SQL, QUERIES
+from parkflow.plans.queries import ORACLE_SQL, QUERIES, _image_boxes
 
 DATA = "/root/testdata/sf0.001"
 
@@ -169,10 +170,34 @@ def test_whole_tables_hold_what_subsets_leave_out(spark):
 
 
 def test_components_of_a_long_path(spark):
-    nodes, edges = spark.range(40).withColumnRenamed("id", "id"), spark.range(39).selectExpr("id as a", "id + 1 as b")
+    nodes, edges = spark.range(300), spark.range(299).selectExpr("id as a", "id + 1 as b")
     assert {r.component for r in graph.connected_components(nodes, edges).collect()} == {0}
 
 
+def test_components_count_repeated_nodes_once(spark):
+    nodes, edges = spark.range(6).unionAll(spark.range(3)), spark.createDataFrame([(1, 0), (0, 1), (1, 2), (2, 3), (2, 3), (4, 4)], "a long, b long")
+    assert sorted(tuple(r) for r in graph.connected_components(nodes, edges).collect()) == [(0, 0), (1, 0), (2, 0), (3, 0), (4, 4), (5, 5)]
+    assert graph.connected_components(nodes.limit(0), edges.limit(0)).collect() == []
+
+
+def test_close_pairs_meet_in_strips(spark):
+    rng = random.Random(4)
+    boxes = [(i % 3, i, rng.randint(-300, 900), rng.randint(0, 400), rng.choice([10, 40, 700]), rng.choice([10, 40, 90])) for i in range(120)]
+    df = spark.createDataFrame(boxes, "image_id long, idx long, x long, y long, w long, h long")
+    near = lambda p, q, d: p[2] <= q[2] + q[4] + d and q[2] <= p[2] + p[4] + d and p[3] <= q[3] + q[5] + d and q[3] <= p[3] + p[5] + d
+    alike = lambda p, q: max(p[4] * p[5], q[4] * q[5]) <= 2.5 * min(p[4] * p[5], q[4] * q[5])
+    want = sorted((p[0], p[1], q[1]) for p in boxes for q in boxes if p[0] == q[0] and p[1] < q[1] and near(p, q, 60) and alike(p, q))
+    assert sorted(tuple(r) for r in graph.close_pairs(df).collect()) == want and want
+    edges = spark.createDataFrame([w[1:] for w in want], "a long, b long")
+    clusters = {r.idx: r.cluster for r in graph.box_clusters(df).collect()}
+    assert clusters == {r.id: r.component for r in graph.connected_components(df.selectExpr("idx as id"), edges).collect()}
+
+
+def test_box_ids_are_unique(spark):
+    ids = _image_boxes(spark, "/root/testdata/sf0.1").select("idx")
+    assert ids.count() == ids.distinct().count()
+
+
 def test_scalars(spark):
     one = spark.range(1)
     get = lambda c: one.select(c.alias("v")).first().v
