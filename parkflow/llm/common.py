@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from parkflow.tables import dropped, shared_folder, written as saved
+
+__all__ = ["dropped", "heavy_join", "saved", "shared_folder", "table", "task"]
 ROOT = str(Path(__file__).resolve().parents[2])
 
 
@@ -36,23 +39,12 @@ def task(module: str, name: str, **args) -> Callable:
     return run
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that all machines of the cluster share (spark.checkpoint.dir); a local one only where none is set."""
-    if where := spark.conf.get("spark.checkpoint.dir", None):
-        return where
-    context = spark.sparkContext._jsc.sc()
-    if context.getCheckpointDir().isEmpty():
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
-        import tempfile
-
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-"))
-    return context.getCheckpointDir().get()
-
-
-def saved(df: DataFrame) -> DataFrame:
-    """The rows written as a table in the shared folder and read again: lineage ends here, and a lost executor costs
-    no recomputation."""
-    path = f"{shared_folder(df.sparkSession)}/parkflow-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+def heavy_join(big: DataFrame, small: DataFrame, on: list[str], meets: str, each: int = 5000) -> DataFrame:
+    """big joined with small on keys that are unique in small and never null. Column `meets` of small (dropped) says how
+    many rows of big a key meets: a row of small that meets more than `each` is repeated, and the rows of big are dealt
+    among its copies by hash, so no task gets all of a heavy key."""
+    parts = F.ceil(F.col(meets) / each).cast("int")
+    heavy = small.filter(F.col(meets) > each).select(*on, parts.alias("__parts"))
+    dealt = big.join(heavy, on, "left").withColumn("__part", F.coalesce(F.pmod(F.xxhash64(*big.columns), F.col("__parts")).cast("int"), F.lit(0))).drop("__parts")
+    copies = small.withColumn("__part", F.explode(F.sequence(F.lit(0), F.greatest(parts, F.lit(1)) - 1))).drop(meets)
+    return dealt.join(copies, [*on, "__part"]).drop("__part")

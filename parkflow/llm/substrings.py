@@ -1,28 +1,27 @@
 """Repeated byte strings across and within documents, by common-prefix interval trees over sampled suffixes.
 
-Suffixes are sampled where the hash of 32 bytes is the least in some window, so that any string of `least` bytes holds
-a sampled place that depends on its bytes only: two occurrences of it share one. The suffixes of places with the same
-32 bytes are sorted, the array of their common prefixes is scanned with a stack, and each interval of it is a repeated
-string to the right of the place. Left of it, the reversed prefixes of the interval's members are compared the same
-way: where they go on alike they belong to one repeat, where they differ a maximal repeat ends. Each repeat comes with
-all its occurrences. No more than `least` bytes on either side are looked at, since longer repeats hold further places.
+Suffixes are sampled where the hash of 32 bytes is the least in some window, so that any string of `shortest` bytes
+holds a sampled place that depends on its bytes only: two occurrences of it share one. The suffixes of places with the
+same 32 bytes are sorted, the array of their common prefixes is scanned with a stack, and each interval of it is a
+repeated string to the right of the place. Left of it, the reversed prefixes of the interval's members are kept in
+order: where neighbours go on alike they belong to one repeat, where they differ a maximal repeat ends. No more than
+`least` bytes on either side are looked at, since longer repeats hold further places.
 """
 
 from __future__ import annotations
 
 import hashlib
+from bisect import bisect_left
 from collections.abc import Iterator
-from itertools import groupby
-from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from parkflow.llm.common import saved, task
+from parkflow.llm.common import dropped, heavy_join, saved, task
 
-GRAM, LARGE = 32, 100
+GRAM = 32
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 
 
@@ -59,7 +58,7 @@ def places(data: bytes, least: int) -> tuple[np.ndarray, np.ndarray]:
     return at, h[at]
 
 
-def place_batches(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
+def place_batches(batches: Iterator[pa.RecordBatch], least: int, shortest: int) -> Iterator[pa.RecordBatch]:
     """k1, k2 (the document), pos, key (hash at the place) and context (hash of all that is looked at around it)."""
     from xxhash import xxh3_64_intdigest
 
@@ -69,7 +68,7 @@ def place_batches(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.
             counts, positions, keys, contexts = [], [], [], []
             for text in batch.column("text"):
                 data = (text.as_py() or "").encode()
-                pos, key = places(data, least)
+                pos, key = places(data, shortest)
                 counts.append(len(pos))
                 positions.append(pos)
                 keys.append(key)
@@ -78,21 +77,30 @@ def place_batches(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.
             yield pa.RecordBatch.from_arrays([batch.column("k1").take(row), batch.column("k2").take(row), pa.array(np.concatenate(positions), pa.int32()), pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.array(contexts, np.uint64).view(np.int64))], ["k1", "k2", "pos", "key", "context"])
 
 
+AROUND = "key long, single boolean, shared boolean, k1 long, k2 int, pos int, left binary, n_left int, right binary, n_right int"
+
+
+def _padded(n: int) -> int:
+    return -(-n // 8) * 8
+
+
 def context_batches(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
-    """What stands left (reversed) and right of the places asked for."""
-    names = ["key", "single", "many", "k1", "k2", "pos"]
+    """What stands left (reversed) and right of the places asked for, filled up to one width, and how much it is."""
+    wide_l, wide_r = _padded(least - GRAM), _padded(least)
+    names = [x.split()[0] for x in AROUND.split(", ")]
+    kinds = (pa.int64(), pa.bool_(), pa.bool_(), pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.int32(), pa.binary(), pa.int32())
     for whole in batches:
         for at in range(0, whole.num_rows, 128):
-            rows, left, right = [], [], []
+            columns: list[list] = [[] for _ in names]
             for r in whole.slice(at, 128).to_pylist():
                 data = (r["text"] or "").encode()
                 for p in r["asked"]:
-                    rows.append((p["key"], p["single"], p["many"], r["k1"], r["k2"], p["pos"]))
-                    left.append(data[max(0, p["pos"] - least + GRAM) : p["pos"]][::-1])
-                    right.append(data[p["pos"] : p["pos"] + least])
-            columns = list(zip(*rows)) if rows else [()] * 6
-            kinds = (pa.int64(), pa.bool_(), pa.bool_(), pa.int64(), pa.int32(), pa.int32())
-            yield pa.RecordBatch.from_arrays([*[pa.array(c, t) for c, t in zip(columns, kinds)], pa.array(left, pa.binary()), pa.array(right, pa.binary())], [*names, "left", "right"])
+                    pos = p["pos"]
+                    left, right = data[max(0, pos - least + GRAM) : pos][::-1], data[pos : pos + least]
+                    row = (p["key"], p["single"], p["shared"], r["k1"], r["k2"], pos, left.ljust(wide_l, b"\0"), len(left), right.ljust(wide_r, b"\0"), len(right))
+                    for column, value in zip(columns, row):
+                        column.append(value)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], names)
 
 
 def common_prefix(a: bytes, b: bytes) -> int:
@@ -145,125 +153,202 @@ def maximal_repeats(left: list[bytes], right: list[bytes], least: int) -> Iterat
                 run = k + 1
 
 
-def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple]]:
-    """Rows that share a key (the first column), from batches sorted by it."""
-    own: list[tuple] = []
-    for batch in batches:
-        for key, rows in groupby(zip(*(c.to_pylist() for c in batch.columns)), key=itemgetter(0)):
-            if own and own[0][0] != key:
-                yield own
-                own = []
-            own.extend(rows)
-    if own:
-        yield own
-
-
-def _classes(order: list[int], lcp: np.ndarray, length: int) -> np.ndarray:
-    """The interval that each member is in where the tree of common prefixes is cut at a length."""
-    out = np.empty(len(order), np.int64)
-    out[order] = np.concatenate([[0], np.cumsum(lcp < length)])
+def _matrix(column: pa.Array) -> np.ndarray:
+    """Binary values of one width as rows of 8-byte words."""
+    offsets = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1]
+    return np.frombuffer(column.buffers()[2], np.uint8)[offsets[0] : offsets[-1]].reshape(len(column), -1).view("<u8")
+
+
+def _common(x: np.ndarray, n: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Common prefixes of rows a and b of a matrix, whose values are n bytes long."""
+    out = np.empty(len(a), np.int64)
+    for at in range(0, len(a), 8192):
+        i, j = a[at : at + 8192], b[at : at + 8192]
+        differ = x[i] ^ x[j]
+        word = (differ != 0).argmax(axis=1)
+        bits = differ[np.arange(len(i)), word]
+        with np.errstate(over="ignore"):
+            byte = np.log2((bits & (~bits + np.uint64(1))).astype(np.float64), out=np.zeros(len(i)), where=bits > 0).astype(np.int64) // 8
+        out[at : at + 8192] = np.minimum(np.where(bits > 0, 8 * word + byte, 8 * x.shape[1]), np.minimum(n[i], n[j]))
     return out
 
 
-def _reaches_by_level(left: list[bytes], right: list[bytes], least: int) -> dict[int, tuple[int, int]]:
-    """The same as the tree gives, for large groups: both trees are cut at every pair of lengths that adds up to
-    `least`; members in one interval of both share such a string."""
-    n = len(left)
-    by_left, by_right = sorted(range(n), key=left.__getitem__), sorted(range(n), key=right.__getitem__)
-    lcp_left, lcp_right = (np.array([common_prefix(x[a], x[b]) for a, b in zip(o, o[1:])]) for x, o in ((left, by_left), (right, by_right)))
-    low, high = np.full(n, least + 1), np.full(n, -1)
-    for d in range(0, least + 1):
-        if not ((lcp_left >= least - d).any() and (lcp_right >= d).any()):
+class _Reaches:
+    """How far the repeats of each of n places reach to the left and to the right, for each of some least lengths."""
+
+    def __init__(self, n: int, lengths: tuple[int, ...]):
+        self.lengths = lengths
+        self.left, self.right = np.full((len(lengths), n), -1, np.int32), np.full((len(lengths), n), -1, np.int32)
+
+    def met(self, i, j, left, right) -> None:
+        """Places i and j (numbers or arrays without repeats) share `left` bytes before and `right` bytes from the place."""
+        for k, least in enumerate(self.lengths):
+            ok = left + right >= least
+            for p in (i, j):
+                self.left[k, p] = np.where(ok, np.maximum(self.left[k, p], left), self.left[k, p])
+                self.right[k, p] = np.where(ok, np.maximum(self.right[k, p], right), self.right[k, p])
+
+
+def _absorb(into: list[int], new: list[int], depth: int, lcp_left, met) -> None:
+    """Add the members of one child of an interval, by their place in the order of what stands left of them, to those of
+    another. Only neighbours in that order need to be compared: anything farther shares less, or met deeper down."""
+    for x in new:
+        k = bisect_left(into, x)
+        if k:
+            met(into[k - 1], x, lcp_left(into[k - 1], x), depth)
+        if k < len(into):
+            met(x, into[k], lcp_left(x, into[k]), depth)
+        into.insert(k, x)
+
+
+def tree_reaches(left: list[bytes], right: list[bytes], lengths: tuple[int, ...]) -> list[dict[int, tuple[int, int]]]:
+    """For each least length, the farthest that any repeat of each member reaches to the left and to the right.
+
+    The stack holds the open intervals with their members in the order of what stands left; when an interval closes,
+    its members go to the one around it, the fewer into the more. Where neighbours share enough on both sides, a repeat
+    passes through both.
+    """
+    n = len(right)
+    by_right, by_left = sorted(range(n), key=right.__getitem__), sorted(range(n), key=left.__getitem__)
+    rank = [0] * n
+    for k, i in enumerate(by_left):
+        rank[i] = k
+    found: list[dict[int, tuple[int, int]]] = [{} for _ in lengths]
+
+    def met(x: int, y: int, a: int, b: int) -> None:
+        for reach, least in zip(found, lengths):
+            if a + b >= least:
+                for p in (by_left[x], by_left[y]):
+                    old = reach.get(p)
+                    reach[p] = (a, b) if old is None else (max(a, old[0]), max(b, old[1]))
+
+    lcp_left = lambda x, y: common_prefix(left[by_left[x]], left[by_left[y]])
+    shared = [common_prefix(right[a], right[b]) for a, b in zip(by_right, by_right[1:])]
+    stack: list[tuple[int, list[int]]] = []
+    for i, value in enumerate([*shared, -1]):
+        open_ = [rank[by_right[i]]]
+        while stack and stack[-1][0] > value:
+            depth, members = stack.pop()
+            more, fewer = (members, open_) if len(members) >= len(open_) else (open_, members)
+            _absorb(more, fewer, depth, lcp_left, met)
+            open_ = more
+        if stack and stack[-1][0] == value:
+            depth, members = stack.pop()
+            more, fewer = (members, open_) if len(members) >= len(open_) else (open_, members)
+            _absorb(more, fewer, depth, lcp_left, met)
+            open_ = more
+        if value >= 0:
+            stack.append((value, open_))
+    return found
+
+
+def _whole_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows, batched so that no key (batches are sorted by it) is divided."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
             continue
-        key = _classes(by_left, lcp_left, least - d) * n + _classes(by_right, lcp_right, d)
-        order = np.argsort(key, kind="stable")
-        same = key[order[1:]] == key[order[:-1]]
-        hit = np.zeros(n, bool)
-        hit[order[1:][same]] = hit[order[:-1][same]] = True
-        low[hit] = np.minimum(low[hit], d)
-        high[hit] = d
-    return {int(i): (least - int(low[i]), int(high[i])) for i in np.flatnonzero(high >= 0)}
-
-
-def _reaches(left: list[bytes], right: list[bytes], least: int) -> dict[int, tuple[int, int]]:
-    """The farthest that any repeat of each member reaches to the left and to the right."""
-    if len(left) == 2:  # one interval, one pair
-        a, b = common_prefix(*left), common_prefix(*right)
-        return {0: (a, b), 1: (a, b)} if a + b >= least else {}
-    if len(left) > LARGE:
-        return _reaches_by_level(left, right, least)
-    reach: dict[int, tuple[int, int]] = {}
-    for length, members, near in maximal_repeats(left, right, least):
-        for i, n in zip(members, near):
-            a, b = reach.get(i, (0, 0))
-            reach[i] = max(a, n), max(b, length)
-    return reach
-
-
-def repeat_batches(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
-    """How far each place's repeats reach: k1, k2, pos, to_left, to_right."""
-    out: list[tuple] = []
-
-    def table() -> pa.RecordBatch:
-        columns = list(zip(*out)) if out else [()] * 5
-        kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32())
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], ["k1", "k2", "pos", "to_left", "to_right"])
-
-    for rows in _groups(batches):
-        _, single, k1, k2, pos, left, right = zip(*rows)
-        out += [(k1[i], k2[i], pos[i], a, b) for i, (a, b) in _reaches(left, right, least).items() if single[i]]
-        if len(out) > 20_000:
-            yield table()
-            out.clear()
-    yield table()
-
-
-def window_batches(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
-    """Every string of `least` bytes around each place, as two hashes: for places that too many documents share."""
+        keys = batch.column("key").to_numpy()
+        if held and held[-1].column("key")[0].as_py() != keys[0]:
+            yield pa.concat_batches(held)
+            held = []
+        cut = int(np.searchsorted(keys, keys[-1], "left"))
+        if cut:
+            yield pa.concat_batches([*held, batch.slice(0, cut)])
+            held = []
+        held.append(batch.slice(cut))
+    if held:
+        yield pa.concat_batches(held)
+
+
+def repeat_batches(batches: Iterator[pa.RecordBatch], least: int, shortest: int) -> Iterator[pa.RecordBatch]:
+    """How far each place's repeats reach, those of `least` bytes (to_) and those of `shortest` (near_); -1 for none."""
+    lengths = (least, shortest)
+    for batch in _whole_groups(batches):
+        keys = batch.column("key").to_numpy()
+        first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+        size = np.diff(np.concatenate([first, [len(keys)]]))
+        reach = _Reaches(len(keys), lengths)
+        pair = first[size == 2]  # one interval with two members
+        left, right = _matrix(batch.column("left")), _matrix(batch.column("right"))
+        n_left, n_right = (batch.column(x).to_numpy() for x in ("n_left", "n_right"))
+        reach.met(pair, pair + 1, _common(left, n_left, pair, pair + 1), _common(right, n_right, pair, pair + 1))
+        for at, n in zip(first[size > 2].tolist(), size[size > 2].tolist()):
+            own = [[x[:k] for x, k in zip(batch.column(c).slice(at, n).to_pylist(), batch.column(f"n_{c}").slice(at, n).to_pylist())] for c in ("left", "right")]
+            for k, found in enumerate(tree_reaches(*own, lengths)):
+                for i, (a, b) in found.items():
+                    reach.left[k, at + i], reach.right[k, at + i] = a, b
+        hit = np.flatnonzero((reach.right[1] >= 0) & batch.column("single").to_numpy(zero_copy_only=False))
+        near = batch.column("shared").to_numpy(zero_copy_only=False)[hit]
+        place = [batch.column(c).take(pa.array(hit)) for c in ("k1", "k2", "pos")]
+        reached = [reach.left[0, hit], reach.right[0, hit], np.where(near, reach.left[1, hit], -1), np.where(near, reach.right[1, hit], -1)]
+        yield pa.RecordBatch.from_arrays([*place, *[pa.array(x, pa.int32()) for x in reached]], ["k1", "k2", "pos", "to_left", "to_right", "near_left", "near_right"])
+
+
+def window_batches(batches: Iterator[pa.RecordBatch], lengths: tuple[int, ...]) -> Iterator[pa.RecordBatch]:
+    """Every string of some lengths around each place, as two hashes: for places that too many documents share."""
     from xxhash import xxh3_128_digest
 
+    names = ["size", "w1", "w2", "k1", "k2", "pos", "to_left", "single", "shared"]
+    kinds = (pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.bool_(), pa.bool_())
     for whole in batches:
         for at in range(0, whole.num_rows, 64):
             out = []
             for r in whole.slice(at, 64).to_pylist():
-                data, n = r["left"][::-1] + r["right"], len(r["left"])
-                for start in range(len(data) - least + 1):
-                    h = xxh3_128_digest(data[start : start + least])
-                    out.append((int.from_bytes(h[:8], "little", signed=True), int.from_bytes(h[8:], "little", signed=True), r["k1"], r["k2"], r["pos"], n - start, r["single"]))
-            columns = list(zip(*out)) if out else [()] * 7
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.bool_())
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], ["w1", "w2", "k1", "k2", "pos", "to_left", "single"])
+                n = r["n_left"]
+                data = r["left"][:n][::-1] + r["right"][: r["n_right"]]
+                for size in lengths:
+                    for start in range(max(0, n + GRAM - size), min(n, len(data) - size) + 1):
+                        h = xxh3_128_digest(data[start : start + size])
+                        out.append((size, int.from_bytes(h[:8], "little", signed=True), int.from_bytes(h[8:], "little", signed=True), r["k1"], r["k2"], r["pos"], n - start, r["single"], r["shared"]))
+            columns = list(zip(*out)) if out else [()] * len(names)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], names)
+
+
+def _runs(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """The union of spans as maximal runs."""
+    out: list[tuple[int, int]] = []
+    for a, b in sorted(spans):
+        if out and a <= out[-1][1]:
+            out[-1] = out[-1][0], max(b, out[-1][1])
+        else:
+            out.append((a, b))
+    return out
+
 
+def _words_in(data: bytes, a: int, b: int) -> int:
+    """Words that stand whole in data[a:b]."""
+    n = len(data[a:b].split())
+    cut = lambda i: 0 < i < len(data) and not data[i - 1 : i].isspace() and not data[i : i + 1].isspace()
+    return n - cut(a) - cut(b)
 
-def cut_batches(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
-    """Remove the spans from each text: doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept."""
+
+def cut_batches(batches: Iterator[pa.RecordBatch], least: int, shortest: int, words: int) -> Iterator[pa.RecordBatch]:
+    """Remove the spans from each text: doc_id, n_bytes, n_removed, n_spans, kept_sha256, n_passages, passage_bytes, kept."""
+    names = ["n_bytes", "n_removed", "n_spans", "kept_sha256", "n_passages", "passage_bytes", "kept"]
+    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.binary())
     for whole in batches:
         for at in range(0, whole.num_rows, 256):
             batch = whole.slice(at, 256)
-            rows: list[list] = [[], [], [], [], []]
+            rows: list[list] = [[] for _ in names]
             for text, spans in zip(batch.column("text"), batch.column("spans")):
-                data = (text.as_py() or "").encode()
-                kept, last, removed, n = [], 0, 0, 0
-                own = sorted((max(0, s["pos"] - s["to_left"]), min(len(data), s["pos"] + s["to_right"])) for s in spans.as_py() or ())
-                for a, b in own:
-                    if n and a <= last:
-                        removed += max(0, b - last)
-                        last = max(last, b)
-                    else:
-                        kept.append(data[last:a])
-                        removed += b - a
-                        last = b
-                        n += 1
-                kept.append(data[last:])
-                rest = b"".join(kept)
-                for column, value in zip(rows, (len(data), removed, n, hashlib.sha256(rest).hexdigest(), rest)):
+                data, spans = (text.as_py() or "").encode(), spans.as_py() or ()
+                clipped = lambda name, size: [(a, b) for s in spans if s[f"{name}_right"] >= 0 and (b := min(len(data), s["pos"] + s[f"{name}_right"])) - (a := max(0, s["pos"] - s[f"{name}_left"])) >= size]  # noqa: B023, E731
+                gone = _runs(clipped("to", least))
+                kept = b"".join(data[a:b] for a, b in zip([0, *[b for _, b in gone]], [*[a for a, _ in gone], len(data)]))
+                passages = [(a, b) for a, b in _runs(clipped("near", shortest)) if _words_in(data, a, b) >= words]
+                for column, value in zip(rows, (len(data), len(data) - len(kept), len(gone), hashlib.sha256(kept).hexdigest(), len(passages), sum(b - a for a, b in passages), kept)):
                     column.append(value)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *[pa.array(c, t) for c, t in zip(rows, (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary()))]], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *[pa.array(c, t) for c, t in zip(rows, kinds)]], ["doc_id", *names])
+
 
+def remove_repeats(docs: DataFrame, least: int = 400, shortest: int = 256, words: int = 51, group_rows: int = 50_000) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256, n_passages, passage_bytes and kept (the bytes left) for every
+    row of docs(doc_id, text): each byte covered by a string of `least` bytes that also starts anywhere else is removed.
 
-def remove_repeats(docs: DataFrame, least: int = 400, group_rows: int = 50_000) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and kept (the bytes left) for every row of docs(doc_id, text):
-    each byte covered by a string of `least` bytes that also starts anywhere else is removed.
+    n_passages counts the runs covered by strings of `shortest` bytes that also start elsewhere which hold at least
+    `words` whole words, and passage_bytes what they cover; they are reported, not removed. Strings count for them where
+    the 32 bytes at a sampled place of theirs are also in another document.
 
     Strings are those of the input; a null text is an empty one. Repeated rows are documents each, so they remove one
     another; other columns are ignored.
@@ -272,23 +357,36 @@ def remove_repeats(docs: DataFrame, least: int = 400, group_rows: int = 50_000)
     a key with more than `group_rows` different surroundings isn't compared in one task: the strings around its places
     are counted instead, which finds the same.
     """
+    shortest = min(shortest, least)
     texts = docs.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("k1"), F.hash("text", "doc_id").alias("k2"))
-    run = lambda name: task("parkflow.llm.substrings", name, least=least)
-    every = saved(texts.select("k1", "k2", "text").mapInArrow(run("place_batches"), "k1 long, k2 int, pos int, key long, context long"))
-    twice = every.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key")
-    found = saved(every.join(twice, "key"))
-    kinds = found.groupBy("key", "context").agg(F.count("*").alias("n"), F.min(F.struct("k1", "k2", "pos")).alias("first"))
-    groups = kinds.groupBy("key").agg(F.count("*").alias("kinds"), F.count_if(F.col("n") == 1).alias("singles")).filter("kinds > 1 and singles > 0")
-    asked = kinds.join(groups, "key").select("key", (F.col("n") == 1).alias("single"), (F.col("kinds") > group_rows).alias("many"), "first.*")
-    asked = asked.groupBy("k1", "k2").agg(F.collect_list(F.struct("key", "single", "many", "pos")).alias("asked"))
-    around = saved(texts.select("k1", "k2", "text").join(asked, ["k1", "k2"]).mapInArrow(run("context_batches"), "key long, single boolean, many boolean, k1 long, k2 int, pos int, left binary, right binary"))
-    reach = "k1 long, k2 int, pos int, to_left int, to_right int"
-    compared = around.filter("not many").select("key", "single", "k1", "k2", "pos", "left", "right").repartition("key").sortWithinPartitions("key").mapInArrow(run("repeat_batches"), reach)
-    windows = around.filter("many").mapInArrow(run("window_batches"), "w1 long, w2 long, k1 long, k2 int, pos int, to_left int, single boolean")
-    occurrence = F.struct("k1", "k2", F.col("pos") - F.col("to_left"))  # places of one document may see the same string
-    repeated = windows.groupBy("w1", "w2").agg(F.min(occurrence).alias("first"), F.max(occurrence).alias("last"), F.bool_and("single").alias("single")).filter("first <> last or not single").select("w1", "w2")
-    counted = windows.filter("single").join(repeated, ["w1", "w2"]).groupBy("k1", "k2", "pos").agg(F.max("to_left").alias("to_left"), (least - F.min("to_left")).alias("to_right"))
-    whole = found.join(kinds.filter("n > 1").select("key", "context"), ["key", "context"]).select("k1", "k2", "pos", F.lit(least - GRAM).alias("to_left"), F.lit(least).alias("to_right"))
-    spans = whole.unionByName(compared).unionByName(counted).groupBy("k1", "k2").agg(F.collect_set(F.struct("pos", "to_left", "to_right")).alias("spans"))
+    run = lambda name, **args: task("parkflow.llm.substrings", name, **args)
+    every = saved(texts.select("k1", "k2", "text").mapInArrow(run("place_batches", least=least, shortest=shortest), "k1 long, k2 int, pos int, key long, context long"))
+    twice = saved(every.groupBy("key").agg(F.count("*").alias("n"), (F.min("k1") != F.max("k1")).alias("shared")).filter("n > 1"))
+    found = saved(heavy_join(every, twice, ["key"], "n"))
+    dropped(every)
+    kinds = saved(found.groupBy("key", "context").agg(F.count("*").alias("n"), F.first("shared").alias("shared"), F.min(F.struct("k1", "k2", "pos")).alias("first")))
+    groups = saved(kinds.groupBy("key").agg(F.count("*").alias("kinds"), F.count_if(F.col("n") == 1).alias("singles")).filter("kinds > 1 and singles > 0").withColumn("many", F.col("kinds") > group_rows))
+
+    def around(which: DataFrame) -> DataFrame:
+        asked = heavy_join(kinds, which.select("key", "kinds"), ["key"], "kinds").select("key", (F.col("n") == 1).alias("single"), "shared", "first.*")
+        asked = asked.groupBy("k1", "k2").agg(F.collect_list(F.struct("key", "single", "shared", "pos")).alias("asked"))
+        return texts.select("k1", "k2", "text").join(asked, ["k1", "k2"]).mapInArrow(run("context_batches", least=least), AROUND)
+
+    reach = "k1 long, k2 int, pos int, to_left int, to_right int, near_left int, near_right int"
+    spans = around(groups.filter("not many")).repartition("key").sortWithinPartitions("key").mapInArrow(run("repeat_batches", least=least, shortest=shortest), reach)
+    whole = heavy_join(found, kinds.filter("n > 1").select("key", "context", "n"), ["key", "context"], "n")
+    near = lambda x: F.when(F.col("shared"), x).otherwise(-1)
+    spans = spans.unionByName(whole.select("k1", "k2", "pos", F.lit(least - GRAM).alias("to_left"), F.lit(least).alias("to_right"), near(least - GRAM).alias("near_left"), near(least).alias("near_right")))
+    if not groups.filter("many").isEmpty():
+        windows = around(groups.filter("many")).mapInArrow(run("window_batches", lengths=tuple({least, shortest})), "size int, w1 long, w2 long, k1 long, k2 int, pos int, to_left int, single boolean, shared boolean")
+        occurrence = F.struct("k1", "k2", F.col("pos") - F.col("to_left"))  # places of one document may see the same string
+        met = windows.groupBy("size", "w1", "w2").agg(F.count("*").alias("n"), F.min(occurrence).alias("first"), F.max(occurrence).alias("last"), F.bool_and("single").alias("single"))
+        met = saved(met.filter("first <> last or not single").select("size", "w1", "w2", "n"))
+        own = heavy_join(windows.filter("single"), met, ["size", "w1", "w2"], "n")
+        of = lambda size, value: F.coalesce(F.max(F.when(F.col("size") == size, value)), F.lit(-1))
+        left, right = F.col("to_left"), F.col("size") - F.col("to_left")
+        counted = own.groupBy("k1", "k2", "pos", "shared").agg(of(least, left).alias("to_left"), of(least, right).alias("to_right"), of(shortest, left).alias("near_left"), of(shortest, right).alias("near_right"))
+        spans = spans.unionByName(counted.select("k1", "k2", "pos", "to_left", "to_right", near(F.col("near_left")).alias("near_left"), near(F.col("near_right")).alias("near_right")))
+    spans = spans.groupBy("k1", "k2").agg(F.collect_set(F.struct("pos", "to_left", "to_right", "near_left", "near_right")).alias("spans"))
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return texts.join(spans, ["k1", "k2"], "left").select("doc_id", "text", "spans").mapInArrow(run("cut_batches"), f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
+    return texts.join(spans, ["k1", "k2"], "left").select("doc_id", "text", "spans").mapInArrow(run("cut_batches", least=least, shortest=shortest, words=words), f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, n_passages long, passage_bytes long, kept binary")

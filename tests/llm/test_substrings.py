@@ -3,6 +3,7 @@
 import hashlib
 import os
 import random
+import re
 from collections import Counter
 
 import pytest
@@ -72,7 +73,7 @@ def test_intervals_are_the_tree():
     assert sorted(substrings.intervals(lcp)) == sorted([(0, 0, 6), (3, 0, 3), (4, 2, 3), (3, 4, 5)])
 
 
-def test_levels_give_what_the_tree_gives():
+def test_tree_gives_what_all_pairs_give():
     rng = random.Random(8)
     base = "".join(rng.choice("abcd") for _ in range(200))
     left, right = [], []
@@ -82,10 +83,47 @@ def test_levels_give_what_the_tree_gives():
             t[rng.randrange(200)] = rng.choice("xyz")
         left.append("".join(t[:90][::-1][: rng.randint(60, 90)]).encode())
         right.append("".join(t[90:][: rng.randint(70, 110)]).encode())
-    tree: dict[int, tuple[int, int]] = {}
-    for length, members, near in substrings.maximal_repeats(left, right, 100):
-        for i, n in zip(members, near):
-            a, b = tree.get(i, (0, 0))
-            tree[i] = max(a, n), max(b, length)
-    level = substrings._reaches_by_level(left, right, 100)
-    assert level.keys() == tree.keys() and all((min(a, 100), min(b, 100)) == level[i] for i, (a, b) in tree.items())
+    lengths = (100, 60)
+    want: list[dict] = [{}, {}]
+    for i in range(len(left)):
+        for j in range(len(left)):
+            a, b = (len(os.path.commonprefix([x[i], x[j]])) for x in (left, right))
+            for reach, least in zip(want, lengths):
+                if i != j and a + b >= least:
+                    reach[i] = max(a, reach.get(i, (0, 0))[0]), max(b, reach.get(i, (0, 0))[1])
+    assert substrings.tree_reaches(left, right, lengths) == want
+
+
+def plain_passages(texts, shortest, words):
+    """Runs of bytes in strings that also start elsewhere, with so many whole words."""
+    data = [(t or "").encode() for t in texts]
+    seen = Counter(d[i : i + shortest] for d in data for i in range(len(d) - shortest + 1))
+    out = []
+    for d in data:
+        inside = bytearray(len(d))
+        for i in range(len(d) - shortest + 1):
+            if seen[d[i : i + shortest]] > 1:
+                inside[i : i + shortest] = b"\1" * shortest
+        runs = [(m.start(), m.end()) for m in re.finditer(b"\1+", inside)]
+        spots = [(m.start(), m.end()) for m in re.finditer(rb"[^\x20\x09-\x0d]+", d)]
+        full = [r for r in runs if sum(r[0] <= a and b <= r[1] for a, b in spots) >= words]
+        out.append((len(full), sum(b - a for a, b in full)))
+    return out
+
+
+@pytest.mark.parametrize("group_rows", [50_000, 4])
+def test_passages(spark, docs_of, group_rows):
+    rng = random.Random(5)
+    prose = lambda n: " ".join("".join(rng.choice("abcdé") for _ in range(rng.randint(1, 6))) for _ in range(n))
+    passages = [prose(n) for n in (9, 11, 12, 14, 30)]
+    texts = [f"{prose(rng.randint(1, 30))} {passages[i % 5]}{rng.choice([' ', '.'])}{prose(rng.randint(1, 30))}" for i in range(90)]
+    texts += [prose(40), None, "", passages[2], f"{passages[3]} {passages[3]}"]
+    got = {r.doc_id: r for r in substrings.remove_repeats(docs_of(texts), 64, shortest=40, words=10, group_rows=group_rows).collect()}
+    assert [(got[i].n_passages, got[i].passage_bytes) for i in range(len(texts))] == plain_passages(texts, 40, 10)
+    assert any(r.n_passages and not r.n_removed for r in got.values())
+
+
+def test_passages_within_one_document_do_not_count(spark, docs_of):
+    line = " ".join(f"w{i}" for i in range(150))
+    got = substrings.remove_repeats(docs_of([f"{line} and {line}", "other text"])).collect()
+    assert [(r.n_passages, r.n_removed > 0) for r in sorted(got)] == [(0, True), (0, False)]
