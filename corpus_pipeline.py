@@ -30,10 +30,18 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep one document of each group of near-duplicates (a similarity of 0.8 or more by shingles of five words), the
-    one with the smallest doc_id, and one row of it; rows without a doc_id stay."""
-    kept = neardup.near_duplicates(docs, width=5, percent=80, bands=40).filter("kept").select(F.col("doc_id").alias("__kept"))
-    return docs.filter("doc_id is not null").join(kept, F.col("doc_id") == F.col("__kept"), "left_semi").dropDuplicates(["doc_id"]).unionByName(docs.filter("doc_id is null"))
+    """Keep one document of each group of near-duplicates (a similarity of 0.8 or more by shingles of five words).
+
+    Every row is a document, whatever its doc_id: rows that share one, or have none, are compared by their texts like
+    any others. Of a group the row with the smallest doc_id stays, nulls last, ties by a hash of the row. Null, empty
+    and wordless texts are near-duplicates of nothing and stay, but for rows that are repeated whole.
+    """
+    rows = _tagged(docs)
+    found = neardup.near_duplicates(rows.select(F.col("__row").alias("doc_id"), "text"), width=5, percent=80, bands=40)
+    found = found.select(F.col("doc_id").alias("__row"), "n_shingles", "component_id").join(rows.select("__row", "__hash", "doc_id"), "__row")
+    wordless = F.when(F.col("n_shingles") == 0, F.struct("doc_id", "__hash"))
+    best = found.groupBy(F.when(wordless.isNull(), F.col("component_id")).alias("group"), wordless.alias("alone")).agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "__hash", "__row")).alias("best"))
+    return rows.join(best.select(F.col("best.__row").alias("__row")), "__row", "left_semi").select(*docs.columns)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -19,32 +19,33 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def task(module: str, name: str, **args) -> Callable:
-    """``module.name`` as a function for mapInArrow or applyInPandas.
+def task(module: str, name: str, sides: int = 1, **args) -> Callable:
+    """``module.name`` as a function for mapInArrow or applyInPandas; with two sides, for a cogroup.
 
     The module is imported on the worker, so what it caches lives as long as the worker does. Broadcast values
     among the arguments are opened there.
     """
     root = ROOT
 
-    def run(first):
+    def run(first, *more):
         import importlib
         import sys
 
         if root not in sys.path:
             sys.path.append(root)
         own = {k: v.value if type(v).__name__ == "Broadcast" else v for k, v in args.items()}
-        return getattr(importlib.import_module(module), name)(first, **own)
+        return getattr(importlib.import_module(module), name)(first, *more, **own)
 
-    return run
+    return (lambda first, second: run(first, second)) if sides == 2 else (lambda first: run(first))
 
 
-def heavy_join(big: DataFrame, small: DataFrame, on: list[str], meets: str, each: int = 5000) -> DataFrame:
+def heavy_join(big: DataFrame, small: DataFrame, on: list[str], meets: str, each: int = 5000, counts: DataFrame | None = None, spread: list[str] | None = None) -> DataFrame:
     """big joined with small on keys that are unique in small and never null. Column `meets` of small (dropped) says how
     many rows of big a key meets: a row of small that meets more than `each` is repeated, and the rows of big are dealt
-    among its copies by hash, so no task gets all of a heavy key."""
+    among its copies by hash (of the columns `spread`), so no task gets all of a heavy key. counts: the keys and `meets`
+    alone, where small is costly to read twice."""
     parts = F.ceil(F.col(meets) / each).cast("int")
-    heavy = small.filter(F.col(meets) > each).select(*on, parts.alias("__parts"))
-    dealt = big.join(heavy, on, "left").withColumn("__part", F.coalesce(F.pmod(F.xxhash64(*big.columns), F.col("__parts")).cast("int"), F.lit(0))).drop("__parts")
+    heavy = (small if counts is None else counts).filter(F.col(meets) > each).select(*on, parts.alias("__parts"))
+    dealt = big.join(heavy, on, "left").withColumn("__part", F.coalesce(F.pmod(F.xxhash64(*(spread or big.columns)), F.col("__parts")).cast("int"), F.lit(0))).drop("__parts")
     copies = small.withColumn("__part", F.explode(F.sequence(F.lit(0), F.greatest(parts, F.lit(1)) - 1))).drop(meets)
     return dealt.join(copies, [*on, "__part"]).drop("__part")

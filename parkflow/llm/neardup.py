@@ -15,7 +15,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from parkflow.llm.common import saved, task
+from parkflow.llm.common import heavy_join, saved, task
+from parkflow.operators.graph import connected_components
 
 SLOTS, ROWS = 125, 5
 BANDS = SLOTS // ROWS
@@ -87,7 +88,7 @@ def band_hashes(signature: np.ndarray) -> np.ndarray:
 
 
 def sign_batches(batches: Iterator[pa.RecordBatch], width: int, bands: int = BANDS) -> Iterator[pa.RecordBatch]:
-    """doc_id, n_shingles, two halves of a hash of the set, and the bands."""
+    """doc_id, n_shingles, two halves of a hash of the set, the text's own hash, and the bands."""
     with np.errstate(over="ignore"):
         for whole in batches:
             for at in range(0, whole.num_rows, 1024):
@@ -99,7 +100,7 @@ def sign_batches(batches: Iterator[pa.RecordBatch], width: int, bands: int = BAN
                     one.append(int(mix(s + np.uint64(1)).sum(dtype=np.uint64).astype(np.int64)))
                     two.append(int(mix(s ^ _M1).sum(dtype=np.uint64).astype(np.int64)))
                     hashes.append(band_hashes(super_minhash(s, bands * ROWS)) if len(s) else [])
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(one, pa.int64()), pa.array(two, pa.int64()), pa.array(hashes, pa.list_(pa.int64()))], ["doc_id", "n_shingles", "one", "two", "bands"])
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(one, pa.int64()), pa.array(two, pa.int64()), batch.column("of_text"), pa.array(hashes, pa.list_(pa.int64()))], ["doc_id", "n_shingles", "one", "two", "of_text", "bands"])
 
 
 _kept: dict = {}
@@ -191,30 +192,6 @@ def link_apart(table: pa.Table, percent: int) -> pa.Table:
     return pa.table({"a": pa.array(out_a, pa.int64()), "b": pa.array(out_b, pa.int64())})
 
 
-def connected_components(nodes: DataFrame, links: DataFrame, rounds: int = 50) -> DataFrame:
-    """id and component (the smallest id reachable) for nodes(id) and links(a, b).
-
-    Large-star and small-star steps in turn (Kiveris et al., Connected Components in MapReduce and Beyond), each a join
-    and a grouped minimum on the links; the links are a table in the shared folder after each round.
-    """
-    edges = links.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-    edges = saved(edges)
-    before = None
-    for _ in range(rounds):
-        both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.filter("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(least, "a").filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        edges = saved(small.unionByName(least.select("a", F.col("m").alias("b"))).filter("a <> b").distinct())
-        now = edges.agg(F.count("*"), F.sum(F.hash("a", "b").cast("long")), F.countDistinct("a")).first()
-        if now == before and now[0] == now[2]:
-            break
-        before = now
-    root = edges.groupBy(F.col("a").alias("id")).agg(F.min("b").alias("component"))
-    return nodes.join(root, "id", "left").select("id", F.coalesce("component", "id").alias("component"))
-
-
 def hub_pairs(sets: DataFrame) -> DataFrame:
     """a and hub: each document of sets(rep, bands) with the most central one of each of its buckets."""
     buckets = sets.select(F.col("rep").alias("a"), F.explode("bands").alias("band"))
@@ -226,18 +203,23 @@ def hub_pairs(sets: DataFrame) -> DataFrame:
 
 
 def all_links(pairs: DataFrame, texts: DataFrame, width: int, percent: int, block: int = 512) -> DataFrame:
-    """a and b of enough links to connect what any link within a bucket connects, for pairs(a, hub)."""
-    left = pairs.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a")
-    both = left.join(texts.select(F.col("doc_id").alias("hub"), F.col("text").alias("text_b")), "hub")
+    """a and b of enough links to connect what any link within a bucket connects, for pairs(a, a_text, hub, hub_text)
+    and texts(doc_id, of_text, text); a_text and hub_text say which text of a document is meant."""
+    pairs = saved(pairs)
+    left = pairs.join(texts.select(F.col("doc_id").alias("a"), F.col("of_text").alias("a_text"), F.col("text").alias("text_a")), ["a", "a_text"])
+    hubs = saved(pairs.groupBy("hub", "hub_text").agg(F.count("*").alias("n")))
+    of_hubs = hubs.join(texts.select(F.col("doc_id").alias("hub"), F.col("of_text").alias("hub_text"), F.col("text").alias("text_b")), ["hub", "hub_text"])
+    both = heavy_join(left, of_hubs, ["hub", "hub_text"], "n", block, hubs, ["a"])
     compared = saved(both.select("a", "hub", "text_a", "text_b").mapInArrow(task("parkflow.llm.neardup", "compare_batches", width=width, percent=percent), "a long, hub long, n long, n_hub long, link boolean, lacks array<long>, beside array<long>"))
     groups = compared.groupBy("hub").agg(F.count("*").alias("n_x"), F.count_if(~F.col("link")).alias("n_y")).filter("n_y > 0 and n_x > 1")
-    groups = groups.select("hub", F.ceil(F.col("n_x") / block).cast("int").alias("x_blocks"), F.ceil(F.col("n_y") / block).cast("int").alias("y_blocks"))
-    open_ = compared.join(groups, "hub")
-    block_of = lambda n: F.pmod(F.xxhash64("a"), F.col(n)).cast("int")
+    groups = saved(groups.select("hub", F.col("n_x").alias("meets"), F.ceil(F.col("n_x") / block).cast("int").alias("x_blocks"), F.ceil(F.col("n_y") / block).cast("int").alias("y_blocks")))
+    open_ = heavy_join(compared, groups, ["hub"], "meets", spread=["a"])
+    block_of = lambda n: F.pmod(F.xxhash64(F.col("a"), F.lit(1)), F.col(n)).cast("int")
     columns = ["hub", "a", "n", "n_hub", "link", "lacks", "beside"]
     x = open_.select(*columns, F.lit(0).alias("side"), block_of("x_blocks").alias("x_block"), F.explode(F.sequence(F.lit(0), F.col("y_blocks") - 1)).alias("y_block"))
     y = open_.filter("not link").select(*columns, F.lit(1).alias("side"), F.explode(F.sequence(F.lit(0), F.col("x_blocks") - 1)).alias("x_block"), block_of("y_blocks").alias("y_block"))
-    more = x.unionByName(y).groupBy("hub", "x_block", "y_block").applyInArrow(task("parkflow.llm.neardup", "link_apart", percent=percent), "a long, b long")
+    # Dealt by all three, so that the blocks of one hub are tasks of their own.
+    more = x.unionByName(y).repartition("hub", "x_block", "y_block").groupBy("hub", "x_block", "y_block").applyInArrow(task("parkflow.llm.neardup", "link_apart", percent=percent), "a long, b long")
     return compared.filter("link").select("a", F.col("hub").alias("b")).unionByName(more)
 
 
@@ -247,17 +229,20 @@ def near_duplicates(docs: DataFrame, width: int = 3, percent: int = 85, bands: i
 
     A text without words (null and empty ones too) has no shingles and is linked with nothing; with fewer than `width`
     words, the whole sequence is the one shingle. Rows without a doc_id are left out; rows repeated under one doc_id
-    count as one. Other columns are ignored.
+    count as one, by the text with the fewest shingles (the least hash of several), which is also the one compared. Other
+    columns are ignored.
 
     125 slots in 25 bands of five: two documents at a similarity of 0.85 share no band with a probability of
     (1 - 0.85**5)**25 < 5e-7. A lower `percent` needs more `bands`: at 0.8, 25 miss 5e-5 and 40 miss 1.3e-7.
     """
-    texts = docs.filter("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    signed = saved(texts.mapInArrow(task("parkflow.llm.neardup", "sign_batches", width=width, bands=bands), "doc_id long, n_shingles long, one long, two long, bands array<long>"))
-    signed = signed.groupBy("doc_id").agg(F.min(F.struct("n_shingles", "one", "two", "bands")).alias("s")).select("doc_id", "s.*")
-    sets = signed.filter("n_shingles > 0").groupBy("one", "two", "n_shingles").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands"))
-    sets = saved(sets)
-    links = all_links(hub_pairs(sets), texts, width, percent)
+    texts = docs.filter("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("of_text"), "text")
+    signed = saved(texts.mapInArrow(task("parkflow.llm.neardup", "sign_batches", width=width, bands=bands), "doc_id long, n_shingles long, one long, two long, of_text long, bands array<long>"))
+    signed = signed.groupBy("doc_id").agg(F.min(F.struct("n_shingles", "one", "two", "of_text", "bands")).alias("s")).select("doc_id", "s.*")
+    sets = signed.filter("n_shingles > 0").groupBy("one", "two", "n_shingles").agg(F.min(F.struct("doc_id", "of_text")).alias("rep"), F.first("bands").alias("bands"))
+    sets = saved(sets.select("one", "two", "n_shingles", F.col("rep.doc_id").alias("rep"), "rep.of_text", "bands"))
+    own = lambda side: sets.select(F.col("rep").alias(side), F.col("of_text").alias(f"{side}_text"))
+    pairs = hub_pairs(sets).join(own("a"), "a").join(own("hub"), "hub")
+    links = all_links(pairs, texts, width, percent)
     components = connected_components(sets.select(F.col("rep").alias("id")), links)
     found = signed.join(sets.select("one", "two", "n_shingles", "rep"), ["one", "two", "n_shingles"], "left").join(components.withColumnRenamed("id", "rep"), "rep", "left")
     component = F.coalesce("component", "doc_id")

@@ -5,6 +5,7 @@ import random
 import numpy as np
 
 from parkflow.llm import neardup
+from parkflow.operators.graph import connected_components
 
 
 def plain_set(text, width=3):
@@ -79,10 +80,10 @@ def test_blocks_of_one_hub(spark, docs_of):
     rng = random.Random(7)
     rows = family(rng, 120, 12, 60)
     df = docs_of(rows)
-    texts = df.select("doc_id", "text")
-    pairs = texts.filter("doc_id > 0").selectExpr("doc_id as a", "0L as hub")
+    texts = df.selectExpr("doc_id", "xxhash64(text) as of_text", "text")
+    pairs = texts.filter("doc_id > 0").selectExpr("doc_id as a", "of_text as a_text").crossJoin(texts.filter("doc_id = 0").selectExpr("doc_id as hub", "of_text as hub_text"))
     links = neardup.all_links(pairs, texts, 3, 85, block=16)
-    got = {r.id: r.component for r in neardup.connected_components(texts.selectExpr("doc_id as id"), links).collect()}
+    got = {r.id: r.component for r in connected_components(texts.selectExpr("doc_id as id"), links).collect()}
     assert [got[i] for i in range(len(rows))] == plain_components(rows)[1]
 
 
@@ -92,6 +93,14 @@ def test_empty_and_missing_ids(spark, docs_of):
     assert [tuple(r) for r in neardup.near_duplicates(df).collect()] == [(3, 1, 3, True)]
 
 
+def test_two_texts_under_one_id(spark):
+    """The text with the fewest shingles is the document; the other one links with nothing."""
+    one, other = " ".join(f"a{i}" for i in range(50)), " ".join(f"b{i}" for i in range(60))
+    rows = [(5, one), (5, other), (7, other), (8, other + " c"), (9, one), (9, None)]
+    got = sorted(tuple(r) for r in neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == [(5, 48, 5, True), (7, 58, 7, True), (8, 59, 7, False), (9, 0, 9, True)]
+
+
 def plain_super_minhash(items, slots):
     """One item and one step at a time, without stopping early."""
     h = [float("inf")] * slots
@@ -131,5 +140,5 @@ def test_components(spark):
     for a, b in edges:
         p, q = sorted((find(a), find(b)))
         parent[q] = p
-    got = neardup.connected_components(spark.range(400), spark.createDataFrame(edges, "a long, b long")).collect()
+    got = connected_components(spark.range(400), spark.createDataFrame(edges, "a long, b long")).collect()
     assert {r.id: r.component for r in got} == {i: find(i) for i in range(400)}

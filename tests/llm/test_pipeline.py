@@ -45,6 +45,15 @@ def test_duplicate_stage(spark, docs_of, odd):
     assert sorted(r.doc_id for r in got.collect()) == sorted(i for i, c in enumerate(components) if i == c)
 
 
+def test_duplicate_stage_compares_rows_not_ids(spark, docs_of):
+    one, other = " ".join(f"a{i}" for i in range(50)), " ".join(f"b{i}" for i in range(60))
+    docs = docs_of([one, other, other + " c", one, "x y", "x y"])
+    docs = docs.withColumn("doc_id", F.expr("case when doc_id < 2 then 4 when doc_id = 5 then null else doc_id end"))
+    for d in (docs, docs.repartition(3, "text")):
+        got = STAGE["near_duplicates"](spark, d, "").collect()
+        assert sorted((str(r.doc_id), r.text) for r in got) == sorted([("3", one), ("2", other + " c"), ("4", "x y")])
+
+
 def test_duplicate_stage_by_five_words(spark, docs_of, odd):
     rng = random.Random(3)
     long = [f"w{i}" for i in range(1200)]
