@@ -1,9 +1,10 @@
 """Exact top-k search by inner product: columnar branch and bound.
 
-Vectors are packed into blocks in vertical layout (one row of numbers per dimension). A block of queries meets a block
-of candidates once; scores grow by a group of dimensions at a time, and after each group the candidates whose score
-plus the largest that the remaining dimensions can add (the product of the remaining lengths) stays below a query's
-k-th best so far are dropped and the rest compacted.
+Vectors are packed into blocks in vertical layout (one row of numbers per dimension). Blocks of queries and blocks of
+candidates are dealt into groups, and each pair of groups is a cell, searched by one task: for a few queries at a time
+scores grow by a group of dimensions, and after each group the candidates whose score plus the largest that the
+remaining dimensions can add (the product of the remaining lengths) stays below the k-th best so far of all these
+queries are dropped and the rest compacted.
 """
 
 from __future__ import annotations
@@ -44,8 +45,12 @@ def pack_batches(batches: Iterator[pa.RecordBatch], rows: int, scale: int) -> It
         yield block(dims)
 
 
-def _open(block: dict) -> tuple[np.ndarray, np.ndarray]:
-    return np.frombuffer(block["ids"], np.int64), np.frombuffer(block["values"], np.float64).reshape(block["dims"], block["n"])
+def _open(blocks: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """The ids, and the numbers by dimension, of all blocks (of one number of dimensions)."""
+    rows = blocks.to_pylist()
+    ids = [np.frombuffer(r["ids"], np.int64) for r in rows]
+    values = [np.frombuffer(r["values"], np.float64).reshape(r["dims"], r["n"]) for r in rows]
+    return np.concatenate(ids), np.concatenate(values, axis=1)
 
 
 def _rest(values: np.ndarray, step: int) -> list[np.ndarray]:
@@ -60,18 +65,27 @@ def _first_of_each(order: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
     return order[np.sort(first)[:k]]
 
 
-def best(queries: dict, candidates: dict, k: int, step: int = 16, rows: int = 2048):
+def best(q_ids: np.ndarray, q: np.ndarray, c_ids: np.ndarray, c: np.ndarray, k: int, step: int = 16, rows: int = 2048, together: int = 64) -> list[tuple]:
     """(query id, candidate id, score) of the k best of each query among these candidates, the query itself left out. An
-    id that is repeated among the candidates has one place, that of its best score."""
-    q_ids, q = _open(queries)
-    c_ids, c = _open(candidates)
+    id that is repeated among the candidates has one place, that of its best score. q and c: numbers by dimension."""
     order = np.argsort(-(c * c).sum(axis=0), kind="stable")  # long vectors first: the k-th best rises early
     c_ids, c = c_ids[order], c[:, order]
-    q_rest, c_rest = _rest(q, step), _rest(c, step)
+    c_rest = _rest(c, step)
     exact = np.float64 if max(np.abs(q).max(initial=0), 1) * max(np.abs(c).max(initial=0), 1) * len(q) < 2**52 else object
     if exact is object:  # beyond what doubles hold exactly
-        q, c = (np.array([[int(x) for x in row] for row in m], dtype=object).reshape(m.shape) for m in (q, c))
+        c = np.array([[int(x) for x in row] for row in c], dtype=object).reshape(c.shape)
     repeated = len(np.unique(c_ids)) < len(c_ids)
+    out: list[tuple] = []
+    for at in range(0, len(q_ids), together):
+        own = q[:, at : at + together]
+        q_rest = _rest(own, step)
+        if exact is object:
+            own = np.array([[int(x) for x in row] for row in own], dtype=object).reshape(own.shape)
+        out += _best(q_ids[at : at + together], own, q_rest, c_ids, c, c_rest, k, step, rows, exact, repeated)
+    return out
+
+
+def _best(q_ids, q, q_rest, c_ids, c, c_rest, k, step, rows, exact, repeated) -> list[tuple]:
     top_s = np.full((len(q_ids), k), -np.inf, dtype=exact)
     top_i = np.full((len(q_ids), k), np.iinfo(np.int64).max)
     for at in range(0, len(c_ids), rows):
@@ -99,32 +113,37 @@ def best(queries: dict, candidates: dict, k: int, step: int = 16, rows: int = 20
     return [(int(q_ids[r]), int(top_i[r, j]), int(top_s[r, j])) for r, j in found]
 
 
-def search_batches(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for row in batch.to_pylist():
-            found = best({x: row[f"q_{x}"] for x in ("dims", "n", "ids", "values")}, row, k)
-            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (zip(*found) if found else ([], [], []))], ["query_id", "vec_id", "score"])
+def search_cell(queries: pa.Table, candidates: pa.Table, k: int) -> pa.Table:
+    """The k best of each query of a cell among its candidates."""
+    found = best(*_open(queries), *_open(candidates), k) if queries.num_rows and candidates.num_rows else []
+    return pa.table([pa.array(x, pa.int64()) for x in (zip(*found) if found else ([], [], []))], ["query_id", "vec_id", "score"])
 
 
-def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, scale: int = 256, query_rows: int = 256, candidate_rows: int = 8192) -> DataFrame:
+def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, scale: int = 256, query_rows: int = 16_384, candidate_rows: int = 65_536, block: int = 1024) -> DataFrame:
     """query_id, rank, vec_id, score: the k rows of vectors(vec_id, embedding) with the highest inner product for each
     row of queries(vec_id, embedding), the row of the same id left out; ties go to the smaller id.
 
     Components are floor(scale * x). Vectors that are null, or hold a null or a component that isn't finite, take no
     part; vectors of different lengths never meet; an empty vector scores 0. Rows repeated under one id take part
-    once, by their best score. Every block of queries is matched with every block of candidates (a fixed query set against all rows), and
-    only k rows of each meeting are shuffled.
+    once, by their best score. A query set against all rows: a cell is about query_rows by candidate_rows of them (fewer
+    candidates where there would be fewer cells than shuffle partitions), each block is sent to the cells of its group,
+    and only k rows of each query of a cell are shuffled further.
     """
-    def packed(df: DataFrame, rows: int) -> DataFrame:
+    def packed(df: DataFrame) -> DataFrame:
         whole = F.col("embedding").isNotNull() & ~F.exists("embedding", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
         df = df.filter("vec_id is not null").filter(whole).select(F.col("vec_id").cast("long").alias("id"), F.col("embedding").cast("array<double>").alias("vector"))
-        return df.mapInArrow(task("parkflow.llm.topk", "pack_batches", rows=rows, scale=scale), SCHEMA)
-
-    q = packed(queries, query_rows).select(*[F.col(x).alias(f"q_{x}") for x in ("dims", "n", "ids", "values")])
-    c = packed(vectors, candidate_rows).drop("block")
-    # Both sides are blocks: thousands of vectors a row, joined on their number of dimensions.
-    met = c.join(q, c["dims"] == q["q_dims"])
-    found = met.mapInArrow(task("parkflow.llm.topk", "search_batches", k=k), "query_id long, vec_id long, score long")
+        return df.mapInArrow(task("parkflow.llm.topk", "pack_batches", rows=block, scale=scale), SCHEMA).drop("block")
+
+    cells = int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    q_groups = -(-queries.count() // query_rows) or 1
+    n = vectors.count()
+    c_groups = max(-(-n // candidate_rows), min(-(-cells // q_groups), -(-n // (2 * block)))) or 1
+    group = lambda groups: F.pmod(F.xxhash64("ids"), F.lit(groups)).cast("int")
+    every = lambda groups: F.explode(F.sequence(F.lit(0), F.lit(groups - 1)))
+    q = packed(queries).withColumn("q_group", group(q_groups)).withColumn("c_group", every(c_groups))
+    c = packed(vectors).withColumn("c_group", group(c_groups)).withColumn("q_group", every(q_groups))
+    on = ["dims", "q_group", "c_group"]
+    found = q.groupBy(*on).cogroup(c.groupBy(*on)).applyInArrow(task("parkflow.llm.topk", "search_cell", sides=2, k=k), "query_id long, vec_id long, score long")
     found = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     rank = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
     return found.withColumn("rank", F.row_number().over(rank)).filter(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")

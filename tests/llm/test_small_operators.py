@@ -152,7 +152,7 @@ def test_top_k(spark):
     vectors = [(i, [float(x) for x in rng.normal(size=20) * (1 if i % 3 else 0.2)]) for i in range(300)]
     vectors += [(300, None), (301, [None] * 20), (302, [float("nan")] * 20), (303, [float("inf")] * 20), (350, vectors[7][1]), (351, vectors[7][1]), (400, [1.0] * 3), (401, [2.0] * 3), (402, [])]
     df = spark.createDataFrame([(i, v, 1, 2) for i, v in vectors], "vec_id long, embedding array<float>, rank int, score int")
-    got = topk.top_k(df.unionAll(df.filter("vec_id = 9")).repartition(5), df.filter("vec_id % 50 = 0"), 5, query_rows=3, candidate_rows=64).collect()
+    got = topk.top_k(df.unionAll(df.filter("vec_id = 9")).repartition(5), df.filter("vec_id % 50 = 0"), 5, query_rows=3, candidate_rows=64, block=16).collect()
     clean = {i: [math.floor(256 * float(np.float32(x))) for x in v] for i, v in vectors if v is not None and all(x is not None and math.isfinite(x) for x in v)}
     want = []
     for q in clean:
@@ -172,7 +172,7 @@ def test_top_k_of_repeated_rows(spark):
      select q, row_number() over (order by s desc, c) as r, c, s from s qualify r<=5""", [[i for i, _ in rows], [v for _, v in rows]]).fetchall()
     for part in (df.coalesce(1), df.repartition(4)):
         for block in (8192, 6):
-            got = topk.top_k(part, df.filter("vec_id = 0"), 5, candidate_rows=block).collect()
+            got = topk.top_k(part, df.filter("vec_id = 0"), 5, candidate_rows=block, block=block).collect()
             assert sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in got) == sorted(want)
     few = topk.top_k(df.filter("vec_id < 3").coalesce(1), df.filter("vec_id = 0"), 5).collect()
     assert sorted((r["rank"], r.vec_id) for r in few) == [(1, 1), (2, 2)]
