@@ -9,8 +9,9 @@ from parkflow.llm import langid, mixing, neardup, packing, pii
 from parkflow.llm.common import saved, table
 from parkflow.llm.queries import vocabulary
 
-#: A language is accepted at this posterior; with four languages, an even guess has 0.25.
-LEAST_SCORE = 0.4
+#: A language is accepted at this posterior (with four languages, an even guess has 0.25), and where a letter of the
+#: text costs at most so many times what one costs on average in that language.
+LEAST_SCORE, MOST_SURPRISE = 0.4, 3.0
 
 
 def _tagged(docs: DataFrame) -> DataFrame:
@@ -21,12 +22,18 @@ def _tagged(docs: DataFrame) -> DataFrame:
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep documents with a language: the text has a letter, and one of the learned languages fits it."""
+    """Keep documents with a language: the text has a letter, and one of the learned languages fits it, both against the
+    others (LEAST_SCORE) and by itself (MOST_SURPRISE: random letters or an unknown script fit none).
+
+    Null and empty texts and those without letters go; so does everything where no document has a language to learn.
+    Repeated rows are judged each, and all columns are kept as they are.
+    """
     path = vocabulary("piece_bpe_32k.model")
     model = langid.train(docs.filter(~F.coalesce(langid.held_out(), F.lit(False))), path)
     rows = docs.withColumn("__row", F.struct(*docs.columns))
     found = langid.annotate(rows.select("__row", "text"), model, path)
-    return found.filter((F.col("lang_pred") != langid.UNDETERMINED) & (F.col("score") >= LEAST_SCORE)).select("__row.*")
+    fits = (F.col("lang_pred") != langid.UNDETERMINED) & (F.col("score") >= LEAST_SCORE) & (F.col("surprise") <= MOST_SURPRISE)
+    return found.filter(fits).select("__row.*")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -45,14 +52,22 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Replace personal data in the texts by its kind."""
+    """Replace personal data in the texts by its kind in brackets.
+
+    A null text stays null, an empty one empty; spans that overlap are replaced as one, by the kind of the first. Every
+    row stays, repeated ones too, with its other columns.
+    """
     found = pii.find_pii(docs, into="__pii")
     return found.withColumn("text", pii.redact(F.col("text"), F.col("__pii"))).select(*docs.columns)
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Take documents as often as the mixture takes most of them (0 to 3 times), each copy where the curriculum comes
-    to it. Within a source they stand by doc_id as in op8, those of null or equal ids by a hash of the row."""
+    to it. Within a source they stand by doc_id as in op8, those of null or equal ids by a hash of the row.
+
+    A null source is a source. Null, empty and wordless texts hold no words to take, so they go. Repeated rows are
+    documents each. An empty table stays empty.
+    """
     rows = _tagged(docs)
     mix = mixing.placed(rows.select("doc_id", "text", "source", "__hash", "__row"), ties=("__hash", "__row")).filter("size > 0")
     mix = mix.withColumn("__copies", F.round(F.col("taken") / F.col("size")).cast("int")).filter("__copies > 0")
@@ -63,7 +78,10 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pack what is left into sequences of 2048 tokens."""
+    """Pack what is left into sequences of 2048 tokens: doc_id, piece, start, length, ids_crc32, sequence_id, offset.
+
+    A null or empty text is its end token alone, a long one is cut; repeated rows are packed each.
+    """
     return packing.pack_documents(docs, vocabulary("word_bpe_49k.json"), 2048)
 
 

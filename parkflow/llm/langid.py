@@ -1,7 +1,9 @@
 """Language identification by unigrams over a public vocabulary, with the segmentation summed out.
 
 Each language has a probability for every piece of the vocabulary. The probability of a word is the sum over all ways
-to cut it into pieces, by a forward algorithm over its letters; a text's score is the product over its words.
+to cut it into pieces, by a forward algorithm over its letters; a text's score is the product over its words. The
+probabilities are learned the same way: forward and backward sums give how often each piece is expected in each word,
+over all ways to cut it, under a prior that falls with the piece's rank in the vocabulary.
 """
 
 from __future__ import annotations
@@ -17,18 +19,18 @@ from pyspark.sql import functions as F
 
 from parkflow.llm.common import task
 
-CACHE_ENTRIES, LONGEST, SMOOTHING, UNKNOWN = 300_000, 40, 0.1, 1e-8
+CACHE_ENTRIES, SMOOTHING, UNKNOWN = 300_000, 0.1, 1e-8
+#: Expected counts are summed as whole millionths, so that sums don't depend on how the rows lie; words of more letters
+#: than SHORT are summed as logarithms, and this many letters are worked on at a time.
+MILLIONTHS, SHORT, TOGETHER = 1_000_000, 15, 400_000
 WORD = re.compile(r"[^\W\d_]+")
 UNDETERMINED = "und"
 _state: dict = {}
 
 
 def words_of(text: str) -> list[str]:
-    """Runs of letters in lower case; very long ones in parts."""
-    found = WORD.findall(text.lower())
-    if max(map(len, found), default=0) <= LONGEST:
-        return found
-    return [w[i : i + LONGEST] for w in found for i in range(0, len(w), LONGEST)]
+    """Runs of letters in lower case, of any length."""
+    return WORD.findall(text.lower())
 
 
 def _pieces(path: str) -> dict[str, int]:
@@ -41,17 +43,35 @@ def _pieces(path: str) -> dict[str, int]:
     return _state["pieces", path]
 
 
+def rank_prior(pieces: dict[str, int]) -> np.ndarray:
+    """Probability of each piece (and of an unknown letter, last) before anything is learned: falling with its rank."""
+    prior = np.zeros(max(pieces.values()) + 2)
+    at = np.array(sorted(pieces.values()))
+    prior[at] = 1 / (np.arange(len(at)) + 10)
+    prior /= prior.sum()
+    prior[-1] = UNKNOWN
+    return prior
+
+
 def count_batches(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatch]:
-    """How often each piece occurs in each language; at most languages x vocabulary rows a task."""
-    _pieces(path)
-    model = _state["model", path]
-    counts: dict[str, np.ndarray] = defaultdict(lambda: np.zeros(model.get_piece_size(), np.int64))
+    """How often each piece is expected in each language, in millionths; at most languages x vocabulary rows a task."""
+    pieces = _pieces(path)
+    if ("prior", path) not in _state:
+        _state["prior", path] = Lookup(pieces), rank_prior(pieces)
+    lookup, prior = _state["prior", path]
+    counts: dict[str, np.ndarray] = defaultdict(lambda: np.zeros(len(prior) - 1, np.int64))
 
     def add(words: dict[str, Counter]) -> None:
+        every = sorted(set().union(*words.values()))
+        number = {w: i for i, w in enumerate(every)}
+        times = {lang: np.zeros(len(every), np.int64) for lang in words}
         for lang, c in words.items():
-            for ids, n in zip(model.encode(list(c), num_threads=1), c.values()):
-                for i in ids:
-                    counts[lang][i] += n
+            times[lang][[number[w] for w in c]] = list(c.values())
+        for group in _by_length(every):
+            which, piece, share = expected_pieces(group, lookup, prior)
+            which = np.array([number[w] for w in group])[which]
+            for lang, n in times.items():
+                counts[lang] += np.bincount(piece, share * n[which], len(prior) - 1).astype(np.int64)
 
     words: dict[str, Counter] = defaultdict(Counter)
     for batch in batches:
@@ -60,7 +80,8 @@ def count_batches(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.R
             if sum(map(len, words.values())) > CACHE_ENTRIES:
                 add(words)
                 words.clear()
-    add(words)
+    if words:
+        add(words)
     for lang, c in counts.items():
         at = np.flatnonzero(c)
         yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), pa.array(at, pa.int32()), pa.array(c[at], pa.int64())], ["lang", "piece", "n"])
@@ -77,11 +98,19 @@ def train(labelled: DataFrame, path: str) -> tuple[list[str], np.ndarray]:
     table = np.zeros((max(_pieces(path).values()) + 1, len(langs)))
     for j, lang in enumerate(langs):
         own = counts[counts["lang"] == lang]
-        table[own["piece"].to_numpy(), j] = own["n"].to_numpy()
+        table[own["piece"].to_numpy(), j] = own["n"].to_numpy() / MILLIONTHS
     table += SMOOTHING
     return langs, table / table.sum(axis=0)
 
 
+def usual_surprise(path: str, table: np.ndarray) -> np.ndarray:
+    """What a letter of each language's own text costs on average: the entropy of its pieces over their length."""
+    length = np.ones(len(table))
+    for piece, i in _pieces(path).items():
+        length[i] = len(piece)
+    return -(table * np.log(table)).sum(axis=0) / (table * length[:, None]).sum(axis=0)
+
+
 _STEP, _SPREAD = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 
 
@@ -126,36 +155,90 @@ class Lookup:
         return out
 
 
-def forward(words: list[str], lookup: Lookup, table: np.ndarray) -> np.ndarray:
-    """Log probability of words of one length in each language, all segmentations summed."""
+def _by_length(words: list[str]) -> Iterator[list[str]]:
+    """Groups of words of one length, of at most TOGETHER letters where they are more than one."""
+    by_length: dict[int, list[str]] = defaultdict(list)
+    for w in words:
+        by_length[len(w)].append(w)
+    for n, group in by_length.items():
+        each = max(1, TOGETHER // n)
+        for at in range(0, len(group), each):
+            yield group[at : at + each]
+
+
+def _pieces_at(words: list[str], lookup: Lookup) -> list[np.ndarray]:
+    """For words of one length, with the mark of a word's start ahead: number of the piece of 1, 2, ... letters at each
+    place (rows) of each word (columns), -1 for none."""
     n = len(words[0]) + 1
     letters = np.empty((n, len(words)), np.uint64)
     letters[0] = ord("▁")
     letters[1:] = np.frombuffer("".join(words).encode("utf-32-le"), np.uint32).reshape(-1, n - 1).T
     letters += np.uint64(1)
-    probability = np.vstack([table, np.full(table.shape[1], UNKNOWN)])
-    alpha = np.zeros((n + 1, len(words), table.shape[1]))
-    alpha[0] = 1.0
+    found, h = [], np.zeros((n, len(words)), np.uint64)
     with np.errstate(over="ignore"):
-        for i in range(n):
-            h = np.zeros(len(words), np.uint64)
-            for j in range(i + 1, min(n, i + lookup.longest) + 1):
-                h = h * _STEP + letters[j - 1]
-                piece = lookup.find(h)
-                if j == i + 1:
-                    alpha[j] += alpha[i] * probability[piece]  # -1 is the row of unknown letters
-                else:
-                    at = np.flatnonzero(piece >= 0)
-                    if len(at):
-                        alpha[j, at] += alpha[i, at] * probability[piece[at]]
-    return np.log(np.maximum(alpha[n], 1e-300))
+        for size in range(1, min(n, lookup.longest) + 1):
+            h = h[: n - size + 1] * _STEP + letters[size - 1 :]
+            found.append(lookup.find(h.ravel()).reshape(h.shape))
+    return found
+
+
+def _sums(pieces: list[np.ndarray], probability: np.ndarray, log: bool, back: bool = False) -> np.ndarray:
+    """alpha[j]: the probability of the first j letters of each word in each language, all cuts summed; back: of those
+    from j on. probability: by piece, unknown letters last; logarithms in and out where log."""
+    n, words = pieces[0].shape
+    alpha = np.full((n + 1, words, probability.shape[1]), -np.inf if log else 0.0)
+    alpha[n if back else 0] = 0.0 if log else 1.0
+    some = [(p >= 0).any(axis=1).tolist() for p in pieces]
+    for j in range(n - 1, -1, -1) if back else range(1, n + 1):
+        for size, piece in enumerate(pieces, 1):
+            start = j if back else j - size
+            if start < 0 or start + size > n or size > 1 and not some[size - 1][start]:
+                continue
+            before = alpha[j + size if back else start]
+            own = piece[start]
+            at = slice(None) if size == 1 else np.flatnonzero(own >= 0)
+            if log:
+                alpha[j, at] = np.logaddexp(alpha[j, at], before[at] + probability[own[at]])
+            else:
+                alpha[j, at] += before[at] * probability[own[at]]
+    return alpha
+
+
+def _log(x: np.ndarray) -> np.ndarray:
+    with np.errstate(divide="ignore"):
+        return np.log(x)
+
+
+def forward(words: list[str], lookup: Lookup, table: np.ndarray) -> np.ndarray:
+    """Log probability of words of one length in each language, all segmentations summed."""
+    pieces, probability = _pieces_at(words, lookup), np.vstack([table, np.full(table.shape[1], UNKNOWN)])
+    if len(words[0]) > SHORT:
+        return _sums(pieces, _log(probability), True)[-1]
+    return np.log(_sums(pieces, probability, False)[-1])
+
+
+def expected_pieces(words: list[str], lookup: Lookup, prior: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(word, piece, millionths): how often each piece is expected in words of one length over all ways to cut them."""
+    pieces, log = _pieces_at(words, lookup), len(words[0]) > SHORT
+    p = _log(prior)[:, None] if log else prior[:, None]
+    ahead, behind = (_sums(pieces, p, log, back)[..., 0] for back in (False, True))
+    out = []
+    for size, piece in enumerate(pieces, 1):
+        at, word = np.nonzero(piece >= 0)
+        own = piece[at, word]
+        if log:
+            share = np.exp(ahead[at, word] + p[own, 0] + behind[at + size, word] - ahead[-1, word])
+        else:
+            share = ahead[at, word] * p[own, 0] * behind[at + size, word] / ahead[-1, word]
+        out.append((word, own, np.rint(share * MILLIONTHS)))
+    return tuple(np.concatenate(x) for x in zip(*out))
 
 
 class Scorer:
     """Log probabilities of words, kept for as long as there is room."""
 
     def __init__(self, path: str, table: np.ndarray):
-        self.lookup, self.table = Lookup(_pieces(path)), table
+        self.lookup, self.table, self.usual = Lookup(_pieces(path)), table, usual_surprise(path, table)
         self.index: dict[str, int] = {}
         self.rows = np.zeros((CACHE_ENTRIES * 2, table.shape[1]))
 
@@ -166,10 +249,7 @@ class Scorer:
             new = list(words)
             if len(new) > len(self.rows):
                 self.rows = np.zeros((2 * len(new), self.table.shape[1]))
-        by_length: dict[int, list[str]] = defaultdict(list)
-        for w in new:
-            by_length[len(w)].append(w)
-        for group in by_length.values():
+        for group in _by_length(new):
             at = len(self.index)
             self.rows[at : at + len(group)] = forward(group, self.lookup, self.table)
             self.index.update(zip(group, range(at, at + len(group))))
@@ -191,19 +271,21 @@ def predict_batches(batches: Iterator[pa.RecordBatch], path: str, model: tuple[l
             texts = [t.as_py() for t in batch.column("text")]
             words = [words_of(t) if t and langs and any(map(str.isalpha, t)) else [] for t in texts]
             scorer.learn(set().union(*words))
-            pred, score = [], []
+            pred, score, surprise = [], [], []
             for w in words:
                 if not w:
                     pred.append(UNDETERMINED)
                     score.append(0.0)
+                    surprise.append(None)
                     continue
                 log = scorer.score(w)
                 p = np.exp(log - log.max())
                 best = int(p.argmax())
                 pred.append(langs[best])
                 score.append(float(p[best] / p.sum()))
+                surprise.append(float(-log[best] / (len(w) + sum(map(len, w))) / scorer.usual[best]))
             keep = [c for c in batch.schema.names if c != "text"]
-            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in keep], pa.array(pred, pa.string()), pa.array(score, pa.float64())], [*keep, "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in keep], pa.array(pred, pa.string()), pa.array(score, pa.float64()), pa.array(surprise, pa.float64())], [*keep, "lang_pred", "score", "surprise"])
 
 
 def held_out():
@@ -212,19 +294,21 @@ def held_out():
 
 
 def annotate(rows: DataFrame, model: tuple[list[str], np.ndarray], path: str) -> DataFrame:
-    """rows(text, ...) with lang_pred and score in place of the text."""
+    """rows(text, ...) with lang_pred, score and surprise in place of the text."""
     import hashlib
 
     key = hashlib.sha256(model[1].tobytes() + repr(model[0]).encode()).hexdigest()
     shared = rows.sparkSession.sparkContext.broadcast(model)
-    kept = rows.drop("text").withColumns({"lang_pred": F.lit(""), "score": F.lit(0.0)}).schema
+    kept = rows.drop("text").withColumns({"lang_pred": F.lit(""), "score": F.lit(0.0), "surprise": F.lit(None).cast("double")}).schema
     return rows.mapInArrow(task("parkflow.llm.langid", "predict_batches", path=path, model=shared, key=key), kept)
 
 
 def identify(docs: DataFrame, model: tuple[list[str], np.ndarray], path: str) -> DataFrame:
-    """doc_id, held_out, lang_pred and score for every row of docs(doc_id, text).
+    """doc_id, held_out, lang_pred, score and surprise for every row of docs(doc_id, text).
 
-    score is the posterior of the predicted language under equal priors. A text that is null or has no letter, or any
+    score is the posterior of the predicted language under equal priors. surprise is what a letter of the text costs
+    (its negative log probability) over what one costs on average in that language: about 1 for its own texts, more for
+    what no learned language fits, null for `und`. A text that is null or has no letter, or any
     text where no language was learned, is `und` with score 0. A null doc_id isn't held out. Repeated rows are
     predicted each; other columns, language and source among them, aren't read.
     """

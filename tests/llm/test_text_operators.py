@@ -1,8 +1,10 @@
 """Personal data, license scans and language identification against plain versions."""
 
 import hashlib
+import math
 import re
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -121,9 +123,17 @@ def plain_forward(word, pieces, table, j):
     return alpha[-1]
 
 
-def test_language(spark, odd):
-    import math
+def plain_part(text, pieces, table):
+    """As plain_forward, for letters without the mark of a word's start."""
+    alpha = [1.0] + [0.0] * len(text)
+    for end in range(1, len(text) + 1):
+        for start in range(max(0, end - 20), end):
+            p = pieces.get(text[start:end])
+            alpha[end] += alpha[start] * (table[p, 0] if p is not None else langid.UNKNOWN if end - start == 1 else 0.0)
+    return alpha[-1]
+
 
+def test_language(spark, odd):
     path = vocabulary("piece_bpe_32k.model")
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     langs, table = langid.train(docs.limit(200), path)
@@ -139,6 +149,50 @@ def test_language(spark, odd):
     assert all(0 <= r.score <= 1 for r in got.values())
 
 
+def test_expected_pieces():
+    path = vocabulary("piece_bpe_32k.model")
+    pieces = langid._pieces(path)
+    lookup, prior = langid.Lookup(pieces), langid.rank_prior(pieces)
+    table = prior[:-1, None]
+    for word in ("house", "qx☃z", "ab" * 12, "x" * 60):
+        which, piece, n = langid.expected_pieces([word, word], lookup, prior)
+        got = {int(i): k for w, i, k in zip(which, piece, n) if w == 1}
+        whole = sum(k for w, k in zip(which, n) if w == 0)
+        want, marked = {}, "▁" + word
+        total = math.exp(langid.forward([word], lookup, table)[0, 0])
+        for i in range(len(marked)):
+            for j in range(i + 1, len(marked) + 1):
+                if (k := pieces.get(marked[i:j])) is not None:
+                    before, after = (plain_part(x, pieces, table) for x in (marked[:i], marked[j:]))
+                    want[k] = want.get(k, 0) + before * prior[k] * after / total
+        sums = {}
+        for w, i, k in zip(which, piece, n):
+            if w == 0:
+                sums[int(i)] = sums.get(int(i), 0) + k
+        assert sums.keys() == want.keys() and all(math.isclose(sums[k], want[k] * 1e6, rel_tol=1e-3, abs_tol=40) for k in want)
+        assert got and whole
+
+
+def test_long_and_unknown_words(docs_of):
+    """No word is cut, and none is lost to underflow."""
+    path = vocabulary("piece_bpe_32k.model")
+    pieces = langid._pieces(path)
+    lookup = langid.Lookup(pieces)
+    rng = np.random.default_rng(3)
+    table = rng.random((max(pieces.values()) + 1, 2)) ** 8
+    table /= table.sum(axis=0)
+    for word in ("donaudampfschifffahrtsgesellschaftskapitänsmützenabzeichen", "ab" * 200, "ꙮ" * 90, "a" * 15, "a" * 16):
+        got = langid.forward([word, word], lookup, table)
+        assert np.isfinite(got).all() and (got[0] == got[1]).all()
+        if len(word) < 60:
+            assert all(math.isclose(got[0, j], math.log(plain_forward(word, pieces, table, j)), rel_tol=1e-9) for j in range(2))
+    half = "".join(chr(0x1F00 + i % 3) for i in range(60))
+    rows = [("alpha " * 30, "a", "s"), ("omega " * 30, "b", "s")] * 20 + [("alpha" + half, None, "s"), ("omega" + "ꙮ" * 100, None, "s")]
+    got = {r.doc_id: r for r in langid.identify_languages(docs_of(rows), path).collect()}
+    assert (got[40].lang_pred, got[41].lang_pred) == ("a", "b")
+    assert got[41].surprise > 2 > got[0].surprise
+
+
 def test_language_of_odd_texts(docs_of, odd):
     path = vocabulary("piece_bpe_32k.model")
     rows = [*odd, ("12 34 !", None, None), ("² ½", None, None), ("ça", None, None)]
