@@ -23,7 +23,8 @@ def _tagged(docs: DataFrame) -> DataFrame:
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep documents with a language: the text has a letter, and one of the learned languages fits it, both against the
-    others (LEAST_SCORE) and by itself (MOST_SURPRISE: random letters or an unknown script fit none).
+    others (LEAST_SCORE) and by itself (MOST_SURPRISE: random letters or an unknown script fit none; judged for
+    languages learned from enough text to know what is usual).
 
     Null and empty texts and those without letters go; so does everything where no document has a language to learn.
     Repeated rows are judged each, and all columns are kept as they are.
@@ -32,7 +33,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = langid.train(docs.filter(~F.coalesce(langid.held_out(), F.lit(False))), path)
     rows = docs.withColumn("__row", F.struct(*docs.columns))
     found = langid.annotate(rows.select("__row", "text"), model, path)
-    fits = (F.col("lang_pred") != langid.UNDETERMINED) & (F.col("score") >= LEAST_SCORE) & (F.col("surprise") <= MOST_SURPRISE)
+    fits = (F.col("lang_pred") != langid.UNDETERMINED) & (F.col("score") >= LEAST_SCORE) & F.coalesce(F.col("surprise") <= MOST_SURPRISE, F.lit(True))
     return found.filter(fits).select("__row.*")
 
 

@@ -23,6 +23,7 @@ CACHE_ENTRIES, SMOOTHING, UNKNOWN = 300_000, 0.1, 1e-8
 #: Expected counts are summed as whole millionths, so that sums don't depend on how the rows lie; words of more letters
 #: than SHORT are summed as logarithms, and this many letters are worked on at a time.
 MILLIONTHS, SHORT, TOGETHER = 1_000_000, 15, 400_000
+LEAST_PIECES = 20_000
 WORD = re.compile(r"[^\W\d_]+")
 UNDETERMINED = "und"
 _state: dict = {}
@@ -104,11 +105,14 @@ def train(labelled: DataFrame, path: str) -> tuple[list[str], np.ndarray]:
 
 
 def usual_surprise(path: str, table: np.ndarray) -> np.ndarray:
-    """What a letter of each language's own text costs on average: the entropy of its pieces over their length."""
+    """What a letter of each language's own text costs on average: the entropy of its pieces over their length. Infinite
+    where a language was learned from fewer than LEAST_PIECES pieces, too few to say what is usual."""
+    learned = SMOOTHING / table.min(axis=0, initial=1.0) - SMOOTHING * len(table)
     length = np.ones(len(table))
     for piece, i in _pieces(path).items():
         length[i] = len(piece)
-    return -(table * np.log(table)).sum(axis=0) / (table * length[:, None]).sum(axis=0)
+    usual = -(table * np.log(table)).sum(axis=0) / (table * length[:, None]).sum(axis=0)
+    return np.where(learned >= LEAST_PIECES, usual, np.inf)
 
 
 _STEP, _SPREAD = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
@@ -283,7 +287,8 @@ def predict_batches(batches: Iterator[pa.RecordBatch], path: str, model: tuple[l
                 best = int(p.argmax())
                 pred.append(langs[best])
                 score.append(float(p[best] / p.sum()))
-                surprise.append(float(-log[best] / (len(w) + sum(map(len, w))) / scorer.usual[best]))
+                cost = float(-log[best] / (len(w) + sum(map(len, w))) / scorer.usual[best])
+                surprise.append(cost if cost > 0 else None)
             keep = [c for c in batch.schema.names if c != "text"]
             yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in keep], pa.array(pred, pa.string()), pa.array(score, pa.float64()), pa.array(surprise, pa.float64())], [*keep, "lang_pred", "score", "surprise"])
 
@@ -308,7 +313,7 @@ def identify(docs: DataFrame, model: tuple[list[str], np.ndarray], path: str) ->
 
     score is the posterior of the predicted language under equal priors. surprise is what a letter of the text costs
     (its negative log probability) over what one costs on average in that language: about 1 for its own texts, more for
-    what no learned language fits, null for `und`. A text that is null or has no letter, or any
+    what no learned language fits; null for `und` and where too little was learned to tell. A text that is null or has no letter, or any
     text where no language was learned, is `und` with score 0. A null doc_id isn't held out. Repeated rows are
     predicted each; other columns, language and source among them, aren't read.
     """

@@ -38,7 +38,7 @@ def test_language_stage(spark, docs_of, odd):
 
 def test_language_stage_rejects_what_fits_no_language(spark, docs_of):
     rng = random.Random(2)
-    real = [(r.text, r.lang, "a") for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()]
+    real = [(r.text, r.lang, "a") for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect()]
     junk = [" ".join("".join(rng.choice("bcdfghjkqvwxzçłß") for _ in range(rng.randint(5, 9))) for _ in range(40)) for _ in range(4)] + ["ꙮꙮꙮ ꙋꙋꙋꙋ ꙮꙋꙮ"]
     got = {r.doc_id for r in STAGE["language"](spark, docs_of([*real, *[(t, None, "a") for t in junk]]), "").collect()}
     assert got == set(range(len(real)))
