@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from parkflow.llm.common import saved
+
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -50,19 +52,33 @@ def time_of(share, gradient):
 
 
 def mix_sources(docs: DataFrame, epochs: int = 3, weights: tuple[int, ...] = (1, 2, 3)) -> DataFrame:
-    """doc_id, source, size, source_size, target, taken and first_position for every row of docs(doc_id, text, source).
+    """doc_id, source, size, source_size, target, taken, first_position and positions for every row of
+    docs(doc_id, text, source), range-sorted by first_position.
 
     Within a source the documents stand in the order of a hash of doc_id. The mix goes through it as often as the
     target asks for; its last round ends at the word where the target is reached, so the document there gives its
-    first words only. A null or empty text has size 0 and nothing taken; a null source is a source. Repeated rows are
-    documents each. first_position (0 to 1) is null where nothing is taken.
+    first words only. positions has one place (0 to 1) in the training run for each round that takes words of the
+    document, and first_position is the first of them, null where nothing is taken. A null or empty text has size 0 and
+    nothing taken; a null source is a source. Repeated rows are documents each.
 
     The running sum is taken in two levels, within 4096 slices of each source by hash and over the slices' sums, so
-    no source is ordered by one task.
+    no source is ordered by one task. What is sorted are these numbers, without the texts.
     """
     out = placed(docs, epochs, weights)
-    place = time_of((F.col("start") + F.col("size") / 2) / F.greatest(F.col("target"), F.col("start") + F.col("size")), slope(F.col("weight")))
-    return out.select("doc_id", "source", "size", "source_size", "target", "taken", F.when(F.col("taken") > 0, place).alias("first_position"))
+    positions = F.transform(F.sequence(F.lit(0), F.lit(epochs - 1)), lambda r: F.when(words_of_round(r) > 0, _place(r)))
+    out = out.withColumn("positions", F.array_compact(positions))
+    out = saved(out.select("doc_id", "source", "size", "source_size", "target", "taken", F.get("positions", F.lit(0)).alias("first_position"), "positions"))
+    return out.repartitionByRange("first_position", "doc_id").sortWithinPartitions("first_position", "doc_id")
+
+
+def words_of_round(r: Column) -> Column:
+    """The words that round 0, 1, ... takes of a placed document."""
+    return F.greatest(F.lit(0), F.least(F.col("size"), F.floor("target") - r * F.col("source_size") - F.col("start")))
+
+
+def _place(r: Column) -> Column:
+    start = F.col("start") + r * F.col("source_size")
+    return time_of((start + F.col("size") / 2) / F.greatest(F.col("target"), start + F.col("size")), slope(F.col("weight")))
 
 
 def placed(docs: DataFrame, epochs: int = 3, weights: tuple[int, ...] = (1, 2, 3), ties: tuple[str, ...] = ()) -> DataFrame:
@@ -96,5 +112,13 @@ def place_of_copy(copy: Column) -> Column:
 
 
 def training_order(mix: DataFrame) -> DataFrame:
-    """What the mix takes, range-sorted by position: the files written from it follow the curriculum."""
+    """The documents that the mix takes, range-sorted by their first position: files written from it follow the
+    curriculum's first round."""
     return mix.filter("taken > 0").repartitionByRange(F.col("first_position"), F.col("doc_id")).sortWithinPartitions("first_position", "doc_id")
+
+
+def training_rounds(mix: DataFrame) -> DataFrame:
+    """What the mix takes, a row for each round with its position, range-sorted by it: files written from it follow the
+    whole curriculum."""
+    rounds = mix.withColumn("position", F.explode("positions")).drop("positions")
+    return rounds.repartitionByRange("position", "doc_id").sortWithinPartitions("position", "doc_id")

@@ -10,14 +10,21 @@ OP7 = """with v as (select vec_id, list_transform(embedding, lambda x: floor(256
  s as (select q.vec_id as query_id, c.vec_id, cast(list_dot_product(q.e, c.e) as bigint) as score from v q join v c on q.vec_id%50=0 and q.vec_id<>c.vec_id and len(q.e)=len(c.e)),
  r as (select *, cast(row_number() over (partition by query_id order by score desc, vec_id) as int) as rank from s) select query_id, rank, vec_id, score from r where rank<=5"""
 
+
+
+def _place(r: int) -> str:
+    share = f"((start+{r}*source_size+size/2)/greatest(target, start+{r}*source_size+size))"
+    return f"case when least(size, floor(target)-{r}*source_size-start)>0 then round(case when g=0 then {share} else (sqrt((1-g)*(1-g)+4*g*{share})-(1-g))/(2*g) end,9) end"
+
+
 OP8 = rf"""with d as (select doc_id, source, cast(len(regexp_extract_all(coalesce(text,''), '{WORD}')) as bigint) as size, md5(coalesce(cast(doc_id as varchar),'')) as rk from documents),
  s as (select source, cast(sum(size) as bigint) as source_size from d group by 1), w as (select *, (row_number() over (order by source nulls last)-1)%3+1 as weight from s), r as (select *, 3*source_size/weight as room from w),
  k as (select *, cast(sum(source_size) over () - 3*coalesce(sum(source_size) over (order by room, source nulls last rows between unbounded preceding and 1 preceding),0) as double) as lft, cast(sum(weight) over () - coalesce(sum(weight) over (order by room, source nulls last rows between unbounded preceding and 1 preceding),0) as double) as ws from r),
  f as (select lft/ws as share from k where lft/ws<=room order by room, lft, ws limit 1), t as (select source, source_size, weight, least(cast(3*source_size as double), weight*(select share from f)) as target from k),
  c as (select d.*, source_size, target, weight, cast(coalesce(sum(size) over (partition by d.source order by rk, doc_id, size rows between unbounded preceding and 1 preceding),0) as bigint) as start from d join t on d.source is not distinct from t.source),
- o as (select *, cast(case when source_size>0 then floor(floor(target)/source_size) else 0 end as bigint) as rounds, (start+size/2)/greatest(target, start+size) as share, case weight when 1 then -0.5 when 3 then 0.5 else 0.0 end as g from c),
+ o as (select *, cast(case when source_size>0 then floor(floor(target)/source_size) else 0 end as bigint) as rounds, case weight when 1 then -0.5 when 3 then 0.5 else 0.0 end as g from c),
  p as (select *, cast(rounds*size + greatest(0, least(size, floor(target)-rounds*source_size-start)) as bigint) as taken from o)
- select doc_id, source, size, source_size, target, taken, case when taken>0 then round(case when g=0 then share else (sqrt((1-g)*(1-g)+4*g*share)-(1-g))/(2*g) end,9) end as first_position from p"""
+ select doc_id, source, size, source_size, target, taken, {_place(0)} as first_position, {_place(1)} as second_position, {_place(2)} as third_position from p"""
 
 OP2 = rf"""with recursive w as (select doc_id, regexp_extract_all(translate(coalesce(text,''),'ABCDEFGHIJKLMNOPQRSTUVWXYZ','abcdefghijklmnopqrstuvwxyz'), '{WORD}') as w from documents where doc_id is not null),
  g as (select doc_id, list_distinct(case when len(w)=0 then [] when len(w)<3 then [array_to_string(w,' ')] else list_transform(range(1,len(w)-1), lambda i: w[i]||' '||w[i+1]||' '||w[i+2]) end) as g from w),

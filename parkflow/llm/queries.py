@@ -47,7 +47,9 @@ def op7_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mix_sources(table(spark, sf_dir, "documents")).withColumn("first_position", F.round("first_position", 9))
+    mix = mixing.mix_sources(table(spark, sf_dir, "documents"))
+    position = lambda r: F.round(F.get("positions", F.lit(r)), 9)
+    return mix.withColumns({"first_position": position(0), "second_position": position(1), "third_position": position(2)}).drop("positions")
 
 
 def op9_repeated_strings(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -120,6 +120,18 @@ def test_training_order_is_sorted(spark, docs_of):
     assert [r.first_position for r in order] == sorted(r.first_position for r in order)
 
 
+def test_every_round_has_its_position(docs_of):
+    mix = mixing.mix_sources(docs_of([("a b c d", "en", s) for s in "aaaaaaaabbc"]))
+    rows = mix.collect()
+    assert [r.first_position for r in rows] == sorted((r.first_position for r in rows), key=lambda x: (x is not None, x))
+    for r in rows:
+        assert len(r.positions) == -(-r.taken // r.size) and r.positions == sorted(r.positions)
+        assert r.first_position == (r.positions[0] if r.positions else None)
+    order = [r.position for r in mixing.training_rounds(mix).collect()]
+    assert order == sorted(order) == sorted(p for r in rows for p in r.positions)
+    assert max(len(r.positions) for r in rows) > 1
+
+
 def test_media_round_trip(spark, docs_of, odd):
     rows = [*odd, *texts(spark)[:60], bytes(range(128)).decode() * 100, "ÿ" * 5000]
     stored = media.store_media(docs_of(rows))

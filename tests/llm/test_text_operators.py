@@ -187,7 +187,7 @@ def test_long_and_unknown_words(docs_of):
         if len(word) < 60:
             assert all(math.isclose(got[0, j], math.log(plain_forward(word, pieces, table, j)), rel_tol=1e-9) for j in range(2))
     half = "".join(chr(0x1F00 + i % 3) for i in range(60))
-    rows = [("alpha " * 30, "a", "s"), ("omega " * 30, "b", "s")] * 600 + [("alpha" + half, None, "s"), ("omega" + "ꙮ" * 100, None, "s")]
+    rows = [("alpha " * 60, "a", "s"), ("omega " * 60, "b", "s")] * 600 + [("alpha" + half, None, "s"), ("omega" + "ꙮ" * 100, None, "s")]
     got = {r.doc_id: r for r in langid.identify_languages(docs_of(rows), path).collect()}
     assert (got[1200].lang_pred, got[1201].lang_pred) == ("a", "b")
     assert got[1201].surprise > 2 > got[0].surprise
