@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from parkflow.llm.pii import PART
+from parkflow.llm.pii import BONUS, CONTEXT, PART, SCORES, nearby
 
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -45,17 +45,23 @@ _VALID = {
 }
 
 
+def _score(kind: str) -> str:
+    base, words = SCORES[kind]
+    near = f"translate(substr(t, cast(greatest(1, s+1-{CONTEXT}) as bigint), cast(least({CONTEXT}, s) as bigint)),'ABCDEFGHIJKLMNOPQRSTUVWXYZ','abcdefghijklmnopqrstuvwxyz')"
+    return f"{round(100 * base)}+case when regexp_matches({near}, '{nearby(words)}') then {round(100 * BONUS)} else 0 end"
+
+
 def _op3() -> str:
     parts = []
     for rank, (kind, pattern) in enumerate(_SQL_PATTERNS.items()):
         parts.append(
-            f"select doc_id, {rank} as rank, '{kind}' as kind, s as start, s+len(v) as stop, v, regexp_replace(v,'[^0-9]','','g') as d, replace(v,' ','') as a, {_VALID[kind]} as ok from (select doc_id, m[i] as v, coalesce(list_sum(list_transform(g[1:i], lambda x: len(x))),0)+coalesce(list_sum(list_transform(m[1:i-1], lambda x: len(x))),0) as s "
-            f"from (select doc_id, m, g, unnest(range(1, len(m)+1)) as i from (select doc_id, regexp_extract_all(coalesce(text,''), '{pattern}') as m, string_split_regex(coalesce(text,''), '{pattern}') as g from documents)))"
+            f"select doc_id, {rank} as rank, '{kind}' as kind, s as start, s+len(v) as stop, v, {_score(kind)} as score, regexp_replace(v,'[^0-9]','','g') as d, replace(v,' ','') as a, {_VALID[kind]} as ok from (select doc_id, t, m[i] as v, coalesce(list_sum(list_transform(g[1:i], lambda x: len(x))),0)+coalesce(list_sum(list_transform(m[1:i-1], lambda x: len(x))),0) as s "
+            f"from (select doc_id, t, m, g, unnest(range(1, len(m)+1)) as i from (select doc_id, coalesce(text,'') as t, regexp_extract_all(coalesce(text,''), '{pattern}') as m, string_split_regex(coalesce(text,''), '{pattern}') as g from documents)))"
         )
     spans = " union all ".join(parts)
     joined = lambda where: f"coalesce(string_agg(kind||':'||cast(start as bigint)||':'||cast(stop as bigint), ',' order by start, rank, stop){where},'')"
     counts = ", ".join(f"count(*) filter (kind='{k}') as n_{k}" for k in ("email", "ip", "card", "phone"))
-    return f"with p as ({spans}), k as (select * from p where ok) select d.doc_id, {counts}, sha256({joined(' filter (rank<4)')}) as base_sha256, {joined('')} as spans from documents d left join k on k.doc_id=d.doc_id group by d.doc_id"
+    return f"with p as ({spans}), k as (select * from p where ok) select d.doc_id, {counts}, sha256({joined(' filter (rank<4)')}) as base_sha256, {joined('')} as spans, coalesce(string_agg(cast(score as varchar), ',' order by start, rank, stop),'') as scores from documents d left join k on k.doc_id=d.doc_id group by d.doc_id"
 
 
 ORACLE_SQL = {"op2_minhash_dedup": OP2, "op3_pii_spans": _op3(), "op7_exact_top_k": OP7, "op8_mix_sources": OP8}

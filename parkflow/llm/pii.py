@@ -25,6 +25,11 @@ SCORES = {"email": (0.9, "e-?mail|mail|contact|write"), "ip": (0.6, "ip|address|
 CONTEXT, BONUS = 40, 0.1
 
 
+def nearby(words: str) -> str:
+    """Pattern of one of the words, by itself, in a text without capitals A-Z."""
+    return rf"(?:^|[^a-z0-9_])(?:{words})(?:[^a-z0-9_]|$)"
+
+
 def luhn(digits: Column) -> Column:
     """Whether a string of digits passes the Luhn check."""
     def value(i: Column) -> Column:
@@ -82,10 +87,11 @@ def find_pii(texts: DataFrame, text: str = "text", into: str = "pii") -> DataFra
     spans = F.array_sort(F.concat(*[F.col(p(k, "s")) for k in PATTERNS]))
 
     def scored(s: Column) -> Column:
-        near = F.lower(F.substring(whole, F.greatest(F.lit(1), s["start"] + 1 - CONTEXT), F.least(F.lit(CONTEXT), s["start"])))
+        near = F.substring(whole, F.greatest(F.lit(1), s["start"] + 1 - CONTEXT), F.least(F.lit(CONTEXT), s["start"]))
+        near = F.translate(near, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
         score = F.lit(0.0)
         for k, (base, words) in SCORES.items():
-            score = F.when(s["kind"] == k, base + F.when(near.rlike(rf"\b(?:{words})\b"), BONUS).otherwise(0.0)).otherwise(score)
+            score = F.when(s["kind"] == k, base + F.when(near.rlike(nearby(words)), BONUS).otherwise(0.0)).otherwise(score)
         return s.withField("score", score)
 
     return df.withColumn(into, F.transform(spans, scored)).drop(*[p(k, x) for k in PATTERNS for x in "mgs"])

@@ -26,7 +26,9 @@ def op2_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_pii_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pii.scan_pii(table(spark, sf_dir, "documents")).drop("scores")
+    found = pii.scan_pii(table(spark, sf_dir, "documents"))
+    percent = F.transform("scores", lambda x: F.round(100 * x).cast("int").cast("string"))
+    return found.withColumn("scores", F.array_join(percent, ","))
 
 
 def op4_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
