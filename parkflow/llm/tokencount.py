@@ -2,15 +2,18 @@
 
 A text is split into pre-tokens (a run of spaces with the word after it, or a line break) that no piece of the
 vocabulary crosses, so the counts of the pre-tokens add up to the count of the text. Lengths come from a broadcast
-table of the pre-tokens that are pieces of the vocabulary themselves (the ones its training found frequent; its size is
-bounded by the vocabulary), else from a cache in the worker, else from the tokenizer. No pre-token is ever shuffled.
+table of the corpus's frequent pre-tokens, else from a cache in the worker, else from the tokenizer. The table has a
+fixed number of entries and is found by a first pass over all texts, in which a task keeps bounded counts and hands on
+a bounded number of its most frequent words; no stream of pre-tokens is ever shuffled.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -19,6 +22,8 @@ from parkflow.llm.common import task
 
 PRETOKEN = re.compile(r" *[^ \n]+|\n| +")
 CACHE_ENTRIES = 400_000
+#: Entries of the broadcast table and their most letters, words that a task hands on, and that it counts at a time.
+FREQUENT, LONGEST, FROM_A_TASK, COUNTED = 16_384, 64, 8_192, 200_000
 _models: dict = {}
 
 
@@ -58,13 +63,40 @@ def check_splittable(path: str) -> None:
             raise ValueError(f"piece {i} crosses words; this vocabulary can't be counted by pre-tokens")
 
 
-def frequent_lengths(path: str) -> dict[str, int]:
-    """Lengths of the pieces that can be a whole pre-token."""
-    check_splittable(path)
-    model = _model(path)
-    pieces = (model.id_to_piece(i).replace("▁", " ") for i in range(model.get_piece_size()) if not (model.is_control(i) or model.is_byte(i) or model.is_unknown(i)))
-    lengths = Lengths(model, {})
-    return {p: lengths[p] for p in pieces if p[0] == " " and PRETOKEN.fullmatch(p)}
+def frequent_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The most frequent words of a task, and how often they occur; rare ones are dropped on the way where there are
+    many, which can make a count too low but nothing wrong: the table only saves work."""
+    counts: Counter = Counter()
+    for batch in batches:
+        for text in batch.column("text"):
+            counts.update((text.as_py() or "").split())
+            if len(counts) > COUNTED:
+                counts = Counter(dict(counts.most_common(COUNTED // 2)))
+    top = [(w, n) for w, n in counts.most_common(FROM_A_TASK) if len(w) <= LONGEST]
+    yield pa.RecordBatch.from_arrays([pa.array([w for w, _ in top], pa.string()), pa.array([n for _, n in top], pa.int64())], ["word", "n"])
+
+
+def frequent_words(docs: DataFrame, size: int = FREQUENT) -> list[str]:
+    """The most frequent words of docs(text), at most `size`; ties by the word."""
+    found = docs.select("text").mapInArrow(task("parkflow.llm.tokencount", "frequent_batches"), "word string, n long")
+    top = found.groupBy("word").agg(F.sum("n").alias("n")).orderBy(F.col("n").desc(), "word").limit(size)
+    return [r.word for r in top.select("word").collect()]
+
+
+class LengthTable:
+    """A compact table of pre-tokens (words with a space ahead) and their numbers of tokens: the words as one run of
+    bytes in order, and a small number each."""
+
+    def __init__(self, words: list[str], path: str):
+        check_splittable(path)
+        lengths = Lengths(_model(path), {})
+        words = sorted({w for w in words if PRETOKEN.fullmatch(f" {w}") and "▁" not in w})
+        self.words = "\n".join(words).encode()
+        self.lengths = np.array([min(lengths[f" {w}"], 65_535) for w in words], np.uint16)
+
+    def open(self) -> dict[str, int]:
+        words = self.words.decode().split("\n") if self.words else []
+        return {f" {w}": n for w, n in zip(words, self.lengths.tolist()) if n < 65_535}
 
 
 _lengths: dict[str, Lengths] = {}
@@ -76,9 +108,10 @@ def count(text: str | None, lengths: Lengths) -> int:
     return sum(map(lengths.__getitem__, PRETOKEN.findall(" " + text.replace("▁", " "))))
 
 
-def count_batches(batches: Iterator[pa.RecordBatch], path: str, frequent: dict[str, int], limit: int) -> Iterator[pa.RecordBatch]:
-    if path not in _lengths:
-        _lengths[path] = Lengths(_model(path), frequent)
+def count_batches(batches: Iterator[pa.RecordBatch], path: str, frequent: LengthTable, limit: int) -> Iterator[pa.RecordBatch]:
+    if path not in _lengths or _lengths[path].tier_one != frequent.words:  # what a worker has encoded outlives its tasks
+        _lengths[path] = Lengths(_model(path), frequent.open())
+        _lengths[path].tier_one = frequent.words
     lengths = _lengths[path]
     for batch in batches:
         n = [count(t.as_py(), lengths) for t in batch.column("text")]
@@ -90,7 +123,7 @@ def count_tokens(docs: DataFrame, model_path: str, limit: int = 4096) -> DataFra
 
     A null or empty text has 0 bytes and 0 tokens. Repeated rows are counted each; other columns are ignored.
     """
-    frequent = docs.sparkSession.sparkContext.broadcast(frequent_lengths(model_path))
+    frequent = docs.sparkSession.sparkContext.broadcast(LengthTable(frequent_words(docs), model_path))
     rows = docs.select("doc_id", "text", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"))
     kind = docs.schema["doc_id"].dataType.simpleString()
     return rows.mapInArrow(task("parkflow.llm.tokencount", "count_batches", path=model_path, frequent=frequent, limit=limit), f"doc_id {kind}, n_bytes long, n_tokens long, over_limit boolean")

@@ -30,6 +30,15 @@ def test_token_counts(spark, docs_of, odd):
         assert (got[i].n_bytes, got[i].n_tokens, got[i].over_limit) == (len((t or "").encode()), n, n > 4096), t
 
 
+def test_frequent_words_come_from_the_corpus(spark, docs_of, odd):
+    words = tokencount.frequent_words(docs_of(["b a a c", "c a  c\nb d", None, "", "a" * 90, "▁x ▁x ▁x ▁x"]), 3)
+    assert words == ["▁x", "a", "c"]
+    table = tokencount.LengthTable([*words, "internationally"], PATHS["piece"])
+    lengths = tokencount.Lengths(tokencount._model(PATHS["piece"]), {})
+    assert table.open() == {f" {w}": lengths[f" {w}"] for w in ("a", "c", "internationally")} and max(table.open().values()) > 1
+    assert tokencount.LengthTable([], PATHS["piece"]).open() == {} and tokencount.frequent_words(docs_of(["x"]).limit(0)) == []
+
+
 def test_packing(spark, docs_of, odd):
     from tokenizers import Tokenizer
 
