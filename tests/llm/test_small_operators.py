@@ -78,6 +78,61 @@ def test_evolution_never_loses_items():
     assert len(packing.evolve(lengths, 1000, 1, [a, b]).bins) <= min(len(a.bins), len(b.bins))
 
 
+def triplets(seed, n):
+    """Items of which three fill a bin each, so that n bins are enough."""
+    import random
+
+    rng = random.Random(seed)
+    out = []
+    for _ in range(n):
+        a, b = rng.randint(260, 480), rng.randint(260, 370)
+        out += [a, b, 1000 - a - b]
+    rng.shuffle(out)
+    return out
+
+
+def uniform(seed):
+    import random
+
+    rng = random.Random(seed)
+    return [rng.randint(150, 600) for _ in range(45)]
+
+
+@pytest.mark.parametrize("kind", ["triplets", "uniform"])
+def test_islands_beat_best_fit(spark, kind):
+    """What best fit of the longest first needs, islands apart, and islands that send each other their best."""
+    make = (lambda s: triplets(s, 40)) if kind == "triplets" else uniform
+    data = {shard: make(shard) for shard in range(8)}
+    rows = [(shard, 1000 * shard + i, n) for shard, own in data.items() for i, n in enumerate(own)]
+    items = spark.createDataFrame(rows, "shard long, item long, length int")
+    used = {}
+    for rounds in (0, 3):
+        got = packing.search(items, 1000, islands=2, rounds=rounds).collect()
+        fill = defaultdict(int)
+        for r in got:
+            fill[r.shard, r.bin] += r.length
+        assert sorted((r.shard, r.item, r.length) for r in got) == sorted(rows) and max(fill.values()) <= 1000
+        used[rounds] = len(fill)
+    plain = 0
+    for own in data.values():
+        bins = packing.Bins(own, 1000)
+        bins.best_fit(sorted(range(len(own)), key=lambda x: -own[x]))
+        plain += len(bins.bins)
+    assert used[3] <= used[0] < plain
+    assert used[3] < used[0] or kind == "triplets"
+
+
+def test_leftovers_of_shards_are_packed_together(spark):
+    rows = [(100 + i % 7,) for i in range(400)]
+    pieces = spark.createDataFrame(rows, "length int")
+    got = packing.pack_pieces(pieces, 1000, shard_rows=20).collect()
+    fill = defaultdict(int)
+    for r in got:
+        fill[r.sequence_id] += r.length
+    assert len(got) == 400 and max(fill.values()) <= 1000
+    assert len(fill) <= 400 // 9 + 3  # nine fit; each of the 20 shards would leave one part-filled
+
+
 def plain_targets(sizes, epochs=3):
     names = sorted((s for s in sizes if s is not None), key=lambda s: s.encode()) + [None] * (None in sizes)
     weight = {s: i % 3 + 1 for i, s in enumerate(names)}
