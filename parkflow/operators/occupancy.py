@@ -32,7 +32,7 @@ def running_occupancy(events: DataFrame) -> DataFrame:
     run = run.select("site", "t", "entity_id", "step", (F.col("i") + F.col("i_before")).alias("entered_total"), (F.col("o") + F.col("o_before")).alias("exited_total"))
     run = run.withColumn("running", F.col("entered_total") - F.col("exited_total"))
     lift = run.groupBy("site").agg((-F.least(F.lit(0), F.min("running"))).alias("lift"))
-    return run.join(F.broadcast(lift), "site").withColumn("occupancy", F.col("running") + F.col("lift")).drop("running", "lift")
+    return run.join(lift, "site").withColumn("occupancy", F.col("running") + F.col("lift")).drop("running", "lift")
 
 
 def occupancy_stats(timeline: DataFrame) -> DataFrame:

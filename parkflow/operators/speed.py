@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from parkflow.functions.geometry import Box, motion_direction, pixel_speed
 from parkflow.functions.labels import class_label, relative_error_bucket
 from parkflow.operators.filters import report_scope
+from parkflow.tables import numbered
 
 
 def majority_type(detections: DataFrame, *keys: str) -> DataFrame:
@@ -86,9 +87,7 @@ def summarize_by_video(entities: DataFrame) -> DataFrame:
 
 def labels_to_reports(reports: DataFrame, labels: DataFrame) -> DataFrame:
     """reports(report) in order of path with labels(pos, label), else `Report n`."""
-    w = Window.partitionBy(F.lit(0)).orderBy("report")
-    numbered = reports.withColumn("pos", F.row_number().over(w) - 1)
-    return numbered.join(labels, "pos", "left").select("report", F.coalesce("label", F.concat(F.lit("Report "), (F.col("pos") + 1).cast("string"))).alias("label"))
+    return numbered(reports, ["report"]).join(labels, "pos", "left").select("report", F.coalesce("label", F.concat(F.lit("Report "), (F.col("pos") + 1).cast("string"))).alias("label"))
 
 
 def speed_accuracy(pairs: DataFrame, tolerance: float = 0.2) -> DataFrame:

@@ -161,16 +161,24 @@ def track_motion(tracked: DataFrame, compat: bool = False) -> DataFrame:
     return ends.select(F.col("new_id").alias("entity_id"), "n", pixel_speed(a, b, seconds, horizontal=True).alias("raw_speed"), F.when(F.col("n") > 1, way).alias("direction_lr"))
 
 
-def similarity_candidates(detections: DataFrame, gallery: DataFrame, similarity: Column, max_gap: float | None = None) -> DataFrame:
+def similarity_candidates(detections: DataFrame, gallery: DataFrame, similarity: Column, max_gap: float | None = None, block: int = 4096) -> DataFrame:
     """det, entity_id and the best similarity of a detection to each entity's exemplars (of one camera, within
     max_gap). Columns of detections are prefixed d_, those of the gallery g_. With max_gap, rows meet in time buckets of
-    one gap and their neighbours only."""
+    one gap and their neighbours only. Without, every detection meets every exemplar of its camera: both sides are cut
+    into blocks, and each pair of blocks is dealt apart, so a busy camera isn't one task."""
     on = F.col("d_camera") == F.col("g_camera")
     if max_gap is not None:
         bucket = lambda t: F.floor(F.col(t) / max(max_gap, 1e-9))
         detections = detections.withColumn("__d", bucket("d_t"))
         gallery = gallery.withColumn("__g", F.explode(F.array(bucket("g_t") - 1, bucket("g_t"), bucket("g_t") + 1)))
         on = on & (F.col("__d") == F.col("__g")) & (F.abs(F.col("d_t") - F.col("g_t")) <= max_gap)
+    else:
+        n_d, n_g = (-(-df.count() // block) or 1 for df in (detections, gallery))
+        part = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n))
+        every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+        detections = detections.withColumn("__d", part("d_id", n_d)).withColumn("__e", every(n_g))
+        gallery = gallery.withColumn("__g", every(n_d)).withColumn("__h", part("g_entity", n_g))
+        on = on & (F.col("__d") == F.col("__g")) & (F.col("__e") == F.col("__h"))
     return detections.join(gallery, on).withColumn("__s", similarity).groupBy("d_id", "g_entity").agg(F.max("__s").alias("similarity"))
 
 
@@ -191,11 +199,12 @@ def _reidentify(threshold: float, ratio: float, max_gap: float | None) -> Callab
         unit = np.divide(unit, norm, out=unit, where=norm > 0)
         times, ids, n = rows["t"].to_numpy(float), np.zeros(len(rows), np.int64), 0
         for i in range(len(rows)):
-            near = np.arange(i) if max_gap is None else np.flatnonzero(times[:i] >= times[i] - max_gap)
-            scores: dict[int, float] = {}
-            for k, s in zip(ids[near], unit[near] @ unit[i]):
-                scores[k] = max(scores.get(k, -1.0), s)
-            ranked = sorted(scores.items(), key=lambda x: (-x[1], x[0]))
+            since = 0 if max_gap is None else int(np.searchsorted(times[:i], times[i] - max_gap, "left"))
+            known, which = np.unique(ids[since:i], return_inverse=True)
+            best = np.full(len(known), -1.0)
+            np.maximum.at(best, which, unit[since:i] @ unit[i])
+            first = np.lexsort((known, -best))[:2]
+            ranked = [(int(known[k]), float(best[k])) for k in first]
             ok = bool(ranked) and ranked[0][1] >= threshold
             if ok and len(ranked) > 1 and ranked[1][1] > -1:
                 ok = max(1 - ranked[0][1], 1e-6) / max(1 - ranked[1][1], 1e-6) <= ratio
@@ -208,8 +217,9 @@ def _reidentify(threshold: float, ratio: float, max_gap: float | None) -> Callab
 
 def reidentify(profiles: DataFrame, threshold: float = 0.75, ratio: float = 0.8, max_gap: float | None = None) -> DataFrame:
     """profiles(camera, profile_id, t, feature) with entity_id: in order of time each joins the best earlier entity or
-    opens a new one. With max_gap, silent gaps split a camera's time into parts that are folded apart; ids follow one
-    another, so they don't depend on how the data lie."""
+    opens a new one. With max_gap, silent gaps split a camera's time into parts that are folded apart, and a row looks at
+    the rows within the gap only; ids follow one another, so they don't depend on how the data lie. Without it each row
+    looks at all before it, as the rule says: that grows with the square of a camera's rows, in one task."""
     cols = ["camera", "profile_id", "t", "feature"]
     rows = profiles.select(*cols)
     parts = rows.withColumn("segment", F.lit(0).cast("long")) if max_gap is None else _parts(segment_by_gap(rows, ["camera"], "t", max_gap, strict=True))

@@ -219,15 +219,15 @@ def _tagged(found: dict[str, DataFrame], key: str) -> DataFrame:
  union all select distinct 'type', entity_id from instance where type_id=3
  union all select 'cluster_size', entity_id from entity where cluster in (select cluster from entity group by 1 having count(*) between 2 and 3)
  union all select 'sightings', entity_id from instance where confidence>=0.4 group by entity_id having count(*) between 10 and 60
- union all select distinct 'left', entity_id from instance where direction_lr=-1 and entity_id%7=0
- union all select distinct 'unknown', entity_id from instance where (direction_lr=0 or direction_fb=0) and entity_id%11=0
+ union all select distinct 'left', entity_id from instance where direction_lr=-1
+ union all select distinct 'unknown', entity_id from instance where direction_lr=0 or direction_fb=0
  union all select 'speed', entity_id from entity where raw_c between 100000 and 300000""")
 def c_entities(spark, sf_dir):
     """C11-C17."""
     image, instance, entity = _catalog(spark, sf_dir)
     found = {
         "dates": filters.entities_in_dates(instance, image, 1704412800, 1704499200), "dates_compat": filters.entities_in_dates(instance, image, 1704412800, 1704499200, compat=True), "time": filters.entities_in_time(instance, image, 3600, 5400), "type": filters.entities_of_type(instance, 3),
-        "cluster_size": filters.entities_by_cluster_size(entity, 2, 3), "sightings": filters.entities_by_sightings(instance, 0.4, 10, 60), "left": filters.entities_by_direction(instance.filter("entity_id % 7 = 0"), "left"), "unknown": filters.entities_by_direction(instance.filter("entity_id % 11 = 0"), "unknown"), "speed": filters.entities_by_speed(entity, 100000, 300000, "raw_c"),
+        "cluster_size": filters.entities_by_cluster_size(entity, 2, 3), "sightings": filters.entities_by_sightings(instance, 0.4, 10, 60), "left": filters.entities_by_direction(instance, "left"), "unknown": filters.entities_by_direction(instance, "unknown"), "speed": filters.entities_by_speed(entity, 100000, 300000, "raw_c"),
     }
     return _tagged(found, "entity_id")
 
@@ -252,7 +252,7 @@ def c_expression(spark, sf_dir):
 def c_profiling(spark, sf_dir):
     """C19."""
     df = view(spark, sf_dir, "labeled_image").withColumnRenamed("name", "path")
-    return filters.images_for_profiling(df, ["8"], "RIGHT_LEFT").filter("event_id % 6 <> 3").select(F.col("path").alias("name"))
+    return filters.images_for_profiling(df, ["8"], "RIGHT_LEFT").select(F.col("path").alias("name"))
 
 
 # Joins and catalogue
@@ -419,15 +419,15 @@ def e_plate_dwell_fuzzy(spark, sf_dir):
     return plates.plate_dwell(_readings(spark, sf_dir), 1).select("plate_text", "variants", "entry", "exit", "sightings")
 
 
-@query("""with recursive r as (select plate_text, t_us/1e6 as t, img_path, row_number() over (order by plate_text, t_us, img_path) as id from plate_reading where plate_text is not null and img_path like 'cam0%'),
- e as (select a.id as a, b.id as b from r a join r b on levenshtein(a.plate_text,b.plate_text)<=1 and abs(a.t-b.t)<=200000),
+@query("""with recursive r as (select plate_text, t_us/1e6 as t, img_path, row_number() over (order by plate_text, t_us, img_path) as id from plate_reading where plate_text is not null),
+ e as (select a.id as a, b.id as b from r a join r b on levenshtein(a.plate_text,b.plate_text)<=1 and abs(a.t-b.t)<=100000),
  reach as (select id as a, id as b from r union select reach.a, least(reach.b, m.b) from reach join (select a, min(b) as b from e group by 1) m on reach.b=m.a),
  c as (select a, min(b) as g from reach group by 1),
  reach2 as (select a as a, g as b from c union select reach2.a, least(reach2.b, x.g) from reach2 join (select c1.g as h, min(c2.g) as g from e join c c1 on e.a=c1.a join c c2 on e.b=c2.a group by 1) x on reach2.b=x.h), c2 as (select a, min(b) as g from reach2 group by 1)
  select min(t) as entry, max(t) as exit, count(*) as sightings from r join c2 on r.id=c2.a group by c2.g having count(*)>=2""")
 def e_plate_dwell_gap(spark, sf_dir):
     """D12 with a gap, E16, E17."""
-    return plates.plate_dwell(_readings(spark, sf_dir).filter("img_path like 'cam0%'"), 1, 200_000.0).select("entry", "exit", "sightings")
+    return plates.plate_dwell(_readings(spark, sf_dir), 1, 100_000.0).select("entry", "exit", "sightings")
 
 
 @query()
@@ -764,27 +764,27 @@ def i_track_catalog(spark, sf_dir):
 
 @query()
 def i_reidentify(spark, sf_dir):
-    """I4, I8, I11."""
+    """I4."""
     p = view(spark, sf_dir, "profile")
     return tracking.reidentify(p.select("camera", F.col("vec_id").alias("profile_id"), "t", F.col("embedding").alias("feature")), 0.3, 0.99, 500.0)
 
 
-@query("""with s as (select a.vec_id as d_id, b.label as g_entity, max(list_dot_product(cast(a.embedding as double[]), cast(b.embedding as double[]))) as similarity from profile a join profile b on a.camera=b.camera and a.vec_id%10=0 and b.vec_id%10<>0 and abs(a.t-b.t)<=400 group by 1,2),
+@query("""with s as (select a.vec_id as d_id, b.label as g_entity, max(case when a.vec_id=b.vec_id then -1 else list_dot_product(cast(a.embedding as double[]), cast(b.embedding as double[])) end) as similarity from profile a join profile b on a.camera=b.camera group by 1,2),
  r as (select *, row_number() over (partition by d_id order by similarity desc, g_entity) as r, lead(similarity) over (partition by d_id order by similarity desc, g_entity) as second from s)
- select d_id, g_entity, round(similarity,6) as similarity from r where r=1 and similarity>=0.1 and (second is null or second<=-1 or greatest(1-similarity,1e-6)/greatest(1-second,1e-6)<=0.98)""")
+ select d_id, g_entity, round(similarity,6) as similarity from r where r=1 and similarity>=0.2 and (second is null or second<=-1 or greatest(1-similarity,1e-6)/greatest(1-second,1e-6)<=0.95)""")
 def g_best_match(spark, sf_dir):
-    """D20, G6."""
+    """D20, G6 of every profile against all others of its camera, at any time."""
     p = view(spark, sf_dir, "profile")
-    side = lambda df, s: df.select(F.col("camera").alias(f"{s}_camera"), F.col("t").alias(f"{s}_t"), F.col("vec_id").alias(f"{s}_id"), F.col("label").alias(f"{s}_entity"), F.col("embedding").alias(f"{s}_v"))
-    found = tracking.similarity_candidates(side(p.filter("vec_id % 10 = 0"), "d"), side(p.filter("vec_id % 10 <> 0"), "g"), vectors.cosine(F.col("d_v"), F.col("g_v")), 400)
-    return _rounded(tracking.best_match(found, 0.1, 0.98), similarity=6)
+    side = lambda s: p.select(F.col("camera").alias(f"{s}_camera"), F.col("vec_id").alias(f"{s}_id"), F.col("label").alias(f"{s}_entity"), F.col("embedding").alias(f"{s}_v"))
+    other = F.when(F.col("d_id") == F.col("g_id"), -1.0).otherwise(vectors.cosine(F.col("d_v"), F.col("g_v")))
+    return _rounded(tracking.best_match(tracking.similarity_candidates(side("d"), side("g"), other), 0.2, 0.95), similarity=6)
 
 
 @query("""with s as (select a.vec_id as d_id, b.label as g_entity, max(case when a.vec_id=b.vec_id then -1 else list_dot_product(cast(a.embedding as double[]), cast(b.embedding as double[])) end) as similarity from profile a join profile b on a.camera=b.camera and abs(a.t-b.t)<=400 group by 1,2),
  r as (select *, row_number() over (partition by d_id order by similarity desc, g_entity) as r, lead(similarity) over (partition by d_id order by similarity desc, g_entity) as second from s)
  select d_id, g_entity, round(similarity,6) as similarity from r where r=1 and similarity>=0.1 and (second is null or second<=-1 or greatest(1-similarity,1e-6)/greatest(1-second,1e-6)<=0.98)""")
 def g_best_match_all(spark, sf_dir):
-    """D20, G6 of every profile against all others."""
+    """D20, G6 of every profile against all others within a time."""
     p = view(spark, sf_dir, "profile")
     side = lambda s: p.select(F.col("camera").alias(f"{s}_camera"), F.col("t").alias(f"{s}_t"), F.col("vec_id").alias(f"{s}_id"), F.col("label").alias(f"{s}_entity"), F.col("embedding").alias(f"{s}_v"))
     other = F.when(F.col("d_id") == F.col("g_id"), -1.0).otherwise(vectors.cosine(F.col("d_v"), F.col("g_v")))
@@ -798,7 +798,13 @@ def _matched(spark, sf_dir) -> DataFrame:
     return pairs.join(cars.drop("t"), ["recording", "car_id"]).join(tracks.drop("t"), ["recording", "track_id"])
 
 
-@query()
+NEAREST = """cars as (select recording, car_id, cross_cs, row_number() over (partition by recording order by cross_cs, car_id) as i from gt_car),
+ c as (select recording, i, list({'d': d, 'track': track_id} order by d, track_id) as near from (select cars.recording, i, abs(cross_cs-last_cs) as d, track_id from cars left join gt_track t on t.recording=cars.recording and last_cs/100.0>=cross_cs/100.0-0.5 and last_cs/100.0<=cross_cs/100.0+0.5) q group by 1,2),
+ f as (select recording, 0 as i, [0]::bigint[] as taken, 0::bigint as track from (select distinct recording from cars) q
+  union all select f.recording, c.i, case when x is null then f.taken else list_append(f.taken, x) end, x from (select f.*, c.i as j, list_filter(c.near, lambda n: n.track is not null and not list_contains(f.taken, n.track))[1].track as x from f join c on c.recording=f.recording and c.i=f.i+1) f join c on c.recording=f.recording and c.i=f.j)"""
+
+
+@query(f"with recursive {NEAREST} select cars.recording, car_id, track as track_id from f join cars on cars.recording=f.recording and cars.i=f.i where track is not null and f.i>0")
 def d_nearest_match(spark, sf_dir):
     """D13."""
     return _matched(spark, sf_dir).select("recording", "car_id", "track_id")
@@ -821,7 +827,10 @@ def d_reference_box(spark, sf_dir):
     return _rounded(tracking.match_reference_box(boxes, known).drop("label"), iou=9)
 
 
-@query()
+@query("""with recursive s as (select video, frame_index, count(*) filter (class_id=7) as n, row_number() over (partition by video order by frame_index) as i from detection where frame_index%2=0 group by 1,2),
+ f as (select video, i, frame_index, true as kept, case when n=0 then 3 else 0 end as rest from s where i=1
+  union all select s.video, s.i, s.frame_index, f.rest=0, case when f.rest>0 then f.rest-1 when s.n=0 then 3 else 0 end from f join s on s.video=f.video and s.i=f.i+1)
+ select video, frame_index from f where kept""")
 def c_adaptive(spark, sf_dir):
     """C4."""
     frames = view(spark, sf_dir, "detection").groupBy("video", "frame_index").agg(F.count_if(F.col("class_id") == 7).alias("detections"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from parkflow.functions.clock import parse_clock_text
 from parkflow.functions.geometry import box_from_corners
+from parkflow.tables import numbered
 
 VIDEO_DETECTION = "frame_index int, box array<double>, class_id int, label string, confidence double"
 ENTITY = "video string, entity_id int, direction string, entity_type int, relative_speed double, absolute_speed double"
@@ -111,10 +112,7 @@ def check_start_times(times: DataFrame | None, videos: DataFrame) -> None:
 
 def attach_start_times(videos: DataFrame, times: DataFrame) -> DataFrame:
     """The i-th time to the i-th video by path."""
-    from pyspark.sql import Window
-
-    numbered = videos.withColumn("pos", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("video")) - 1)
-    return numbered.join(times, "pos", "left").drop("pos")
+    return numbered(videos, ["video"]).join(times, "pos", "left").drop("pos")
 
 
 def attach_detections(videos: DataFrame, detections: DataFrame) -> DataFrame:

@@ -5,7 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -35,3 +36,15 @@ def dropped(table: DataFrame) -> None:
     """Delete a table made by `written` that no later plan reads, such as the last round's of an iteration."""
     path = table.sparkSession._jvm.org.apache.hadoop.fs.Path(table._parkflow_path)
     path.getFileSystem(table.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+
+
+def numbered(df: DataFrame, by: list[str], into: str = "pos") -> DataFrame:
+    """df with the number of each row, from 0, in the order of some columns.
+
+    The rows are range-sorted and written; only the parts' sizes, one row each, are summed in one place.
+    """
+    parts = df.repartitionByRange(*by).sortWithinPartitions(*by).select("*", F.spark_partition_id().alias("__part"), F.monotonically_increasing_id().bitwiseAND(2**33 - 1).alias("__at"))
+    parts = written(parts)
+    before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = parts.groupBy("__part").agg(F.count("*").alias("n")).select("__part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("__before"))
+    return parts.join(sizes, "__part").withColumn(into, F.col("__before") + F.col("__at")).drop("__part", "__at", "__before")
