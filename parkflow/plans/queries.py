@@ -799,7 +799,7 @@ def _matched(spark, sf_dir) -> DataFrame:
 
 
 NEAREST = """cars as (select recording, car_id, cross_cs, row_number() over (partition by recording order by cross_cs, car_id) as i from gt_car),
- c as (select recording, i, list({'d': d, 'track': track_id} order by d, track_id) as near from (select cars.recording, i, abs(cross_cs-last_cs) as d, track_id from cars left join gt_track t on t.recording=cars.recording and last_cs/100.0>=cross_cs/100.0-0.5 and last_cs/100.0<=cross_cs/100.0+0.5) q group by 1,2),
+ c as (select recording, i, list({'d': d, 'track': track_id} order by d, track_id) as near from (select cars.recording, i, abs(last_cs/100.0-cross_cs/100.0) as d, track_id from cars left join gt_track t on t.recording=cars.recording and last_cs/100.0>=cross_cs/100.0-0.5 and last_cs/100.0<=cross_cs/100.0+0.5) q group by 1,2),
  f as (select recording, 0 as i, [0]::bigint[] as taken, 0::bigint as track from (select distinct recording from cars) q
   union all select f.recording, c.i, case when x is null then f.taken else list_append(f.taken, x) end, x from (select f.*, c.i as j, list_filter(c.near, lambda n: n.track is not null and not list_contains(f.taken, n.track))[1].track as x from f join c on c.recording=f.recording and c.i=f.i+1) f join c on c.recording=f.recording and c.i=f.j)"""
 
