@@ -835,3 +835,6 @@ def c_adaptive(spark, sf_dir):
     """C4."""
     frames = view(spark, sf_dir, "detection").groupBy("video", "frame_index").agg(F.count_if(F.col("class_id") == 7).alias("detections"))
     return filters.adaptive_downsample(frames, 2, 3)
+
+
+from parkflow.plans import exchange  # noqa: E402, F401  (registers the queries over files and streams)
