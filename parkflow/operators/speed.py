@@ -45,7 +45,7 @@ def relative_speed(entities: DataFrame, raw: str = "raw_speed") -> DataFrame:
     return entities.crossJoin(F.broadcast(top)).withColumn("relative_speed", share).drop("__top")
 
 
-def reference_scale(entities: DataFrame, entity_id: int, speed: float, video: str | None = None) -> DataFrame:
+def reference_scale(entities: DataFrame, entity_id: int | Column, speed: float, video: str | None = None) -> DataFrame:
     """scale, as one row, from the one entity whose speed is known. Errors say what is wrong with it."""
     own = entities.filter(F.col("entity_id") == entity_id)
     named = own if video is None else own.filter(F.col("video") == video)
@@ -55,7 +55,7 @@ def reference_scale(entities: DataFrame, entity_id: int, speed: float, video: st
     return found.crossJoin(where).select(F.when(fault.isNotNull(), F.raise_error(fault).cast("double")).otherwise(speed / F.when(F.col("relative") > 0, F.col("relative"))).alias("scale"))
 
 
-def calibrate_speed(entities: DataFrame, entity_id: int, speed: float, video: str | None = None, entity_type: int | None = None, direction: str | None = None) -> DataFrame:
+def calibrate_speed(entities: DataFrame, entity_id: int | Column, speed: float, video: str | None = None, entity_type: int | None = None, direction: str | None = None) -> DataFrame:
     """entities(video, entity_id, direction, entity_type, relative_speed, absolute_speed) with absolute speeds where
     type and direction are those asked for; others keep theirs."""
     scope = report_scope(entities, entity_type, direction)

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from parkflow.functions import clock, geometry, labels, vectors
 from parkflow.functions.geometry import Box
 from parkflow.operators import catalog, filters, graph, histograms, occupancy, plates, scoring, speed, tracking
+from parkflow.plans import reports
 from parkflow.plans.fixtures import view, with_views
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -526,7 +527,7 @@ CALIBRATED = """v as (select video, entity_id, direction, entity_type, cast(raw_
 
 def _calibrated(spark, sf_dir) -> DataFrame:
     df = _entities(spark, sf_dir)
-    first = df.filter("direction = 'left'").agg(F.min("entity_id")).first()[0]
+    first = df.filter("direction = 'left'").agg(F.min("entity_id")).scalar()
     return speed.calibrate_speed(df, first, 60.0, direction="Left")
 
 
@@ -765,8 +766,25 @@ def i_track_catalog(spark, sf_dir):
 @query()
 def i_reidentify(spark, sf_dir):
     """I4."""
-    p = view(spark, sf_dir, "profile")
-    return tracking.reidentify(p.select("camera", F.col("vec_id").alias("profile_id"), "t", F.col("embedding").alias("feature")), 0.3, 0.99, 500.0)
+    return tracking.reidentify(_features(spark, sf_dir), 0.3, 0.99, 500.0)
+
+
+def _features(spark, sf_dir) -> DataFrame:
+    return view(spark, sf_dir, "profile").select("camera", F.col("vec_id").alias("profile_id"), "t", F.col("embedding").alias("feature"))
+
+
+@query()
+def i_profile(spark, sf_dir):
+    """I11."""
+    return reports.run_profile(_features(spark, sf_dir), threshold=0.3, ratio=0.99, max_gap=500.0)
+
+
+@query()
+def i_occupancy(spark, sf_dir):
+    """I8: profiles are seen at the entry and the exit in turn."""
+    p = _features(spark, sf_dir).withColumn("side", (F.col("profile_id") / 4).cast("long") % 2)
+    entry, exit_ = (p.filter(F.col("side") == k).drop("side") for k in (0, 1))
+    return reports.run_occupancy(entry, exit_, threshold=0.3, ratio=0.99, max_gap=500.0)[0]
 
 
 @query("""with s as (select a.vec_id as d_id, b.label as g_entity, max(case when a.vec_id=b.vec_id then -1 else list_dot_product(cast(a.embedding as double[]), cast(b.embedding as double[])) end) as similarity from profile a join profile b on a.camera=b.camera group by 1,2),

@@ -10,9 +10,18 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 
-def stream_new_media(paths: DataFrame) -> DataFrame:
-    """Each path once."""
-    return paths.dropDuplicates(["path"])
+def stream_new_media(paths: DataFrame, late: str | None = None) -> DataFrame:
+    """Each path once. With `late`, paths(path, modified) are remembered only until the watermark of `modified` has
+    passed them, so state doesn't grow for ever; without it every path is remembered."""
+    if late is None:
+        return paths.dropDuplicates(["path"])
+    return paths.withWatermark("modified", late).dropDuplicatesWithinWatermark(["path"])
+
+
+def late_rows(progress: list[dict]) -> int:
+    """How many rows came behind the watermark and were dropped, from a query's progress reports (recentProgress, or a
+    listener's for a long run). A stream with two stateful steps counts what either drops."""
+    return sum(o["numRowsDroppedByWatermark"] for p in progress for o in p["stateOperators"])
 
 
 def stream_dwell(readings: DataFrame, gap: str, late: str) -> DataFrame:
@@ -41,7 +50,12 @@ def _occupancy(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Itera
 
 
 def stream_occupancy(events: DataFrame) -> DataFrame:
-    """Running totals of each site, with the least value so far (the whole history is what a lift would need)."""
+    """Running totals of each site, with the least value so far (the whole history is what a lift would need).
+
+    Events are ordered by time within a micro-batch. One that arrives in a later micro-batch than its time is counted
+    where it arrives: totals from there on include it, rows that are out already don't. Where the order over batches
+    matters, the finished timeline is what the batch operator gives.
+    """
     return events.groupBy("site").applyInPandasWithState(_occupancy, "site long, t long, entity_id long, entered_total long, exited_total long, running long, least long", "entered long, exited long, least long", "append", GroupStateTimeout.NoTimeout)
 
 

@@ -12,6 +12,7 @@ from parkflow.functions import clock, geometry, labels, vectors
 from parkflow.functions.geometry import Box
 from parkflow.operators import filters, graph, plates, scoring, speed, tracking
 from parkflow.plans.queries import ORACLE_SQL, QUERIES, _image_boxes
+from parkflow.tables import numbered
 
 DATA = "/root/testdata/sf0.001"
 
@@ -102,6 +103,50 @@ def test_reidentification(spark):
     assert ids(10.0) == {1: 1, 2: 1, 3: 2, 4: 3, 5: 1}
 
 
+def test_reidentification_against_a_plain_fold(spark):
+    rng = random.Random(6)
+    kinds = [[rng.gauss(0, 1) for _ in range(6)] for _ in range(5)]
+    rows = [(c, i, float(3 * i + rng.randint(0, 40) * (i % 9 == 0)), [x + rng.gauss(0, 0.3) for x in kinds[rng.randrange(5)]]) for c in ("a", "b") for i in range(c == "b", 70)]
+    df = spark.createDataFrame(rows, "camera string, profile_id long, t double, feature array<double>")
+    for gap in (None, 30.0):
+        want = {}
+        for c in ("a", "b"):
+            seen, n = [], 0
+            for _, i, t, v in sorted((r for r in rows if r[0] == c), key=lambda r: (r[2], r[1])):
+                best = {}
+                for k, s, u in seen:
+                    if gap is None or s >= t - gap:
+                        cosine = sum(x * y for x, y in zip(u, v)) / math.sqrt(sum(x * x for x in u) * sum(x * x for x in v))
+                        best[k] = max(best.get(k, -1.0), cosine)
+                order = sorted(best.items(), key=lambda x: (-x[1], x[0]))
+                ok = bool(order) and order[0][1] >= 0.75 and (len(order) < 2 or max(1 - order[0][1], 1e-6) / max(1 - order[1][1], 1e-6) <= 0.8)
+                n += not ok
+                want[c, i] = order[0][0] if ok else n
+                seen.append((want[c, i], t, v))
+        assert {(r.camera, r.profile_id): r.entity_id for r in tracking.reidentify(df, max_gap=gap).collect()} == want
+
+
+def test_similarity_without_a_gap_in_blocks(spark):
+    rng = random.Random(1)
+    d = [(i % 2, i, rng.random()) for i in range(40)]
+    g = [(i % 2, i % 7, rng.random()) for i in range(60)]
+    df, gf = spark.createDataFrame(d, "d_camera long, d_id long, d_v double"), spark.createDataFrame(g, "g_camera long, g_entity long, g_v double")
+    want = {}
+    for c, i, v in d:
+        for k, e, u in g:
+            if c == k:
+                want[i, e] = max(want.get((i, e), -9.0), v * u)
+    for block in (4096, 7):
+        got = tracking.similarity_candidates(df, gf, F.col("d_v") * F.col("g_v"), block=block).collect()
+        assert {(r.d_id, r.g_entity): r.similarity for r in got} == want and len(got) == len(want)
+
+
+def test_numbered(spark):
+    df = spark.createDataFrame([(x % 37, x) for x in range(500)], "a long, b long").repartition(7)
+    assert [(r.a, r.b) for r in sorted(numbered(df, ["a", "b"]).collect(), key=lambda r: r.pos)] == sorted((x % 37, x) for x in range(500))
+    assert sorted(r.pos for r in numbered(df, ["a"]).collect()) == list(range(500)) and numbered(df.limit(0), ["a"]).collect() == []
+
+
 def test_nearest_match(spark):
     cars = spark.createDataFrame([("r", 1, 10.0), ("r", 2, 10.2), ("r", 3, 50.0)], "recording string, car_id long, t double")
     tracks = spark.createDataFrame([("r", 7, 10.1), ("r", 8, 10.4), ("r", 9, 49.0)], "recording string, track_id long, t double")

@@ -113,6 +113,23 @@ def test_stream_new_media(spark, tmp_path):
     assert run(streams.stream_new_media(df), "append", tmp_path / "c").count() == 2
 
 
+def test_stream_new_media_forgets_behind_the_watermark(spark, tmp_path):
+    import os
+    from datetime import datetime, timedelta
+
+    t, schema = datetime(2026, 1, 1), "path string, modified timestamp"
+    for i, rows in enumerate(([("a", t), ("a", t)], [("b", t + timedelta(days=3))], [("b", t + timedelta(days=3)), ("c", t + timedelta(days=4))], [("a", t), ("c", t + timedelta(days=4))])):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        for f in (tmp_path / "in").glob("*.parquet"):
+            if f.stat().st_mtime > 2_000_000:
+                os.utime(f, (1_000_000 + i, 1_000_000 + i))
+    df = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    q = streams.stream_new_media(df, "1 day").writeStream.format("memory").queryName("fresh").outputMode("append").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+    q.awaitTermination(120)
+    assert sorted(r.path for r in spark.table("fresh").collect()) == ["a", "b", "c"]
+    assert streams.late_rows(q.recentProgress) == 1
+
+
 def test_stream_dwell(spark, tmp_path):
     from datetime import datetime, timedelta
 
