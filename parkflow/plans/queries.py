@@ -420,18 +420,22 @@ def e_plate_dwell_fuzzy(spark, sf_dir):
     return plates.plate_dwell(_readings(spark, sf_dir), 1).select("plate_text", "variants", "entry", "exit", "sightings")
 
 
-@query("""with recursive r as (select plate_text, t_us/1e6 as t, img_path, row_number() over (order by plate_text, t_us, img_path) as id from plate_reading where plate_text is not null),
- e as (select a.id as a, b.id as b from r a join r b on levenshtein(a.plate_text,b.plate_text)<=1 and abs(a.t-b.t)<=100000),
+def _dwell_gap(gap: int) -> str:
+    return f"""with recursive r as (select plate_text, t_us/1e6 as t, img_path, row_number() over (order by plate_text, t_us, img_path) as id from plate_reading where plate_text is not null),
+ e as (select a.id as a, b.id as b from r a join r b on levenshtein(a.plate_text,b.plate_text)<=1 and abs(a.t-b.t)<={gap}),
  reach as (select id as a, id as b from r union select reach.a, least(reach.b, m.b) from reach join (select a, min(b) as b from e group by 1) m on reach.b=m.a),
  c as (select a, min(b) as g from reach group by 1),
  reach2 as (select a as a, g as b from c union select reach2.a, least(reach2.b, x.g) from reach2 join (select c1.g as h, min(c2.g) as g from e join c c1 on e.a=c1.a join c c2 on e.b=c2.a group by 1) x on reach2.b=x.h), c2 as (select a, min(b) as g from reach2 group by 1)
- select min(t) as entry, max(t) as exit, count(*) as sightings from r join c2 on r.id=c2.a group by c2.g having count(*)>=2""")
+ select min(t) as entry, max(t) as exit, count(*) as sightings from r join c2 on r.id=c2.a group by c2.g having count(*)>=2"""
+
+
+@query(_dwell_gap(100_000))
 def e_plate_dwell_gap(spark, sf_dir):
     """D12 with a gap, E16, E17."""
     return plates.plate_dwell(_readings(spark, sf_dir), 1, 100_000.0).select("entry", "exit", "sightings")
 
 
-@query()
+@query(_dwell_gap(200_000))
 def e_plate_dwell_gap_all(spark, sf_dir):
     """D12 with a gap, E16, E17 over all readings."""
     return plates.plate_dwell(_readings(spark, sf_dir), 1, 200_000.0).select("entry", "exit", "sightings")
@@ -828,13 +832,15 @@ def d_nearest_match(spark, sf_dir):
     return _matched(spark, sf_dir).select("recording", "car_id", "track_id")
 
 
-@query()
+@query(f"""with recursive {NEAREST}, m as (select cars.car_id, speed_kmh, pixel_speed from f join cars on cars.recording=f.recording and cars.i=f.i join gt_car g on g.recording=f.recording and g.car_id=cars.car_id join gt_track t on t.recording=f.recording and t.track_id=f.track where f.i>0 and g.valid),
+ e as (select speed_kmh, pixel_speed*(select arg_min(speed_kmh,car_id) from m)/(select arg_min(pixel_speed,car_id) from m) as estimate from m where car_id<>(select min(car_id) from m)), d as (select abs(estimate-speed_kmh) as a, abs(estimate-speed_kmh)/speed_kmh as r from e)
+ select count(*) as n, round(avg(a),6) as mean_abs, round(median(a),6) as median_abs, round(sqrt(avg(a*a)),6) as rmse, round(avg(r),6) as mean_relative, round(avg(case when r<=0.2 then 1.0 else 0.0 end),6) as reasonable, count(*) filter (r<=0.05) as n_0, count(*) filter (r>0.05 and r<=0.2) as n_1, count(*) filter (r>0.2 and r<=0.5) as n_2, count(*) filter (r>0.5) as n_3 from d""")
 def e_speed_benchmark(spark, sf_dir):
     """E30, E31."""
     df = _matched(spark, sf_dir).filter("valid")
     ref = df.agg(F.min(F.struct("car_id", "speed_kmh", "pixel_speed")).alias("r"))
     scored = df.crossJoin(F.broadcast(ref)).filter("car_id <> r.car_id").select("speed_kmh", (F.col("pixel_speed") * F.col("r.speed_kmh") / F.col("r.pixel_speed")).alias("estimate"))
-    return speed.speed_accuracy(scored)
+    return _rounded(speed.speed_accuracy(scored), **dict.fromkeys(("mean_abs", "median_abs", "rmse", "mean_relative", "reasonable"), 6))
 
 
 @query(f"""with {IB}, s as (select a.image_id, a.idx, cast(greatest(0,least(a.x+a.w,900)-greatest(a.x,500))*greatest(0,least(a.y+a.h,700)-greatest(a.y,300)) as double) as i, a.w*a.h as area from ib a), q as (select image_id, idx, i/(area+160000-i) as iou, row_number() over (partition by image_id order by i/(area+160000-i) desc, idx) as r from s) select image_id, idx, round(iou,9) as iou from q where r=1""")
