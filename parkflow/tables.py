@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -38,13 +38,18 @@ def dropped(table: DataFrame) -> None:
     path.getFileSystem(table.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
 
 
-def numbered(df: DataFrame, by: list[str], into: str = "pos") -> DataFrame:
-    """df with the number of each row, from 0, in the order of some columns.
+def numbered(df: DataFrame, by: list[str | Column], into: str = "pos", sums: tuple[str, ...] = ()) -> DataFrame:
+    """df with the number of each row, from 0, in the order of some columns, and before_<c>, what column c of the rows
+    ahead of it adds up to, for each of `sums`.
 
-    The rows are range-sorted and written; only the parts' sizes, one row each, are summed in one place.
+    The rows are range-sorted and written; only the parts' sizes and sums, one row each, are summed in one place.
     """
     parts = df.repartitionByRange(*by).sortWithinPartitions(*by).select("*", F.spark_partition_id().alias("__part"), F.monotonically_increasing_id().bitwiseAND(2**33 - 1).alias("__at"))
     parts = written(parts)
-    before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
-    sizes = parts.groupBy("__part").agg(F.count("*").alias("n")).select("__part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("__before"))
-    return parts.join(sizes, "__part").withColumn(into, F.col("__before") + F.col("__at")).drop("__part", "__at", "__before")
+    ahead = lambda c, w: F.coalesce(F.sum(c).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    sizes = parts.groupBy("__part").agg(F.count("*").alias("__n"), *[F.sum(c).alias(f"__{c}") for c in sums])
+    every = Window.orderBy("__part")
+    sizes = sizes.select("__part", ahead("__n", every).alias("__before"), *[ahead(f"__{c}", every).alias(f"__{c}") for c in sums])
+    own = Window.partitionBy("__part").orderBy("__at")
+    found = parts.join(sizes, "__part").withColumns({into: F.col("__before") + F.col("__at")} | {f"before_{c}": F.col(f"__{c}") + ahead(c, own) for c in sums})
+    return found.drop("__part", "__at", "__before", *[f"__{c}" for c in sums])

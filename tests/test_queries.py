@@ -144,6 +144,8 @@ def test_similarity_without_a_gap_in_blocks(spark):
 def test_numbered(spark):
     df = spark.createDataFrame([(x % 37, x) for x in range(500)], "a long, b long").repartition(7)
     assert [(r.a, r.b) for r in sorted(numbered(df, ["a", "b"]).collect(), key=lambda r: r.pos)] == sorted((x % 37, x) for x in range(500))
+    rows = sorted(numbered(df, [F.col("a").desc(), "b"], "n", ("b", "a")).collect(), key=lambda r: r.n)
+    assert all((q.before_a, q.before_b) == (p.before_a + p.a, p.before_b + p.b) for p, q in zip(rows, rows[1:])) and rows[0].before_b == 0
     assert sorted(r.pos for r in numbered(df, ["a"]).collect()) == list(range(500)) and numbered(df.limit(0), ["a"]).collect() == []
 
 
