@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from parkflow.llm.common import saved
+from parkflow.tables import numbered
 
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -21,22 +22,20 @@ def source_targets(sizes: DataFrame, epochs: int = 3, weights: tuple[int, ...] =
 
     Sources by code point, null last, weigh `weights`, repeating. The targets share the sum of all sizes by weight; a
     target stops at `epochs` times its source's size and the rest is shared again. The k sources that stop first are
-    those with the least room for their weight, so one pass over the sources in that order finds who stops.
+    those with the least room for their weight, so running sums over the sources in that order (taken over a range sort)
+    find who stops.
     """
-    every = Window.partitionBy(F.lit(0))
-    by_name = every.orderBy(F.col("source").asc_nulls_last())
-    by_room = every.orderBy(F.col("room"), F.col("source").asc_nulls_last())
-    w = F.element_at(F.array(*[F.lit(x) for x in weights]), F.pmod(F.row_number().over(by_name) - 1, F.lit(len(weights))) + 1)
-    ranked = sizes.withColumn("weight", w.cast("long")).withColumn("room", F.lit(epochs) * F.col("source_size") / F.col("weight"))
-    before = by_room.rowsBetween(Window.unboundedPreceding, -1)
-    ranked = ranked.withColumns({
-        "left": F.sum("source_size").over(every) - epochs * F.coalesce(F.sum("source_size").over(before), F.lit(0)),
-        "weights": F.sum("weight").over(every) - F.coalesce(F.sum("weight").over(before), F.lit(0)),
-    })
-    first = F.min(F.when(F.col("left") / F.col("weights") <= F.col("room"), F.struct("room", "left", "weights"))).over(every)
-    ranked = ranked.withColumn("share", F.coalesce(first["left"] / first["weights"], F.lit(0.0)))
-    target = F.least((epochs * F.col("source_size")).cast("double"), F.col("weight") * F.col("share"))
-    return ranked.select("source", "source_size", "weight", F.when(first.isNull(), (epochs * F.col("source_size")).cast("double")).otherwise(target).alias("target"))
+    by_name = numbered(sizes.select("source", "source_size"), [F.col("source").asc_nulls_last()], "rank")
+    w = F.element_at(F.array(*[F.lit(x) for x in weights]), F.pmod(F.col("rank"), F.lit(len(weights))).cast("int") + 1)
+    ranked = by_name.withColumn("weight", w.cast("long")).withColumn("room", F.lit(epochs) * F.col("source_size") / F.col("weight"))
+    ranked = numbered(ranked, ["room", F.col("source").asc_nulls_last()], "order", ("source_size", "weight"))
+    ranked = ranked.crossJoin(F.broadcast(ranked.agg(F.sum("source_size").alias("all_sizes"), F.sum("weight").alias("all_weights"))))
+    left, open_ = F.col("all_sizes") - epochs * F.col("before_source_size"), F.col("all_weights") - F.col("before_weight")
+    first = ranked.agg(F.min(F.when(left / open_ <= F.col("room"), F.struct("room", left.alias("left"), open_.alias("weights")))).alias("first"))
+    ranked = ranked.crossJoin(F.broadcast(first))  # one row each
+    most = (epochs * F.col("source_size")).cast("double")
+    target = F.least(most, F.col("weight") * (F.col("first.left") / F.col("first.weights")))
+    return ranked.select("source", "source_size", "weight", F.when(F.col("first").isNull(), most).otherwise(target).alias("target"))
 
 
 def slope(weight):
