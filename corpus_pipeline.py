@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from parkflow.llm import langid, mixing, neardup, packing, pii
@@ -14,11 +14,19 @@ from parkflow.llm.queries import vocabulary
 LEAST_SCORE, MOST_SURPRISE = 0.4, 3.0
 
 
+def _hash(docs: DataFrame, seed: int) -> Column:
+    return F.xxhash64(F.lit(seed), *[F.col(c) for c, kind in docs.dtypes if "map<" not in kind])
+
+
+def _digest(docs: DataFrame) -> Column:
+    """128 bits of each row that don't depend on how rows are laid out: only rows that are repeated whole share them."""
+    return F.concat(F.hex(_hash(docs, 1)), F.lit("-"), F.hex(_hash(docs, 2)))
+
+
 def _tagged(docs: DataFrame) -> DataFrame:
     """The rows with a number each, fixed by writing them, so that decisions can be joined back row by row, and a hash
     that doesn't depend on how they are laid out."""
-    own = F.xxhash64(*[F.col(c) for c, kind in docs.dtypes if "map<" not in kind])
-    return saved(docs.withColumns({"__row": F.monotonically_increasing_id(), "__hash": own}))
+    return saved(docs.withColumns({"__row": F.monotonically_increasing_id(), "__hash": _hash(docs, 0)}))
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -41,15 +49,15 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     """Keep one document of each group of near-duplicates (a similarity of 0.8 or more by shingles of five words).
 
     Every row is a document, whatever its doc_id: rows that share one, or have none, are compared by their texts like
-    any others. Of a group the row with the smallest doc_id stays, nulls last, ties by a hash of the row. Null, empty
-    and wordless texts are near-duplicates of nothing and stay, but for rows that are repeated whole.
+    any others. Of a group the row with the smallest doc_id stays, nulls last, ties by a hash of the row. Rows repeated
+    whole count once. Null, empty and wordless texts are near-duplicates of nothing and stay.
     """
-    rows = _tagged(docs)
+    rows = docs.withColumn("__row", _digest(docs))
     found = neardup.near_duplicates(rows.select(F.col("__row").alias("doc_id"), "text"), width=5, percent=80, bands=40)
-    found = found.select(F.col("doc_id").alias("__row"), "n_shingles", "component_id").join(rows.select("__row", "__hash", "doc_id"), "__row")
-    wordless = F.when(F.col("n_shingles") == 0, F.struct("doc_id", "__hash"))
-    best = found.groupBy(F.when(wordless.isNull(), F.col("component_id")).alias("group"), wordless.alias("alone")).agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "__hash", "__row")).alias("best"))
-    return rows.join(best.select(F.col("best.__row").alias("__row")), "__row", "left_semi").select(*docs.columns)
+    found = found.select(F.col("doc_id").alias("__row"), "n_shingles", "component_id").join(rows.select("__row", "doc_id").distinct(), "__row")
+    alone = F.when(F.col("n_shingles") == 0, F.col("__row")).otherwise(F.col("component_id"))
+    best = found.groupBy(alone.alias("group")).agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "__row")).alias("best"))
+    return rows.join(best.select(F.col("best.__row").alias("__row")), "__row", "left_semi").dropDuplicates(["__row"]).select(*docs.columns)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -189,7 +189,8 @@ def link_apart(table: pa.Table, percent: int) -> pa.Table:
                 parent[p] = q
                 out_a.append(ys[i]["a"])
                 out_b.append(xs[j]["a"])
-    return pa.table({"a": pa.array(out_a, pa.int64()), "b": pa.array(out_b, pa.int64())})
+    kind = table.schema.field("a").type
+    return pa.table({"a": pa.array(out_a, kind), "b": pa.array(out_b, kind)})
 
 
 def hub_pairs(sets: DataFrame) -> DataFrame:
@@ -198,7 +199,7 @@ def hub_pairs(sets: DataFrame) -> DataFrame:
     sizes = buckets.groupBy("band").agg(F.count("*").alias("size")).filter("size > 1")
     buckets = saved(buckets.join(sizes, "band"))
     central = buckets.groupBy("a").agg(F.sum("size").alias("central"))
-    hubs = buckets.join(central, "a").groupBy("band").agg(F.max(F.struct("central", (-F.col("a")).alias("a"))).alias("h")).select("band", (-F.col("h.a")).alias("hub"))
+    hubs = buckets.join(central, "a").groupBy("band").agg(F.min(F.struct((-F.col("central")).alias("less"), "a")).alias("h")).select("band", F.col("h.a").alias("hub"))
     return buckets.join(hubs, "band").filter("a <> hub").select("a", "hub").distinct()
 
 
@@ -206,11 +207,12 @@ def all_links(pairs: DataFrame, texts: DataFrame, width: int, percent: int, bloc
     """a and b of enough links to connect what any link within a bucket connects, for pairs(a, a_text, hub, hub_text)
     and texts(doc_id, of_text, text); a_text and hub_text say which text of a document is meant."""
     pairs = saved(pairs)
+    kind = pairs.schema["a"].dataType.simpleString()
     left = pairs.join(texts.select(F.col("doc_id").alias("a"), F.col("of_text").alias("a_text"), F.col("text").alias("text_a")), ["a", "a_text"])
     hubs = saved(pairs.groupBy("hub", "hub_text").agg(F.count("*").alias("n")))
     of_hubs = hubs.join(texts.select(F.col("doc_id").alias("hub"), F.col("of_text").alias("hub_text"), F.col("text").alias("text_b")), ["hub", "hub_text"])
     both = heavy_join(left, of_hubs, ["hub", "hub_text"], "n", block, hubs, ["a"])
-    compared = saved(both.select("a", "hub", "text_a", "text_b").mapInArrow(task("parkflow.llm.neardup", "compare_batches", width=width, percent=percent), "a long, hub long, n long, n_hub long, link boolean, lacks array<long>, beside array<long>"))
+    compared = saved(both.select("a", "hub", "text_a", "text_b").mapInArrow(task("parkflow.llm.neardup", "compare_batches", width=width, percent=percent), f"a {kind}, hub {kind}, n long, n_hub long, link boolean, lacks array<long>, beside array<long>"))
     groups = compared.groupBy("hub").agg(F.count("*").alias("n_x"), F.count_if(~F.col("link")).alias("n_y")).filter("n_y > 0 and n_x > 1")
     groups = saved(groups.select("hub", F.col("n_x").alias("meets"), F.ceil(F.col("n_x") / block).cast("int").alias("x_blocks"), F.ceil(F.col("n_y") / block).cast("int").alias("y_blocks")))
     open_ = heavy_join(compared, groups, ["hub"], "meets", spread=["a"])
@@ -219,7 +221,7 @@ def all_links(pairs: DataFrame, texts: DataFrame, width: int, percent: int, bloc
     x = open_.select(*columns, F.lit(0).alias("side"), block_of("x_blocks").alias("x_block"), F.explode(F.sequence(F.lit(0), F.col("y_blocks") - 1)).alias("y_block"))
     y = open_.filter("not link").select(*columns, F.lit(1).alias("side"), F.explode(F.sequence(F.lit(0), F.col("x_blocks") - 1)).alias("x_block"), block_of("y_blocks").alias("y_block"))
     # Dealt by all three, so that the blocks of one hub are tasks of their own.
-    more = x.unionByName(y).repartition("hub", "x_block", "y_block").groupBy("hub", "x_block", "y_block").applyInArrow(task("parkflow.llm.neardup", "link_apart", percent=percent), "a long, b long")
+    more = x.unionByName(y).repartition("hub", "x_block", "y_block").groupBy("hub", "x_block", "y_block").applyInArrow(task("parkflow.llm.neardup", "link_apart", percent=percent), f"a {kind}, b {kind}")
     return compared.filter("link").select("a", F.col("hub").alias("b")).unionByName(more)
 
 
@@ -230,13 +232,14 @@ def near_duplicates(docs: DataFrame, width: int = 3, percent: int = 85, bands: i
     A text without words (null and empty ones too) has no shingles and is linked with nothing; with fewer than `width`
     words, the whole sequence is the one shingle. Rows without a doc_id are left out; rows repeated under one doc_id
     count as one, by the text with the fewest shingles (the least hash of several), which is also the one compared. Other
-    columns are ignored.
+    columns are ignored. doc_id is a number, or a text.
 
     125 slots in 25 bands of five: two documents at a similarity of 0.85 share no band with a probability of
     (1 - 0.85**5)**25 < 5e-7. A lower `percent` needs more `bands`: at 0.8, 25 miss 5e-5 and 40 miss 1.3e-7.
     """
-    texts = docs.filter("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("of_text"), "text")
-    signed = saved(texts.mapInArrow(task("parkflow.llm.neardup", "sign_batches", width=width, bands=bands), "doc_id long, n_shingles long, one long, two long, of_text long, bands array<long>"))
+    kind = "string" if docs.schema["doc_id"].dataType.simpleString() == "string" else "long"
+    texts = docs.filter("doc_id is not null").select(F.col("doc_id").cast(kind).alias("doc_id"), F.xxhash64("text").alias("of_text"), "text")
+    signed = saved(texts.mapInArrow(task("parkflow.llm.neardup", "sign_batches", width=width, bands=bands), f"doc_id {kind}, n_shingles long, one long, two long, of_text long, bands array<long>"))
     signed = signed.groupBy("doc_id").agg(F.min(F.struct("n_shingles", "one", "two", "of_text", "bands")).alias("s")).select("doc_id", "s.*")
     sets = signed.filter("n_shingles > 0").groupBy("one", "two", "n_shingles").agg(F.min(F.struct("doc_id", "of_text")).alias("rep"), F.first("bands").alias("bands"))
     sets = saved(sets.select("one", "two", "n_shingles", F.col("rep.doc_id").alias("rep"), "rep.of_text", "bands"))
