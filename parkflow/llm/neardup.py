@@ -206,7 +206,8 @@ def hub_pairs(sets: DataFrame) -> DataFrame:
 def all_links(pairs: DataFrame, texts: DataFrame, width: int, percent: int, block: int = 512) -> DataFrame:
     """a and b of enough links to connect what any link within a bucket connects, for pairs(a, a_text, hub, hub_text)
     and texts(doc_id, of_text, text); a_text and hub_text say which text of a document is meant."""
-    pairs = saved(pairs)
+    # Both sides of the joins with texts grow with the input, so they are merged at any size, never broadcast.
+    pairs, texts = saved(pairs), texts.hint("merge")
     kind = pairs.schema["a"].dataType.simpleString()
     left = pairs.join(texts.select(F.col("doc_id").alias("a"), F.col("of_text").alias("a_text"), F.col("text").alias("text_a")), ["a", "a_text"])
     hubs = saved(pairs.groupBy("hub", "hub_text").agg(F.count("*").alias("n")))
