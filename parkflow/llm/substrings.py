@@ -5,7 +5,8 @@ holds a sampled place that depends on its bytes only: two occurrences of it shar
 same 32 bytes are sorted, the array of their common prefixes is scanned with a stack, and each interval of it is a
 repeated string to the right of the place. Left of it, the reversed prefixes of the interval's members are kept in
 order: where neighbours go on alike they belong to one repeat, where they differ a maximal repeat ends. No more than
-`least` bytes on either side are looked at, since longer repeats hold further places.
+`least` bytes to the right and `shortest` less 32 to the left are looked at: a repeat of `least` bytes holds a place
+within its first `shortest`, and longer ones hold further places.
 """
 
 from __future__ import annotations
@@ -62,6 +63,7 @@ def place_batches(batches: Iterator[pa.RecordBatch], least: int, shortest: int)
     """k1, k2 (the document), pos, key (hash at the place) and context (hash of all that is looked at around it)."""
     from xxhash import xxh3_64_intdigest
 
+    ahead = shortest - GRAM
     for whole in batches:
         for at in range(0, whole.num_rows, 512):
             batch = whole.slice(at, 512)
@@ -72,7 +74,7 @@ def place_batches(batches: Iterator[pa.RecordBatch], least: int, shortest: int)
                 counts.append(len(pos))
                 positions.append(pos)
                 keys.append(key)
-                contexts += [xxh3_64_intdigest(data[max(0, p - least + GRAM) : p + least], min(p, least)) for p in pos.tolist()]
+                contexts += [xxh3_64_intdigest(data[max(0, p - ahead) : p + least], min(p, ahead)) for p in pos.tolist()]
             row = pa.array(np.repeat(np.arange(batch.num_rows), counts))
             yield pa.RecordBatch.from_arrays([batch.column("k1").take(row), batch.column("k2").take(row), pa.array(np.concatenate(positions), pa.int32()), pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.array(contexts, np.uint64).view(np.int64))], ["k1", "k2", "pos", "key", "context"])
 
@@ -84,9 +86,10 @@ def _padded(n: int) -> int:
     return -(-n // 8) * 8
 
 
-def context_batches(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
+def context_batches(batches: Iterator[pa.RecordBatch], least: int, shortest: int) -> Iterator[pa.RecordBatch]:
     """What stands left (reversed) and right of the places asked for, filled up to one width, and how much it is."""
-    wide_l, wide_r = _padded(least - GRAM), _padded(least)
+    ahead = shortest - GRAM
+    wide_l, wide_r = _padded(ahead), _padded(least)
     names = [x.split()[0] for x in AROUND.split(", ")]
     kinds = (pa.int64(), pa.bool_(), pa.bool_(), pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.int32(), pa.binary(), pa.int32())
     for whole in batches:
@@ -96,7 +99,7 @@ def context_batches(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[p
                 data = (r["text"] or "").encode()
                 for p in r["asked"]:
                     pos = p["pos"]
-                    left, right = data[max(0, pos - least + GRAM) : pos][::-1], data[pos : pos + least]
+                    left, right = data[max(0, pos - ahead) : pos][::-1], data[pos : pos + least]
                     row = (p["key"], p["single"], p["shared"], r["k1"], r["k2"], pos, left.ljust(wide_l, b"\0"), len(left), right.ljust(wide_r, b"\0"), len(right))
                     for column, value in zip(columns, row):
                         column.append(value)
@@ -364,19 +367,21 @@ def remove_repeats(docs: DataFrame, least: int = 400, shortest: int = 256, words
     twice = saved(every.groupBy("key").agg(F.count("*").alias("n"), (F.min("k1") != F.max("k1")).alias("shared")).filter("n > 1"))
     found = saved(heavy_join(every, twice, ["key"], "n"))
     dropped(every)
+    dropped(twice)
     kinds = saved(found.groupBy("key", "context").agg(F.count("*").alias("n"), F.first("shared").alias("shared"), F.min(F.struct("k1", "k2", "pos")).alias("first")))
     groups = saved(kinds.groupBy("key").agg(F.count("*").alias("kinds"), F.count_if(F.col("n") == 1).alias("singles")).filter("kinds > 1 and singles > 0").withColumn("many", F.col("kinds") > group_rows))
 
     def around(which: DataFrame) -> DataFrame:
         asked = heavy_join(kinds, which.select("key", "kinds"), ["key"], "kinds").select("key", (F.col("n") == 1).alias("single"), "shared", "first.*")
         asked = asked.groupBy("k1", "k2").agg(F.collect_list(F.struct("key", "single", "shared", "pos")).alias("asked"))
-        return texts.select("k1", "k2", "text").join(asked, ["k1", "k2"]).mapInArrow(run("context_batches", least=least), AROUND)
+        # With the columns of the last join below, so that Spark shuffles the texts once for both.
+        return texts.join(asked, ["k1", "k2"]).mapInArrow(run("context_batches", least=least, shortest=shortest), AROUND)
 
     reach = "k1 long, k2 int, pos int, to_left int, to_right int, near_left int, near_right int"
     spans = around(groups.filter("not many")).repartition("key").sortWithinPartitions("key").mapInArrow(run("repeat_batches", least=least, shortest=shortest), reach)
     whole = heavy_join(found, kinds.filter("n > 1").select("key", "context", "n"), ["key", "context"], "n")
     near = lambda x: F.when(F.col("shared"), x).otherwise(-1)
-    spans = spans.unionByName(whole.select("k1", "k2", "pos", F.lit(least - GRAM).alias("to_left"), F.lit(least).alias("to_right"), near(least - GRAM).alias("near_left"), near(least).alias("near_right")))
+    spans = spans.unionByName(whole.select("k1", "k2", "pos", F.lit(shortest - GRAM).alias("to_left"), F.lit(least).alias("to_right"), near(shortest - GRAM).alias("near_left"), near(least).alias("near_right")))
     if not groups.filter("many").isEmpty():
         windows = around(groups.filter("many")).mapInArrow(run("window_batches", lengths=tuple({least, shortest})), "size int, w1 long, w2 long, k1 long, k2 int, pos int, to_left int, single boolean, shared boolean")
         occurrence = F.struct("k1", "k2", F.col("pos") - F.col("to_left"))  # places of one document may see the same string
