@@ -40,7 +40,7 @@ def _by_key(key: str, fields: Column, into: str | None) -> Column:
     return F.to_json(F.struct(found.alias(into)) if into else found)
 
 
-@query("""select video, frame_index, x, y, w, h, class_id, case class_id when 7 then 'truck' else 'car' end as label, cast(0.5 as double) as confidence from detection""")
+@query("""select video, cast(frame_index as int) as frame_index, cast(x as int) as x, cast(y as int) as y, cast(w as int) as w, cast(h as int) as h, class_id, case class_id when 7 then 'truck' else 'car' end as label, cast(0.5 as double) as confidence from detection""")
 def a_video_detections(spark, sf_dir):
     """A1."""
     d = view(spark, sf_dir, "detection")
@@ -50,7 +50,7 @@ def a_video_detections(spark, sf_dir):
     return readers.read_video_detections(spark, _documents(d, _by_key("video", one, "detections"), part))
 
 
-@query("""select concat(image_id,'.jpg') as image, x, y, width as w, height as h, type_id as class_id, confidence from instance""")
+@query("""select concat(image_id,'.jpg') as image, cast(x as int) as x, cast(y as int) as y, cast(width as int) as w, cast(height as int) as h, type_id as class_id, confidence from instance""")
 def a_image_detections(spark, sf_dir):
     """A2."""
     i = view(spark, sf_dir, "instance").withColumnsRenamed({"width": "w", "height": "h"}).withColumn("image", F.concat(F.col("image_id").cast("string"), F.lit(".jpg")))
