@@ -19,10 +19,10 @@ from pyspark.sql import functions as F
 
 from parkflow.llm.common import task
 
-CACHE_ENTRIES, SMOOTHING, UNKNOWN = 300_000, 0.1, 1e-8
+CACHE_ENTRIES, SMOOTHING, UNKNOWN = 120_000, 0.1, 1e-8
 #: Expected counts are summed as whole millionths, so that sums don't depend on how the rows lie; words of more letters
 #: than SHORT are summed as logarithms, and this many letters are worked on at a time.
-MILLIONTHS, SHORT, TOGETHER = 1_000_000, 15, 400_000
+MILLIONTHS, SHORT, TOGETHER = 1_000_000, 15, 100_000
 LEAST_PIECES = 20_000
 WORD = re.compile(r"[^\W\d_]+")
 UNDETERMINED = "und"
