@@ -34,6 +34,30 @@ OP2 = rf"""with recursive w as (select doc_id, regexp_extract_all(translate(coal
  reach as (select doc_id as a, doc_id as b from n union select reach.a, l.b from reach join l on reach.b=l.a), m as (select a, min(b) as component_id from reach group by 1)
  select doc_id, n as n_shingles, component_id, doc_id=component_id as kept from n join m on a=doc_id"""
 
+
+def _doubled(of: str, parts: tuple[tuple[str, int], ...]) -> str:
+    """A hash of a window, from those of windows of which it consists."""
+    return f"hash({', '.join(f'lead({h},{k}) over w' if k else h for h, k in parts)}) as {of}"
+
+
+def _op12() -> str:
+    hashes = {"h2": (("h1", 0), ("h1", 1)), "h4": (("h2", 0), ("h2", 2)), "h5": (("h4", 0), ("h1", 4)), "h8": (("h4", 0), ("h4", 4)), "h10": (("h8", 0), ("h2", 8)), "h16": (("h8", 0), ("h8", 8)), "h32": (("h16", 0), ("h16", 16)), "h51": (("h32", 0), ("h16", 32), ("h2", 48), ("h1", 50))}
+    steps, last = [], "a0"
+    for k, (of, parts) in enumerate(hashes.items(), 1):
+        steps.append(f"a{k} as (select *, {_doubled(of, parts)} from {last} window w as (partition by doc_id order by i))")
+        last = f"a{k}"
+    twice = ", ".join(f"(i<=n-{k - 1} and count(*) over (partition by doc_id, h{k}, i<=n-{k - 1})>1) as t{k}" for k in (5, 10, 51))
+    within = ", ".join(f"bool_or(t{k}) over (partition by doc_id order by i rows between {k - 1} preceding and current row) as c{k}" for k in (5, 10))
+    return rf"""with d as (select doc_id, coalesce(text,'') as text, regexp_extract_all(coalesce(text,''), '{WORD}') as w from documents),
+ a0 as (select doc_id, i, n, hash(x) as h1 from (select doc_id, len(w) as n, unnest(w) as x, generate_subscripts(w,1) as i from d)), {', '.join(steps)},
+ b as (select *, {twice} from {last}), c as (select doc_id, t51, {within} from b),
+ r as (select doc_id, count(*) filter (c5) as n_repeat_words, count(*) filter (c10) as covered_words, bool_or(t51) as long_repeat from c group by 1),
+ m as (select d.doc_id, cast(len(w) as bigint) as n_words, cast(coalesce(list_sum(list_transform(w, lambda x: length(x))),0) as bigint) as word_chars, cast(len(regexp_extract_all(text,'[#*$%&|<>]')) as bigint) as n_symbols,
+  cast(len(list_filter(string_split(text,chr(10)), lambda x: regexp_matches(x,'{WORD}')))-len(list_distinct(list_filter(string_split(text,chr(10)), lambda x: regexp_matches(x,'{WORD}')))) as bigint) as n_dup_lines, coalesce(n_repeat_words,0) as n_repeat_words, coalesce(covered_words,0) as covered_words, coalesce(long_repeat,false) as long_repeat from d left join r using (doc_id)),
+ f as (select *, n_words<10 or 100*n_repeat_words>20*n_words as base_failed from m)
+ select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, not base_failed and 100*covered_words<=15*n_words and not long_repeat as kept, covered_words from f"""
+
+
 _SQL_PATTERNS = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+", "card": r"[0-9](?:[\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]", "iban": r"\b[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}\b"}
 _LUHN = "list_sum(list_transform(range(1, len(d)+1), lambda i: case when i%2=1 then cast(d[len(d)-i+1] as int) else cast(d[len(d)-i+1] as int)*2 - case when cast(d[len(d)-i+1] as int)>4 then 9 else 0 end end))%10=0"
 _VALID = {
@@ -64,4 +88,4 @@ def _op3() -> str:
     return f"with p as ({spans}), k as (select * from p where ok) select d.doc_id, {counts}, sha256({joined(' filter (rank<4)')}) as base_sha256, {joined('')} as spans, coalesce(string_agg(cast(score as varchar), ',' order by start, rank, stop),'') as scores from documents d left join k on k.doc_id=d.doc_id group by d.doc_id"
 
 
-ORACLE_SQL = {"op2_minhash_dedup": OP2, "op3_pii_spans": _op3(), "op7_exact_top_k": OP7, "op8_mix_sources": OP8}
+ORACLE_SQL = {"op2_minhash_dedup": OP2, "op3_pii_spans": _op3(), "op7_exact_top_k": OP7, "op8_mix_sources": OP8, "op12_quality_rules": _op12()}
