@@ -58,6 +58,45 @@ def _op12() -> str:
  select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, not base_failed and 100*covered_words<=15*n_words and not long_repeat as kept, covered_words from f"""
 
 
+
+def _crc32(text: str) -> str:
+    """CRC-32 of an ASCII text, unsigned."""
+    bit = "lambda x, z: case when x&1=1 then xor(x>>1, 3988292384) else x>>1 end"
+    codes = f"list_transform(string_split({text},''), lambda c: cast(ascii(c) as bigint))"
+    return f"xor(list_reduce(list_prepend(cast(4294967295 as bigint), {codes}), lambda a, b: list_reduce([xor(a,b),0,0,0,0,0,0,0,0], {bit})), 4294967295)"
+
+
+def _op13(levels: int = 5, top: int = 2) -> str:
+    """A step for each level: up to 16**levels documents in a source, 16**top sources."""
+    one = lambda c: f"case when {c} is null then '-' else octet_length(encode(cast({c} as varchar)))||':'||cast({c} as varchar) end"
+    leaf = "sha256(" + "||".join(one(c) for c in ("doc_id", "source", "lang", "n_chars")) + "||{text})"
+    lower = "translate(text,'ABCDEFGHIJKLMNOPQRSTUVWXYZ','abcdefghijklmnopqrstuvwxyz')"
+    around = "coalesce(string_agg(h,'') over (partition by {by} order by p rows between unbounded preceding and 1 preceding),'') as lft, coalesce(string_agg(h,'') over (partition by {by} order by p rows between 1 following and unbounded following),'') as rgt"
+    steps = [
+        f"l as (select doc_id, source, {leaf.format(text=one('text'))} as leaf, case when {_crc32('cast(doc_id as varchar)')}%5=0 then {leaf.format(text=one(lower))} end as changed from documents)",
+        "o as (select *, row_number() over (partition by source order by doc_id nulls first, leaf)-1 as rank, count(*) over (partition by source) as n, dense_rank() over (order by source nulls first)-1 as s from l)",
+        "n0 as (select s, rank as p, n, leaf as h from o)",
+    ]
+    for k in range(1, levels + 1):
+        steps.append(f"n{k} as (select s, p//16 as p, n, sha256(string_agg(h,'' order by p)) as h from n{k - 1} where n>{16 ** (k - 1)} group by s, p//16, n)")
+    steps.append("t0 as (" + " union all ".join(f"select s as p, h from n{k} where n<={16**k}" + (f" and n>{16 ** (k - 1)}" if k else "") for k in range(levels + 1)) + ")")
+    steps.append("many as (select count(*) as m from t0)")
+    for k in range(1, top + 1):
+        steps.append(f"t{k} as (select p//16 as p, sha256(string_agg(h,'' order by p)) as h from t{k - 1}, many where m>{16 ** (k - 1)} group by 1)")
+    for k in range(levels):
+        steps.append(f"b{k} as (select s, p, n, {around.format(by='s, p//16')} from n{k} where n>{16**k})")
+    for k in range(top):
+        steps.append(f"u{k} as (select p, {around.format(by='p//16')} from t{k}, many where m>{16**k})")
+    steps.append("root as (" + " union all ".join(f"select h as root from t{k}, many where m<={16**k}" + (f" and m>{16 ** (k - 1)}" if k else "") for k in range(top + 1)) + ")")
+    steps.append("f0 as (select o.*, root, t0.h as subroot, coalesce(changed, leaf) as f, '' as proof from o, root, t0 where t0.p=o.s)")
+    last = "f0"
+    for k in range(levels + top):
+        table, on = (f"b{k}", f"q.s={last}.s and q.p={last}.rank//{16**k}") if k < levels else (f"u{k - levels}", f"q.p={last}.s//{16 ** (k - levels)}")
+        steps.append(f"f{k + 1} as (select {last}.* exclude (f, proof), case when q.lft is null then f else sha256(q.lft||f||q.rgt) end as f, proof||coalesce(q.lft||q.rgt,'') as proof from {last} left join {table} q on {on})")
+        last = f"f{k + 1}"
+    return f"with {', '.join(steps)} select doc_id, leaf, subroot, root, sha256(proof) as proof_sha256, f as folded_root, f=root as verified from {last}"
+
+
 _SQL_PATTERNS = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+", "card": r"[0-9](?:[\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]", "iban": r"\b[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}\b"}
 _LUHN = "list_sum(list_transform(range(1, len(d)+1), lambda i: case when i%2=1 then cast(d[len(d)-i+1] as int) else cast(d[len(d)-i+1] as int)*2 - case when cast(d[len(d)-i+1] as int)>4 then 9 else 0 end end))%10=0"
 _VALID = {
@@ -88,4 +127,4 @@ def _op3() -> str:
     return f"with p as ({spans}), k as (select * from p where ok) select d.doc_id, {counts}, sha256({joined(' filter (rank<4)')}) as base_sha256, {joined('')} as spans, coalesce(string_agg(cast(score as varchar), ',' order by start, rank, stop),'') as scores from documents d left join k on k.doc_id=d.doc_id group by d.doc_id"
 
 
-ORACLE_SQL = {"op2_minhash_dedup": OP2, "op3_pii_spans": _op3(), "op7_exact_top_k": OP7, "op8_mix_sources": OP8, "op12_quality_rules": _op12()}
+ORACLE_SQL = {"op2_minhash_dedup": OP2, "op3_pii_spans": _op3(), "op7_exact_top_k": OP7, "op8_mix_sources": OP8, "op12_quality_rules": _op12(), "op13_merkle_manifest": _op13()}

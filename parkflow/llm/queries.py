@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parkflow.llm import langid, licenses, media, mixing, neardup, oracles, packing, pii, quality, substrings, tokencount, topk
+from parkflow.llm import langid, licenses, manifest, media, mixing, neardup, oracles, packing, pii, quality, substrings, tokencount, topk
 from parkflow.llm.common import table
 
 
@@ -66,6 +66,10 @@ def op12_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge_quality(table(spark, sf_dir, "documents")).drop("n_repeats", "longest_repeat", "repeats")
 
 
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return manifest.verify_documents(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_license_scan": op1_license_scan,
     "op2_minhash_dedup": op2_minhash_dedup,
@@ -78,6 +82,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_repeated_strings": op9_repeated_strings,
     "op10_pack_sequences": op10_pack_sequences,
     "op12_quality_rules": op12_quality_rules,
+    "op13_merkle_manifest": op13_merkle_manifest,
 }
 
 ORACLE_SQL: dict[str, str] = oracles.ORACLE_SQL
