@@ -66,6 +66,20 @@ def _crc32(text: str) -> str:
     return f"xor(list_reduce(list_prepend(cast(4294967295 as bigint), {codes}), lambda a, b: list_reduce([xor(a,b),0,0,0,0,0,0,0,0], {bit})), 4294967295)"
 
 
+def _op11() -> str:
+    key = "md5(octet_length(encode(role))||':'||role||text)"
+    return rf"""with t as (select conv_id, turn, coalesce(role,'') as role, coalesce(text,'') as text from conversations where conv_id is not null),
+ k as (select conv_id, turn, {key} as k, cast(len(regexp_extract_all(text,'{WORD}')) as bigint) as w from t), o as (select conv_id, k, w, row_number() over (partition by conv_id order by turn nulls first, k, w)-1 as pos from k),
+ i as (select conv_id, conv_id-conv_id%20 as base, {_crc32('cast(conv_id as varchar)')}%4 as h from (select distinct conv_id from o)),
+ r as (select i.conv_id, pos, k, w, 0 as part from i join o on o.conv_id=base and pos<h union all select conv_id, pos, k, w, 1 from o join i using (conv_id) where pos>=h),
+ s as (select conv_id, list(k order by part, pos) as ks, list(w order by part, pos) as ws from r group by 1), c as (select conv_id, coalesce(ks,[]) as ks, coalesce(ws,[]) as ws from i left join s using (conv_id)),
+ p as (select conv_id, ks, ws, unnest(range(0,len(ks)+1)) as d from c), q as (select conv_id, d, ks[1:d] as pre, case when d>0 then ws[d] else 0 end as w, len(ks)=d as last from p),
+ n as (select d, pre, min(conv_id) as conv_id, count(*) as n_convs, any_value(w) as w, coalesce(string_agg(cast(conv_id as varchar), ',' order by conv_id) filter (last),'') as ends from q group by 1,2),
+ ch as (select pre[1:d-1] as pre, count(*) as n_children from n where d>0 group by 1), m as (select n.*, coalesce(n_children,0) as n_children from n left join ch using (pre)),
+ up as (select pre[1:a] as pre, sum(case when n_children=0 then 1 else 0 end) as n_leaves, sum((n_convs-1)*w) as saved_tokens from (select *, unnest(range(0,d+1)) as a from m) group by 1)
+ select m.conv_id, m.d as depth, f.conv_id as parent_conv_id, m.n_convs, m.n_children, cast(n_leaves as bigint) as n_leaves, cast(saved_tokens as bigint) as saved_tokens, sha256(m.ends) as ends_sha256 from m join up using (pre) left join n f on m.d>0 and f.pre=m.pre[1:m.d-1]"""
+
+
 def _op13(levels: int = 5, top: int = 2) -> str:
     """A step for each level: up to 16**levels documents in a source, 16**top sources."""
     one = lambda c: f"case when {c} is null then '-' else octet_length(encode(cast({c} as varchar)))||':'||cast({c} as varchar) end"
@@ -127,4 +141,4 @@ def _op3() -> str:
     return f"with p as ({spans}), k as (select * from p where ok) select d.doc_id, {counts}, sha256({joined(' filter (rank<4)')}) as base_sha256, {joined('')} as spans, coalesce(string_agg(cast(score as varchar), ',' order by start, rank, stop),'') as scores from documents d left join k on k.doc_id=d.doc_id group by d.doc_id"
 
 
-ORACLE_SQL = {"op2_minhash_dedup": OP2, "op3_pii_spans": _op3(), "op7_exact_top_k": OP7, "op8_mix_sources": OP8, "op12_quality_rules": _op12(), "op13_merkle_manifest": _op13()}
+ORACLE_SQL = {"op2_minhash_dedup": OP2, "op3_pii_spans": _op3(), "op7_exact_top_k": OP7, "op8_mix_sources": OP8, "op11_prefix_trie": _op11(), "op12_quality_rules": _op12(), "op13_merkle_manifest": _op13()}

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parkflow.llm import langid, licenses, manifest, media, mixing, neardup, oracles, packing, pii, quality, substrings, tokencount, topk
+from parkflow.llm import langid, licenses, manifest, media, mixing, neardup, oracles, packing, pii, quality, substrings, tokencount, topk, trie
 from parkflow.llm.common import table
 
 
@@ -62,6 +62,10 @@ def op10_pack_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"), 2048)
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie.rebuilt_trie(table(spark, sf_dir, "conversations"))
+
+
 def op12_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge_quality(table(spark, sf_dir, "documents")).drop("n_repeats", "longest_repeat", "repeats")
 
@@ -81,6 +85,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_mix_sources": op8_mix_sources,
     "op9_repeated_strings": op9_repeated_strings,
     "op10_pack_sequences": op10_pack_sequences,
+    "op11_prefix_trie": op11_prefix_trie,
     "op12_quality_rules": op12_quality_rules,
     "op13_merkle_manifest": op13_merkle_manifest,
 }
