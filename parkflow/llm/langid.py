@@ -13,8 +13,9 @@ from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from parkflow.llm.common import task
@@ -23,7 +24,8 @@ CACHE_ENTRIES, SMOOTHING, UNKNOWN = 120_000, 0.1, 1e-8
 #: Expected counts are summed as whole millionths, so that sums don't depend on how the rows lie; words of more letters
 #: than SHORT are summed as logarithms, and this many letters are worked on at a time.
 MILLIONTHS, SHORT, TOGETHER = 1_000_000, 15, 100_000
-LEAST_PIECES = 20_000
+#: What a letter usually costs is learned as if so many pieces of unknown letters had been seen besides.
+PRIOR_PIECES = 200
 WORD = re.compile(r"[^\W\d_]+")
 UNDETERMINED = "und"
 _state: dict = {}
@@ -105,14 +107,15 @@ def train(labelled: DataFrame, path: str) -> tuple[list[str], np.ndarray]:
 
 
 def usual_surprise(path: str, table: np.ndarray) -> np.ndarray:
-    """What a letter of each language's own text costs on average: the entropy of its pieces over their length. Infinite
-    where a language was learned from fewer than LEAST_PIECES pieces, too few to say what is usual."""
-    learned = SMOOTHING / table.min(axis=0, initial=1.0) - SMOOTHING * len(table)
+    """What a letter of each language's own text costs on average: the entropy of its pieces over their length, pooled
+    with PRIOR_PIECES pieces at the cost of an unknown letter. So little is expected of a language that little was learned
+    of, and the more there was, the less the prior counts."""
+    learned = np.maximum(0, SMOOTHING / table.min(axis=0, initial=1.0) - SMOOTHING * len(table))
     length = np.ones(len(table))
     for piece, i in _pieces(path).items():
         length[i] = len(piece)
     usual = -(table * np.log(table)).sum(axis=0) / (table * length[:, None]).sum(axis=0)
-    return np.where(learned >= LEAST_PIECES, usual, np.inf)
+    return (learned * usual - PRIOR_PIECES * np.log(UNKNOWN)) / (learned + PRIOR_PIECES)
 
 
 _STEP, _SPREAD = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
@@ -262,35 +265,49 @@ class Scorer:
         return self.rows[list(map(self.index.__getitem__, words))].sum(axis=0)
 
 
-def predict_batches(batches: Iterator[pa.RecordBatch], path: str, model: tuple[list[str], np.ndarray], key: str) -> Iterator[pa.RecordBatch]:
-    langs, table = model
+def _scorer(path: str, model: tuple[list[str], np.ndarray], key: str) -> Scorer:
     if ("scorer", key) not in _state:
         for old in [k for k in _state if k[0] == "scorer"]:
             del _state[old]
-        _state["scorer", key] = Scorer(path, table)
-    scorer = _state["scorer", key]
+        _state["scorer", key] = Scorer(path, model[1])
+    return _state["scorer", key]
+
+
+def judged(texts: list[str | None], langs: list[str], scorer: Scorer) -> tuple[list, list, list]:
+    """lang_pred, score and surprise of each text."""
+    words = [words_of(t) if t and langs and any(map(str.isalpha, t)) else [] for t in texts]
+    scorer.learn(set().union(*words))
+    pred, score, surprise = [], [], []
+    for w in words:
+        if not w:
+            pred.append(UNDETERMINED)
+            score.append(0.0)
+            surprise.append(None)
+            continue
+        log = scorer.score(w)
+        p = np.exp(log - log.max())
+        best = int(p.argmax())
+        pred.append(langs[best])
+        score.append(float(p[best] / p.sum()))
+        surprise.append(float(-log[best] / (len(w) + sum(map(len, w))) / scorer.usual[best]))
+    return pred, score, surprise
+
+
+def predict_batches(batches: Iterator[pa.RecordBatch], path: str, model: tuple[list[str], np.ndarray], key: str) -> Iterator[pa.RecordBatch]:
+    scorer = _scorer(path, model, key)
     for whole in batches:
         for at in range(0, whole.num_rows, 1024):
             batch = whole.slice(at, 1024)
-            texts = [t.as_py() for t in batch.column("text")]
-            words = [words_of(t) if t and langs and any(map(str.isalpha, t)) else [] for t in texts]
-            scorer.learn(set().union(*words))
-            pred, score, surprise = [], [], []
-            for w in words:
-                if not w:
-                    pred.append(UNDETERMINED)
-                    score.append(0.0)
-                    surprise.append(None)
-                    continue
-                log = scorer.score(w)
-                p = np.exp(log - log.max())
-                best = int(p.argmax())
-                pred.append(langs[best])
-                score.append(float(p[best] / p.sum()))
-                cost = float(-log[best] / (len(w) + sum(map(len, w))) / scorer.usual[best])
-                surprise.append(cost if cost > 0 else None)
+            found = judged([t.as_py() for t in batch.column("text")], model[0], scorer)
             keep = [c for c in batch.schema.names if c != "text"]
-            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in keep], pa.array(pred, pa.string()), pa.array(score, pa.float64()), pa.array(surprise, pa.float64())], [*keep, "lang_pred", "score", "surprise"])
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in keep], *[pa.array(x, t) for x, t in zip(found, (pa.string(), pa.float64(), pa.float64()))]], [*keep, "lang_pred", "score", "surprise"])
+
+
+def predict_series(texts: pd.Series, path: str, model: tuple[list[str], np.ndarray], key: str) -> pd.DataFrame:
+    scorer, parts = _scorer(path, model, key), []
+    for at in range(0, len(texts), 1024):
+        parts.append(judged(texts.iloc[at : at + 1024].tolist(), model[0], scorer))
+    return pd.DataFrame({c: [x for p in parts for x in p[k]] for k, c in enumerate(("lang_pred", "score", "surprise"))})
 
 
 def held_out():
@@ -298,14 +315,27 @@ def held_out():
     return F.crc32(F.col("doc_id").cast("string")) % 5 == 0
 
 
-def annotate(rows: DataFrame, model: tuple[list[str], np.ndarray], path: str) -> DataFrame:
-    """rows(text, ...) with lang_pred, score and surprise in place of the text."""
+def _shared(spark: SparkSession, model: tuple[list[str], np.ndarray], path: str) -> dict:
     import hashlib
 
-    key = hashlib.sha256(model[1].tobytes() + repr(model[0]).encode()).hexdigest()
-    shared = rows.sparkSession.sparkContext.broadcast(model)
+    return {"path": path, "model": spark.sparkContext.broadcast(model), "key": hashlib.sha256(model[1].tobytes() + repr(model[0]).encode()).hexdigest()}
+
+
+def annotate(rows: DataFrame, model: tuple[list[str], np.ndarray], path: str) -> DataFrame:
+    """rows(text, ...) with lang_pred, score and surprise in place of the text."""
     kept = rows.drop("text").withColumns({"lang_pred": F.lit(""), "score": F.lit(0.0), "surprise": F.lit(None).cast("double")}).schema
-    return rows.mapInArrow(task("parkflow.llm.langid", "predict_batches", path=path, model=shared, key=key), kept)
+    return rows.mapInArrow(task("parkflow.llm.langid", "predict_batches", **_shared(rows.sparkSession, model, path)), kept)
+
+
+def language_of(spark: SparkSession, text: str, model: tuple[list[str], np.ndarray], path: str) -> Column:
+    """lang_pred, score and surprise of a column of texts, as a struct: only the texts go to Python, the rows that they
+    are of stay with the JVM."""
+    run = task("parkflow.llm.langid", "predict_series", **_shared(spark, model, path))
+
+    def judge(texts: pd.Series) -> pd.DataFrame:
+        return run(texts)
+
+    return F.pandas_udf(judge, "lang_pred string, score double, surprise double")(F.col(text))
 
 
 def identify(docs: DataFrame, model: tuple[list[str], np.ndarray], path: str) -> DataFrame:
@@ -313,8 +343,8 @@ def identify(docs: DataFrame, model: tuple[list[str], np.ndarray], path: str) ->
 
     score is the posterior of the predicted language under equal priors. surprise is what a letter of the text costs
     (its negative log probability) over what one costs on average in that language: about 1 for its own texts, more for
-    what no learned language fits; null for `und` and where too little was learned to tell. A text that is null or has no letter, or any
-    text where no language was learned, is `und` with score 0. A null doc_id isn't held out. Repeated rows are
+    what no learned language fits; null for `und`. A text that is null or has no letter, or any text where no language
+    was learned, is `und` with score 0. A null doc_id isn't held out. Repeated rows are
     predicted each; other columns, language and source among them, aren't read.
     """
     return annotate(docs.select("doc_id", F.coalesce(held_out(), F.lit(False)).alias("held_out"), "text"), model, path)

@@ -35,7 +35,9 @@ def pack_batches(batches: Iterator[pa.RecordBatch], rows: int, scale: int) -> It
         ids = batch.column("id").to_pylist()
         sizes = vectors.value_lengths().to_numpy(zero_copy_only=False)
         starts = vectors.offsets.to_numpy()[:-1]
-        flat = np.floor(scale * vectors.values.to_numpy(zero_copy_only=False).astype(np.float64))
+        with np.errstate(over="ignore"):
+            flat = np.floor(scale * vectors.values.to_numpy(zero_copy_only=False).astype(np.float64))
+        flat = np.clip(flat, -np.finfo(np.float64).max, np.finfo(np.float64).max)
         for i, at, n in zip(ids, starts, sizes):
             own = held.setdefault(int(n), [])
             own.append((i, flat[at : at + n]))
@@ -53,9 +55,30 @@ def _open(blocks: pa.Table) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(ids), np.concatenate(values, axis=1)
 
 
+LOWEST, HIGHEST = -(2**63), 2**63 - 1
+
+
+def _float(x: np.ndarray) -> np.ndarray:
+    """As doubles; whole numbers beyond their range as infinite."""
+
+    def one(v) -> float:
+        try:
+            return float(v)
+        except OverflowError:
+            return np.inf if v > 0 else -np.inf
+
+    return x if x.dtype == np.float64 else np.array([[one(v) for v in row] for row in x], np.float64).reshape(x.shape)
+
+
+def _clamped(x: np.ndarray) -> np.ndarray:
+    """Whole numbers as the nearest ones that a long holds."""
+    return np.array([[min(max(v, LOWEST), HIGHEST) for v in row] for row in x], object).reshape(x.shape)
+
+
 def _rest(values: np.ndarray, step: int) -> list[np.ndarray]:
     """Length of what is left of each vector after each group of dimensions."""
-    square = values * values
+    with np.errstate(over="ignore"):
+        square = values * values
     return [np.sqrt(square[d:].sum(axis=0)) for d in range(step, len(values) + step, step)]
 
 
@@ -68,7 +91,8 @@ def _first_of_each(order: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
 def best(q_ids: np.ndarray, q: np.ndarray, c_ids: np.ndarray, c: np.ndarray, k: int, step: int = 16, rows: int = 2048, together: int = 64) -> list[tuple]:
     """(query id, candidate id, score) of the k best of each query among these candidates, the query itself left out. An
     id that is repeated among the candidates has one place, that of its best score. q and c: numbers by dimension."""
-    order = np.argsort(-(c * c).sum(axis=0), kind="stable")  # long vectors first: the k-th best rises early
+    with np.errstate(over="ignore"):
+        order = np.argsort(-(c * c).sum(axis=0), kind="stable")  # long vectors first: the k-th best rises early
     c_ids, c = c_ids[order], c[:, order]
     c_rest = _rest(c, step)
     exact = np.float64 if max(np.abs(q).max(initial=0), 1) * max(np.abs(c).max(initial=0), 1) * len(q) < 2**52 else object
@@ -94,13 +118,14 @@ def _best(q_ids, q, q_rest, c_ids, c, c_rest, k, step, rows, exact, repeated) ->
         score = np.zeros((len(q_ids), len(ids)), dtype=exact)
         for g, d in enumerate(range(0, len(q), step)):
             score = score + q[d : d + step].T @ c[d : d + step, at + alive]
-            bound = score.astype(np.float64) + q_rest[g][:, None] * c_rest[g][at + alive] * (1 + 1e-9) + 1e-6
-            keep = (bound >= top_s[:, -1:].astype(np.float64)).any(axis=0)
+            with np.errstate(over="ignore", invalid="ignore"):  # what can't be told from infinite lengths is kept
+                bound = _float(score) + q_rest[g][:, None] * c_rest[g][at + alive] * (1 + 1e-9) + 1e-6
+            keep = ~(np.maximum(bound, LOWEST) < _float(top_s[:, -1:])).all(axis=0)
             if not keep.all():
                 alive, score = alive[keep], score[:, keep]
         if not len(alive):
             continue
-        score = score.copy()
+        score = score.copy() if exact is np.float64 else _clamped(score)
         score[q_ids[:, None] == ids[alive]] = -np.inf
         all_s = np.concatenate([top_s, score], axis=1)
         all_i = np.concatenate([top_i, np.broadcast_to(ids[alive], score.shape)], axis=1)
@@ -123,7 +148,8 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, scale: int = 256,
     """query_id, rank, vec_id, score: the k rows of vectors(vec_id, embedding) with the highest inner product for each
     row of queries(vec_id, embedding), the row of the same id left out; ties go to the smaller id.
 
-    Components are floor(scale * x). Vectors that are null, or hold a null or a component that isn't finite, take no
+    Components are floor(scale * x), those beyond doubles the largest double. Products are exact at any size; a score that
+    a long doesn't hold is the nearest that it holds. Vectors that are null, or hold a null or a component that isn't finite, take no
     part; vectors of different lengths never meet; an empty vector scores 0. Rows repeated under one id take part
     once, by their best score. A query set against all rows: a cell is about query_rows by candidate_rows of them (fewer
     candidates where there would be fewer cells than shuffle partitions), each block is sent to the cells of its group,

@@ -36,6 +36,49 @@ def test_language_stage(spark, docs_of, odd):
     assert rows_of(got) == sorted(map(repr, keep))
 
 
+ODD_ROWS = "doc_id long, text string, lang string, source string, n_chars long, __row int, __hash string, __pii int, row_key string, position_in_run double, tags map<string,int>, `a.b` timestamp"
+
+
+@pytest.fixture(scope="module")
+def odd_rows(spark, tmp_path_factory):
+    """Rows that differ in where their nulls are, in a map, in a column of any name; as rows and as files."""
+    from datetime import datetime
+
+    words = " ".join(f"word{i} of the text" for i in range(30))
+    rows = [(1, None, "web", None), (1, None, None, "web"), (2, "web", None, None), (2, None, "web", None), (None, "", "en", "a"), (None, "", "en", "a"), (None, None, None, None), (3, words, "en", "a"), (3, words, "en", "b"), (4, words + " more", None, "b")]
+    full = [(*r, None, i % 2, "h", 7, "k", 0.25, {"x": 1}, datetime(2024, 1, 1)) for i, r in enumerate(rows[:4])]
+    full += [(*r, 5, None, None, None, None, None, {"x": i} if i < 2 else None, datetime(2024, 1, 1, 0, 0, 0, i)) for i, r in enumerate(rows[4:])]
+    full += [full[0], (*full[0][:10], {"x": 2}, full[0][11])]
+    df = spark.createDataFrame(full, ODD_ROWS)
+    where = str(tmp_path_factory.mktemp("odd") / "rows.parquet")
+    df.repartition(3).write.parquet(where)
+    return df, spark.read.parquet(where), full
+
+
+def test_duplicate_stage_loses_no_row(spark, odd_rows):
+    rows, files, full = odd_rows
+    for df in (rows, files, files.filter("true")):
+        got = STAGE["near_duplicates"](spark, df, "")
+        assert got.schema == df.schema
+        # of the texts with words ("web" of one, the long ones) one each; of the others all that aren't repeated whole
+        kept = [r for r in full if r[1] in (None, "")]
+        want = {repr(spark.createDataFrame([r], ODD_ROWS).first()) for r in [*kept, full[2], full[7]]}
+        found = [repr(r) for r in got.collect()]
+        assert len(found) == len(set(found)) and {x for x in found if "word0" not in x} == {x for x in want if "word0" not in x}
+        assert sum("word0" in x for x in found) == 1
+
+
+@pytest.mark.parametrize("name", ["language", "personal_data", "mixture"])
+def test_stages_keep_columns_of_any_name(spark, odd_rows, name):
+    for df in odd_rows[:2]:
+        got = STAGE[name](spark, df, "")
+        assert got.schema == df.schema
+        rows, given = got.collect(), [tuple(r)[5:] for r in df.collect()]
+        assert rows and all(tuple(r)[5:] in given for r in rows)
+        if name == "personal_data":
+            assert rows_of(got) == rows_of(df)
+
+
 def test_language_stage_rejects_what_fits_no_language(spark, docs_of):
     rng = random.Random(2)
     real = [(r.text, r.lang, "a") for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect()]
@@ -168,7 +211,7 @@ def test_empty_table(spark, docs_of, name):
 def test_query_equals_sql(spark, name):
     df = QUERIES[name](spark, "/root/testdata/sf0.001")
     con = duckdb.connect()
-    for t in ("documents", "embeddings"):
+    for t in ("documents", "embeddings", "conversations"):
         con.execute(f"create view {t} as select * from '/root/testdata/sf0.001/{t}.parquet'")
     want = con.execute(ORACLE_SQL[name])
     columns = [c[0] for c in want.description]

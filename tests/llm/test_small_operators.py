@@ -254,11 +254,20 @@ def test_top_k_of_repeated_rows(spark):
     assert sorted((r["rank"], r.vec_id) for r in few) == [(1, 1), (2, 2)]
 
 
-def test_top_k_beyond_doubles(spark):
-    df = spark.createDataFrame([(0, [1e12, 1.0]), (1, [1e12, 2.0]), (2, [1e12, 3.0])], "vec_id long, embedding array<double>")
-    big = topk.top_k(df.select("vec_id", df.embedding.cast("array<double>").alias("embedding")), df.filter("vec_id = 0"), 2, scale=1)
-    with pytest.raises(Exception):
-        big.collect()  # a score that no long holds is an error, not a wrong number
+@pytest.mark.parametrize("scale", [1, 256])
+def test_top_k_of_large_values(spark, scale):
+    """Exact at any size; scores are clamped to what a long holds, ties to the smaller id."""
+    vectors = {0: [1e12, 1.0, 0.0], 1: [1e12, 2.0, 5.0], 2: [1e12, 3.0, -5.0], 3: [-3e12, 1e300, 1.0], 4: [1e308, 1e308, 1.0], 5: [-1e308, 3.0, 3.0], 6: [2e9, 7.0, 1.0], 7: [-2e9, 7.0, 1.0], 8: [3e5, 0.0, 0.0], 9: [-1e200, -1e250, 0.0], 10: [-1e300, 0.0, 0.0], 11: [-1e301, 0.0, 0.0]}
+    df = spark.createDataFrame(list(vectors.items()), "vec_id long, embedding array<double>")
+    most = np.finfo(np.float64).max
+    clean = {i: [int(min(max(np.floor(scale * np.float64(x)), -most), most)) for x in v] for i, v in vectors.items()}
+    for k in (2, 5, 11):
+        got = topk.top_k(df, df, k, scale=scale, block=4).collect()
+        want = []
+        for q, v in clean.items():
+            scores = sorted((-min(max(sum(a * b for a, b in zip(v, w)), -(2**63)), 2**63 - 1), i) for i, w in clean.items() if i != q)
+            want += [(q, n + 1, i, -s) for n, (s, i) in enumerate(scores[:k])]
+        assert sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in got) == sorted(want)
 
 
 @pytest.mark.parametrize("call", [lambda d: tokencount.count_tokens(d, PATHS["piece"]), lambda d: packing.pack_documents(d, PATHS["word"]), mixing.mix_sources, lambda d: media.media_features(media.store_media(d))])

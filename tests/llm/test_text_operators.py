@@ -149,6 +149,31 @@ def test_language(spark, odd):
     assert all(0 <= r.score <= 1 for r in got.values())
 
 
+def test_language_results_of_documents(docs_of):
+    """lang_pred, score and surprise of whole documents by plain sums, at any amount of what was learned."""
+    path = vocabulary("piece_bpe_32k.model")
+    pieces = langid._pieces(path)
+    base = [("the house and the garden of their friends", "a", "s"), ("das haus und der garten von ihren freunden", "b", "s"), ("la maison et le jardin de leurs amis", "c", "s")]
+    asked = ["the friends of the house", "der garten", "Le Jardin, LA maison", "qx zz", "the das", "übung 12 x"]
+    for times in (1, 40, 900):
+        docs = docs_of([*base * times, *[(t, None, "s") for t in asked]])
+        langs, table = langid.train(docs.filter(~langid.held_out()), path)
+        got = {r.doc_id: r for r in langid.identify_languages(docs, path).collect()}
+        learned = langid.SMOOTHING / table.min(axis=0) - langid.SMOOTHING * len(table)
+        for i, t in enumerate(asked, len(base) * times):
+            words = langid.words_of(t)
+            logs = [sum(math.log(plain_forward(w, pieces, table, j)) for w in words) for j in range(len(langs))]
+            best = max(range(len(langs)), key=logs.__getitem__)
+            entropy = -sum(x * math.log(x) for x in table[:, best])
+            letters = table[:, best].sum() + sum(table[k, best] * (len(p) - 1) for p, k in pieces.items())
+            usual = (learned[best] * entropy / letters + langid.PRIOR_PIECES * -math.log(langid.UNKNOWN)) / (learned[best] + langid.PRIOR_PIECES)
+            surprise = -logs[best] / sum(len(w) + 1 for w in words) / usual
+            r = got[i]
+            assert r.lang_pred == langs[best]
+            assert math.isclose(r.score, 1 / sum(math.exp(x - logs[best]) for x in logs), rel_tol=1e-6)
+            assert math.isclose(r.surprise, surprise, rel_tol=1e-6)
+
+
 def test_expected_pieces():
     path = vocabulary("piece_bpe_32k.model")
     pieces = langid._pieces(path)
