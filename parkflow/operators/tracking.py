@@ -6,6 +6,7 @@ Only the fold itself is Python; everything before and after is DataFrame code.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -13,6 +14,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from parkflow.functions.geometry import Box, box_iou, motion_direction, pixel_speed
+from parkflow.operators.matching import greedy_chains, greedy_pairs
+from parkflow.tables import numbered, written
 
 
 def segment_by_gap(df: DataFrame, keys: list[str], time: str, gap: float, strict: bool = False) -> DataFrame:
@@ -22,130 +25,75 @@ def segment_by_gap(df: DataFrame, keys: list[str], time: str, gap: float, strict
     return df.withColumn("segment", F.coalesce(F.sum((since > gap if strict else since >= gap).cast("int")).over(w.rangeBetween(Window.unboundedPreceding, 0)), F.lit(0)))
 
 
-def _parts(segments: DataFrame, each: int = 256) -> DataFrame:
-    """So many segments in a row as one: the folds below tell them apart by time, and small groups cost more to start
-    than to fold."""
-    return segments.withColumn("segment", F.floor(F.col("segment") / each))
+def _stretch(time: str, most: float) -> Column:
+    """A number such that times no more than `most` apart, rounding included, have the same or the next one."""
+    return F.floor(F.col(time) / F.lit(1.001 * most + 1e-9))
 
 
-def iou_candidates(detections: DataFrame, tracks: DataFrame, least: float = 0.15) -> DataFrame:
-    """Detections and live tracks of one video frame that overlap enough: det, track, iou."""
-    a, b = detections.alias("a"), tracks.alias("b")
-    p, q = (Box(*(F.col(f"{s}.{c}") for c in "xywh")) for s in "ab")
-    on = (F.col("a.video") == F.col("b.video")) & (F.col("a.frame_index") == F.col("b.frame_index"))
-    return a.join(b, on).select(F.col("a.video").alias("video"), F.col("a.frame_index").alias("frame_index"), "det", "track", box_iou(p, q).alias("iou")).filter(F.col("iou") >= least)
-
-
-def _iou_matrix(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    x = np.minimum(a[:, None, 0] + a[:, None, 2], b[None, :, 0] + b[None, :, 2]) - np.maximum(a[:, None, 0], b[None, :, 0])
-    y = np.minimum(a[:, None, 1] + a[:, None, 3], b[None, :, 1] + b[None, :, 3]) - np.maximum(a[:, None, 1], b[None, :, 1])
-    both = np.maximum(x, 0) * np.maximum(y, 0)
-    union = a[:, None, 2] * a[:, None, 3] + b[None, :, 2] * b[None, :, 3] - both
-    return np.where(union > 0, both / np.where(union > 0, union, 1), 0.0)
+def overlaps(rows: DataFrame, keys: list[str], time: str, most: float, least: float, strict: bool = False, cell: int = 128) -> DataFrame:
+    """l, r, time (of r) and iou: pairs of rows(id, *keys, time, x, y, w, h) alike in keys, l before r by no more than
+    `most` (strict: by less), whose boxes have an IoU of at least `least` (0: more than 0).
 
+    They meet in cells of space and time: each box enters the cells of the picture that it touches, l in its own stretch
+    of time and the next, and a pair counts in the cell where the common part of the two begins.
+    """
+    across = lambda at, size: F.explode(F.sequence(F.floor(F.col(at) / cell), F.floor((F.col(at) + F.greatest(F.col(size), F.lit(0))) / cell)))
+    stretch = _stretch(time, most)
+    dealt = rows.withColumn("cell_x", across("x", "w")).withColumn("cell_y", across("y", "h"))
+    a = dealt.withColumn("stretch", F.explode(F.array(stretch, stretch + 1))).alias("a")
+    b = dealt.withColumn("stretch", stretch).alias("b")
+    p, q = (Box(*(F.col(f"{s}.{c}") for c in "xywh")) for s in "ab")
+    meet = reduce(Column.__and__, [F.col(f"a.{c}") == F.col(f"b.{c}") for c in (*keys, "stretch", "cell_x", "cell_y")])
+    since = F.col(f"b.{time}") - F.col(f"a.{time}")
+    once = (F.col("a.cell_x") == F.floor(F.greatest(p.x, q.x) / cell)) & (F.col("a.cell_y") == F.floor(F.greatest(p.y, q.y) / cell))
+    near = (since > 0) & (since < most if strict else since <= most)
+    found = a.join(b, meet & near & once).select(F.col("a.id").alias("l"), F.col("b.id").alias("r"), F.col(f"b.{time}").alias("time"), box_iou(p, q).alias("iou"))
+    return found.filter(F.col("iou") >= least if least > 0 else F.col("iou") > 0)
 
-def _assign(scores: np.ndarray, least: float) -> list[tuple[int, int]]:
-    """One-to-one pairs, best first."""
-    rows, columns = np.nonzero(scores >= least)
-    used_r, used_c, out = set(), set(), []
-    for k in np.lexsort((columns, rows, -scores[rows, columns])):
-        r, c = int(rows[k]), int(columns[k])
-        if r not in used_r and c not in used_c:
-            used_r.add(r)
-            used_c.add(c)
-            out.append((r, c))
-    return out
 
+def iou_candidates(detections: DataFrame, alive: int, least: float = 0.15) -> DataFrame:
+    """l, r, time (r's frame) and iou of the detections(id, video, frame_index, x, y, w, h) of a video that a track could
+    link: l may be the last box of a live track when r comes."""
+    return overlaps(detections, ["video"], "frame_index", alive, least)
 
-def _track_video(least: float, alive: int) -> Callable[[pd.DataFrame], pd.DataFrame]:
-    def fold(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["frame_index", "x", "y", "w", "h", "class_id"], kind="stable").reset_index(drop=True)
-        ids, live, following = np.zeros(len(rows), np.int64), [], 1
-        boxes, frames = rows[["x", "y", "w", "h"]].to_numpy(float), rows["frame_index"].to_numpy()
-        each, first = np.unique(frames, return_index=True)
-        for frame, begin, end in zip(each, first, [*first[1:], len(rows)]):
-            at = np.arange(begin, end)
-            live = [t for t in live if frame - t[1] <= alive]
-            pairs = _assign(_iou_matrix(boxes[at], np.array([t[2] for t in live])), least) if live else []
-            for d, t in pairs:
-                ids[at[d]], live[t][1], live[t][2] = live[t][0], frame, boxes[at[d]]
-            for d in set(range(len(at))) - {d for d, _ in pairs}:
-                ids[at[d]] = following
-                live.append([following, frame, boxes[at[d]]])
-                following += 1
-        return rows.assign(track_id=ids)
 
-    return fold
+def _ranked(chains: DataFrame, key: str) -> DataFrame:
+    """chain and number: the chains(chain, key) of each key, from 1, in the order of their first ids."""
+    begun = numbered(chains.select("chain", key).distinct(), [key, "chain"], "at")
+    first = begun.groupBy(key).agg(F.min("at").alias("from"))
+    return begun.join(first, key).select("chain", (F.col("at") - F.col("from") + 1).alias("number"))
 
 
 def track_frames(detections: DataFrame, iou: float = 0.15, lost_s: float = 2.0, fps: float = 30.0) -> DataFrame:
     """detections(video, frame_index, x, y, w, h, class_id) with track_id, from 1 within each video.
 
-    A video splits where no track can live on: at gaps of more frames than a track survives. Those parts are folded
-    apart, and their ids follow one another.
+    In each frame the detections and live tracks that overlap most go together first, one to one; a detection that is
+    left begins a track; a track that none follows for lost_s ends. Equal overlaps are in the order of the detections
+    (by x, y, w, h, class_id), then in that in which the tracks began. That is a greedy matching of detections with
+    later ones, in the order of the later one's frame and of their overlap: it is found in rounds over all videos at
+    once, so that no video, long or busy as it may be, is one task.
     """
-    alive = int(fps * lost_s)
     cols = ["video", "frame_index", "x", "y", "w", "h", "class_id"]
-    parts = _parts(segment_by_gap(detections.select(*cols), ["video"], "frame_index", alive, strict=True))
-    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in parts.schema.fields)
-    local = parts.groupBy("video", "segment").applyInPandas(_track_video(iou, alive), f"{kinds}, track_id long")
-    n = local.groupBy("video", "segment").agg(F.max("track_id").alias("n"))
-    before = n.select("video", "segment", F.coalesce(F.sum("n").over(Window.partitionBy("video").orderBy("segment").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
-    return local.join(before, ["video", "segment"]).select(*cols, (F.col("track_id") + F.col("before")).alias("track_id"))
-
-
-def _track_segment(gap: float) -> Callable[[pd.DataFrame], pd.DataFrame]:
-    def fold(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["epoch_s", "image_id", "entity_id"], kind="stable").reset_index(drop=True)
-        out, live = rows["entity_id"].to_numpy().copy(), []
-        boxes = rows[["x", "y", "width", "height"]].to_numpy(float)
-        for now in rows["epoch_s"].unique():
-            live = [t for t in live if now - t["time"] < gap]
-            used = set()
-            for i in np.flatnonzero(rows["epoch_s"].to_numpy() == now):
-                kind = rows["type_id"].iat[i]
-                own = [k for k, t in enumerate(live) if t["kind"] == kind and k not in used]
-                score = _iou_matrix(boxes[i : i + 1], np.array([live[k]["box"] for k in own]))[0] if own else np.zeros(0)
-                if len(score) and score.max() > 0:
-                    k = own[int(score.argmax())]
-                    out[i] = live[k]["id"]
-                    live[k] |= {"time": now, "box": boxes[i]}
-                else:
-                    k = len(live)
-                    live.append({"id": out[i], "kind": kind, "time": now, "box": boxes[i]})
-                used.add(k)
-        return rows.assign(new_id=out)
-
-    return fold
+    rows = written(numbered(detections.select(*cols), cols, "id"))
+    pairs = iou_candidates(rows, int(fps * lost_s), iou)
+    chains = written(greedy_chains(rows.select("id"), pairs.select("l", "r", F.col("time").alias("o1"), (-F.col("iou")).alias("o2"))))
+    owners = rows.join(chains.select("id", "chain"), "id")
+    return owners.join(_ranked(owners.filter("id = chain"), "video").withColumnRenamed("number", "track_id"), "chain").select(*cols, "track_id")
 
 
 def track_catalog(instances: DataFrame, images: DataFrame, gap: float = 1.0) -> DataFrame:
-    """image_id, entity_id and new_id: over the images in order of time, each instance continues the track of its own
-    type that it overlaps most and that no other took at this time, if the last sighting is less than gap ago.
-
-    All tracks end where images are at least gap apart, so what lies between such gaps is folded apart.
+    """image_id, entity_id and new_id: over the images in order of time, each instance (by image and entity) continues
+    the track of its own type that it overlaps most and that no other took at this time, if the last sighting is less
+    than gap ago; of equal overlaps the track that began first. Found as in track_frames, wherever gaps are.
     """
     cols = ["image_id", "entity_id", "type_id", "x", "y", "width", "height", "epoch_s"]
     rows = instances.join(images.select("image_id", "epoch_s"), "image_id").select(*cols)
-    parts = _segments_by_day(rows, gap)
-    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in parts.schema.fields)
-    return parts.groupBy("segment").applyInPandas(_track_segment(gap), f"{kinds}, new_id long").select("image_id", "entity_id", "type_id", "x", "y", "width", "height", "epoch_s", "new_id")
-
-
-def _segments_by_day(rows: DataFrame, gap: float) -> DataFrame:
-    """Adds segment (its first time). Times are ordered within days only; days that lie within gap are put together by
-    a running pass over the days."""
-    times = rows.select("epoch_s").distinct().withColumn("day", F.floor(F.col("epoch_s") / 86400))
-    w = Window.partitionBy("day").orderBy("epoch_s")
-    within = times.withColumn("starts", F.when(F.coalesce(F.col("epoch_s") - F.lag("epoch_s").over(w) >= gap, F.lit(False)), F.col("epoch_s")))
-    days = times.groupBy("day").agg(F.min("epoch_s").alias("first"), F.max("epoch_s").alias("last")).join(within.groupBy("day").agg(F.max("starts").alias("last_start")), "day")
-    over = Window.partitionBy(F.lit(0)).orderBy("day")
-    opens = F.when(F.coalesce(F.col("first") - F.lag("last").over(over) >= gap, F.lit(True)), F.col("first"))
-    days = days.withColumn("opens", opens).withColumn("carried", F.last(F.coalesce("last_start", "opens"), True).over(over.rowsBetween(Window.unboundedPreceding, -1)))
-    days = days.select("day", F.coalesce("opens", "carried").alias("base"))
-    # Segments that begin on one day are folded as one group; the fold tells them apart by time.
-    tagged = within.join(days, "day").withColumn("segment", F.coalesce(F.last("starts", True).over(w.rowsBetween(Window.unboundedPreceding, 0)), "base"))
-    return rows.join(tagged.select("epoch_s", F.floor(F.col("segment") / 86400).alias("segment")), "epoch_s")
+    rows = written(numbered(rows, ["epoch_s", "image_id", "entity_id", *cols[2:7]], "id"))
+    boxes = rows.withColumnsRenamed({"width": "w", "height": "h"})
+    pairs = overlaps(boxes, ["type_id"], "epoch_s", gap, 0.0, strict=True)
+    chains = greedy_chains(rows.select("id"), pairs.select("l", "r", F.col("r").alias("o1"), (-F.col("iou")).alias("o2")))
+    first = rows.select(F.col("id").alias("chain"), F.col("entity_id").alias("new_id"))
+    return rows.join(chains, "id").join(first, "chain").select(*cols[:2], *cols[2:], "new_id")
 
 
 def track_motion(tracked: DataFrame, compat: bool = False) -> DataFrame:
@@ -168,7 +116,7 @@ def similarity_candidates(detections: DataFrame, gallery: DataFrame, similarity:
     into blocks, and each pair of blocks is dealt apart, so a busy camera isn't one task."""
     on = F.col("d_camera") == F.col("g_camera")
     if max_gap is not None:
-        bucket = lambda t: F.floor(F.col(t) / max(max_gap, 1e-9))
+        bucket = lambda t: _stretch(t, max_gap)
         detections = detections.withColumn("__d", bucket("d_t"))
         gallery = gallery.withColumn("__g", F.explode(F.array(bucket("g_t") - 1, bucket("g_t"), bucket("g_t") + 1)))
         on = on & (F.col("__d") == F.col("__g")) & (F.abs(F.col("d_t") - F.col("g_t")) <= max_gap)
@@ -222,7 +170,7 @@ def reidentify(profiles: DataFrame, threshold: float = 0.75, ratio: float = 0.8,
     looks at all before it, as the rule says: that grows with the square of a camera's rows, in one task."""
     cols = ["camera", "profile_id", "t", "feature"]
     rows = profiles.select(*cols)
-    parts = rows.withColumn("segment", F.lit(0).cast("long")) if max_gap is None else _parts(segment_by_gap(rows, ["camera"], "t", max_gap, strict=True))
+    parts = rows.withColumn("segment", F.lit(0).cast("long")) if max_gap is None else (segment_by_gap(rows, ["camera"], "t", max_gap, strict=True))
     kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in parts.schema.fields)
     local = parts.groupBy("camera", "segment").applyInPandas(_reidentify(threshold, ratio, max_gap), f"{kinds}, entity_id long")
     n = local.groupBy("camera", "segment").agg(F.max("entity_id").alias("n"))
@@ -231,25 +179,18 @@ def reidentify(profiles: DataFrame, threshold: float = 0.75, ratio: float = 0.8,
 
 
 def nearest_time_match(cars: DataFrame, tracks: DataFrame, most: float) -> DataFrame:
-    """recording, car_id, track_id: cars in order of crossing each claim the nearest track nobody claimed, within
-    `most`; the smaller id if tied. Cars and tracks more than `most` apart never meet, so recordings are cut at gaps."""
-    both = cars.select("recording", F.col("car_id").alias("id"), F.lit(0).alias("kind"), F.col("t").cast("double").alias("t")).unionByName(tracks.select("recording", F.col("track_id").alias("id"), F.lit(1).alias("kind"), F.col("t").cast("double").alias("t")))
-    parts = _parts(segment_by_gap(both, ["recording"], "t", most, strict=True))
-
-    def fold(rows: pd.DataFrame) -> pd.DataFrame:
-        free = rows[rows["kind"] == 1].sort_values(["t", "id"])
-        times, ids, taken = free["t"].to_numpy(), free["id"].to_numpy(), np.zeros(len(free), bool)
-        out = []
-        for car, t in rows[rows["kind"] == 0].sort_values(["t", "id"])[["id", "t"]].itertuples(index=False):
-            a, b = np.searchsorted(times, t - most, "left"), np.searchsorted(times, t + most, "right")
-            own = [(abs(times[k] - t), ids[k], k) for k in range(a, b) if not taken[k]]
-            if own:
-                _, track, k = min(own)
-                taken[k] = True
-                out.append((rows["recording"].iat[0], car, track))
-        return pd.DataFrame(out, columns=["recording", "car_id", "track_id"])
-
-    return parts.groupBy("recording", "segment").applyInPandas(fold, "recording string, car_id long, track_id long")
+    """recording, car_id, track_id: cars in order of crossing (t, then car_id) each claim the nearest track nobody
+    claimed, within `most`; the smaller id if tied. A greedy matching in the order of the cars: whoever comes first among
+    all that compete for its nearest track has it, so most claims are settled in a few rounds over all recordings."""
+    cars = written(numbered(cars.select("recording", "car_id", F.col("t").cast("double").alias("t")), ["t", "car_id", "recording"], "l"))
+    tracks = written(numbered(tracks.select("recording", "track_id", F.col("t").cast("double").alias("t")), ["track_id", "recording"], "r"))
+    stretch = _stretch("t", most)
+    a = cars.withColumn("stretch", F.explode(F.array(stretch - 1, stretch, stretch + 1))).alias("a")
+    b = tracks.withColumn("stretch", stretch).alias("b")
+    near = (F.col("b.t") >= F.col("a.t") - most) & (F.col("b.t") <= F.col("a.t") + most)
+    edges = a.join(b, (F.col("a.recording") == F.col("b.recording")) & (F.col("a.stretch") == F.col("b.stretch")) & near)
+    pairs = greedy_pairs(edges.select("l", "r", F.col("l").alias("o1"), F.abs(F.col("b.t") - F.col("a.t")).alias("o2")))
+    return pairs.join(cars.select("l", "recording", "car_id"), "l").join(tracks.select("r", "track_id"), "r").select("recording", "car_id", "track_id")
 
 
 def match_reference_box(directions: DataFrame, reference: DataFrame) -> DataFrame:
