@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from parkflow.functions.geometry import Box, box_iou, motion_direction, pixel_speed
+from parkflow.operators.graph import connected_components
 from parkflow.operators.matching import greedy_chains, greedy_pairs
 from parkflow.tables import numbered, written
 
@@ -139,43 +140,102 @@ def best_match(candidates: DataFrame, threshold: float = 0.75, ratio: float = 0.
     return top.filter((F.col("a.similarity") >= threshold) & clear).select("d_id", F.col("a.g_entity").alias("g_entity"), F.col("a.similarity").alias("similarity"))
 
 
-def _reidentify(threshold: float, ratio: float, max_gap: float | None) -> Callable[[pd.DataFrame], pd.DataFrame]:
-    def fold(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["t", "profile_id"], kind="stable").reset_index(drop=True)
-        unit = np.stack(rows["feature"].to_numpy()).astype(float)
-        norm = np.linalg.norm(unit, axis=1, keepdims=True)
-        unit = np.divide(unit, norm, out=unit, where=norm > 0)
-        times, ids, n = rows["t"].to_numpy(float), np.zeros(len(rows), np.int64), 0
-        for i in range(len(rows)):
-            since = 0 if max_gap is None else int(np.searchsorted(times[:i], times[i] - max_gap, "left"))
-            known, which = np.unique(ids[since:i], return_inverse=True)
-            best = np.full(len(known), -1.0)
-            np.maximum.at(best, which, unit[since:i] @ unit[i])
-            first = np.lexsort((known, -best))[:2]
-            ranked = [(int(known[k]), float(best[k])) for k in first]
-            ok = bool(ranked) and ranked[0][1] >= threshold
-            if ok and len(ranked) > 1 and ranked[1][1] > -1:
-                ok = max(1 - ranked[0][1], 1e-6) / max(1 - ranked[1][1], 1e-6) <= ratio
-            n += not ok
-            ids[i] = ranked[0][0] if ok else n
-        return rows.assign(entity_id=ids)
+def _nearness(best, other):
+    """How near the best match is, against another one; above the ratio it isn't clear."""
+    return np.maximum(1 - best, 1e-6) / np.maximum(1 - other, 1e-6)
+
+
+def _scores(threshold: float, ratio: float, max_gap: float | None) -> Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame]:
+    """i, j and cosine of the earlier rows j that can decide on row i: its best one in this block, and what is too near it."""
+
+    def unit(rows: pd.DataFrame) -> np.ndarray:
+        v = np.stack(rows["feature"].to_numpy()).astype(float)
+        norm = np.linalg.norm(v, axis=1, keepdims=True)
+        return np.divide(v, norm, out=v, where=norm > 0)
+
+    def block(later: pd.DataFrame, earlier: pd.DataFrame) -> pd.DataFrame:
+        if not len(later) or not len(earlier):
+            return pd.DataFrame({"i": [], "j": [], "s": []})
+        a, b, t_b, id_b, camera_b = unit(later), unit(earlier), earlier["t"].to_numpy(float), earlier["id"].to_numpy(), earlier["camera"].to_numpy()
+        out = []
+        for at in range(0, len(later), 256):
+            own = later.iloc[at : at + 256]
+            meets = (own["camera"].to_numpy()[:, None] == camera_b) & (id_b < own["id"].to_numpy()[:, None])
+            if max_gap is not None:
+                meets &= t_b >= own["t"].to_numpy(float)[:, None] - max_gap
+            s = np.where(meets, a[at : at + 256] @ b.T, -2.0)
+            top = s.max(axis=1, keepdims=True)
+            near = (s > -1) & (_nearness(np.maximum(top, threshold), s) > ratio) | meets & (s == top) & (top >= threshold)
+            i, j = np.nonzero(near)
+            out.append(pd.DataFrame({"i": own["id"].to_numpy()[i], "j": id_b[j], "s": s[i, j]}))
+        return pd.concat(out)
+
+    return block
+
+
+def _decide(threshold: float, ratio: float) -> Callable[[pd.DataFrame], pd.DataFrame]:
+    """One tangle of rows whose decisions hang together: (i, entity) of those that join one, in order of time."""
+
+    def fold(edges: pd.DataFrame) -> pd.DataFrame:
+        owner: dict[int, int] = {}
+        for i, own in edges.sort_values("i", kind="stable").groupby("i", sort=False):
+            best: dict[int, float] = {}
+            for head, s in zip(own["head"].tolist(), own["s"].tolist()):
+                entity = owner.get(head, head)
+                best[entity] = max(best.get(entity, -2.0), s)
+            ranked = sorted(best.items(), key=lambda x: (-x[1], x[0]))
+            if ranked[0][1] >= threshold and (len(ranked) < 2 or _nearness(ranked[0][1], ranked[1][1]) <= ratio):
+                owner[i] = ranked[0][0]
+        return pd.DataFrame({"i": list(owner), "entity": list(owner.values())}, dtype="int64")
 
     return fold
 
 
-def reidentify(profiles: DataFrame, threshold: float = 0.75, ratio: float = 0.8, max_gap: float | None = None) -> DataFrame:
-    """profiles(camera, profile_id, t, feature) with entity_id: in order of time each joins the best earlier entity or
-    opens a new one. With max_gap, silent gaps split a camera's time into parts that are folded apart, and a row looks at
-    the rows within the gap only; ids follow one another, so they don't depend on how the data lie. Without it each row
-    looks at all before it, as the rule says: that grows with the square of a camera's rows, in one task."""
+def reidentify(profiles: DataFrame, threshold: float = 0.75, ratio: float = 0.8, max_gap: float | None = None, block: int = 1024) -> DataFrame:
+    """profiles(camera, profile_id, t, feature) with entity_id: in order of time each joins the best earlier entity (within
+    max_gap, where given) if it is similar enough and clearly nearer than the second best, or opens a new one. Ids count
+    from 1 in each camera in the order in which they open.
+
+    Cosines are computed block by block, each pair of blocks that can meet in time a task; kept are, for each row, the
+    earlier rows that its decision hangs on: the best, and those too near it. With one of them only the row joins it for
+    certain, with none it opens an entity. Chains of certain ones are put together; where all that a row hangs on belong
+    to one chain it joins that. What is left are small tangles, gone through in order of time by ids and scores. Without
+    max_gap each row meets all before it, as the rule says: so many products, but in as many tasks.
+    """
     cols = ["camera", "profile_id", "t", "feature"]
-    rows = profiles.select(*cols)
-    parts = rows.withColumn("segment", F.lit(0).cast("long")) if max_gap is None else (segment_by_gap(rows, ["camera"], "t", max_gap, strict=True))
-    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in parts.schema.fields)
-    local = parts.groupBy("camera", "segment").applyInPandas(_reidentify(threshold, ratio, max_gap), f"{kinds}, entity_id long")
-    n = local.groupBy("camera", "segment").agg(F.max("entity_id").alias("n"))
-    before = n.select("camera", "segment", F.coalesce(F.sum("n").over(Window.partitionBy("camera").orderBy("segment").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
-    return local.join(before, ["camera", "segment"]).select(*cols, (F.col("entity_id") + F.col("before")).alias("entity_id"))
+    rows = written(numbered(profiles.select(*cols), ["camera", "t", "profile_id"], "id").withColumn("block", F.floor(F.col("id") / block)))
+    spans = rows.groupBy("camera", "block").agg(F.min("t").alias("lo"), F.max("t").alias("hi"))
+    stretches = lambda more: F.array(F.lit(0)) if max_gap is None else F.sequence(_stretch("lo", max_gap), _stretch("hi", max_gap) + more)
+    a, b = spans.withColumn("stretch", F.explode(stretches(0))).alias("a"), spans.withColumn("stretch", F.explode(stretches(1))).alias("b")
+    meet = (F.col("a.camera") == F.col("b.camera")) & (F.col("a.stretch") == F.col("b.stretch")) & (F.col("b.block") <= F.col("a.block"))
+    meet = meet if max_gap is None else meet & (F.col("b.hi") >= F.col("a.lo") - max_gap)
+    cells = written(a.join(b, meet).select(F.col("a.block").alias("later"), F.col("b.block").alias("earlier")).distinct())
+    names = ["later", "earlier", "camera", "id", "t", "feature"]
+    side = lambda which: rows.join(cells, F.col("block") == F.col(which)).select(*[F.col(c).alias(c) for c in names]).groupBy("later", "earlier")
+    found = written(side("later").cogroup(side("earlier")).applyInPandas(_scores(threshold, ratio, max_gap), "i long, j long, s double"))
+    best = found.groupBy("i").agg(F.max("s").alias("top")).filter(F.col("top") >= threshold)
+    far = lambda s: F.greatest(1 - F.col(s), F.lit(1e-6))
+    near = found.join(best, "i").filter((far("top") / far("s") > ratio) | (F.col("s") == F.col("top"))).select("i", "j", "s")
+    near = written(near.withColumn("n", F.count("*").over(Window.partitionBy("i"))))
+
+    owner = written(connected_components(rows.select("id"), near.filter("n = 1").select(F.col("i").alias("a"), F.col("j").alias("b"))))
+
+    def merged(owner: DataFrame, links: DataFrame) -> DataFrame:
+        """owner once the rows i of links(i, entity), which no chain led on, have joined those entities."""
+        ids = links.select(F.explode(F.array("i", "entity")).alias("id"))
+        whole = connected_components(ids, links.select(F.col("i").alias("a"), F.col("entity").alias("b"))).select(F.col("id").alias("component"), F.col("component").alias("whole"))
+        return written(owner.join(whole, "component", "left").select("id", F.coalesce("whole", "component").alias("component")))
+
+    heads = lambda: near.filter("n > 1").join(owner.select(F.col("id").alias("j"), F.col("component").alias("head")), "j").select("i", "head", "s")
+    one = written(heads().groupBy("i").agg(F.min("head").alias("entity"), F.max("head").alias("other")).filter("entity = other").select("i", "entity"))
+    owner = merged(owner, one)
+    open_ = written(heads().join(one, "i", "left_anti"))
+    if not open_.isEmpty():
+        ends = open_.select(F.col("i").alias("a"), F.col("head").alias("b"))
+        tangle = connected_components(ends.select(F.explode(F.array("a", "b")).alias("id")), ends).select(F.col("id").alias("i"), F.col("component").alias("tangle"))
+        owner = merged(owner, written(open_.join(tangle, "i").groupBy("tangle").applyInPandas(_decide(threshold, ratio), "i long, entity long")))
+    owned = rows.join(owner.withColumnRenamed("component", "chain"), "id")
+    return owned.join(_ranked(owned.filter("id = chain"), "camera").withColumnRenamed("number", "entity_id"), "chain").select(*cols, "entity_id")
 
 
 def nearest_time_match(cars: DataFrame, tracks: DataFrame, most: float) -> DataFrame:

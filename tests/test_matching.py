@@ -98,3 +98,31 @@ def test_nearest_claims(spark, rounds):
     kinds = ("recording string, car_id long, t double", "recording string, track_id long, t double")
     got = tracking.nearest_time_match(spark.createDataFrame(cars, kinds[0]), spark.createDataFrame(tracks, kinds[1]), rounds).collect()
     assert {tuple(r) for r in got} == want and len(got) == len(want)
+
+
+@pytest.mark.parametrize(("gap", "ratio", "spread"), [(None, 0.8, 0.3), (30.0, 0.95, 0.5), (12.0, 0.99, 0.9), (50.0, 1.0, 0.6)])
+def test_reidentification_of_crowds(spark, gap, ratio, spread):
+    """Blocks of a few rows, equal features, zero ones, and decisions that hang on one another."""
+    import math
+
+    rng = random.Random(ratio)
+    kinds = [[rng.gauss(0, 1) for _ in range(4)] for _ in range(6)]
+    rows = [(c, i, float(i // 2 + 40 * (i > 80)), [x + rng.gauss(0, spread) for x in kinds[rng.randrange(6)]]) for c in "ab" for i in range(120)]
+    rows += [("a", 200, 3.0, [0.0] * 4), ("a", 201, 4.0, [0.0] * 4), ("b", 202, 30.0, rows[30][3]), ("b", 203, 31.0, rows[30][3])]
+    want = {}
+    for c in "ab":
+        seen, n = [], 0
+        for _, i, t, v in sorted((r for r in rows if r[0] == c), key=lambda r: (r[2], r[1])):
+            best = {}
+            for k, s, u in seen:
+                if gap is None or s >= t - gap:
+                    norm = math.sqrt(sum(x * x for x in u)) * math.sqrt(sum(x * x for x in v))
+                    best[k] = max(best.get(k, -1.0), round(sum(x * y for x, y in zip(u, v)) / norm, 12) if norm else 0.0)
+            order = sorted(best.items(), key=lambda x: (-x[1], x[0]))
+            ok = bool(order) and order[0][1] >= 0.7 and (len(order) < 2 or max(1 - order[0][1], 1e-6) / max(1 - order[1][1], 1e-6) <= ratio)
+            n += not ok
+            want[c, i] = order[0][0] if ok else n
+            seen.append((want[c, i], t, v))
+    df = spark.createDataFrame(rows, "camera string, profile_id long, t double, feature array<double>")
+    got = tracking.reidentify(df, 0.7, ratio, gap, block=16).collect()
+    assert {(r.camera, r.profile_id): r.entity_id for r in got} == want and len(got) == len(rows)
