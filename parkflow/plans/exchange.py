@@ -7,6 +7,7 @@ hundred images, a thousand readings).
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,7 +17,7 @@ from parkflow.plans.fixtures import view
 from parkflow.plans.queries import OCCUPANCY, _readings, _timeline, query
 from parkflow.sources import readers, sinks
 from parkflow.streaming import streams
-from parkflow.tables import shared_folder
+from parkflow.tables import shared_folder, written
 
 
 def _folder(spark: SparkSession) -> str:
@@ -245,3 +246,100 @@ def j_occupancy(spark, sf_dir):
     seen = view(spark, sf_dir, "occupancy_event").select("site", F.when(F.col("event_type") == "signup", "entry").otherwise("exit").alias("side"), F.col("user_id").alias("entity_id"), F.col("t_us").alias("t"))
     events = occupancy.entry_exit_events(seen).select(F.col("site").cast("long").alias("site"), F.col("t").cast("long").alias("t"), F.col("entity_id").cast("long").alias("entity_id"), F.col("step").cast("int").alias("step"))
     return _run(streams.stream_occupancy(_stream(events))).withColumnRenamed("least", "lowest")
+
+
+# Streams whose rows come out of order over several micro-batches: a view is cut by time into parts, a third of each part
+# comes with the part after it, and the stream goes on from part to part with one checkpoint. What the watermark hasn't
+# passed at the end stays inside.
+
+PARTS = 3
+
+
+def _parts(df: DataFrame, time: Column, low: float, high: float, delayed: Column) -> DataFrame:
+    """df with part: where `time` is between low and high, one later where `delayed`."""
+    own = F.least(F.floor((time - low) * PARTS / (high - low)), F.lit(PARTS - 1)) + F.when(delayed, 1).otherwise(0)
+    return df.withColumn("part", F.least(own, F.lit(PARTS - 1)).cast("int"))
+
+
+def _run_parts(df: DataFrame, stream: Callable[[DataFrame], DataFrame], listener: streams.LateRows | None = None) -> tuple[DataFrame, list[str]]:
+    """What the stream gives for df(part, ...), part by part, and the ids of the runs."""
+    spark, where = df.sparkSession, _folder(df.sparkSession)
+    schema, runs = df.drop("part").schema, []
+    parts = written(df)
+    for k in range(PARTS):
+        parts.filter(F.col("part") == k).drop("part").write.mode("append").parquet(f"{where}/in")
+        out = stream(spark.readStream.schema(schema).parquet(f"{where}/in"))
+        with streams.state_store(spark):
+            q = out.writeStream.format("parquet").option("path", f"{where}/out").option("checkpointLocation", f"{where}/state").outputMode("append").trigger(availableNow=True).start()
+            q.awaitTermination()
+        runs.append(str(q.runId))
+    return spark.read.schema(out.schema).parquet(f"{where}/out"), runs
+
+
+def _frames_in_parts(spark, sf_dir) -> DataFrame:
+    d = view(spark, sf_dir, "detection").withColumn("ts", F.timestamp_micros((F.col("frame_index") * 40_000).cast("long")))
+    return _parts(d, F.col("frame_index"), 0, 3012, F.col("frame_index") % 3 == 1)
+
+
+FRAMES_LATE = "90 seconds"  # parts are 40 s long
+
+
+@query()
+def j_tracks(spark, sf_dir):
+    """Finished tracks, by the rule of I2; no SQL (a fold), tested against track_frames."""
+    d = _frames_in_parts(spark, sf_dir).select("video", "ts", F.col("frame_index").cast("long").alias("frame_index"), *[F.col(c).cast("int") for c in "xywh"], "part")
+    return _run_parts(d, lambda s: streams.stream_tracks(s, FRAMES_LATE, 0.15, 50, 25.0))[0]
+
+
+@query("""with recursive s as (select video, frame_index, count(*) filter (class_id=7) as n, row_number() over (partition by video order by frame_index) as i from detection where frame_index%2=0 group by 1,2),
+ f as (select video, i, frame_index, true as kept, case when n=0 then 3 else 0 end as rest from s where i=1
+  union all select s.video, s.i, s.frame_index, f.rest=0, case when f.rest>0 then f.rest-1 when s.n=0 then 3 else 0 end from f join s on s.video=f.video and s.i=f.i+1)
+ select video, cast(frame_index as bigint) as frame_index from f where kept and frame_index*40<=(select max(frame_index)*40 from detection)-90000""")
+def j_adaptive_skip(spark, sf_dir):
+    """Frames in the order of event time, up to the watermark."""
+    d = _frames_in_parts(spark, sf_dir)
+    frames = d.groupBy("video", "ts", F.col("frame_index").cast("long").alias("frame_index"), "part").agg(F.count_if(F.col("class_id") == 7).alias("detections"))
+    return _run_parts(frames, lambda s: streams.stream_adaptive_skip_in_order(s, 2, 3, FRAMES_LATE))[0]
+
+
+MONTH = (1_704_067_200, 1_706_659_200)
+
+
+@query(f"""with {OCCUPANCY}, r as (select site, t, entity_id, entered_total, exited_total, entered_total-exited_total as running, min(least(0,entered_total-exited_total)) over (partition by site order by t, step desc, entity_id rows unbounded preceding) as lowest from tl)
+ select * from r where t//1000<=(select max(t)//1000 from tl)-86400000*21""")
+def j_occupancy_in_order(spark, sf_dir):
+    """Events in the order of event time over several micro-batches, up to the watermark."""
+    seen = view(spark, sf_dir, "occupancy_event").select("site", F.when(F.col("event_type") == "signup", "entry").otherwise("exit").alias("side"), F.col("user_id").alias("entity_id"), F.col("t_us").alias("t"))
+    events = occupancy.entry_exit_events(seen).select(F.col("site").cast("long").alias("site"), F.timestamp_micros("t").alias("ts"), F.col("t").cast("long").alias("t"), F.col("entity_id").cast("long").alias("entity_id"), F.col("step").cast("int").alias("step"))
+    parts = _parts(events, F.col("t") / 1e6, *MONTH, F.col("entity_id") % 3 == 1)
+    return _run_parts(parts, lambda s: streams.stream_occupancy_in_order(s, "21 days"))[0].withColumnRenamed("least", "lowest")
+
+
+def _instances_in_parts(spark, sf_dir) -> DataFrame:
+    i = view(spark, sf_dir, "instance").select("entity_id", F.col("type_id").cast("int").alias("type_id"), F.timestamp_seconds(F.col("image_id") * 1800).alias("ts"), (F.col("image_id") * 1800).alias("s"))
+    return _parts(i, F.col("s"), *MONTH, F.col("entity_id") % 3 == 1).drop("s")
+
+
+@query("""with i as (select *, image_id*1800 as s from instance), w as (select s//21600 as b, entity_id, arg_min(type_id, (s, type_id)) as type_id from i group by 1,2), t as (select max(s) as m from i)
+ select b*21600 as start_s, cast(type_id as int) as type_id, count(*) as n from w, t where (b+1)*21600<=m-86400*21 group by 1,2""")
+def j_interval_counts(spark, sf_dir):
+    """Rows out of order over several micro-batches; intervals that the watermark has closed."""
+    found, _ = _run_parts(_instances_in_parts(spark, sf_dir), lambda s: streams.stream_interval_counts(s, "6 hours", "21 days"))
+    return found.select(F.unix_seconds("start").alias("start_s"), "type_id", "n")
+
+
+@query(f"""with i as (select image_id*1800 as s, entity_id, least(cast(floor((image_id*1800-{MONTH[0]})*3.0/({MONTH[1]}-{MONTH[0]})) as int), 2) as own from instance), p as (select s, least(own + case when entity_id%3=1 then 1 else 0 end, 2) as part from i),
+ m as (select part, max(s) as m from p group by 1) select cast(count(*) as bigint) as dropped from p where s <= (select max(m) from m where m.part<p.part) - 86400*5""")
+def j_late_rows(spark, sf_dir):
+    """Rows that come more than five days late are dropped, and counted while the stream runs."""
+    listener = streams.LateRows()
+    spark.streams.addListener(listener)
+    try:
+        _, runs = _run_parts(_instances_in_parts(spark, sf_dir).withColumn("path", F.concat_ws("-", "entity_id", "ts", "type_id")).withColumnRenamed("ts", "modified"), lambda s: streams.stream_new_media(s, "5 days"))
+        counts = [listener.table(spark, r) for r in runs]
+    finally:
+        spark.streams.removeListener(listener)
+    where = _folder(spark)
+    for rows in counts:
+        rows.write.mode("append").parquet(where)
+    return spark.read.schema(counts[0].schema).parquet(where).agg(F.sum("dropped").alias("dropped"))

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import json
+import time
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StreamingQueryListener
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 
@@ -88,42 +92,229 @@ def _iou(a, b) -> float:
     return both / union if union > 0 else 0.0
 
 
-def _tracks(least: float, alive: int):
-    """State: the following id, and for each live track its id, first and last frame, box count and last box."""
+class InOrder(StatefulProcessor):
+    """Rows of a key in the order of event time, however they come: each waits until the watermark has passed its time,
+    when nothing earlier can follow, and is then handed to `take` with the others that are due.
 
-    def step(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        following, flat = state.get if state.exists else (1, [])
-        live = [list(flat[i : i + 8]) for i in range(0, len(flat), 8)]
-        done = []
-        if state.hasTimedOut:
-            done, live = live, []
-            state.remove()
-        else:
-            rows = pd.concat(list(batches)).sort_values(["frame_index", "x", "y"])
-            for frame, own in rows.groupby("frame_index"):
-                done += [t for t in live if frame - t[2] > alive]
-                live = [t for t in live if frame - t[2] <= alive]
-                boxes = own[["x", "y", "w", "h"]].astype(float).values.tolist()
-                pairs = sorted(((-s, d, t) for d, b in enumerate(boxes) for t, x in enumerate(live) if (s := _iou(b, x[4:])) >= least))
+    What waits is a map from a stretch of time to its rows, as JSON. A key has one timer at a time: for its earliest
+    stretch, or earlier where `until` asks for one. columns: what is kept of a row; the first is the event time.
+    """
+
+    columns: tuple[str, ...] = ()
+    stretch_us = 1_000_000
+
+    def init(self, handle) -> None:
+        self.handle = handle
+        self.waiting = handle.getMapState("waiting", "stretch long", "rows string")
+
+    def take(self, key, moments: list[tuple[int, list[list]]], now: int) -> Iterator[tuple]:
+        """What comes out as the watermark reaches `now` (microseconds), with the rows of each time up to there."""
+        raise NotImplementedError
+
+    def until(self) -> int | None:
+        """The time (microseconds) at which the key is to be looked at though no row is due."""
+        return None
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        found: dict[int, list] = {}
+        for part in rows:
+            times = part[self.columns[0]].astype("datetime64[us]").astype("int64").tolist()
+            for at, own in zip(times, part[list(self.columns[1:])].astype(object).values.tolist()):
+                found.setdefault(at // self.stretch_us, []).append([at, *[x.item() if hasattr(x, "item") else x for x in own]])
+        for stretch, own in found.items():
+            old = json.loads(self.waiting.getValue((stretch,))[0]) if self.waiting.containsKey((stretch,)) else []
+            self.waiting.updateValue((stretch,), (json.dumps(old + own),))
+        self._wake([k[0] for k in self.waiting.keys()], timerValues.getCurrentWatermarkInMs())
+        return iter(())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        now = 1000 * timerValues.getCurrentWatermarkInMs()
+        moments: dict[int, list] = {}
+        left = []
+        for (stretch,), (text,) in list(self.waiting.iterator()):
+            rows = json.loads(text) if stretch * self.stretch_us <= now else []
+            later = [r for r in rows if r[0] > now]
+            for at, *own in rows:
+                if at <= now:
+                    moments.setdefault(at, []).append(own)
+            if rows and not later:
+                self.waiting.removeKey((stretch,))
+                continue
+            if len(later) < len(rows):
+                self.waiting.updateValue((stretch,), (json.dumps(later),))
+            left.append(stretch)
+        out = list(self.take(key, sorted(moments.items()), now))
+        self._wake(left, timerValues.getCurrentWatermarkInMs())
+        yield pd.DataFrame(out, columns=self.out)
+
+    def _wake(self, stretches: list[int], now_ms: int) -> None:
+        times = [k * self.stretch_us for k in stretches]
+        if (other := self.until()) is not None:
+            times.append(other)
+        for old in list(self.handle.listTimers()):
+            self.handle.deleteTimer(old)
+        if times:
+            self.handle.registerTimer(max(now_ms + 1, -(-min(times) // 1000)))
+
+    def close(self) -> None:
+        pass
+
+
+def _in_order(rows: DataFrame, key: str, processor: InOrder, late: str, out: str) -> DataFrame:
+    processor.out = [c.strip().split()[0] for c in out.split(",")]
+    held = rows.withWatermark(processor.columns[0], late)
+    return held.groupBy(key).transformWithStateInPandas(statefulProcessor=processor, outputStructType=out, outputMode="Append", timeMode="EventTime")
+
+
+class _Occupancy(InOrder):
+    columns = ("ts", "t", "entity_id", "step")
+
+    def init(self, handle) -> None:
+        super().init(handle)
+        self.totals = handle.getValueState("totals", "entered long, exited long, least long")
+
+    def take(self, key, moments, now):
+        entered, exited, least = self.totals.get() if self.totals.exists() else (0, 0, 0)
+        for _, rows in moments:
+            for t, entity, step in sorted(rows, key=lambda r: (r[0], -r[2], r[1])):
+                entered, exited = entered + (step > 0), exited + (step < 0)
+                least = min(least, entered - exited)
+                yield key[0], t, entity, entered, exited, entered - exited, least
+        self.totals.update((entered, exited, least))
+
+
+def stream_occupancy_in_order(events: DataFrame, late: str) -> DataFrame:
+    """As stream_occupancy for events(site, ts, t, entity_id, step), in the order of event time over all micro-batches: a
+    row comes out once the watermark has passed it, so totals that are out never change. What comes later than `late` is
+    dropped and counted. Needs the RocksDB state store (see `state_store`)."""
+    return _in_order(events, "site", _Occupancy(), late, "site long, t long, entity_id long, entered_total long, exited_total long, running long, least long")
+
+
+class _Skip(InOrder):
+    columns = ("ts", "frame_index", "detections")
+
+    def __init__(self, n: int, skip: int):
+        self.n, self.skip = n, skip
+
+    def init(self, handle) -> None:
+        super().init(handle)
+        self.left = handle.getValueState("left", "left int")
+
+    def take(self, key, moments, now):
+        left = self.left.get()[0] if self.left.exists() else 0
+        for _, rows in moments:
+            for frame, detections in sorted(rows):
+                if frame % self.n:
+                    continue
+                if left:
+                    left -= 1
+                else:
+                    yield key[0], frame
+                    left = self.skip if detections == 0 else 0
+        self.left.update((left,))
+
+
+def stream_adaptive_skip_in_order(frames: DataFrame, n: int, skip: int, late: str) -> DataFrame:
+    """As stream_adaptive_skip for frames(video, ts, frame_index, detections), in the order of event time over all
+    micro-batches. Needs the RocksDB state store (see `state_store`)."""
+    return _in_order(frames, "video", _Skip(n, skip), late, "video string, frame_index long")
+
+
+class _Tracks(InOrder):
+    """Live tracks by number: first and last frame, boxes, the last box and its time. The counter of numbers stays when
+    all tracks have ended."""
+
+    columns = ("ts", "frame_index", "x", "y", "w", "h")
+
+    def __init__(self, iou: float, alive: int, fps: float):
+        self.iou, self.alive, self.lives = iou, alive, int(1e6 * alive / fps)
+
+    def init(self, handle) -> None:
+        super().init(handle)
+        self.following = handle.getValueState("following", "id long")
+        self.live = handle.getMapState("live", "id long", "first long, last long, boxes long, x double, y double, w double, h double, at long")
+
+    def take(self, key, moments, now):
+        live = dict(sorted((k[0], list(v)) for k, v in self.live.iterator()))
+        stored, new = set(live), self.following.get()[0] if self.following.exists() else 1
+        ended = lambda number: (key[0], number, *live.pop(number)[:3])
+        for at, rows in moments:
+            for frame in sorted({r[0] for r in rows}):
+                for number in [k for k, t in live.items() if frame - t[1] > self.alive]:
+                    yield ended(number)
+                boxes = [[float(v) for v in b] for b in sorted(r[1:] for r in rows if r[0] == frame)]
+                pairs = sorted((-s, d, number) for d, b in enumerate(boxes) for number, t in live.items() if (s := _iou(b, t[3:7])) >= self.iou)
                 used_d, used_t = set(), set()
-                for _, d, t in pairs:
-                    if d not in used_d and t not in used_t:
+                for _, d, number in pairs:
+                    if d not in used_d and number not in used_t:
                         used_d.add(d)
-                        used_t.add(t)
-                        live[t][2:] = [float(frame), live[t][3] + 1, *boxes[d]]
+                        used_t.add(number)
+                        live[number][1:] = [frame, live[number][2] + 1, *boxes[d], at]
                 for d, b in enumerate(boxes):
                     if d not in used_d:
-                        live.append([float(following), float(frame), float(frame), 1.0, *b])
-                        following += 1
-            state.update((int(following), [v for t in live for v in t]))
-            state.setTimeoutTimestamp(max(state.getCurrentWatermarkMs() + 1, int(rows["ts"].max().timestamp() * 1000) + alive * 1000))
-        yield pd.DataFrame([(key[0], int(t[0]), int(t[1]), int(t[2]), int(t[3])) for t in done], columns=["video", "track_id", "first_frame", "last_frame", "boxes"])
+                        live[new] = [frame, frame, 1, *b, at]
+                        new += 1
+        for number in [k for k, t in live.items() if t[7] + self.lives < now]:
+            yield ended(number)
+        self.following.update((new,))
+        for number in stored - set(live):
+            self.live.removeKey((number,))
+        for number, t in live.items():
+            self.live.updateValue((number,), tuple(t))
 
-    return step
+    def until(self):
+        ends = [v[7] + self.lives + 1000 for v in self.live.values()]
+        return min(ends) if ends else None
+
+
+def stream_tracks(detections: DataFrame, late: str, iou: float = 0.15, alive: int = 60, fps: float = 30.0) -> DataFrame:
+    """Finished tracks of detections(video, ts, frame_index, x, y, w, h), as track_frames finds them: a track ends when no
+    box followed for `alive` frames, or when its video is silent for as long (alive / fps seconds of event time).
+
+    Frames are taken in the order of event time over all micro-batches, each once the watermark has passed it. Numbers
+    count from 1 in each video and go on after a silence. Needs the RocksDB state store (see `state_store`)."""
+    return _in_order(detections, "video", _Tracks(iou, alive, fps), late, "video string, track_id long, first_frame long, last_frame long, boxes long")
+
+
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+@contextmanager
+def state_store(spark: SparkSession) -> Iterator[None]:
+    """Streams started within keep their state in RocksDB, as those with maps and timers need."""
+    name = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, ROCKSDB)
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before) if before else spark.conf.unset(name)
+
+
+class LateRows(StreamingQueryListener):
+    """Counts, while queries run, the rows that came behind the watermark and were dropped: (run, batch, dropped)."""
+
+    def __init__(self) -> None:
+        self.counts: dict[tuple[str, int], int] = {}
+        self.ended: set[str] = set()
+
+    def onQueryStarted(self, event) -> None:
+        pass
+
+    def onQueryProgress(self, event) -> None:
+        p = event.progress
+        self.counts[str(p.runId), p.batchId] = sum(o.numRowsDroppedByWatermark for o in p.stateOperators)
+
+    def onQueryIdle(self, event) -> None:
+        pass
 
+    def onQueryTerminated(self, event) -> None:
+        self.ended.add(str(event.runId))
 
-def stream_tracks(detections: DataFrame, late: str, iou: float = 0.15, alive: int = 60) -> DataFrame:
-    """Finished tracks of detections(video, ts, frame_index, x, y, w, h): a track ends when no box followed for
-    `alive` frames, or when its video falls silent."""
-    rows = detections.withWatermark("ts", late)
-    return rows.groupBy("video").applyInPandasWithState(_tracks(iou, alive), "video string, track_id long, first_frame long, last_frame long, boxes long", "following long, live array<double>", "append", GroupStateTimeout.EventTimeTimeout)
+    def table(self, spark: SparkSession, run_id: str, patience_s: float = 60) -> DataFrame:
+        """batch and dropped of a query that has ended, a row for each micro-batch."""
+        waited = 0.0
+        while run_id not in self.ended and waited < patience_s:
+            time.sleep(0.1)
+            waited += 0.1
+        return spark.createDataFrame([(b, n) for (run, b), n in sorted(self.counts.items()) if run == run_id], "batch long, dropped long")
