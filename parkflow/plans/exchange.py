@@ -253,6 +253,7 @@ def j_occupancy(spark, sf_dir):
 # passed at the end stays inside.
 
 PARTS = 3
+MONTH = (1_704_067_200, 1_706_659_200)
 
 
 def _parts(df: DataFrame, time: Column, low: float, high: float, delayed: Column) -> DataFrame:
@@ -277,7 +278,7 @@ def _run_parts(df: DataFrame, stream: Callable[[DataFrame], DataFrame], listener
 
 
 def _frames_in_parts(spark, sf_dir) -> DataFrame:
-    d = view(spark, sf_dir, "detection").withColumn("ts", F.timestamp_micros((F.col("frame_index") * 40_000).cast("long")))
+    d = view(spark, sf_dir, "detection").withColumn("ts", F.timestamp_micros((MONTH[0] * 1_000_000 + F.col("frame_index") * 40_000).cast("long")))
     return _parts(d, F.col("frame_index"), 0, 3012, F.col("frame_index") % 3 == 1)
 
 
@@ -302,9 +303,6 @@ def j_adaptive_skip(spark, sf_dir):
     return _run_parts(frames, lambda s: streams.stream_adaptive_skip_in_order(s, 2, 3, FRAMES_LATE))[0]
 
 
-MONTH = (1_704_067_200, 1_706_659_200)
-
-
 @query(f"""with {OCCUPANCY}, r as (select site, t, entity_id, entered_total, exited_total, entered_total-exited_total as running, min(least(0,entered_total-exited_total)) over (partition by site order by t, step desc, entity_id rows unbounded preceding) as lowest from tl)
  select * from r where t//1000<=(select max(t)//1000 from tl)-86400000*21""")
 def j_occupancy_in_order(spark, sf_dir):
