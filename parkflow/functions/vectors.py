@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, Window
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
@@ -54,10 +54,8 @@ def fused_similarity(cos: Column, color: Column, aspect_gap: Column, same_image:
     return F.when(F.coalesce(same_image, F.lit(False)) | (unnamed & close_in_time), F.lit(-1.0)).otherwise(s)
 
 
-def minmax_scale(v: Column, low: float, high: float, *partition: str) -> Column:
-    """Linear to [low, high] over the partition; constant input goes to the middle."""
-    w = Window.partitionBy(*partition)
-    a, b = F.min(v).over(w), F.max(v).over(w)
+def minmax_scale(v: Column, low: float, high: float, a: Column, b: Column) -> Column:
+    """Linear from [a, b], the least and the largest value, to [low, high]; constant input goes to the middle."""
     return F.when(b > a, low + (v - a) / F.when(b > a, b - a) * (high - low)).otherwise(F.lit((low + high) / 2))
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from parkflow.functions import clock, labels
 from parkflow.functions.geometry import Box, box, box_intersects
+from parkflow.tables import written
 
 DAY = 86400
 
@@ -33,15 +34,44 @@ def adaptive_downsample(frames: DataFrame, n: int, skip: int) -> DataFrame:
     """Every n-th frame of each video, but after one without detections the next `skip` of them are left out.
 
     frames: video, frame_index, detections (a count). The rule runs in frame order within each video.
+
+    How many frames are still to be left out is the state of a small automaton. A stretch of frames maps each state that
+    it may begin with to the one that it ends with; these maps are composed up a tree over a video's stretches, and the
+    states with which the stretches begin follow down the tree. So no task or row holds more than a stretch of a video.
     """
-    sampled = downsample_frames(frames, n).groupBy("video").agg(F.array_sort(F.collect_list(F.struct("frame_index", "detections"))).alias("own"))
-    first = F.struct(F.lit(0).alias("left"), F.array().cast("array<bigint>").alias("kept"))
+    sampled = downsample_frames(frames, n).groupBy("video", F.floor(F.col("frame_index") / (n * STRETCH)).alias("part"))
+    parts = sampled.agg(F.array_sort(F.collect_list(F.struct("frame_index", "detections"))).alias("own"))
+    first = sampled.agg(F.lit(0)).groupBy("video").agg(F.min("part").alias("first_part"))
+    parts = written(parts.join(first, "video").withColumn("part", F.col("part") - F.col("first_part")).drop("first_part"))
+    after = lambda left, empty: F.when(left > 0, left - 1).otherwise(F.when(empty, skip).otherwise(0))
+    ends = F.transform(F.sequence(F.lit(0), F.lit(skip)), lambda s: F.aggregate("own", s, lambda left, f: after(left, f["detections"] == 0)))
+    begins = _begin_states(parts.select("video", "part", ends.alias("ends")))
+    first = F.struct(F.col("state").alias("left"), F.array().cast("array<bigint>").alias("kept"))
 
     def step(acc: Column, f: Column) -> Column:
-        looked = F.struct(F.when(f["detections"] == 0, skip).otherwise(0).alias("left"), F.array_append(acc["kept"], f["frame_index"].cast("long")).alias("kept"))
-        return F.when(acc["left"] > 0, F.struct((acc["left"] - 1).alias("left"), acc["kept"].alias("kept"))).otherwise(looked)
+        kept = F.when(acc["left"] > 0, acc["kept"]).otherwise(F.array_append(acc["kept"], f["frame_index"].cast("long")))
+        return F.struct(after(acc["left"], f["detections"] == 0).alias("left"), kept.alias("kept"))
+
+    return parts.join(begins, ["video", "part"]).select("video", F.explode(F.aggregate("own", first, step)["kept"]).alias("frame_index"))
+
+
+STRETCH = 256
+
 
-    return sampled.select("video", F.explode(F.aggregate("own", first, step)["kept"]).alias("frame_index"))
+def _begin_states(maps: DataFrame) -> DataFrame:
+    """video, part and the state with which each part begins, for maps(video, part, ends: by the state at its start);
+    the first part of a video begins with 0."""
+    grouped = maps.groupBy("video", F.floor(F.col("part") / STRETCH).alias("above")).agg(F.array_sort(F.collect_list(F.struct("part", "ends"))).alias("own"))
+    grouped = written(grouped)
+    if grouped.groupBy("video").count().filter("count > 1").isEmpty():
+        above = grouped.select("video", "above", F.lit(0).alias("state"))
+    else:
+        states = F.sequence(F.lit(0), F.size(F.col("own")[0]["ends"]) - 1)
+        ends = F.transform(states, lambda s: F.aggregate("own", s, lambda x, m: F.get(m["ends"], x)))
+        above = _begin_states(grouped.select("video", F.col("above").alias("part"), ends.alias("ends"))).withColumnRenamed("part", "above")
+    first = F.struct(F.col("state"), F.array().cast("array<struct<part: bigint, state: int>>").alias("found"))
+    step = lambda acc, m: F.struct(F.get(m["ends"], acc["state"]).alias("state"), F.array_append(acc["found"], F.struct(m["part"].alias("part"), acc["state"].alias("state"))).alias("found"))
+    return grouped.join(above, ["video", "above"]).select("video", F.inline(F.aggregate("own", first, step)["found"]))
 
 
 def drop_degenerate_boxes(df: DataFrame) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from parkflow.functions.vectors import minmax_scale, nearest_bin
 from parkflow.operators.filters import report_scope
+from parkflow.tables import exact_quantiles
 
 ROW = ("direction", "label")
 
@@ -93,11 +94,17 @@ def stability_summary(pairs: DataFrame, variances: DataFrame, js: float = 0.1, o
     return a.join(b, "direction").select("direction", "pairs", "within", F.col("w.label_a").alias("worst_a"), F.col("w.label_b").alias("worst_b"), F.col("w.js").alias("worst_js"), "mean_variance", "min_variance", "max_variance")
 
 
+def scaled(df: DataFrame, column: str, low: float, high: float, into: str) -> DataFrame:
+    """df with a column stretched to [low, high]. The least and the largest value come from an aggregation, as one row."""
+    ends = df.agg(F.min(column).alias("__least"), F.max(column).alias("__most"))
+    return df.crossJoin(F.broadcast(ends)).withColumn(into, minmax_scale(F.col(column), low, high, F.col("__least"), F.col("__most"))).drop("__least", "__most")
+
+
 def report_histogram(entities: DataFrame, bins: list[float], entity_type: int | None = None, direction: str | None = None) -> DataFrame:
     """bin and n of a report's speeds: absolute ones if there are any, else relative ones stretched over the bins."""
     own = report_scope(entities, entity_type, direction)
     absolute = own.agg(F.count("absolute_speed").alias("__n"))
-    stretched = own.withColumn("__s", minmax_scale(F.col("relative_speed"), min(bins), max(bins)))
+    stretched = scaled(own, "relative_speed", min(bins), max(bins), "__s")
     value = F.when(F.col("__n") > 0, F.col("absolute_speed")).otherwise(F.col("__s"))
     binned = stretched.crossJoin(F.broadcast(absolute)).select(nearest_bin(value, bins).alias("bin")).filter("bin is not null").groupBy("bin").agg(F.count("*").alias("n"))
     every = entities.sparkSession.range(1).select(F.explode(F.array(*[F.lit(float(b)) for b in bins])).alias("bin"))
@@ -115,7 +122,8 @@ def report_match(reports: DataFrame, history: DataFrame, js: float = 0.1, overla
 def speed_histogram(df: DataFrame, column: str) -> DataFrame:
     """bin, low, high and n with bins of the width that numpy's `auto` takes."""
     v = F.col(column).cast("double")
-    s = df.agg(F.count(v).alias("n"), F.min(v).alias("low"), F.max(v).alias("high"), F.percentile(v, F.lit(0.25)).alias("q1"), F.percentile(v, F.lit(0.75)).alias("q3"))
+    quarters = exact_quantiles(df.select(v.alias("v")), [], "v", {"q1": 0.25, "q3": 0.75})
+    s = df.agg(F.count(v).alias("n"), F.min(v).alias("low"), F.max(v).alias("high")).crossJoin(F.broadcast(quarters))
     spread = F.col("high") - F.col("low")
     fd = F.least(2 * (F.col("q3") - F.col("q1")) / F.cbrt(F.col("n").cast("double")), spread / (2 * F.sqrt("n")))
     sturges = spread / (F.log2(F.col("n").cast("double")) + 1)

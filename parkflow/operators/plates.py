@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from parkflow.functions.labels import miss_bucket, relative_error_bucket
 from parkflow.functions.vectors import within_edits
 from parkflow.operators.graph import connected_components
+from parkflow.tables import exact_quantiles
 
 STATUSES = ("dropped", "split", "corrupted", "exact")
 
@@ -40,17 +41,40 @@ def plate_dwell_exact(readings: DataFrame) -> DataFrame:
     return _dwell(readings.filter("plate_text is not null"), "plate_text")
 
 
-def fuzzy_plate_pairs(readings: DataFrame, k: int) -> DataFrame:
-    """Pairs of different texts within k edits, without comparing all: two such texts have a common variant after k
-    deletions at most, so variants are joined and the pairs found are verified."""
-    texts = readings.filter("plate_text is not null").select("plate_text").distinct()
+def _by_variants(texts: DataFrame, k: int) -> DataFrame:
+    """Pairs of texts(plate_text) that have a common variant after k deletions at most."""
     variants = texts.select("plate_text", F.array(F.col("plate_text")).alias("v"))
     for _ in range(k):
         shorter = F.flatten(F.transform("v", lambda s: F.transform(F.sequence(F.lit(1), F.greatest(F.length(s), F.lit(1))), lambda i: F.concat(F.substring(s, F.lit(1), i - 1), F.substring(s, i + 1, F.length(s))))))
         variants = variants.select("plate_text", F.array_distinct(F.concat("v", shorter)).alias("v"))
     variants = variants.select("plate_text", F.explode("v").alias("variant"))
     other = variants.withColumnRenamed("plate_text", "other")
-    pairs = variants.join(other, "variant").filter("plate_text < other").select("plate_text", "other").distinct()
+    return variants.join(other, "variant").filter("plate_text < other").select("plate_text", "other").distinct()
+
+
+def _by_segments(texts: DataFrame, k: int) -> DataFrame:
+    """Pairs of texts of which one of the k + 1 even segments of the shorter stands in the longer, moved by k places at
+    most: k edits can't touch all of them. A text has (k + 1) keys and probes (k + 1)^2 (2 k + 1) at most, whatever its
+    length, where variants after k deletions grow with its k-th power."""
+    size = lambda n, i: F.floor(n / (k + 1)) + F.when(i > k - n % (k + 1), 1).otherwise(0)
+    begin = lambda n, i: i * F.floor(n / (k + 1)) + F.greatest(F.lit(0), i - (k + 1 - n % (k + 1)))
+    every = F.explode(F.sequence(F.lit(0), F.lit(k))).alias("segment")
+    keys = texts.select("plate_text", F.length("plate_text").alias("size"), every)
+    n, i = F.col("size"), F.col("segment")
+    keys = keys.select("plate_text", "size", "segment", F.substring(F.col("plate_text"), (begin(n, i) + 1).cast("int"), size(n, i).cast("int")).alias("piece"))
+    long = F.length("other")
+    probes = texts.select(F.col("plate_text").alias("other")).select("other", F.explode(F.sequence(F.greatest(F.lit(0), long - k), long)).alias("size")).select("other", "size", every)
+    probes = probes.select("*", F.explode(F.sequence(F.greatest(F.lit(0), begin(n, i) - k), F.least(long - size(n, i), begin(n, i) + k))).alias("at")).filter(F.col("at") + size(n, i) <= long)
+    probes = probes.select("other", "size", "segment", F.substring(F.col("other"), (F.col("at") + 1).cast("int"), size(n, i).cast("int")).alias("piece")).distinct()
+    found = keys.join(probes, ["size", "segment", "piece"]).filter("plate_text <> other")
+    return found.select(F.least("plate_text", "other").alias("plate_text"), F.greatest("plate_text", "other").alias("other")).distinct()
+
+
+def fuzzy_plate_pairs(readings: DataFrame, k: int) -> DataFrame:
+    """Pairs of different texts within k edits, without comparing all: for up to two edits two such texts have a common
+    variant after k deletions at most, for more a common segment. What meets so is verified."""
+    texts = readings.filter("plate_text is not null").select("plate_text").distinct()
+    pairs = _by_variants(texts, k) if k < 3 else _by_segments(texts, k)
     return pairs.filter(within_edits(F.col("plate_text"), F.col("other"), k))
 
 
@@ -159,7 +183,8 @@ def dwell_accuracy(crossings: DataFrame, least_dwell: float, tolerance: float) -
 
 def mean_median_dwell(matches: DataFrame) -> DataFrame:
     own = matches.filter(F.coalesce("counted", F.lit(True)))
-    return own.agg(F.coalesce(F.avg("dwell"), F.lit(0.0)).alias("mean_dwell"), F.coalesce(F.median("dwell"), F.lit(0.0)).alias("median_dwell"))
+    middle = exact_quantiles(own, [], "dwell", {"median_dwell": 0.5})
+    return own.agg(F.coalesce(F.avg("dwell"), F.lit(0.0)).alias("mean_dwell")).join(middle, how="left").fillna(0.0, ["median_dwell"])
 
 
 def _ocr_measures() -> list[Column]:
@@ -192,6 +217,11 @@ def miss_distances(rows: DataFrame) -> DataFrame:
     return out.select("bucket", n.alias("n"), F.when(F.col("total") > 0, n / F.col("total")).alias("share"), "mean_distance", "median_distance")
 
 
+def extraction_stats(manifest: DataFrame) -> DataFrame:
+    """How many plate pictures were cut out of how many videos: manifest(img_path, source_video)."""
+    return manifest.agg(F.count_distinct("source_video").alias("videos"), F.count_distinct("img_path").alias("plates"))
+
+
 def dwell_report_stats(readings: DataFrame, matches: DataFrame) -> DataFrame:
     """How many pictures, readable plates, matches and single sightings."""
     a = readings.agg(F.count("*").alias("images"), F.count("plate_text").alias("plates_read"), F.count_distinct("plate_text").alias("texts"))

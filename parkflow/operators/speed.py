@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from parkflow.functions.geometry import Box, motion_direction, pixel_speed
 from parkflow.functions.labels import class_label, relative_error_bucket
 from parkflow.operators.filters import report_scope
-from parkflow.tables import numbered
+from parkflow.tables import exact_quantiles, numbered
 
 
 def majority_type(detections: DataFrame, *keys: str) -> DataFrame:
@@ -38,6 +38,12 @@ def track_entities(tracked: DataFrame, fps: float) -> DataFrame:
     return ends.select("video", F.col("track_id").alias("entity_id"), "entity_type", F.col("first.frame_index").alias("first_frame"), F.col("last.frame_index").alias("last_frame"), "boxes", motion_direction(a, b).alias("direction"), pixel_speed(a, b, seconds).alias("raw_speed"))
 
 
+def track_stats(entities: DataFrame) -> DataFrame:
+    """How many videos and entities there are, and how many of these go left and right."""
+    way = F.lower("direction")
+    return entities.agg(F.count_distinct("video").alias("videos"), F.count("*").alias("entities"), F.count_if(way == "left").alias("n_left"), F.count_if(way == "right").alias("n_right"))
+
+
 def relative_speed(entities: DataFrame, raw: str = "raw_speed") -> DataFrame:
     """Speed as a share of the fastest; 0 where none moves."""
     top = entities.agg(F.max(raw).alias("__top"))
@@ -68,21 +74,35 @@ def calibrate_speed(entities: DataFrame, entity_id: int | Column, speed: float,
     return entities.crossJoin(F.broadcast(scale)).withColumn("absolute_speed", F.when(inside, F.col("relative_speed") * F.col("scale")).otherwise(F.col("absolute_speed"))).drop("scale")
 
 
-def _measures() -> list[Column]:
+def _summary(entities: DataFrame, keys: list[str]) -> DataFrame:
+    """Counts, means and medians of each group; medians by rank over a range sort, both speeds in one."""
     way = F.lower("direction")
-    return [F.count("*").alias("n"), F.count_distinct("video").alias("videos"), F.count_if(way == "left").alias("n_left"), F.count_if(way == "right").alias("n_right"), F.count("absolute_speed").alias("n_calibrated"), F.avg("relative_speed").alias("mean_relative"), F.median("relative_speed").alias("median_relative"), F.avg("absolute_speed").alias("mean_absolute"), F.median("absolute_speed").alias("median_absolute")]
+    counts = entities.groupBy(*keys).agg(F.count("*").alias("n"), F.count_distinct("video").alias("videos"), F.count_if(way == "left").alias("n_left"), F.count_if(way == "right").alias("n_right"), F.count("absolute_speed").alias("n_calibrated"), F.avg("relative_speed").alias("mean_relative"), F.avg("absolute_speed").alias("mean_absolute"))
+    both = entities.select(*keys, F.explode(F.array(*[F.struct(F.lit(c).alias("which"), F.col(f"{c}_speed").alias("speed")) for c in ("relative", "absolute")])).alias("x")).select(*keys, "x.*")
+    middle = exact_quantiles(both, [*keys, "which"], "speed", {"median": 0.5})
+    middle = middle.groupBy(*keys).agg(*[F.max(F.when(F.col("which") == c, F.col("median"))).alias(f"median_{c}") for c in ("relative", "absolute")])
+    return counts.join(middle, keys, "left") if keys else counts.join(middle, how="left")
+
+
+def summarize_every(entities: DataFrame) -> DataFrame:
+    """The summaries of the whole report, of each type and of each video, as kind and label, from one pass over the
+    entities: each is expanded into the groups that it belongs to, as grouping sets do."""
+    labels = {"all": F.lit("all"), "type": class_label(F.col("entity_type"), report=True), "video": F.coalesce("video", F.lit("unknown"))}
+    groups = F.array(*[F.struct(F.lit(k).alias("kind"), v.alias("label")) for k, v in labels.items()])
+    rows = entities.select("video", "direction", "relative_speed", "absolute_speed", F.explode(groups).alias("g"))
+    return _summary(rows.select("*", "g.*").drop("g"), ["kind", "label"])
 
 
 def summarize_report(entities: DataFrame) -> DataFrame:
-    return entities.agg(*_measures())
+    return _summary(entities, [])
 
 
 def summarize_by_type(entities: DataFrame) -> DataFrame:
-    return entities.groupBy(class_label(F.col("entity_type"), report=True).alias("label")).agg(*_measures())
+    return _summary(entities.withColumn("label", class_label(F.col("entity_type"), report=True)), ["label"])
 
 
 def summarize_by_video(entities: DataFrame) -> DataFrame:
-    return entities.groupBy(F.coalesce("video", F.lit("unknown")).alias("label")).agg(*_measures())
+    return _summary(entities.withColumn("label", F.coalesce("video", F.lit("unknown"))), ["label"])
 
 
 def labels_to_reports(reports: DataFrame, labels: DataFrame) -> DataFrame:
@@ -95,4 +115,5 @@ def speed_accuracy(pairs: DataFrame, tolerance: float = 0.2) -> DataFrame:
     e = F.abs(F.col("estimate") - F.col("speed_kmh"))
     rel = F.when(F.col("speed_kmh") > 0, e / F.when(F.col("speed_kmh") > 0, F.col("speed_kmh")))
     buckets = [F.count_if(relative_error_bucket(rel) == b).alias(f"n_{i}") for i, b in enumerate(("<=5%", "<=20%", "<=50%", ">50%"))]
-    return pairs.agg(F.count("*").alias("n"), F.avg(e).alias("mean_abs"), F.median(e).alias("median_abs"), F.sqrt(F.avg(e * e)).alias("rmse"), F.avg(rel).alias("mean_relative"), F.avg((rel <= tolerance).cast("double")).alias("reasonable"), *buckets)
+    middle = exact_quantiles(pairs.select(e.alias("e")), [], "e", {"median_abs": 0.5})
+    return pairs.agg(F.count("*").alias("n"), F.avg(e).alias("mean_abs"), F.sqrt(F.avg(e * e)).alias("rmse"), F.avg(rel).alias("mean_relative"), F.avg((rel <= tolerance).cast("double")).alias("reasonable"), *buckets).join(middle, how="left")

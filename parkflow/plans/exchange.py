@@ -12,9 +12,9 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parkflow.operators import occupancy
+from parkflow.operators import catalog, occupancy, plates
 from parkflow.plans.fixtures import view
-from parkflow.plans.queries import OCCUPANCY, _readings, _timeline, query
+from parkflow.plans.queries import OCCUPANCY, QUERIES, RAW, TYPES, _catalog, _crossings, _readings, _timeline, query
 from parkflow.sources import readers, sinks
 from parkflow.streaming import streams
 from parkflow.tables import shared_folder, written
@@ -203,6 +203,90 @@ def k_by_camera_day(spark, sf_dir):
     return spark.read.parquet(where).groupBy(F.col("camera").cast("long").alias("camera"), F.col("date").cast("string").alias("date")).agg(F.count("*").alias("n"), F.count_if("analyzed").alias("analyzed"))
 
 
+STAMP = "strftime(make_timestamp(bucket*1000000),'%Y-%m-%d') as date, strftime(make_timestamp(bucket*1000000),'%H:%M:%S') as time"
+
+
+def _stamped(sql: str) -> str:
+    """The rows of a query with date and time in place of their bucket."""
+    return f"select {STAMP}, q.* exclude (bucket) from ({RAW[sql]}) q"
+
+
+def _read_csv(spark, where: str, df: DataFrame) -> DataFrame:
+    """A CSV export read back, in the types of the rows that it was written from; date and time as texts."""
+    kinds = dict(df.dtypes)
+    rows = spark.read.option("header", True).csv(where)
+    return rows.select(*[F.col(f"`{c}`").cast(kinds.get(c, "string")).alias(c) for c in rows.columns])
+
+
+@query(_stamped("e_interval_counts"))
+def k_interval_csv(spark, sf_dir):
+    """K2: counts by interval as CSV, read back."""
+    where, counts = _folder(spark), QUERIES["e_interval_counts"](spark, sf_dir)
+    sinks.write_interval_counts(counts, where)
+    return _read_csv(spark, where, counts)
+
+
+@query(_stamped("e_direction_counts"))
+def k_image_csv(spark, sf_dir):
+    """K1: counts by image as CSV, read back."""
+    where, counts = _folder(spark), catalog.counts_per_image(*_catalog(spark, sf_dir), {0: "person"}, directions=True)
+    sinks.write_image_counts(counts, where)
+    return _read_csv(spark, where, counts)
+
+
+@query(RAW["e_entity_rollup"])
+def k_entity_csv(spark, sf_dir):
+    """K3: entities as CSV, read back."""
+    where, rollup = _folder(spark), QUERIES["e_entity_rollup"](spark, sf_dir)
+    sinks.write_entities(rollup, where)
+    return _read_csv(spark, where, rollup)
+
+
+@query(f"""select cluster, first_s, end_s, size, dwell_s from ({RAW["e_cluster_rollup"]}) q where not compat""")
+def k_cluster_csv(spark, sf_dir):
+    """K4: clusters as CSV, read back."""
+    image, instance, entity = _catalog(spark, sf_dir)
+    where, rollup = _folder(spark), catalog.cluster_rollup(entity, instance, image).select("cluster", "first_s", "end_s", "size", "dwell_s")
+    sinks.write_clusters(rollup, where)
+    return _read_csv(spark, where, rollup)
+
+
+@query(f"""with {OCCUPANCY} select site, t/1e6 as timestamp, strftime(make_timestamp(t),'%Y-%m-%dT%H:%M:%S') as datetime, case when step>0 then 'entry' else 'exit' end as event, entered_total as entered, exited_total as exited, occupancy from tl""")
+def k_occupancy_csv(spark, sf_dir):
+    """K5: the timeline as CSV, read back."""
+    where, timeline = _folder(spark), _timeline(spark, sf_dir)
+    sinks.write_occupancy(timeline, where)
+    rows = spark.read.option("header", True).csv(where)
+    return rows.select(*[F.col(c).cast("long").alias(c) for c in ("site", "entered", "exited", "occupancy")], F.col("timestamp").cast("double").alias("timestamp"), "datetime", "event")
+
+
+@query(RAW["e_dwell_accuracy"].replace("true_dwell>=1000000", "true_dwell>=1500000").replace("e<=0.1)", "e<=0.02)"))
+def e_reloaded_accuracy(spark, sf_dir):
+    """A benchmark's saved report, read again and judged by other thresholds."""
+    where, crossings = _folder(spark), _crossings(spark, sf_dir)
+    fields = F.struct("truth", "sightings", "clusters", "status", "true_dwell", "ocr_dwell")
+    part = F.pmod(F.hash("truth"), F.lit(max(1, -(-crossings.count() // 1000))))
+    crossings.groupBy(part.alias("part")).agg(F.to_json(F.struct(F.collect_list(fields).alias("crossings"))).alias("value")).select("value").write.text(where)
+    return plates.dwell_accuracy(readers.reload_crossings(spark, where), 1_500_000, 0.02)
+
+
+@query("""select image_id//48 as day, count(*) as n, bool_or(fresh) as fresh, (image_id//48)%3<>0 as untouched from (select image_id, false as fresh from instance where not ((image_id//48)%3=0 and image_id%4=0) union all select image_id, true from image where (image_id//48)%3=0 and image_id%4=0) group by image_id//48""")
+def k_replace_partitions(spark, sf_dir):
+    """K9 on disk: images of some days are analysed again; only those days' files are replaced."""
+    image, instance, entity = _catalog(spark, sf_dir)
+    where, day = _folder(spark), F.floor(F.col("image_id") / 48)
+    sinks.write_by(instance.withColumn("day", day), where, "day")
+    files = lambda: spark.read.parquet(where).select("day", F.col("_metadata.file_path").alias("file")).distinct()
+    before = written(files())
+    done = image.filter((day % 3 == 0) & (F.col("image_id") % 4 == 0)).select("image_id", day.alias("day"))
+    new = done.select("image_id", "day", F.lit(2).alias("type_id"), *[F.lit(v).alias(c) for v, c in zip((1, 2, 3, 4), ("x", "y", "width", "height"))], F.lit(0.9).alias("confidence"))
+    sinks.replace_partitions(spark, where, "day", done, new, "image_id")
+    same = before.join(files(), ["day", "file"], "full").join(before.withColumn("was", F.lit(True)), ["day", "file"], "left").join(files().withColumn("is", F.lit(True)), ["day", "file"], "left")
+    same = same.groupBy("day").agg(F.bool_and(F.col("was").isNotNull() & F.col("is").isNotNull()).alias("untouched"))
+    rows = spark.read.parquet(where).groupBy("day").agg(F.count("*").alias("n"), F.bool_or((F.col("confidence") == 0.9) & (F.col("width") == 3)).alias("fresh"))
+    return rows.join(same, "day").select(F.col("day").cast("long").alias("day"), "n", "fresh", "untouched")
+
+
 # Streams: a view is written, read as a stream to its end, and the stream's output is read back.
 
 

@@ -12,9 +12,13 @@ from parkflow.functions.geometry import Box
 from parkflow.operators import catalog, filters, graph, histograms, occupancy, plates, scoring, speed, tracking
 from parkflow.plans import reports
 from parkflow.plans.fixtures import view, with_views
+from parkflow.sources import readers
+from parkflow.tables import numbered
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
+#: The SQL over the derived views as it is written here, for queries that go on from another's rows.
+RAW: dict[str, str] = {}
 
 
 def query(sql: str | None = None):
@@ -23,6 +27,7 @@ def query(sql: str | None = None):
     def add(f):
         QUERIES[f.__name__] = f
         if sql:
+            RAW[f.__name__] = sql
             ORACLE_SQL[f.__name__] = with_views(sql)
         return f
 
@@ -167,7 +172,7 @@ select entity_id, round(scaled,9) as scaled, case when scaled between 10 and 50
   case when entity_id%100/100.0<=0.05 then '<=5%' when entity_id%100/100.0<=0.2 then '<=20%' when entity_id%100/100.0<=0.5 then '<=50%' else '>50%' end as err from s""")
 def b_bins(spark, sf_dir):
     """B32-B35."""
-    df = view(spark, sf_dir, "entity").withColumn("scaled", vectors.minmax_scale(F.col("raw_c"), 10.0, 50.0))
+    df = histograms.scaled(view(spark, sf_dir, "entity"), "raw_c", 10.0, 50.0, "scaled")
     return df.select("entity_id", F.round("scaled", 9).alias("scaled"), vectors.nearest_bin(F.col("scaled"), [10.0, 25.0, 50.0]).alias("bin"), labels.miss_bucket(F.col("entity_id") % 9).alias("miss"), labels.relative_error_bucket(F.col("entity_id") % 100 / 100).alias("err"))
 
 
@@ -261,7 +266,7 @@ def c_profiling(spark, sf_dir):
 
 @query("""select e.entity_id, count(*) as sightings, count(distinct i.image_id) as images, max(epoch_s)-min(epoch_s) as span_s, min(i.image_id) as earliest, max(i.image_id) as latest from entity e join instance i using (entity_id) join image m using (image_id) group by 1""")
 def d_sightings(spark, sf_dir):
-    """D1, D2, E11, G2."""
+    """D1, E11, G2."""
     image, instance, entity = _catalog(spark, sf_dir)
     seen = catalog.entity_sightings(entity, instance, image)
     n = seen.groupBy("entity_id").agg(F.count("*").alias("sightings"), F.count_distinct("image_id").alias("images"))
@@ -309,7 +314,7 @@ TYPES = {0: "person", 1: "bicycle", 2: "car", 3: "motorcycle", 5: "bus"}
    count(distinct cluster)+count(distinct case when cluster is null then image_id end) as k from f group by 1)
  select x.bucket, coalesce(a,0) as "person count", coalesce(b2,0) as "bicycle count", coalesce(c2,0) as "car count", coalesce(d,0) as "motorcycle count", coalesce(e,0) as "bus count", coalesce(k,0) as "cluster count" from (select distinct bucket from b) x left join c using (bucket)""")
 def e_interval_counts(spark, sf_dir):
-    """E7, E8, F4, K1, K2."""
+    """E7, E8, F4."""
     return catalog.counts_per_interval(*_catalog(spark, sf_dir), 45, TYPES)
 
 
@@ -327,7 +332,7 @@ def e_direction_counts(spark, sf_dir):
   case i.direction_lr when -1 then 'left' when 1 then 'right' else 'unknown' end as left_right, case i.direction_fb when 1 then 'forward' when -1 then 'back' else 'unknown' end as forward_back, round(raw_c/100.0,4) as speed
  from entity e join s using (entity_id) join instance i on i.entity_id=e.entity_id and i.image_id=s.m left join k using (cluster)""")
 def e_entity_rollup(spark, sf_dir):
-    """B24, E9, K3."""
+    """B24, E9."""
     image, instance, entity = _catalog(spark, sf_dir)
     return catalog.entity_rollup(entity.withColumn("speed", F.col("raw_c") / 100), instance, image)
 
@@ -335,7 +340,7 @@ def e_entity_rollup(spark, sf_dir):
 @query("""with s as (select entity_id, min(epoch_s) as a, max(epoch_s) as b from instance join image using (image_id) group by 1), r as (select false as compat, cluster, min(a) as first_s, max(b) as end_s, count(*) as size from entity join s using (entity_id) where cluster is not null group by all union all select true, cluster, min(a), min(b), count(*) from entity join s using (entity_id) group by all)
  select compat, cluster, first_s, end_s, size, end_s-first_s as dwell_s from r""")
 def e_cluster_rollup(spark, sf_dir):
-    """E10, K4."""
+    """E10."""
     image, instance, entity = _catalog(spark, sf_dir)
     each = [catalog.cluster_rollup(entity, instance, image, c).select(F.lit(c).alias("compat"), "cluster", "first_s", "end_s", "size", "dwell_s") for c in (False, True)]
     return each[0].unionByName(each[1])
@@ -400,7 +405,7 @@ def e_plate_dwell(spark, sf_dir):
  select round(coalesce(avg(dwell) filter (dwell>=2000000),0),3) as average_dwell, count(*) filter (dwell<2000000) as excluded, round(avg(dwell) filter (dwell>=2000000),3) as mean_dwell, round(median(dwell) filter (dwell>=2000000),3) as median_dwell,
   (select count(*) from plate_reading) as images, (select count(plate_text) from plate_reading) as plates_read, count(*) as matched, (select count(plate_text) from plate_reading)-sum(n) as single_sightings from g""")
 def e_dwell_averages(spark, sf_dir):
-    """E17, E22, E47, I9."""
+    """E17, E22, E47 (dwell_report_stats)."""
     readings = _readings(spark, sf_dir)
     matches = plates.plate_dwell(readings, 0, None, 2_000_000.0)
     a, b, c = plates.average_dwell(matches), plates.mean_median_dwell(matches), plates.dwell_report_stats(readings, matches)
@@ -455,7 +460,7 @@ def _crossings(spark, sf_dir) -> DataFrame:
 
 @query(f"""with recursive {CROSSINGS} select truth, sightings, clusters, status, round(true_dwell,3) as true_dwell, round(ocr_dwell,3) as ocr_dwell from crossings""")
 def e_crossings(spark, sf_dir):
-    """D15, E18, G5, H4, I10."""
+    """D15, E18, G5."""
     return plates.ordered_crossings(_crossings(spark, sf_dir)).select("truth", "sightings", "clusters", "status", F.round("true_dwell", 3).alias("true_dwell"), F.round("ocr_dwell", 3).alias("ocr_dwell"))
 
 
@@ -470,7 +475,7 @@ def e_crossing_summary(spark, sf_dir):
 @query(f"""with recursive {CROSSINGS}, o as (select abs(ocr_dwell-true_dwell)/true_dwell as e from crossings where ocr_dwell is not null and true_dwell>0 and true_dwell>=1000000)
  select case when e<=0.05 then '<=5%' when e<=0.2 then '<=20%' when e<=0.5 then '<=50%' else '>50%' end as bucket, count(*) as n, count(*)/cast((select count(*) from o) as double) as share, (select count(*) filter (e<=0.1)/cast(count(*) as double) from o) as within from o group by 1""")
 def e_dwell_accuracy(spark, sf_dir):
-    """A14, E21."""
+    """E21."""
     return plates.dwell_accuracy(_crossings(spark, sf_dir), 1_000_000, 0.1)
 
 
@@ -495,7 +500,7 @@ def _scored(spark, sf_dir) -> DataFrame:
 
 @query(f"""with {OCR} select 'all' as video, {MEASURES.format(seen='')} from rows union all select video, {MEASURES.format(seen='and not missing')} from rows group by 1""")
 def e_ocr_accuracy(spark, sf_dir):
-    """C20, E23, E24, H3."""
+    """E23, E24."""
     rows = _scored(spark, sf_dir)
     return plates.ocr_accuracy(rows).select(F.lit("all").alias("video"), "*").unionByName(plates.ocr_accuracy_by_video(rows))
 
@@ -546,7 +551,7 @@ def _rounded(df: DataFrame, **digits: int) -> DataFrame:
 def e_speed_summary(spark, sf_dir):
     """C18, D14, E1-E3, E13, E14."""
     df = _calibrated(spark, sf_dir)
-    every = speed.summarize_report(df).select(F.lit("all").alias("label"), "*").unionByName(speed.summarize_by_type(df)).unionByName(speed.summarize_by_video(df))
+    every = speed.summarize_every(df).drop("kind")
     return _rounded(every, mean_relative=9, median_relative=9, mean_absolute=6, median_absolute=6)
 
 
@@ -599,7 +604,7 @@ def e_label_metrics(spark, sf_dir):
 
 @query(f"""with {TRUTH} select label, (select count(*) from k where truth=label) as n_truth, (select count(*) from k where predicted=label) as n_predicted from (values ('left'),('right'),('front'),('back'),('unknown'),('no_detection')) v(label)""")
 def e_label_counts(spark, sf_dir):
-    """E5, E28."""
+    """E28."""
     return scoring.label_counts(_pairs(spark, sf_dir), LABELS)
 
 
@@ -711,7 +716,7 @@ def _timeline(spark, sf_dir) -> DataFrame:
 
 @query(f"""with {OCCUPANCY} select * from tl""")
 def f_occupancy(spark, sf_dir):
-    """E46, F1-F3, K5."""
+    """E46, F1-F3."""
     return _timeline(spark, sf_dir)
 
 
@@ -756,7 +761,7 @@ def i_bikes(spark, sf_dir):
 
 @query()
 def i_track_frames(spark, sf_dir):
-    """D10, I2, I7."""
+    """D10, I2."""
     return tracking.track_frames(view(spark, sf_dir, "detection"))
 
 
@@ -861,4 +866,122 @@ def c_adaptive(spark, sf_dir):
     return filters.adaptive_downsample(frames, 2, 3)
 
 
+# Rows that go on from others: sets, write-backs, composed analyses
+
+
+@query("""select i.image_id, count(*) as n, cast(sum(raw_c) as bigint) as raw_c, count(distinct cluster) as clusters from instance i join entity e using (entity_id) group by 1""")
+def d_image_entities(spark, sf_dir):
+    """D2."""
+    _, instance, entity = _catalog(spark, sf_dir)
+    return catalog.image_entities(instance, entity).groupBy("image_id").agg(F.count("*").alias("n"), F.sum("raw_c").alias("raw_c"), F.count_distinct("cluster").alias("clusters"))
+
+
+@query("""with d as (select *, row_number() over (order by video, frame_index, x, y, w, h, class_id)-1 as id from detection), p as (select a.id as l, b.id as r, b.frame_index as time, cast(greatest(0,least(a.x+a.w,b.x+b.w)-greatest(a.x,b.x))*greatest(0,least(a.y+a.h,b.y+b.h)-greatest(a.y,b.y)) as double) as common, a.w*a.h+b.w*b.h as areas from d a join d b on a.video=b.video and b.frame_index between a.frame_index+1 and a.frame_index+2)
+ select time, count(*) as n, round(sum(common/(areas-common)),6) as iou from p where common/(areas-common)>=0.15 group by 1""")
+def d_iou_candidates(spark, sf_dir):
+    """Pairs two frames apart at most, by frame."""
+    columns = ["video", "frame_index", "x", "y", "w", "h", "class_id"]
+    rows = numbered(view(spark, sf_dir, "detection").select(*columns), columns, "id")
+    return tracking.iou_candidates(rows, 2).groupBy("time").agg(F.count("*").alias("n"), F.round(F.sum("iou"), 6).alias("iou"))
+
+
+@query("""with r as (select plate_text, t_us, t_us-lag(t_us) over (partition by plate_text order by t_us)>=86400000000 as fresh from plate_reading where plate_text is not null), s as (select plate_text, t_us, count(*) filter (fresh) over (partition by plate_text order by t_us range between unbounded preceding and current row) as segment from r)
+ select plate_text, segment, count(*) as n, min(t_us) as first_us, max(t_us) as last_us from s group by 1,2""")
+def f_segments(spark, sf_dir):
+    """I7."""
+    r = view(spark, sf_dir, "plate_reading").filter("plate_text is not null").select("plate_text", "t_us")
+    return tracking.segment_by_gap(r, ["plate_text"], "t_us", 86_400_000_000).groupBy("plate_text", "segment").agg(F.count("*").alias("n"), F.min("t_us").alias("first_us"), F.max("t_us").alias("last_us"))
+
+
+@query("""select predicted as label, count(*) as n from labeled_image group by 1""")
+def e_direction_totals(spark, sf_dir):
+    """E5."""
+    return scoring.direction_totals(view(spark, sf_dir, "labeled_image").withColumnRenamed("predicted", "label"))
+
+
+@query(f"""with {OCR} select truth, count(*) as n from rows where coalesce(truth,'')<>'' group by 1""")
+def c_usable_plates(spark, sf_dir):
+    """C20."""
+    return filters.usable_plates(_scored(spark, sf_dir)).groupBy("truth").agg(F.count("*").alias("n"))
+
+
+@query("""select * from detection where class_id=2 and cast((frame_index*7)%100 as double)/100>=0.4""")
+def c_confident(spark, sf_dir):
+    """C1 with a confidence."""
+    scored = view(spark, sf_dir, "detection").withColumn("confidence", (F.col("frame_index") * 7 % 100).cast("double") / 100)
+    return filters.keep_confident(filters.keep_classes(scored, (2,)), 0.4).drop("confidence")
+
+
+@query("""select distinct plate_text as key from plate_reading where plate_text is not null union select distinct truth from plate_reading union select distinct video from detection""")
+def e_all_groups(spark, sf_dir):
+    """H3: the keys that any of some counters has."""
+    r = view(spark, sf_dir, "plate_reading")
+    counters = [df.groupBy(F.col(c).alias("key")).count() for df, c in ((r.filter("plate_text is not null"), "plate_text"), (r, "truth"), (view(spark, sf_dir, "detection"), "video"))]
+    return filters.all_groups("key", *counters)
+
+
+@query("""with a as (select image_id, list(distinct type_id) filter (confidence>=0.5) as sure, list(distinct type_id) as every from instance group by 1)
+ select image_id, coalesce(len(sure),0)=len(every) as same from a""")
+def e_same_members(spark, sf_dir):
+    """H4: whether the types surely seen in an image are all that were seen there."""
+    _, instance, _ = _catalog(spark, sf_dir)
+    types = instance.groupBy("image_id").agg(F.collect_set(F.when(F.col("confidence") >= 0.5, F.col("type_id"))).alias("sure"), F.collect_set("type_id").alias("every"))
+    return types.select("image_id", filters.same_members(F.col("sure"), F.col("every")).alias("same"))
+
+
+@query("""with p as (select image_id, entity_id, min((entity_id*3+image_id)%4) as pose from instance where image_id%2=0 group by 1,2)
+ select i.image_id, i.entity_id, case when type_id in (0,1) and pose is not null then pose-1 else i.direction_lr end as direction_lr, case when type_id in (0,1) and pose is not null then 1-pose else i.direction_fb end as direction_fb, case when i.entity_id%3=0 then 7 else cluster end as cluster, case when i.entity_id%3=0 then i.entity_id/4.0 end as speed
+ from instance i left join p using (image_id, entity_id) left join entity e using (entity_id)""")
+def k_write_back(spark, sf_dir):
+    """Directions of poses, clusters and speeds of entities, written back."""
+    _, instance, entity = _catalog(spark, sf_dir)
+    pose = (F.col("entity_id") * 3 + F.col("image_id")) % 4
+    poses = instance.filter("image_id % 2 = 0").select("image_id", "entity_id", F.explode(F.array(pose, pose + 4)).alias("pose")).withColumns({"direction_lr": (F.col("pose") - 1).cast("int"), "direction_fb": (1 - F.col("pose")).cast("int")})
+    found = entity.filter("entity_id % 3 = 0").select("entity_id", F.lit(7).cast("long").alias("cluster"), (F.col("entity_id") / 4).alias("speed"))
+    entity = catalog.set_columns(entity.select("entity_id", F.col("cluster").cast("long").alias("cluster"), F.lit(None).cast("double").alias("speed")), found, "entity_id")
+    turned = catalog.set_direction(instance, poses).select("image_id", "entity_id", *[F.col(c).cast("int").alias(c) for c in ("direction_lr", "direction_fb")])
+    return turned.join(entity, "entity_id", "left").select("image_id", "entity_id", "direction_lr", "direction_fb", "cluster", "speed")
+
+
+@query("""with r as (select upper(plate_text) as plate_text, case when cast(regexp_extract(img_path,'f([0-9]+)',1) as bigint)%2=0 then 5.0 else t_us/1e6 end as t from plate_reading), m as (select plate_text, max(t)-min(t) as dwell, count(*) as n from r where length(plate_text)>1 group by 1 having count(*)>=2)
+ select (select count(*) from r) as images, (select count(*) from r where length(plate_text)>1) as plates_read, (select count(*) from m) as matched, (select count(*) from r where length(plate_text)>1)-(select sum(n) from m) as single_sightings, round((select avg(dwell) from m where dwell>=1000),3) as average_dwell, (select count(*) from m where dwell<1000) as excluded""")
+def i_plate_dwell(spark, sf_dir):
+    """The composed analysis over two directories, one of which has a manifest of times."""
+    r = _readings(spark, sf_dir).select("img_path", "plate_text", "t")
+    even = F.regexp_extract("img_path", "f([0-9]+)", 1).cast("long") % 2 == 0
+    manifest = r.filter(even).select("img_path", F.lit(5.0).alias("timestamp"), F.lit(0).alias("folder"))
+    _, stats = reports.run_plate_dwell([r.filter(even), r.filter(~even)], manifest, least_dwell=1000.0)
+    return stats.select("images", "plates_read", "matched", "single_sightings", F.round("average_dwell", 3).alias("average_dwell"), "excluded")
+
+
+@query(RAW["e_crossing_summary"])
+def i_plate_dwell_benchmark(spark, sf_dir):
+    """The composed benchmark."""
+    _, summary = reports.run_plate_dwell_benchmark(_readings(spark, sf_dir), 1, 2_400_000)
+    return summary.withColumn("mean_abs_delta", F.round("mean_abs_delta", 3))
+
+
+@query(f"""with {CALIBRATED} select (select count(distinct video) from video_entity) as videos, count(*) as entities, count(*) filter (direction='left') as n_left, count(*) filter (direction='right') as n_right, (select count(distinct split_part(img_path,'/',1)) from plate_reading) as plate_videos, (select count(distinct img_path) from plate_reading) as plates from c""")
+def e_tool_stats(spark, sf_dir):
+    """extraction_stats and track_stats."""
+    manifest = _readings(spark, sf_dir).select("img_path", F.split_part("img_path", F.lit("/"), F.lit(1)).alias("source_video"))
+    plates_ = plates.extraction_stats(manifest).select(F.col("videos").alias("plate_videos"), F.col("plates").alias("plates"))
+    return speed.track_stats(view(spark, sf_dir, "video_entity")).crossJoin(plates_)
+
+
+@query("""select e.event_id, round(0.5*user_id+0.25*(event_id%100)-value,6) as score from events e""")
+def l_score_batches(spark, sf_dir):
+    """L1: a user's model over batches, here a linear one."""
+
+    def load():
+        return 0.5, 0.25
+
+    def score(model, batch):
+        a, b = model
+        return batch[["event_id"]].assign(score=(a * batch["user_id"] + b * (batch["event_id"] % 100) - batch["value"]).round(6))
+
+    events = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", "user_id", F.col("value").cast("double").alias("value"))
+    return readers.score_batches(events, load, score, "event_id long, score double")
+
+
 from parkflow.plans import exchange  # noqa: E402, F401  (registers the queries over files and streams)

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from parkflow.tables import written
+
 
 def write_csv(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
     df.write.mode(mode).option("header", True).csv(path)
@@ -50,6 +52,21 @@ def write_gallery(profiles: DataFrame, path: str) -> None:
     profiles.write.partitionBy("camera").parquet(path)
 
 
+def write_by(df: DataFrame, path: str, by: str) -> None:
+    """Laid out by a column, each value's rows together."""
+    df.repartition(by).write.partitionBy(by).parquet(path)
+
+
+def replace_partitions(spark: SparkSession, path: str, by: str, done: DataFrame, new: DataFrame, key: str) -> None:
+    """Replace, in a table laid out by a column, the rows whose key is in done(key, by) by `new`. Only the partitions that
+    done and new name are read and written again, each as a whole; the others' files stay as they are."""
+    kept = spark.read.parquet(path)
+    touched = done.select(by).unionByName(new.select(by)).distinct()
+    rows = kept.join(F.broadcast(touched) if touched.count() <= 10_000 else touched, by, "left_semi").join(done.select(key).distinct(), key, "left_anti")
+    every = written(rows.unionByName(new, allowMissingColumns=True))  # what is overwritten below is read no more
+    every.repartition(by).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(by).parquet(path)
+
+
 def write_by_camera_day(images: DataFrame, path: str) -> None:
     """Laid out by camera and date, so that reads of some days skip the others."""
     images.withColumn("date", F.to_date(F.timestamp_seconds("epoch_s"))).repartition("camera", "date").write.partitionBy("camera", "date").parquet(path)

@@ -38,6 +38,23 @@ def dropped(table: DataFrame) -> None:
     path.getFileSystem(table.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
 
 
+def exact_quantiles(df: DataFrame, keys: list[str], column: str, shares: dict[str, float]) -> DataFrame:
+    """keys and, for each share, the exact quantile of a column in each group, linear between the two nearest values;
+    nulls don't count, and groups without values are missing.
+
+    The values are range-sorted by group and value, and the rows at the wanted ranks are picked by their numbers: no task
+    holds all values of a group, as the engine's own percentile does.
+    """
+    rows = written(numbered(df.filter(F.col(column).isNotNull()).select(*keys, F.col(column).cast("double").alias("value")), [*keys, "value"], "at"))
+    sizes = rows.groupBy(*keys).agg(F.min("at").alias("first"), F.count("*").alias("n")).filter("n > 0")
+    place = lambda p: (F.col("n") - 1) * F.lit(float(p))
+    asked = F.array(*[F.struct(F.lit(name).alias("name"), (F.col("first") + F.floor(place(p))).alias("low"), (F.col("first") + F.ceil(place(p))).alias("high"), (place(p) - F.floor(place(p))).alias("share")) for name, p in shares.items()])
+    asked = sizes.select(*keys, F.explode(asked).alias("x")).select(*keys, "x.*")
+    at = lambda name: rows.select(F.col("at").alias(name), F.col("value").alias(f"{name}_value"))
+    found = asked.join(at("low"), "low").join(at("high"), "high").withColumn("value", F.col("low_value") + (F.col("high_value") - F.col("low_value")) * F.col("share"))
+    return found.groupBy(*keys).agg(*[F.max(F.when(F.col("name") == name, F.col("value"))).alias(name) for name in shares])
+
+
 def numbered(df: DataFrame, by: list[str | Column], into: str = "pos", sums: tuple[str, ...] = ()) -> DataFrame:
     """df with the number of each row, from 0, in the order of some columns, and before_<c>, what column c of the rows
     ahead of it adds up to, for each of `sums`.
