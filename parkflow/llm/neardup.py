@@ -12,6 +12,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -133,66 +134,81 @@ def compare_batches(batches: Iterator[pa.RecordBatch], width: int, percent: int)
                 yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("hub"), pa.array(rows[0], pa.int64()), pa.array(rows[1], pa.int64()), pa.array(rows[2], pa.bool_()), pa.array(rows[3], pa.list_(pa.int64())), pa.array(rows[4], pa.list_(pa.int64()))], ["a", "hub", "n", "n_hub", "link", "lacks", "beside"])
 
 
-def _shared_features(rows: list[dict], keep: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Row and column of each feature (a shingle lacked or had besides) that is one of `keep`."""
-    each = [np.concatenate([np.array(r["lacks"], np.int64) * 2, np.array(r["beside"], np.int64) << 1 | 1]) for r in rows]
-    row = np.repeat(np.arange(len(each)), [len(x) for x in each])
-    values = np.concatenate(each)
+def _features(part: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """Row and value of each feature: a shingle that a row lacks or has besides."""
+    rows, values = [], []
+    for name, besides in (("lacks", 0), ("beside", 1)):
+        lists = part.column(name)
+        rows.append(np.repeat(np.arange(part.num_rows, dtype=np.int32), pc.list_value_length(lists).to_numpy().astype(np.int64)))
+        values.append((pc.list_flatten(lists).to_numpy() << 1) | besides)
+    return np.concatenate(rows), np.concatenate(values)
+
+
+def _shared(row: np.ndarray, values: np.ndarray, keep: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Row and column of each feature that is one of `keep`, in the order of the columns."""
     column = np.minimum(np.searchsorted(keep, values), len(keep) - 1)
     ok = keep[column] == values
-    return row[ok], column[ok]
+    row, column = row[ok], column[ok].astype(np.int32)
+    order = np.argsort(column, kind="stable")
+    return row[order], column[order]
 
 
 def link_apart(table: pa.Table, percent: int) -> pa.Table:
     """Links between documents that don't link with the hub (side y) and others compared with it (side x).
 
     Both sets follow from what they lack and have besides: common = hub - lacks of either + lacks of both + besides of
-    both. Of all links, a spanning forest is enough; those that link with the hub are one tree already.
+    both. Of all links, a spanning forest is enough; those that link with the hub are one tree already. The lists stay
+    arrays of numbers, as they came.
     """
-    rows = table.to_pylist()
-    xs, ys = [r for r in rows if r["side"] == 0], [r for r in rows if r["side"] == 1]
+    side = table.column("side").to_numpy()
+    xs, ys = table.filter(pa.array(side == 0)), table.filter(pa.array(side == 1))
     out_a, out_b = [], []
-    if xs and ys:
-        features = [np.unique(np.concatenate([np.concatenate([np.array(r["lacks"], np.int64) * 2, np.array(r["beside"], np.int64) << 1 | 1]) for r in side])) for side in (xs, ys)]
-        keep = np.intersect1d(*features, assume_unique=True)
-        both = np.zeros((len(ys), len(xs)), np.float32)
+    if xs.num_rows and ys.num_rows:
+        x, y = _features(xs), _features(ys)
+        keep = np.intersect1d(np.unique(x[1]), np.unique(y[1]), assume_unique=True)
+        both = np.zeros((ys.num_rows, xs.num_rows), np.float32)
         if len(keep):
-            (xr, xc), (yr, yc) = _shared_features(xs, keep), _shared_features(ys, keep)
+            (xr, xc), (yr, yc) = _shared(*x, keep), _shared(*y, keep)
             for at in range(0, len(keep), 4096):
                 size = min(4096, len(keep) - at)
-                mx, my = np.zeros((len(xs), size), np.float32), np.zeros((len(ys), size), np.float32)
+                mx, my = np.zeros((xs.num_rows, size), np.float32), np.zeros((ys.num_rows, size), np.float32)
                 for m, r, c in ((mx, xr, xc), (my, yr, yc)):
-                    ok = (c >= at) & (c < at + size)
-                    m[r[ok], c[ok] - at] = 1
+                    a, b = np.searchsorted(c, [at, at + size])
+                    m[r[a:b], c[a:b] - at] = 1
                 both += my @ mx.T
-        n_x, n_y = np.array([r["n"] for r in xs]), np.array([r["n"] for r in ys])
-        d_x, d_y = np.array([len(r["lacks"]) for r in xs]), np.array([len(r["lacks"]) for r in ys])
-        common = np.rint(both).astype(np.int64) + xs[0]["n_hub"] - d_x[None, :] - d_y[:, None]
+        numbers = lambda part, name: part.column(name).to_numpy()
+        n_x, n_y = numbers(xs, "n"), numbers(ys, "n")
+        d_x, d_y = (pc.list_value_length(part.column("lacks")).to_numpy().astype(np.int64) for part in (xs, ys))
+        common = np.rint(both).astype(np.int64) + int(numbers(xs, "n_hub")[0]) - d_x[None, :] - d_y[:, None]
         links = 100 * common >= percent * (n_x[None, :] + n_y[:, None] - common)
-        joined = np.array([r["link"] for r in xs])
-        parent = list(range(len(xs) + len(ys) + 1))  # the last is the hub's tree
+        id_x, id_y = xs.column("a").to_pylist(), ys.column("a").to_pylist()
+        parent = list(range(len(id_x) + len(id_y) + 1))  # the last is the hub's tree
 
         def find(i: int) -> int:
             while parent[i] != i:
                 parent[i] = i = parent[parent[i]]
             return i
 
-        of = {r["a"]: len(ys) + j for j, r in enumerate(xs)}
-        for i, r in enumerate(ys):
-            if r["a"] in of:
-                parent[find(of[r["a"]])] = find(i)
-        for j in np.flatnonzero(joined):
-            parent[find(len(ys) + j)] = find(len(parent) - 1)
+        of = {a: len(id_y) + j for j, a in enumerate(id_x)}
+        for i, a in enumerate(id_y):
+            if a in of:
+                parent[find(of[a])] = find(i)
+        for j in np.flatnonzero(xs.column("link").to_numpy()):
+            parent[find(len(id_y) + j)] = find(len(parent) - 1)
         for i, j in np.argwhere(links):
-            p, q = find(i), find(len(ys) + j)
+            p, q = find(i), find(len(id_y) + j)
             if p != q:
                 parent[p] = q
-                out_a.append(ys[i]["a"])
-                out_b.append(xs[j]["a"])
+                out_a.append(id_y[i])
+                out_b.append(id_x[j])
     kind = table.schema.field("a").type
     return pa.table({"a": pa.array(out_a, kind), "b": pa.array(out_b, kind)})
 
 
+#: A block of documents that are compared with one hub holds about so many numbers (of 8 bytes) of how they differ from it.
+NUMBERS = 2_000_000
+
+
 def hub_pairs(sets: DataFrame) -> DataFrame:
     """a and hub: each document of sets(rep, bands) with the most central one of each of its buckets."""
     buckets = sets.select(F.col("rep").alias("a"), F.explode("bands").alias("band"))
@@ -214,8 +230,10 @@ def all_links(pairs: DataFrame, texts: DataFrame, width: int, percent: int, bloc
     of_hubs = hubs.join(texts.select(F.col("doc_id").alias("hub"), F.col("of_text").alias("hub_text"), F.col("text").alias("text_b")), ["hub", "hub_text"])
     both = heavy_join(left, of_hubs, ["hub", "hub_text"], "n", block, hubs, ["a"])
     compared = saved(both.select("a", "hub", "text_a", "text_b").mapInArrow(task("parkflow.llm.neardup", "compare_batches", width=width, percent=percent), f"a {kind}, hub {kind}, n long, n_hub long, link boolean, lacks array<long>, beside array<long>"))
-    groups = compared.groupBy("hub").agg(F.count("*").alias("n_x"), F.count_if(~F.col("link")).alias("n_y")).filter("n_y > 0 and n_x > 1")
-    groups = saved(groups.select("hub", F.col("n_x").alias("meets"), F.ceil(F.col("n_x") / block).cast("int").alias("x_blocks"), F.ceil(F.col("n_y") / block).cast("int").alias("y_blocks")))
+    apart, numbers = ~F.col("link"), (F.size("lacks") + F.size("beside")).cast("long")
+    groups = compared.groupBy("hub").agg(F.count("*").alias("n_x"), F.count_if(apart).alias("n_y"), F.sum(numbers).alias("w_x"), F.coalesce(F.sum(F.when(apart, numbers)), F.lit(0)).alias("w_y")).filter("n_y > 0 and n_x > 1")
+    blocks = lambda side: F.greatest(F.ceil(F.col(f"n_{side}") / block), F.ceil(F.col(f"w_{side}") / NUMBERS)).cast("int").alias(f"{side}_blocks")
+    groups = saved(groups.select("hub", F.col("n_x").alias("meets"), blocks("x"), blocks("y")))
     open_ = heavy_join(compared, groups, ["hub"], "meets", spread=["a"])
     block_of = lambda n: F.pmod(F.xxhash64(F.col("a"), F.lit(1)), F.col(n)).cast("int")
     columns = ["hub", "a", "n", "n_hub", "link", "lacks", "beside"]
