@@ -86,6 +86,7 @@ def placed(docs: DataFrame, epochs: int = 3, weights: tuple[int, ...] = (1, 2, 3
     rows = docs.select("doc_id", "source", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"), *ties)
     rows = rows.withColumn("key", F.coalesce(F.concat(F.lit("s"), "source"), F.lit("")))
     rows = rows.withColumn("rank", F.md5(F.coalesce(F.col("doc_id").cast("string"), *[F.col(c).cast("string") for c in ties], F.lit("")).cast("binary"))).withColumn("slice", F.substring("rank", 1, 3))
+    rows = saved(rows)  # the texts' words are counted once
     slices = rows.groupBy("key", "slice").agg(F.sum("size").alias("slice_size"))
     sizes = slices.groupBy("key").agg(F.sum("slice_size").alias("source_size")).withColumn("source", F.when(F.col("key") != "", F.substring("key", 2, 2**31 - 1)))
     targets = source_targets(sizes.select("source", "source_size"), epochs, weights)
