@@ -22,9 +22,19 @@ def image_left_instances(images: DataFrame, instances: DataFrame, type_id: int)
     return images.join(instances.filter(F.col("type_id") == type_id), "image_id", "left")
 
 
-def cluster_mates(entities: DataFrame, compat: bool = False) -> DataFrame:
-    """Pairs of different entities of one cluster. compat: those without one are mates too."""
-    a, b = entities.select("entity_id", "cluster").alias("a"), entities.select(F.col("entity_id").alias("mate_id"), F.col("cluster").alias("mate_cluster")).alias("b")
+def cluster_members(entities: DataFrame, compat: bool = False) -> DataFrame:
+    """entity_id, cluster and mates (how many others its cluster has): who belongs together, without listing pairs.
+    compat: those without a cluster are mates too; else they have none."""
+    sizes = entities.groupBy("cluster").agg((F.count("*") - 1).alias("mates"))
+    same = entities.join(sizes.withColumnRenamed("cluster", "of"), F.col("cluster").eqNullSafe(F.col("of"))).drop("of")
+    return same.select("entity_id", "cluster", F.when(F.col("cluster").isNull() & F.lit(not compat), 0).otherwise(F.col("mates")).alias("mates"))
+
+
+def cluster_mates(entities: DataFrame, compat: bool = False, of: DataFrame | None = None) -> DataFrame:
+    """Pairs of different entities of one cluster. compat: those without one are mates too. of: the entity_ids whose
+    mates are asked for; all pairs of all clusters grow with the square of a cluster, see cluster_members."""
+    asked = entities if of is None else entities.join(of, "entity_id", "left_semi")
+    a, b = asked.select("entity_id", "cluster").alias("a"), entities.select(F.col("entity_id").alias("mate_id"), F.col("cluster").alias("mate_cluster")).alias("b")
     same = F.col("cluster").eqNullSafe(F.col("mate_cluster")) if compat else F.col("cluster") == F.col("mate_cluster")
     return a.join(b, same & (F.col("entity_id") != F.col("mate_id"))).select("entity_id", "mate_id")
 

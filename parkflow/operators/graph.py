@@ -77,9 +77,9 @@ def box_clusters(boxes: DataFrame, distance: int = 60, ratio: float = 2.5) -> Da
 def cluster_boxes(clustered: DataFrame) -> DataFrame:
     """Box around each cluster, and its members by class."""
     box = Box(*(F.col(c) for c in "xywh"))
-    around = clustered.groupBy("image_id", "cluster").agg(*union_box_agg(box), F.count("*").alias("n"))
-    counts = clustered.groupBy("image_id", "cluster", "class_id").agg(F.count("*").alias("n")).groupBy("image_id", "cluster").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("class_id", "n")))).alias("classes"))
-    return around.join(counts, ["image_id", "cluster"])
+    by_class = clustered.groupBy("image_id", "cluster", "class_id").agg(*union_box_agg(box), F.count("*").alias("n"))
+    classes = F.map_from_entries(F.array_sort(F.collect_list(F.struct("class_id", "n")))).alias("classes")
+    return by_class.groupBy("image_id", "cluster").agg(*union_box_agg(box), F.sum("n").alias("n"), classes)
 
 
 def assign_clusters(entities: DataFrame, clustered: DataFrame) -> DataFrame:

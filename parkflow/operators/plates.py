@@ -209,7 +209,7 @@ def ocr_accuracy_by_video(rows: DataFrame) -> DataFrame:
 def miss_distances(rows: DataFrame) -> DataFrame:
     """bucket, n, share for readings(truth, plate_text) that aren't exact, with mean and median edit distance."""
     d = rows.filter("truth is not null and truth <> ''").withColumn("d", F.levenshtein("truth", F.coalesce("plate_text", F.lit("")))).filter("d > 0")
-    every = d.agg(F.count("*").alias("total"), F.avg("d").alias("mean_distance"), F.median("d").cast("double").alias("median_distance"))
+    every = d.agg(F.count("*").alias("total"), F.avg("d").alias("mean_distance")).join(exact_quantiles(d, [], "d", {"median_distance": 0.5}), how="left")
     buckets = rows.sparkSession.range(1).select(F.explode(F.array(*[F.lit(b) for b in ("1", "2", "3", "4+")])).alias("bucket"))
     n = d.groupBy(miss_bucket(F.col("d")).alias("bucket")).agg(F.count("*").alias("n"))
     out = buckets.join(n, "bucket", "left").crossJoin(F.broadcast(every))

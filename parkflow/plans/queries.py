@@ -304,6 +304,13 @@ def d_images_of_entities(spark, sf_dir):
     return catalog.images_of_entities(instance, filters.entities_by_speed(entity, 300001, 1e15, "raw_c"))
 
 
+@query("""with k as (select cluster, count(*)-1 as mates from entity group by 1) select entity_id, e.cluster, case when e.cluster is null then 0 else mates end as mates, mates as compat_mates from entity e join k on e.cluster is not distinct from k.cluster""")
+def d_cluster_members(spark, sf_dir):
+    """D4 as membership, which doesn't grow with the square of a cluster."""
+    entity = view(spark, sf_dir, "entity")
+    return catalog.cluster_members(entity).join(catalog.cluster_members(entity, compat=True).select("entity_id", F.col("mates").alias("compat_mates")), "entity_id")
+
+
 TYPES = {0: "person", 1: "bicycle", 2: "car", 3: "motorcycle", 5: "bus"}
 
 

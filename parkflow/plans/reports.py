@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from parkflow.functions.vectors import normalize_plate
 from parkflow.operators import occupancy, plates, tracking
+from parkflow.tables import written
 
 
 def run_plate_dwell(readings: list[DataFrame], manifest: DataFrame | None = None, k: int = 0, gap: float | None = None, least_dwell: float = 0.0) -> tuple[DataFrame, DataFrame]:
@@ -26,9 +27,11 @@ def run_plate_dwell_benchmark(readings: DataFrame, k: int, least_dwell: float) -
 
 
 def run_profile(profiles: DataFrame, **options) -> DataFrame:
-    """Entities of each camera with their sightings in order."""
-    found = tracking.reidentify(profiles, **options)
-    return found.groupBy("camera", "entity_id").agg(F.count("*").alias("sightings"), F.array_sort(F.collect_list(F.struct("t", "profile_id"))).alias("occurrences"))
+    """The sightings of each camera's entities, a row each: camera, entity_id, t, profile_id, and of the entity sightings,
+    first_t and last_t."""
+    found = written(tracking.reidentify(profiles, **options).drop("feature"))
+    whole = found.groupBy("camera", "entity_id").agg(F.count("*").alias("sightings"), F.min("t").alias("first_t"), F.max("t").alias("last_t"))
+    return found.join(whole, ["camera", "entity_id"])
 
 
 def run_occupancy(entry: DataFrame, exit_: DataFrame, **options) -> tuple[DataFrame, DataFrame]:

@@ -31,7 +31,8 @@ def test_occupancy(spark):
     timeline, stats = reports.run_occupancy(spark.createDataFrame(rows, schema), spark.createDataFrame([("s", 9, 20.0, [1.0, 0.0])], schema))
     assert [r.occupancy for r in timeline.orderBy("t").collect()] == [1, 0, 1]
     assert stats.first().max_occupancy == 1
-    assert reports.run_profile(spark.createDataFrame(rows, schema)).count() == 2
+    profile = reports.run_profile(spark.createDataFrame([*rows, ("s", 3, 31.0, [0.0, 0.9])], schema)).collect()
+    assert sorted((r.entity_id, r.t, r.sightings, r.first_t, r.last_t) for r in profile) == [(1, 10.0, 1, 10.0, 10.0), (2, 30.0, 2, 30.0, 31.0), (2, 31.0, 2, 30.0, 31.0)]
 
 
 def test_entry_without_the_optional_subpackage():
