@@ -772,30 +772,56 @@ def i_track_frames(spark, sf_dir):
     return tracking.track_frames(view(spark, sf_dir, "detection"))
 
 
-@query()
+CATALOG_TRACKS = """r as (select i.*, m.epoch_s, row_number() over (partition by type_id order by m.epoch_s, i.image_id, i.entity_id) as k from instance i join image m using (image_id)),
+ o as (select a.type_id, a.k, b.k as l, cast(greatest(0,least(a.x+a.width,b.x+b.width)-greatest(a.x,b.x))*greatest(0,least(a.y+a.height,b.y+b.height)-greatest(a.y,b.y)) as double) as common, a.width*a.height+b.width*b.height as areas from r a join r b on a.type_id=b.type_id and b.epoch_s<a.epoch_s and a.epoch_s-b.epoch_s<1801),
+ g as (select type_id, k, list({'l': l, 'd': -common/(areas-common)}) as near from o where common>0 group by 1,2), c as (select *, row_number() over (partition by type_id order by k) as m from g),
+ f as (select type_id, 0::bigint as m, 0::bigint as k, []::bigint[] as taken, []::struct(k bigint, root bigint)[] as roots, 0::bigint as root from (select distinct type_id from r) q
+  union all select type_id, nm, nk, case when x is null then taken else list_append(taken, x.l) end, list_append(roots, {'k': nk, 'root': coalesce(x.root, nk)}), coalesce(x.root, nk) from
+   (select f.*, c.m as nm, c.k as nk, list_sort(list_transform(list_filter(c.near, lambda n: not list_contains(f.taken, n.l)), lambda n: {'d': n.d, 'root': coalesce(list_filter(f.roots, lambda p: p.k=n.l)[1].root, n.l), 'l': n.l}))[1] as x from f join c on c.type_id=f.type_id and c.m=f.m+1) q),
+ tracked as (select r.*, s.entity_id as new_id from r left join f on f.type_id=r.type_id and f.k=r.k join r s on s.type_id=r.type_id and s.k=coalesce(f.root, r.k))"""
+
+
+@query(f"""with recursive {CATALOG_TRACKS}, m as (select new_id, min({{'e': epoch_s, 'i': image_id, 'x': x, 'y': y, 'w': width, 'h': height}}) as a, max({{'e': epoch_s, 'i': image_id, 'x': x, 'y': y, 'w': width, 'h': height}}) as b, count(*) as n from tracked group by 1)
+ select new_id as entity_id, n, case when b.e>a.e then abs((b.x+b.w//2)-(a.x+a.w//2))/cast(b.e-a.e as double) else 0.0 end as raw_speed, case when n>1 then case when b.x+b.w/2.0>a.x+a.w/2.0 then 1 else -1 end end as direction_lr from m""")
 def i_track_catalog(spark, sf_dir):
     """I3."""
     image, instance, _ = _catalog(spark, sf_dir)
     return tracking.track_motion(tracking.track_catalog(instance, image, 1801.0))
 
 
-@query()
+def _reidentified(name: str, where: str = "true") -> str:
+    """{name}: camera, profile_id, t and ent of the profiles, one by one in order of time."""
+    dot = lambda a, b: f"list_dot_product(cast({a}.embedding as double[]), cast({b}.embedding as double[]))"
+    return f"""{name}p as (select camera, vec_id as profile_id, t, embedding, row_number() over (partition by camera order by t, vec_id) as i from profile where {where}),
+ {name}s as (select a.camera, a.i, list({{'j': b.i, 's': {dot('a', 'b')}/(sqrt({dot('a', 'a')})*sqrt({dot('b', 'b')}))}}) as near from {name}p a left join {name}p b on a.camera=b.camera and b.i<a.i and b.t>=a.t-500 group by 1,2),
+ {name}f as (select camera, 0::bigint as i, []::bigint[] as ents, 0::bigint as n, 0::bigint as ent from (select distinct camera from {name}p) q
+  union all select camera, k, list_append(ents, new), greatest(n, new), new from
+   (select *, case when a is not null and -a.d>=0.3 and (b is null or -b.d<=-1 or greatest(1+a.d,1e-6)/greatest(1+b.d,1e-6)<=0.99) then a.e else n+1 end as new from
+    (select *, r[1] as a, list_filter(r, lambda x: x.e<>r[1].e)[1] as b from
+     (select f.*, s.i as k, list_sort(list_transform(list_filter(s.near, lambda x: x.j is not null), lambda x: {{'d': -x.s, 'e': f.ents[x.j]}})) as r from {name}f f join {name}s s on s.camera=f.camera and s.i=f.i+1) q) q) q),
+ {name} as (select p.camera, p.profile_id, p.t, f.ent from {name}f f join {name}p p on p.camera=f.camera and p.i=f.i)"""
+
+
+@query(f"with recursive {_reidentified('found')} select camera, profile_id, t, ent as entity_id from found")
 def i_reidentify(spark, sf_dir):
     """I4."""
-    return tracking.reidentify(_features(spark, sf_dir), 0.3, 0.99, 500.0)
+    return tracking.reidentify(_features(spark, sf_dir), 0.3, 0.99, 500.0).drop("feature")
 
 
 def _features(spark, sf_dir) -> DataFrame:
     return view(spark, sf_dir, "profile").select("camera", F.col("vec_id").alias("profile_id"), "t", F.col("embedding").alias("feature"))
 
 
-@query()
+@query(f"with recursive {_reidentified('found')} select camera, profile_id, t, ent as entity_id, count(*) over w as sightings, min(t) over w as first_t, max(t) over w as last_t from found window w as (partition by camera, ent)")
 def i_profile(spark, sf_dir):
     """I11."""
     return reports.run_profile(_features(spark, sf_dir), threshold=0.3, ratio=0.99, max_gap=500.0)
 
 
-@query()
+@query(f"""with recursive {_reidentified('came', '(vec_id//4)%2=0')}, {_reidentified('went', '(vec_id//4)%2=1')},
+ o as (select camera as site, ent as entity_id, min(t) as t, 1 as step from came group by 1,2 union all select camera, ent, max(t), -1 from went group by 1,2),
+ run as (select *, sum(case when step>0 then 1 else 0 end) over w as entered_total, sum(case when step<0 then 1 else 0 end) over w as exited_total from o window w as (partition by site order by t, step desc, entity_id rows unbounded preceding))
+ select site, t, entity_id, step, entered_total, exited_total, entered_total-exited_total + greatest(0,-min(entered_total-exited_total) over (partition by site)) as occupancy from run""")
 def i_occupancy(spark, sf_dir):
     """I8: profiles are seen at the entry and the exit in turn."""
     p = _features(spark, sf_dir).withColumn("side", (F.col("profile_id") / 4).cast("long") % 2)
