@@ -92,6 +92,10 @@ def _iou(a, b) -> float:
     return both / union if union > 0 else 0.0
 
 
+STORE = "spark.sql.streaming.stateStore.providerClass"
+DEFAULT_STORE, ROCKSDB = (f"org.apache.spark.sql.execution.streaming.state.{x}StateStoreProvider" for x in ("HDFSBacked", "RocksDB"))
+
+
 class InOrder(StatefulProcessor):
     """Rows of a key in the order of event time, however they come: each waits until the watermark has passed its time,
     when nothing earlier can follow, and is then handed to `take` with the others that are due.
@@ -161,6 +165,9 @@ class InOrder(StatefulProcessor):
 
 
 def _in_order(rows: DataFrame, key: str, processor: InOrder, late: str, out: str) -> DataFrame:
+    """Sets the session's state store to RocksDB where none is named: the default one has no maps and timers."""
+    if rows.sparkSession.conf.get(STORE, None) in (None, DEFAULT_STORE):
+        rows.sparkSession.conf.set(STORE, ROCKSDB)
     processor.out = [c.strip().split()[0] for c in out.split(",")]
     held = rows.withWatermark(processor.columns[0], late)
     return held.groupBy(key).transformWithStateInPandas(statefulProcessor=processor, outputStructType=out, outputMode="Append", timeMode="EventTime")
@@ -276,19 +283,16 @@ def stream_tracks(detections: DataFrame, late: str, iou: float = 0.15, alive: in
     return _in_order(detections, "video", _Tracks(iou, alive, fps), late, "video string, track_id long, first_frame long, last_frame long, boxes long")
 
 
-ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-
-
 @contextmanager
 def state_store(spark: SparkSession) -> Iterator[None]:
-    """Streams started within keep their state in RocksDB, as those with maps and timers need."""
-    name = "spark.sql.streaming.stateStore.providerClass"
-    before = spark.conf.get(name, None)
-    spark.conf.set(name, ROCKSDB)
+    """Streams built and started within keep their state in RocksDB, as those with maps and timers need; the session's
+    setting is as before afterwards."""
+    before = spark.conf.get(STORE, None)
+    spark.conf.set(STORE, ROCKSDB)
     try:
         yield
     finally:
-        spark.conf.set(name, before) if before else spark.conf.unset(name)
+        spark.conf.set(STORE, before) if before else spark.conf.unset(STORE)
 
 
 class LateRows(StreamingQueryListener):
