@@ -40,7 +40,8 @@ def dropped(table: DataFrame) -> None:
 
 def exact_quantiles(df: DataFrame, keys: list[str], column: str, shares: dict[str, float]) -> DataFrame:
     """keys and, for each share, the exact quantile of a column in each group, linear between the two nearest values;
-    nulls don't count, and groups without values are missing.
+    nulls don't count, and groups without values are missing. Without keys there is always one row, of nulls where there
+    are no values.
 
     The values are range-sorted by group and value, and the rows at the wanted ranks are picked by their numbers: no task
     holds all values of a group, as the engine's own percentile does.

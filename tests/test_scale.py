@@ -68,7 +68,8 @@ def test_exact_quantiles(spark):
         assert [r[c] for c in shares] == pytest.approx(np.quantile(by[g], list(shares.values())).tolist())
     every = exact_quantiles(df, [], "v", shares).collect()
     assert len(every) == 1 and every[0].mid == pytest.approx(np.median([v for _, v in rows if v is not None]))
-    assert exact_quantiles(df.limit(0), [], "v", shares).collect() == []
+    assert [tuple(r) for r in exact_quantiles(df.limit(0), [], "v", shares).collect()] == [(None,) * 5]
+    assert exact_quantiles(df.limit(0), ["g"], "v", shares).collect() == []
 
 
 def test_summaries_of_all_groups_at_once(spark):
