@@ -42,14 +42,22 @@ def _go_through(edges: pd.DataFrame) -> pd.DataFrame:
     """One tangle: (l, r) taken in the order of o1, o2, r and then where l's chain begins, head being its first for now."""
     begins: dict[int, int] = {}
     used_l, used_r, out = set(), set(), []
-    edges = edges.sort_values(["o1", "o2", "r"], kind="stable")
-    for _, own in edges.groupby(["o1", "o2", "r"], sort=False):
-        for begin, left, right, head in sorted((begins.get(h, h), a, b, h) for a, b, h in zip(own["l"].tolist(), own["r"].tolist(), own["head"].tolist())):
-            if left not in used_l and right not in used_r:
+    rows = sorted(zip(edges["o1"].tolist(), edges["o2"].tolist(), edges["r"].tolist(), edges["head"].tolist(), edges["l"].tolist()))
+    at = 0
+    while at < len(rows):
+        end = at + 1
+        while end < len(rows) and rows[end][:3] == rows[at][:3]:
+            end += 1
+        right = rows[at][2]
+        if right not in used_r:
+            free = [(begins.get(head, head), left, head) for *_, head, left in rows[at:end] if left not in used_l]
+            if free:
+                begin, left, head = min(free)
                 used_l.add(left)
                 used_r.add(right)
                 begins[right] = begin
                 out.append((left, right, head))
+        at = end
     return pd.DataFrame(out, columns=["l", "r", "head"])
 
 
@@ -61,7 +69,7 @@ def greedy_pairs(edges: DataFrame, rounds: int = 6) -> DataFrame:
         return taken
     ends = left.select((F.col("l") * 2).alias("a"), (F.col("r") * 2 + 1).alias("b"))
     tangle = connected_components(ends.select(F.col("a").alias("id")), ends).withColumnRenamed("component", "tangle")
-    own = left.join(tangle, F.col("l") * 2 == F.col("id")).select("l", "r", "o1", "o2", F.col("l").alias("head"), "tangle")
+    own = left.join(tangle, F.col("l") * 2 == F.col("id")).select("l", "r", "o1", "o2", (F.col("l") - 2**62).alias("head"), "tangle")  # no number of a right end
     return taken.unionByName(own.groupBy("tangle").applyInPandas(_go_through, "l long, r long, head long").select("l", "r"))
 
 
