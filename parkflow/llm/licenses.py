@@ -3,8 +3,8 @@
 Column functions only. A document's words (runs of letters and digits, lower case) give shingles of five words. Windows
 of shingles overlap by half and are twice to four times as long as the templates they are meant for, so one of them
 holds any whole occurrence. A window's band is the minimum of its shingles under one hash function; with 64 bands of
-one row, a window that holds 0.8 of a template (Jaccard similarity 0.2 at least) collides with it with a probability
-above 1 - 0.8**64 = 0.9999993. Only windows with at least one shingle of any template are hashed: others can't collide.
+one row, a window that holds 0.8 of a template's n shingles among at most 4n of its own (Jaccard similarity 0.8 / 4.2 =
+0.190 at least) collides with it with a probability above 1 - 0.81**64 = 0.9999986. Only windows with at least one shingle of any template are hashed: others can't collide.
 """
 
 from __future__ import annotations

@@ -77,19 +77,21 @@ def test_mod_97_and_luhn(spark):
     assert [tuple(r) for r in df.select(pii.mod_97(F.col("a")), pii.luhn(F.col("b"))).collect()] == [(True, True), (False, False)]
 
 
-def plain_licenses(text):
+def plain_licenses(text, templates):
+    """license: (first word, shingles found) of the window that holds most of it, the earliest of several."""
     words = [w for w in re.split(r"[\W_]+", (text or "").lower()) if w]
     own = [tuple(words[i : i + 5]) for i in range(len(words) - 4)] or ([tuple(words)] if words else [])
-    found = set()
-    for name, notice in licenses.TEMPLATES.items():
+    found = {}
+    for name, notice in templates.items():
         w = [x for x in re.split(r"[\W_]+", notice.lower()) if x]
         known = {tuple(w[i : i + 5]) for i in range(len(w) - 4)}
-        width = 1
-        while width < len(known):
+        width = 2
+        while width < 2 * len(known):
             width *= 2
-        for at in range(max(1, len(own))):
-            if len(known & set(own[at : at + width])) >= 0.8 * len(known):
-                found.add(name)
+        for at in range(0, len(own), width // 2):
+            n = len(known & set(own[at : at + width]))
+            if n >= 0.8 * len(known) and n > found.get(name, (0, 0))[1]:
+                found[name] = at, n
     return found
 
 
@@ -98,17 +100,18 @@ def test_licenses(spark, docs_of, odd):
     full = [f"{filler} {notice} {filler}" for notice in licenses.TEMPLATES.values()]
     broken = [licenses.TEMPLATES["Apache-2.0 notice"].replace("agreed", "ordered"), licenses.TEMPLATES["MIT grant"][: len(licenses.TEMPLATES["MIT grant"]) // 2], "under the MIT", filler]
     data = [r.text for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("text").collect()]
-    rows = [*odd, *full, *broken, *full[:2], *data]
-    got = licenses.scan_licenses(docs_of(rows)).collect()
-    by_doc = {}
-    for r in got:
-        by_doc.setdefault(r.doc_id, set()).add(r.license)
-        assert r.containment >= 0.8 and r.n_found <= r.n_template
-    for i, t in enumerate(rows):
-        assert by_doc.get(i, set()) >= plain_licenses(t), t
-        assert by_doc.get(i, set()) - plain_licenses(t) <= (set() if i >= len(rows) - len(data) else set(licenses.TEMPLATES))
-    assert all(name in by_doc[len(odd) + i] for i, name in enumerate(licenses.TEMPLATES))
-    assert len({(r.doc_id, r.license) for r in got}) == len(got)
+    rows = [*odd, *full, *broken, *full[:2], f"{full[0]} {full[0]} {full[5]}", *data]
+    long = {"long": " ".join(f"term{i} of w{i % 7}" for i in range(400)), **licenses.TEMPLATES}
+    for templates in (None, long):
+        got = licenses.scan_licenses(docs_of([*rows, f"{filler} {long['long'].replace('term9 ', 'other ')} {filler}"]), templates).collect()
+        by_doc = {}
+        for r in got:
+            assert r.containment == r.n_found / r.n_template >= 0.8
+            assert r.license not in by_doc.setdefault(r.doc_id, {})
+            by_doc[r.doc_id][r.license] = r.first_word, r.n_found
+        for i, t in enumerate(rows):
+            assert by_doc.get(i, {}) == plain_licenses(t, templates or licenses.TEMPLATES), t
+        assert ("long" in by_doc.get(len(rows), {})) == (templates is long)
     assert licenses.scan_licenses(docs_of(["x"]).limit(0)).collect() == []
 
 
