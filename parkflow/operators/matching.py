@@ -24,7 +24,7 @@ def _rounds(edges: DataFrame, ties: bool, rounds: int) -> tuple[DataFrame, DataF
     by_l, by_r = Window.partitionBy("l"), Window.partitionBy("r")
     order = F.struct("o1", "o2", "r", *([] if ties else ["l"]))
     later = lambda bids, w: F.coalesce(order > F.min(F.when(F.col(bids), order)).over(w), F.lit(False))
-    left, taken = edges.select("l", "r", F.col("o1").cast("double"), F.col("o2").cast("double")), []
+    left, taken, open_ = edges.select("l", "r", F.col("o1").cast("double"), F.col("o2").cast("double")), [], None
     for _ in range(rounds):
         bids = left.withColumn("from_l", order == F.min(order).over(by_l)).withColumn("from_r", order == F.min(order).over(by_r))
         bids = bids.withColumn("from_r", F.col("from_r") & (F.count_if("from_r").over(by_r) == 1))  # else it isn't known whose bid it is
@@ -32,7 +32,8 @@ def _rounds(edges: DataFrame, ties: bool, rounds: int) -> tuple[DataFrame, DataF
         found = written(bids.select("l", "r", "o1", "o2", (F.col("from_l") & F.col("from_r")).alias("take"), "gone").filter("take or not gone"))
         taken.append(found.filter("take").select("l", "r"))
         left = found.filter("not take").drop("take", "gone")
-        if left.isEmpty():
+        before, open_ = open_, left.count()
+        if open_ in (0, before):  # nothing is left, or only what no round can tell apart
             break
     return reduce(DataFrame.unionByName, taken), left
 
