@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from parkflow.functions import clock, geometry, labels, vectors
 from parkflow.functions.geometry import Box
-from parkflow.operators import catalog, filters, graph, histograms, occupancy, plates, scoring, speed, tracking
+from parkflow.operators import catalog, filters, graph, histograms, occupancy, plates, scoring, similarity, speed, tracking
 from parkflow.plans import reports
 from parkflow.plans.fixtures import view, with_views
 from parkflow.sources import readers
@@ -837,7 +837,8 @@ def g_best_match(spark, sf_dir):
     p = view(spark, sf_dir, "profile")
     side = lambda s: p.select(F.col("camera").alias(f"{s}_camera"), F.col("vec_id").alias(f"{s}_id"), F.col("label").alias(f"{s}_entity"), F.col("embedding").alias(f"{s}_v"))
     other = F.when(F.col("d_id") == F.col("g_id"), -1.0).otherwise(vectors.cosine(F.col("d_v"), F.col("g_v")))
-    return _rounded(tracking.best_match(tracking.similarity_candidates(side("d"), side("g"), other), 0.2, 0.95), similarity=6)
+    near = similarity.near_candidates(side("d"), side("g"), other, similarity.decisive(0.2, 0.95))
+    return _rounded(tracking.best_match(near, 0.2, 0.95), similarity=6)
 
 
 @query("""with s as (select a.vec_id as d_id, b.label as g_entity, max(case when a.vec_id=b.vec_id then -1 else list_dot_product(cast(a.embedding as double[]), cast(b.embedding as double[])) end) as similarity from profile a join profile b on a.camera=b.camera and abs(a.t-b.t)<=400 group by 1,2),
