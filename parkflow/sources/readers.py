@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from parkflow.functions.clock import parse_clock_text
 from parkflow.functions.geometry import box_from_corners
+from parkflow.sources.long_json import listed_objects
 from parkflow.tables import numbered
 
 VIDEO_DETECTION = "frame_index int, box array<double>, class_id int, label string, confidence double"
@@ -36,17 +37,28 @@ def _cornered(df: DataFrame, d: str = "d") -> list:
     return [c.alias(n) for c, n in zip(box, "xywh")]
 
 
-def read_video_detections(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """video, frame_index, x, y, w, h, class_id, label, confidence from {"detections": {video: [...]}}."""
-    df = _json(spark, path, f"detections map<string, array<struct<{_fields(VIDEO_DETECTION)}>>>")
-    rows = df.select(F.explode("detections").alias("video", "list")).select("video", F.explode("list").alias("d"))
+def _listed(spark: SparkSession, paths: str | list[str], fields: str, key: str, in_parts: bool) -> DataFrame:
+    """The key and each d (a struct of fields) of {"detections": {key: [d, ...], ...}}."""
+    if in_parts:
+        found = listed_objects(spark, paths, "detections")
+        return found.select(F.col("key").alias(key), F.from_json("value", fields, {"mode": "FAILFAST"}).alias("d"))
+    df = _json(spark, paths, f"detections map<string, array<struct<{_fields(fields)}>>>")
+    return df.select(F.explode("detections").alias(key, "list")).select(key, F.explode("list").alias("d"))
+
+
+def read_video_detections(spark: SparkSession, path: str | list[str], in_parts: bool = False) -> DataFrame:
+    """video, frame_index, x, y, w, h, class_id, label, confidence from {"detections": {video: [...]}}.
+
+    in_parts: a file is read by many tasks, as a long report needs (see listed_objects); else each file is one task's.
+    """
+    rows = _listed(spark, path, VIDEO_DETECTION, "video", in_parts)
     return rows.select("video", "d.frame_index", *_cornered(rows), "d.class_id", "d.label", "d.confidence")
 
 
-def read_image_detections(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """image, x, y, w, h, class_id, confidence; the label of a still's detection is the number of its class."""
-    df = _json(spark, path, "detections map<string, array<struct<box: array<double>, label: string, confidence: double>>>")
-    rows = df.select(F.explode("detections").alias("image", "list")).select("image", F.explode("list").alias("d"))
+def read_image_detections(spark: SparkSession, path: str | list[str], in_parts: bool = False) -> DataFrame:
+    """image, x, y, w, h, class_id, confidence; the label of a still's detection is the number of its class. in_parts: as
+    for videos."""
+    rows = _listed(spark, path, "box array<double>, label string, confidence double", "image", in_parts)
     return rows.select("image", *_cornered(rows), F.col("d.label").try_cast("int").alias("class_id"), "d.confidence")
 
 
