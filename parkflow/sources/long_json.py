@@ -17,17 +17,17 @@ SPLIT = ["file", "start"]
 
 def _masked(text: Column) -> Column:
     """Escapes become two plain characters, so that quotes only begin and end texts."""
-    return F.regexp_replace(text, r"(?s)\\.", "__")
+    return F.when(text.contains("\\"), F.regexp_replace(text, r"(?s)\\.", "__")).otherwise(text)
 
 
-def _count(text: Column, other: str) -> Column:
-    return F.length(F.regexp_replace(text, other, ""))
+def _count(text: Column, what: str) -> Column:
+    return F.length(text) - F.length(F.replace(text, F.lit(what), F.lit("")))
 
 
 def _opened(masked: Column, inside: int) -> Column:
     """The braces that open objects; inside: a text is open where the piece begins."""
     bare = F.regexp_replace(F.concat(F.lit('"' if inside else ""), masked), '"[^"]*+(?:"|$)', "")
-    return _count(bare, r"[^{]")
+    return _count(bare, "{")
 
 
 def _windows():
@@ -49,7 +49,7 @@ def _placed(pieces: DataFrame) -> DataFrame:
     isn't part of a text) and after (the depth behind it)."""
     split, file = _windows()
     masked = _masked(F.col("text"))
-    own = pieces.withColumn("quotes", _count(masked, '[^"]')).withColumn("odd", _ahead("quotes", split) % 2)
+    own = pieces.withColumn("quotes", _count(masked, '"')).withColumn("odd", _ahead("quotes", split) % 2)
     for begun in (0, 1):  # as if the split began outside and inside a text
         inside = (F.col("odd") + begun) % 2
         own = own.withColumn(f"closes{begun}", (inside + F.col("quotes")) % 2 == 0)
@@ -112,15 +112,17 @@ def listed_objects(spark: SparkSession, paths: str | list[str], under: str) -> D
     some = some.select("file", last["start"].alias("start"), last["at"].alias("at"), F.col("own")[0]["depth"].alias("depth"), last["after"].alias("after"), F.concat_ws("", F.col("own.text")).alias("text"))
     records = parts.filter("alone").select(*columns).unionByName(some).filter("after = 2")
 
-    # The object follows on the (3 - depth)-th brace; what stands before the last two braces has the keys.
-    records = records.withColumn("tokens", F.regexp_extract_all(_masked(F.col("text")), F.lit(r'"[^"]*+"|[^"{]++|\{'), F.lit(0)))
-    tokens = F.col("tokens")
+    # The object follows on the (3 - depth)-th brace; what stands before the last two braces has the keys. Most objects
+    # follow on another: no text stands before them.
+    keys = (F.col("depth") < 2) | ~F.col("text").rlike(r'^[^"{]*+\{')
+    records = records.withColumn("tokens", F.when(keys, F.regexp_extract_all(_masked(F.col("text")), F.lit(r'"[^"]*+"|[^"{]++|\{'), F.lit(0))))
+    tokens, keys = F.col("tokens"), F.col("tokens").isNotNull()
     braces = F.filter(F.sequence(F.lit(1), F.size(tokens)), lambda i: F.get(tokens, i - 1) == "{")
     at = lambda level: F.length(_together(tokens, 1, F.get(braces, (F.lit(level - 1) - F.col("depth")).cast("int")) - 1))
-    records = records.withColumn("outer_at", F.when(F.col("depth") < 2, at(2))).withColumn("inner_at", at(3))
+    records = records.withColumn("outer_at", F.when(keys & (F.col("depth") < 2), at(2))).withColumn("inner_at", F.when(keys, at(3)).otherwise(F.instr("text", "{") - 1))
     head = F.substring("text", F.coalesce(F.col("outer_at"), F.lit(0)) + 1, F.col("inner_at") - F.coalesce(F.col("outer_at"), F.lit(0)))
     outer = F.when(F.col("outer_at").isNotNull(), _last_key(F.substring("text", F.lit(1), F.col("outer_at"))))
-    records = records.select(*SPLIT, "at", outer.alias("outer"), _last_key(head).alias("inner"), F.substring("text", F.col("inner_at") + 1, F.length("text")).alias("value"))
+    records = records.select(*SPLIT, "at", outer.alias("outer"), F.when(keys, _last_key(head)).alias("inner"), F.substring("text", F.col("inner_at") + 1, F.length("text")).alias("value"))
     keyed = _carried(records.withColumnsRenamed({"outer": "o", "inner": "i"}), {"outer": F.col("o"), "inner": F.col("i")})
     plain = lambda c: F.from_json(F.concat(F.lit('{"k":'), F.coalesce(c, f"{c}_before"), F.lit("}")), "k string")["k"]
     return keyed.select(plain("outer").alias("outer"), plain("inner").alias("key"), "value").filter(F.col("outer") == under).select("key", "value")
