@@ -5,6 +5,7 @@ Only the fold itself is Python; everything before and after is DataFrame code.
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Callable
 from functools import reduce
 
@@ -14,8 +15,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from parkflow.functions.geometry import Box, box_iou, motion_direction, pixel_speed
+from parkflow.operators.folds import Fold, fold_in_parts
 from parkflow.operators.graph import connected_components
-from parkflow.operators.matching import greedy_chains, greedy_pairs
+from parkflow.operators.matching import greedy_chains
 from parkflow.tables import numbered, written
 
 
@@ -238,19 +240,80 @@ def reidentify(profiles: DataFrame, threshold: float = 0.75, ratio: float = 0.8,
     return owned.join(_ranked(owned.filter("id = chain"), "camera").withColumnRenamed("number", "entity_id"), "chain").select(*cols, "entity_id")
 
 
-def nearest_time_match(cars: DataFrame, tracks: DataFrame, most: float) -> DataFrame:
+def _claims(most: float) -> Fold:
+    """Cars of one part in order, and all tracks near them. Tracks of one time are claimed by ascending ids, so what is
+    handed on is how many of each time are gone."""
+
+    def fold(rows: pd.DataFrame, came: list[np.ndarray]) -> tuple[pd.DataFrame, list[np.ndarray]]:
+        cars = rows[rows["car_id"].notna()].sort_values(["t", "car_id"], kind="stable")
+        tracks = rows[rows["track_id"].notna()].sort_values(["t", "track_id"], kind="stable")
+        times, start, size = np.unique(tracks["t"].to_numpy(float), return_index=True, return_counts=True)
+        used = np.zeros(len(times), dtype="int64")
+        if came:
+            at = np.searchsorted(times, came[0])
+            known = np.append(times, np.nan)[at] == came[0]
+            used[at[known]] = came[1][known]
+        ids, times, start, gone, size = (v.tolist() for v in (tracks["track_id"], times, start, used, size))
+        n = len(times)
+        before, after = list(range(n + 1)), list(range(n + 1))  # of which 0 and n stand for no time
+
+        def seek(way: list[int], i: int) -> int:
+            end = i
+            while way[end] != end:
+                end = way[end]
+            while way[i] != end:
+                way[i], i = end, way[i]
+            return end
+
+        def used_up(i: int) -> None:
+            before[i + 1], after[i] = i, i + 1
+
+        for i in range(n):
+            if gone[i] >= size[i]:
+                used_up(i)
+        out = []
+        for car, t in zip(cars["car_id"].tolist(), cars["t"].tolist()):
+            at, best = bisect_left(times, t), None
+            i = seek(before, at)
+            while i and times[i - 1] >= t - most:
+                own = (abs(times[i - 1] - t), ids[start[i - 1] + gone[i - 1]], i - 1)
+                if best and own[0] > best[0]:
+                    break
+                best = min(best, own) if best else own
+                i = seek(before, i - 1)
+            i = seek(after, at)
+            while i < n and times[i] <= t + most:
+                own = (abs(times[i] - t), ids[start[i] + gone[i]], i)
+                if best and own[0] > best[0]:
+                    break
+                best = min(best, own) if best else own
+                i = seek(after, i + 1)
+            if best:
+                at = best[2]
+                out.append((car, best[1]))
+                gone[at] += 1
+                if gone[at] == size[at]:
+                    used_up(at)
+        end = cars["t"].iloc[-1] - most if len(cars) else np.inf
+        stays = [i for i in range(bisect_left(times, end), n) if gone[i]]
+        found = pd.DataFrame(out, columns=["car_id", "track_id"], dtype=object).assign(recording=rows["recording"].iloc[0])
+        return found, [np.array([times[i] for i in stays], dtype=float), np.array([gone[i] for i in stays], dtype="int64")]
+
+    return fold
+
+
+def nearest_time_match(cars: DataFrame, tracks: DataFrame, most: float, each: int = 65_536) -> DataFrame:
     """recording, car_id, track_id: cars in order of crossing (t, then car_id) each claim the nearest track nobody
-    claimed, within `most`; the smaller id if tied. A greedy matching in the order of the cars: whoever comes first among
-    all that compete for its nearest track has it, so most claims are settled in a few rounds over all recordings."""
-    cars = written(numbered(cars.select("recording", "car_id", F.col("t").cast("double").alias("t")), ["t", "car_id", "recording"], "l"))
-    tracks = written(numbered(tracks.select("recording", "track_id", F.col("t").cast("double").alias("t")), ["track_id", "recording"], "r"))
+    claimed, within `most`; the smaller id if tied. Gone through in parts of `each` cars (see fold_in_parts) with the
+    tracks near them, never as all pairs that are near enough, which grow with the square of what passes at a time."""
+    timed = lambda df, key: df.select("recording", key, F.col("t").cast("double").alias("t")).na.drop()
+    cars, tracks = timed(cars, "car_id"), timed(tracks, "track_id")
+    cars = written(numbered(cars, ["recording", "t", "car_id"], "at").withColumn("part", F.floor(F.col("at") / each)).drop("at"))
     stretch = _stretch("t", most)
-    a = cars.withColumn("stretch", F.explode(F.array(stretch - 1, stretch, stretch + 1))).alias("a")
-    b = tracks.withColumn("stretch", stretch).alias("b")
-    near = (F.col("b.t") >= F.col("a.t") - most) & (F.col("b.t") <= F.col("a.t") + most)
-    edges = a.join(b, (F.col("a.recording") == F.col("b.recording")) & (F.col("a.stretch") == F.col("b.stretch")) & near)
-    pairs = greedy_pairs(edges.select("l", "r", F.col("l").alias("o1"), F.abs(F.col("b.t") - F.col("a.t")).alias("o2")))
-    return pairs.join(cars.select("l", "recording", "car_id"), "l").join(tracks.select("r", "track_id"), "r").select("recording", "car_id", "track_id")
+    spans = cars.select("recording", "part", F.explode(F.array(stretch - 1, stretch, stretch + 1)).alias("stretch")).distinct()
+    near = tracks.withColumn("stretch", stretch).join(spans, ["recording", "stretch"]).select("recording", "part", "t", "track_id")
+    kinds = ", ".join(f"{c} {df.schema[c].dataType.simpleString()}" for df, c in ((cars, "recording"), (cars, "car_id"), (tracks, "track_id")))
+    return fold_in_parts(cars.unionByName(near, allowMissingColumns=True), "recording", _claims(most), kinds)
 
 
 def match_reference_box(directions: DataFrame, reference: DataFrame) -> DataFrame:

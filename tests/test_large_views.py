@@ -1,8 +1,10 @@
 """Queries over views larger than the given tables, and rules that hold however dense a table is."""
 
+import random
+
 from pyspark.sql import functions as F
 
-from parkflow.operators import plates
+from parkflow.operators import plates, tracking
 from parkflow.plans.queries import QUERIES, _crossings
 
 
@@ -14,3 +16,19 @@ def test_every_saved_crossing_is_read_again(spark, tmp_path):
     got = QUERIES["e_reloaded_accuracy"](spark, str(tmp_path)).collect()
     want = plates.dwell_accuracy(_crossings(spark, str(tmp_path)), 1_500_000, 0.02).collect()
     assert sorted(got) == sorted(want) and sum(r.n for r in got) > 1000
+
+
+def test_claims_in_a_dense_recording(spark):
+    """Many cars and tracks at each time, some recordings; parts of a few cars, so that claims reach over their borders."""
+    rng = random.Random(3)
+    cars = [(r, i, rng.randrange(60) / 10) for r in "ab" for i in range(150)] + [("c", 0, 1.0), ("a", 999, None)]
+    tracks = [(r, i, rng.randrange(60) / 10) for r in "ab" for i in range(130)] + [("d", 0, 1.0)]
+    want, used = set(), set()
+    for r, car, t in sorted((c for c in cars if c[2] is not None), key=lambda c: (c[0], c[2], c[1])):
+        near = sorted((abs(u - t), k) for q, k, u in tracks if q == r and t - 0.5 <= u <= t + 0.5 and (q, k) not in used)
+        if near:
+            used.add((r, near[0][1]))
+            want.add((r, car, near[0][1]))
+    for each in (7, 1000):
+        got = tracking.nearest_time_match(spark.createDataFrame(cars, "recording string, car_id long, t double"), spark.createDataFrame(tracks, "recording string, track_id long, t double"), 0.5, each).collect()
+        assert {tuple(r) for r in got} == want and len(got) == len(want)
