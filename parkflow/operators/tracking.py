@@ -17,7 +17,6 @@ from pyspark.sql import functions as F
 from parkflow.functions.geometry import Box, box_iou, motion_direction, pixel_speed
 from parkflow.operators.folds import Fold, fold_in_parts
 from parkflow.operators.graph import connected_components
-from parkflow.operators.matching import greedy_chains
 from parkflow.tables import numbered, written
 
 
@@ -60,6 +59,106 @@ def iou_candidates(detections: DataFrame, alive: int, least: float = 0.15) -> Da
     return overlaps(detections, ["video"], "frame_index", alive, least)
 
 
+def met(live: np.ndarray, own: np.ndarray, least: float, most: int = 1_000_000) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """i, k and IoU of the boxes own[i] and live[k] (rows x, y, w, h) that overlap by `least` or more (0: at all). Boxes
+    meet by a range of x; no more than about `most` are compared at once."""
+    order = np.argsort(live[:, 0], kind="stable")
+    lived = live[order]
+    low = np.searchsorted(lived[:, 0], own[:, 0] - max(lived[:, 2].max(initial=0), 0), side="left")
+    many = np.maximum(np.searchsorted(lived[:, 0], own[:, 0] + own[:, 2], side="left") - low, 0)
+    ends, out, at = np.cumsum(many), [], 0
+    while at < len(own):
+        end = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + most, side="right")))
+        n = many[at:end]
+        i = np.repeat(np.arange(at, end), n)
+        k = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(low[at:end], n)
+        p, q = own[i], lived[k]
+        wide = np.minimum(p[:, 0] + p[:, 2], q[:, 0] + q[:, 2]) - np.maximum(p[:, 0], q[:, 0])
+        high = np.minimum(p[:, 1] + p[:, 3], q[:, 1] + q[:, 3]) - np.maximum(p[:, 1], q[:, 1])
+        both = np.maximum(wide, 0) * np.maximum(high, 0)
+        union = p[:, 2] * p[:, 3] + q[:, 2] * q[:, 3] - both
+        hit = (both > 0) & (union > 0)
+        i, k, iou = i[hit], k[hit], both[hit] / union[hit]
+        near = iou >= least if least > 0 else iou > 0
+        out.append((i[near], order[k[near]], iou[near]))
+        at = end
+    return tuple(np.concatenate(c) for c in zip(*out)) if out else (np.empty(0, int), np.empty(0, int), np.empty(0))
+
+
+def taken_in_order(i: np.ndarray, k: np.ndarray) -> np.ndarray:
+    """The places of the pairs (i, k), in the order in which they stand, of which neither end is taken yet."""
+    at, out = np.arange(len(i)), []
+    first_i, first_k = (np.empty(v.max(initial=-1) + 1, int) for v in (i, k))
+    while len(at):
+        first_i[i[at[::-1]]], first_k[k[at[::-1]]] = at[::-1], at[::-1]
+        sure = at[(first_i[i[at]] == at) & (first_k[k[at]] == at)]
+        out.append(sure)
+        gone_i, gone_k = np.zeros(len(first_i), bool), np.zeros(len(first_k), bool)
+        gone_i[i[sure]] = gone_k[k[sure]] = True
+        at = at[~(gone_i[i[at]] | gone_k[k[at]])]
+    return np.concatenate(out) if out else at
+
+
+def _followed(time: str, most: float, least: float, strict: bool, in_turn: bool) -> Fold:
+    """id and head of the boxes(id, time, x, y, w, h) of one part: the first of its chain in this part, or the box that the
+    chain came in with. Handed on are the boxes that end a chain, in the order in which the chains began. in_turn: boxes
+    choose one after the other, by id; else those of a time that overlap most go together first."""
+
+    def fold(rows: pd.DataFrame, came: list[np.ndarray]) -> tuple[pd.DataFrame, list[np.ndarray]]:
+        rows = rows.sort_values("id")
+        ids, times, boxes = rows["id"].to_numpy("int64"), rows[time].to_numpy(float), rows[["x", "y", "w", "h"]].to_numpy(float)
+        n = len(came[0]) if came else 0
+        live_id, live_t, live_box = came if came else (ids[:0], times[:0], boxes[:0])
+        begun, live_head = np.arange(-n, 0), live_id  # chains by the order in which they began
+        heads = ids.copy()
+        at = 0
+        while at < len(ids):
+            end = at + int(np.searchsorted(times[at:], times[at], side="right"))
+            since = times[at] - live_t
+            stays = since < most if strict else since <= most
+            live_id, live_t, live_box, begun, live_head = (v[stays] for v in (live_id, live_t, live_box, begun, live_head))
+            i, k, iou = met(live_box, boxes[at:end], least)
+            order = np.lexsort((begun[k], -iou, i) if in_turn else (begun[k], i, -iou))
+            i, k = i[order], k[order]
+            took = taken_in_order(i, k)
+            i, k = i[took], k[took]
+            heads[at + i] = live_head[k]
+            own_begun = np.arange(at, end)
+            own_begun[i] = begun[k]
+            left = np.ones(len(live_id), bool)
+            left[k] = False
+            live_id, live_t, live_box, begun, live_head = (np.concatenate([v[left], w]) for v, w in ((live_id, ids[at:end]), (live_t, times[at:end]), (live_box, boxes[at:end]), (begun, own_begun), (live_head, heads[at:end])))
+            at = end
+        order = np.argsort(begun)
+        stays = order[(times[-1] - live_t[order]) <= most]
+        return pd.DataFrame({"id": ids, "head": heads}), [live_id[stays], live_t[stays], live_box[stays]]
+
+    return fold
+
+
+def followed(rows: DataFrame, group: str, time: str, most: float, least: float, strict: bool = False, in_turn: bool = False, each: int = 250_000) -> DataFrame:
+    """id and chain (its first id) of the boxes rows(id, group, time, x, y, w, h), ids in the order of time: each box
+    continues a chain of its group whose last box it overlaps, at most `most` before (strict: less), or begins one (see
+    _followed). Equal overlaps are in the order of the boxes, then in that in which the chains began.
+
+    Gone through in parts of about `each` boxes (see fold_in_parts), never as all pairs that overlap, which grow with the
+    square of what is seen at a time. No part is shorter than `most`, so that nothing reaches over one.
+    """
+    columns = ["id", group, time, "x", "y", "w", "h"]
+    whole = reduce(Column.__and__, [F.col(c).isNotNull() for c in columns])
+    n, low, high, groups = rows.filter(whole).agg(F.count("*"), F.min(time), F.max(time), F.count_distinct(group)).first()
+    if not n:
+        return rows.select("id", F.col("id").alias("chain"))
+    long = max(1.001 * most + 1e-9, (high - low) * each * groups / n)
+    dealt = rows.filter(whole).select(*columns).withColumn("part", F.floor((F.col(time) - F.lit(low)) / F.lit(float(long))))
+    found = written(fold_in_parts(dealt, group, _followed(time, most, least, strict, in_turn), "id long, head long"))
+    came = found.join(found.filter("id <> head").select(F.col("head").alias("id")).distinct(), "id", "left_semi").filter("id <> head")
+    links = came.select(F.col("head").alias("a"), F.col("id").alias("b"))
+    more = connected_components(links.select(F.explode(F.array("a", "b")).alias("id")), links).select(F.col("id").alias("head"), F.col("component").alias("first"))
+    chains = found.join(more, "head", "left").select("id", F.coalesce("first", "head").alias("chain"))
+    return chains.unionByName(rows.filter(~whole).select("id", F.col("id").alias("chain")))
+
+
 def _ranked(chains: DataFrame, key: str) -> DataFrame:
     """chain and number: the chains(chain, key) of each key, from 1, in the order of their first ids."""
     begun = numbered(chains.select("chain", key).distinct(), [key, "chain"], "at")
@@ -72,14 +171,12 @@ def track_frames(detections: DataFrame, iou: float = 0.15, lost_s: float = 2.0,
 
     In each frame the detections and live tracks that overlap most go together first, one to one; a detection that is
     left begins a track; a track that none follows for lost_s ends. Equal overlaps are in the order of the detections
-    (by x, y, w, h, class_id), then in that in which the tracks began. That is a greedy matching of detections with
-    later ones, in the order of the later one's frame and of their overlap: it is found in rounds over all videos at
-    once, so that no video, long or busy as it may be, is one task.
+    (by x, y, w, h, class_id), then in that in which the tracks began. A video is gone through in parts (`followed`), so
+    that none, long or busy as it may be, is one task.
     """
     cols = ["video", "frame_index", "x", "y", "w", "h", "class_id"]
     rows = written(numbered(detections.select(*cols), cols, "id"))
-    pairs = iou_candidates(rows, int(fps * lost_s), iou)
-    chains = written(greedy_chains(rows.select("id"), pairs.select("l", "r", F.col("time").alias("o1"), (-F.col("iou")).alias("o2"))))
+    chains = written(followed(rows, "video", "frame_index", int(fps * lost_s), iou))
     owners = rows.join(chains.select("id", "chain"), "id")
     return owners.join(_ranked(owners.filter("id = chain"), "video").withColumnRenamed("number", "track_id"), "chain").select(*cols, "track_id")
 
@@ -87,14 +184,13 @@ def track_frames(detections: DataFrame, iou: float = 0.15, lost_s: float = 2.0,
 def track_catalog(instances: DataFrame, images: DataFrame, gap: float = 1.0) -> DataFrame:
     """image_id, entity_id and new_id: over the images in order of time, each instance (by image and entity) continues
     the track of its own type that it overlaps most and that no other took at this time, if the last sighting is less
-    than gap ago; of equal overlaps the track that began first. Found as in track_frames, wherever gaps are.
+    than gap ago; of equal overlaps the track that began first. Gone through in parts, as in track_frames.
     """
     cols = ["image_id", "entity_id", "type_id", "x", "y", "width", "height", "epoch_s"]
     rows = instances.join(images.select("image_id", "epoch_s"), "image_id").select(*cols)
     rows = written(numbered(rows, ["epoch_s", "image_id", "entity_id", *cols[2:7]], "id"))
     boxes = rows.withColumnsRenamed({"width": "w", "height": "h"})
-    pairs = overlaps(boxes, ["type_id"], "epoch_s", gap, 0.0, strict=True)
-    chains = greedy_chains(rows.select("id"), pairs.select("l", "r", F.col("r").alias("o1"), (-F.col("iou")).alias("o2")))
+    chains = followed(boxes, "type_id", "epoch_s", gap, 0.0, strict=True, in_turn=True)
     first = rows.select(F.col("id").alias("chain"), F.col("entity_id").alias("new_id"))
     return rows.join(chains, "id").join(first, "chain").select(*cols[:2], *cols[2:], "new_id")
 

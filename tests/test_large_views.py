@@ -2,10 +2,13 @@
 
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from parkflow.operators import plates, tracking
 from parkflow.plans.queries import QUERIES, _crossings
+from tests.test_matching import plain_catalog
+from tests.test_queries import plain_tracks
 
 
 def test_every_saved_crossing_is_read_again(spark, tmp_path):
@@ -32,3 +35,28 @@ def test_claims_in_a_dense_recording(spark):
     for each in (7, 1000):
         got = tracking.nearest_time_match(spark.createDataFrame(cars, "recording string, car_id long, t double"), spark.createDataFrame(tracks, "recording string, track_id long, t double"), 0.5, each).collect()
         assert {tuple(r) for r in got} == want and len(got) == len(want)
+
+
+@pytest.mark.parametrize("each", [40, 400])
+def test_tracks_over_the_borders_of_parts(spark, each):
+    """Crowds in which many boxes are alike, in parts of a few frames."""
+    rng = random.Random(each)
+    rows = set()
+    for _ in range(50):
+        x, y, dx, f0 = 10 * rng.randrange(20), 10 * rng.randrange(12), rng.randint(-6, 6), rng.randrange(90)
+        rows |= {(f, x + dx * (f - f0), y, 40, 30) for f in range(f0, f0 + rng.randint(3, 40)) if rng.random() < 0.8}
+    rows = sorted(rows)
+    df = spark.createDataFrame([(i, "v", *r) for i, r in enumerate(rows)], "id long, video string, frame_index long, x long, y long, w long, h long")
+    got = {r.id: r.chain for r in tracking.followed(df, "video", "frame_index", 4, 0.15, each=each).collect()}
+    want = plain_tracks(rows, 0.15, 4)
+    firsts = {want[r]: i for i, r in reversed(list(enumerate(rows)))}
+    assert got == {i: firsts[want[r]] for i, r in enumerate(rows)}
+
+
+def test_catalog_over_the_borders_of_parts(spark):
+    rng = random.Random(2)
+    times = {i: 20 * i for i in range(25)}
+    rows = [(i, 1000 * i + k, rng.randrange(2), rng.randrange(0, 300, 10), rng.randrange(0, 200, 10), 60, 40) for i in times for k in range(12)]
+    df = spark.createDataFrame([(n, r[2], times[r[0]], *r[3:]) for n, r in enumerate(rows)], "id long, type_id int, epoch_s long, x long, y long, w long, h long")
+    got = {rows[r.id][:2]: rows[r.chain][1] for r in tracking.followed(df, "type_id", "epoch_s", 25.0, 0.0, strict=True, in_turn=True, each=30).collect()}
+    assert got == plain_catalog(rows, times, 25.0)
