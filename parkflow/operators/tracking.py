@@ -159,6 +159,15 @@ def followed(rows: DataFrame, group: str, time: str, most: float, least: float,
     return chains.unionByName(rows.filter(~whole).select("id", F.col("id").alias("chain")))
 
 
+def iou_by_frame(detections: DataFrame, alive: int, least: float = 0.15) -> DataFrame:
+    """time, n and iou (a sum) of the iou_candidates by r's frame. Equal boxes of a frame meet others once and count as
+    often as they are, so that copies aren't expanded into pairs."""
+    alike = detections.groupBy("video", "frame_index", "x", "y", "w", "h").agg(F.count("*").alias("n"))
+    alike = written(alike.withColumn("id", F.struct("x", "y", "w", "h", "n")))
+    found = iou_candidates(alike, alive, least).withColumn("many", F.col("l.n") * F.col("r.n"))
+    return found.groupBy("time").agg(F.sum("many").alias("n"), F.sum(F.col("iou") * F.col("many")).alias("iou"))
+
+
 def _ranked(chains: DataFrame, key: str) -> DataFrame:
     """chain and number: the chains(chain, key) of each key, from 1, in the order of their first ids."""
     begun = numbered(chains.select("chain", key).distinct(), [key, "chain"], "at")

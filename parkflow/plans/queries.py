@@ -13,7 +13,6 @@ from parkflow.operators import catalog, filters, graph, histograms, occupancy, p
 from parkflow.plans import reports
 from parkflow.plans.fixtures import view, with_views
 from parkflow.sources import readers
-from parkflow.tables import numbered
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -914,9 +913,7 @@ def d_image_entities(spark, sf_dir):
  select time, count(*) as n, round(sum(common/(areas-common)),6) as iou from p where common/(areas-common)>=0.15 group by 1""")
 def d_iou_candidates(spark, sf_dir):
     """Pairs two frames apart at most, by frame."""
-    columns = ["video", "frame_index", "x", "y", "w", "h", "class_id"]
-    rows = numbered(view(spark, sf_dir, "detection").select(*columns), columns, "id")
-    return tracking.iou_candidates(rows, 2).groupBy("time").agg(F.count("*").alias("n"), F.round(F.sum("iou"), 6).alias("iou"))
+    return tracking.iou_by_frame(view(spark, sf_dir, "detection"), 2).withColumn("iou", F.round("iou", 6))
 
 
 @query("""with r as (select plate_text, t_us, t_us-lag(t_us) over (partition by plate_text order by t_us)>=86400000000 as fresh from plate_reading where plate_text is not null), s as (select plate_text, t_us, count(*) filter (fresh) over (partition by plate_text order by t_us range between unbounded preceding and current row) as segment from r)

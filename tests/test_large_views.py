@@ -60,3 +60,12 @@ def test_catalog_over_the_borders_of_parts(spark):
     df = spark.createDataFrame([(n, r[2], times[r[0]], *r[3:]) for n, r in enumerate(rows)], "id long, type_id int, epoch_s long, x long, y long, w long, h long")
     got = {rows[r.id][:2]: rows[r.chain][1] for r in tracking.followed(df, "type_id", "epoch_s", 25.0, 0.0, strict=True, in_turn=True, each=30).collect()}
     assert got == plain_catalog(rows, times, 25.0)
+
+
+def test_candidates_of_equal_boxes_are_counted_not_listed(spark):
+    rows = [("v", f, 5 * f, 10 * k, 40, 30, 2) for f in range(4) for k in range(2) for _ in range(3)]
+    df = spark.createDataFrame(rows, "video string, frame_index long, x long, y long, w long, h long, class_id int")
+    got = {r.time: (r.n, r.iou) for r in tracking.iou_by_frame(df, 2).collect()}
+    numbers = df.withColumn("id", F.monotonically_increasing_id())
+    pairs = tracking.iou_candidates(numbers, 2).groupBy("time").agg(F.count("*").alias("n"), F.sum("iou").alias("iou")).collect()
+    assert got == {r.time: (r.n, pytest.approx(r.iou)) for r in pairs} and got[3][0] == 72
