@@ -30,13 +30,24 @@ def cluster_members(entities: DataFrame, compat: bool = False) -> DataFrame:
     return same.select("entity_id", "cluster", F.when(F.col("cluster").isNull() & F.lit(not compat), 0).otherwise(F.col("mates")).alias("mates"))
 
 
-def cluster_mates(entities: DataFrame, compat: bool = False, of: DataFrame | None = None) -> DataFrame:
+def cluster_mates(entities: DataFrame, compat: bool = False, of: DataFrame | None = None, block: int = 2048) -> DataFrame:
     """Pairs of different entities of one cluster. compat: those without one are mates too. of: the entity_ids whose
-    mates are asked for; all pairs of all clusters grow with the square of a cluster, see cluster_members."""
-    asked = entities if of is None else entities.join(of, "entity_id", "left_semi")
-    a, b = asked.select("entity_id", "cluster").alias("a"), entities.select(F.col("entity_id").alias("mate_id"), F.col("cluster").alias("mate_cluster")).alias("b")
-    same = F.col("cluster").eqNullSafe(F.col("mate_cluster")) if compat else F.col("cluster") == F.col("mate_cluster")
-    return a.join(b, same & (F.col("entity_id") != F.col("mate_id"))).select("entity_id", "mate_id")
+    mates are asked for; all pairs of all clusters grow with the square of a cluster, see cluster_members.
+
+    Both sides of a cluster are cut into blocks of about `block`, and pairs of blocks are dealt among as many tasks as
+    their pairs need: the rows that come in are too few to tell how many go out, and a large cluster isn't one task."""
+    known = entities.select("entity_id", F.coalesce(F.col("cluster").cast("string"), F.lit("")).alias("k"), F.col("cluster").isNull().alias("none"))
+    known = known if compat else known.filter("not none")
+    asked = known if of is None else known.join(of, "entity_id", "left_semi")
+    sizes = known.groupBy("k", "none").agg(F.count("*").alias("n"))
+    pairs = asked.groupBy("k", "none").count().join(sizes, ["k", "none"]).agg(F.sum(F.col("count").cast("double") * F.col("n"))).first()[0] or 0.0
+    tasks = int(min(1 + pairs // block**2, 10_000))
+    blocks = sizes.select("k", "none", F.ceil(F.col("n") / block).cast("int").alias("blocks"))
+    own, every = F.pmod(F.xxhash64("entity_id"), F.col("blocks")).cast("int"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    keys = ["k", "none", "left", "right"]
+    a = asked.join(blocks, ["k", "none"]).select("entity_id", "k", "none", own.alias("left"), every.alias("right")).repartition(tasks, *keys)
+    b = known.join(blocks, ["k", "none"]).select(F.col("entity_id").alias("mate_id"), "k", "none", every.alias("left"), own.alias("right")).repartition(tasks, *keys)
+    return a.join(b.hint("merge"), keys).filter("entity_id <> mate_id").select("entity_id", "mate_id")
 
 
 def unseen_paths(listing: DataFrame, catalog: DataFrame) -> DataFrame:

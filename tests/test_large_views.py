@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from parkflow.operators import plates, tracking
+from parkflow.operators import catalog, plates, tracking
 from parkflow.plans.queries import QUERIES, _crossings
 from tests.test_matching import plain_catalog
 from tests.test_queries import plain_tracks
@@ -69,3 +69,14 @@ def test_candidates_of_equal_boxes_are_counted_not_listed(spark):
     numbers = df.withColumn("id", F.monotonically_increasing_id())
     pairs = tracking.iou_candidates(numbers, 2).groupBy("time").agg(F.count("*").alias("n"), F.sum("iou").alias("iou")).collect()
     assert got == {r.time: (r.n, pytest.approx(r.iou)) for r in pairs} and got[3][0] == 72
+
+
+def test_mates_of_a_large_cluster_are_many_tasks(spark):
+    df = spark.createDataFrame([(i, None if i % 5 == 0 else i % 2) for i in range(60)], "entity_id long, cluster long")
+    for compat in (False, True):
+        found = catalog.cluster_mates(df, compat, block=8)
+        want = {(i, k) for i in range(60) for k in range(60) if i != k and (i % 5 == 0) == (k % 5 == 0) and (i % 5 == 0 and compat or i % 5 and i % 2 == k % 2)}
+        assert sorted(tuple(r) for r in found.collect()) == sorted(want)
+        assert found.withColumn("task", F.spark_partition_id()).select("task").distinct().count() > 4
+    asked = catalog.cluster_mates(df, of=spark.createDataFrame([(1,)], "entity_id long"), block=8).collect()
+    assert {r.mate_id for r in asked} == {k for k in range(3, 60, 2) if k % 5}
