@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -51,26 +54,44 @@ def close_pairs(boxes: DataFrame, distance: int = 60, ratio: float = 2.5, compat
     return a.join(b, meet & once & boxes_close(p, q, distance, compat) & similar_size(p, q, ratio)).select(F.col("a.image_id").alias("image_id"), F.col("a.idx").alias("a"), F.col("b.idx").alias("b"))
 
 
-def _components_of_image(pairs: pd.DataFrame) -> pd.DataFrame:
-    parent: dict[int, int] = {}
-
-    def root(i: int) -> int:
-        while parent.setdefault(i, i) != i:
-            parent[i] = i = parent[parent[i]]
-        return i
-
-    for a, b in zip(pairs["a"].tolist(), pairs["b"].tolist()):
-        low, high = sorted((root(a), root(b)))
-        parent[high] = low
-    return pd.DataFrame({"idx": list(parent), "cluster": [root(i) for i in parent]})
+def _components_of_image(distance: float, ratio: float, block: int = 64) -> Callable[[pd.DataFrame], pd.DataFrame]:
+    """idx and cluster of the boxes of an image that aren't the least of their group. Each box is compared once, with the
+    boxes in reach of x that no group has yet; pairs aren't kept."""
+
+    def groups(boxes: pd.DataFrame) -> pd.DataFrame:
+        boxes = boxes.sort_values("x", kind="stable")
+        ids = boxes["idx"].to_numpy("int64")
+        x, y, w, h = (boxes[c].to_numpy(float) for c in "xywh")
+        area, right, low = w * h, x + w + distance, y + h + distance
+        free, cluster, wide = area > 0, ids.copy(), max(w.max(), 0) + distance
+        for first in np.argsort(ids, kind="stable").tolist():
+            if not free[first]:
+                continue
+            free[first], edge = False, np.array([first])
+            while len(edge):
+                own, edge = edge[:block], edge[block:]
+                begin, end = np.searchsorted(x, x[own].min() - wide, side="left"), np.searchsorted(x, right[own].max(), side="right")
+                near = begin + np.flatnonzero(free[begin:end])
+                a = own[:, None]
+                close = (x[a] <= right[near]) & (x[near] <= right[a]) & (y[a] <= low[near]) & (y[near] <= low[a])
+                close &= np.maximum(area[a], area[near]) <= ratio * np.minimum(area[a], area[near])
+                more = near[close.any(axis=0)]
+                free[more], cluster[more] = False, ids[first]
+                edge = np.sort(np.concatenate([edge, more]))
+        moved = cluster != ids
+        return pd.DataFrame({"idx": ids[moved], "cluster": cluster[moved]})
+
+    return groups
 
 
 def box_clusters(boxes: DataFrame, distance: int = 60, ratio: float = 2.5) -> DataFrame:
     """boxes with cluster: the least idx that close pairs lead to. idx must be unique over all images.
 
-    No pair leaves its image, so the pairs of each image are joined apart; what one image shows bounds a group.
+    No pair leaves its image, so the boxes of each image are grouped apart, without listing its close pairs, which grow
+    with the square of what it shows.
     """
-    found = close_pairs(boxes, distance, ratio).groupBy("image_id").applyInPandas(_components_of_image, "idx long, cluster long")
+    own = boxes.select("image_id", "idx", "x", "y", "w", "h").na.drop()
+    found = own.groupBy("image_id").applyInPandas(_components_of_image(distance, ratio), "idx long, cluster long")
     return boxes.join(found, "idx", "left").withColumn("cluster", F.coalesce("cluster", "idx"))
 
 

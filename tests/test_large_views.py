@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from parkflow.operators import catalog, plates, tracking
+from parkflow.operators import catalog, graph, plates, tracking
 from parkflow.plans.queries import QUERIES, _crossings
 from tests.test_matching import plain_catalog
 from tests.test_queries import plain_tracks
@@ -80,3 +80,16 @@ def test_mates_of_a_large_cluster_are_many_tasks(spark):
         assert found.withColumn("task", F.spark_partition_id()).select("task").distinct().count() > 4
     asked = catalog.cluster_mates(df, of=spark.createDataFrame([(1,)], "entity_id long"), block=8).collect()
     assert {r.mate_id for r in asked} == {k for k in range(3, 60, 2) if k % 5}
+
+
+def test_groups_of_boxes_without_a_table_of_pairs(spark, monkeypatch):
+    rng = random.Random(4)
+    rows = [(m, 100 * m + (i * 37) % 90, rng.randrange(900), rng.randrange(600), rng.randrange(70), rng.randrange(5, 90)) for m in range(3) for i in range(90)]
+    df = spark.createDataFrame(rows, "image_id long, idx long, x long, y long, w long, h long")
+    pairs = [tuple(r)[1:] for r in graph.close_pairs(df, 20, 1.5).collect()]
+    want = {r[1]: r[1] for r in rows}
+    while (after := want | {i: min(want[i], *[want[k] for p in pairs if i in p for k in p]) for p in pairs for i in p}) != want:
+        want = after
+    monkeypatch.setattr(graph, "close_pairs", None)
+    got = graph.box_clusters(df, 20, 1.5).collect()
+    assert {r.idx: r.cluster for r in got} == want and len(got) == len(rows) and 9 < len(set(want.values())) < 250
