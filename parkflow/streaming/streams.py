@@ -2,17 +2,20 @@
 
 from __future__ import annotations
 
-import json
 import time
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from contextlib import contextmanager
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StreamingQueryListener
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from parkflow.operators.tracking import met, taken_in_order
+
 
 def stream_new_media(paths: DataFrame, late: str | None = None) -> DataFrame:
     """Each path once. With `late`, paths(path, modified) are remembered only until the watermark of `modified` has
@@ -85,73 +88,110 @@ def stream_adaptive_skip(frames: DataFrame, n: int, skip: int) -> DataFrame:
     return frames.groupBy("video").applyInPandasWithState(_skip(n, skip), "video string, frame_index long", "left int", "append", GroupStateTimeout.NoTimeout)
 
 
-def _iou(a, b) -> float:
-    w, h = min(a[0] + a[2], b[0] + b[2]) - max(a[0], b[0]), min(a[1] + a[3], b[1] + b[3]) - max(a[1], b[1])
-    both = max(0, w) * max(0, h)
-    union = a[2] * a[3] + b[2] * b[3] - both
-    return both / union if union > 0 else 0.0
-
-
 STORE = "spark.sql.streaming.stateStore.providerClass"
 DEFAULT_STORE, ROCKSDB = (f"org.apache.spark.sql.execution.streaming.state.{x}StateStoreProvider" for x in ("HDFSBacked", "RocksDB"))
 
 
+AT = "__at"
+
+
+def _packed(rows: pd.DataFrame) -> bytes:
+    table = pa.Table.from_pandas(rows, preserve_index=False)
+    out = pa.BufferOutputStream()
+    with pa.ipc.new_stream(out, table.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as w:
+        w.write_table(table)
+    return out.getvalue().to_pybytes()
+
+
+def _unpacked(data: bytes) -> pd.DataFrame:
+    return pa.ipc.open_stream(data).read_pandas()
+
+
+def _runs(*columns: np.ndarray) -> list[tuple[int, int]]:
+    """Begin and end of the stretches of rows that are alike in all columns."""
+    new = np.ones(len(columns[0]), bool)
+    if len(new):
+        new[1:] = np.logical_or.reduce([c[1:] != c[:-1] for c in columns])
+    starts = np.flatnonzero(new).tolist()
+    return list(zip(starts, [*starts[1:], len(new)]))
+
+
 class InOrder(StatefulProcessor):
     """Rows of a key in the order of event time, however they come: each waits until the watermark has passed its time,
     when nothing earlier can follow, and is then handed to `take` with the others that are due.
 
-    What waits is a map from a stretch of time to its rows, as JSON. A key has one timer at a time: for its earliest
-    stretch, or earlier where `until` asks for one. columns: what is kept of a row; the first is the event time.
+    What waits is a map from a stretch of time and a number to rows, in columns: each batch adds pieces of its own, and
+    only those that are due are read again, a stretch at a time. A key has one timer at a time: for its earliest stretch,
+    or earlier where `until` asks for one. columns: what is kept of a row; the first is the event time.
     """
 
     columns: tuple[str, ...] = ()
     stretch_us = 1_000_000
+    most_bytes = 64_000_000
 
     def init(self, handle) -> None:
         self.handle = handle
-        self.waiting = handle.getMapState("waiting", "stretch long", "rows string")
+        self.waiting = handle.getMapState("waiting", "stretch long, piece long", "rows binary")
 
-    def take(self, key, moments: list[tuple[int, list[list]]], now: int) -> Iterator[tuple]:
-        """What comes out as the watermark reaches `now` (microseconds), with the rows of each time up to there."""
+    def take(self, key, due: Iterator[pd.DataFrame], now: int) -> Iterator[pd.DataFrame]:
+        """What comes out as the watermark reaches `now` (microseconds), with the rows up to there: one stretch after the
+        other, all of which are to be taken, with their times (microseconds) as AT and the other columns."""
         raise NotImplementedError
 
     def until(self) -> int | None:
         """The time (microseconds) at which the key is to be looked at though no row is due."""
         return None
 
+    def _pieces(self) -> dict[int, list[int]]:
+        found: dict[int, list[int]] = {}
+        for stretch, piece in self.waiting.keys():
+            found.setdefault(stretch, []).append(piece)
+        return found
+
+    def _keep(self, parts: list[pd.DataFrame], pieces: dict[int, list[int]]) -> None:
+        rows = pd.concat(parts, ignore_index=True)
+        times = rows[self.columns[0]].astype("datetime64[us]").astype("int64").to_numpy()
+        stretch = times // self.stretch_us
+        order = np.argsort(stretch, kind="stable")
+        rows, stretch = rows[list(self.columns[1:])].assign(**{AT: times}).iloc[order], stretch[order]
+        for begin, end in _runs(stretch):
+            own = pieces.setdefault(int(stretch[begin]), [])
+            own.append(max(own, default=-1) + 1)
+            self.waiting.updateValue((int(stretch[begin]), own[-1]), (_packed(rows.iloc[begin:end]),))
+
+    def _due(self, pieces: dict[int, list[int]], now: int) -> Iterator[pd.DataFrame]:
+        """The rows up to now, by stretches; what is later stays, and `pieces` with it."""
+        for stretch in sorted(k for k in pieces if k * self.stretch_us <= now):
+            rows = pd.concat([_unpacked(self.waiting.getValue((stretch, piece))[0]) for piece in pieces[stretch]], ignore_index=True)
+            later = rows[AT] > now
+            if not later.all():
+                for piece in pieces.pop(stretch):
+                    self.waiting.removeKey((stretch, piece))
+                if later.any():
+                    pieces[stretch] = [0]
+                    self.waiting.updateValue((stretch, 0), (_packed(rows[later]),))
+                yield rows[~later]
+
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        found: dict[int, list] = {}
+        pieces, parts, n = self._pieces(), [], 0
         for part in rows:
-            times = part[self.columns[0]].astype("datetime64[us]").astype("int64").tolist()
-            for at, own in zip(times, part[list(self.columns[1:])].astype(object).values.tolist()):
-                found.setdefault(at // self.stretch_us, []).append([at, *[x.item() if hasattr(x, "item") else x for x in own]])
-        for stretch, own in found.items():
-            old = json.loads(self.waiting.getValue((stretch,))[0]) if self.waiting.containsKey((stretch,)) else []
-            self.waiting.updateValue((stretch,), (json.dumps(old + own),))
-        self._wake([k[0] for k in self.waiting.keys()], timerValues.getCurrentWatermarkInMs())
+            parts.append(part[list(self.columns)])
+            n += int(parts[-1].memory_usage(deep=True).sum())
+            if n >= self.most_bytes:
+                self._keep(parts, pieces)
+                parts, n = [], 0
+        if parts:
+            self._keep(parts, pieces)
+        self._wake(pieces, timerValues.getCurrentWatermarkInMs())
         return iter(())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        now = 1000 * timerValues.getCurrentWatermarkInMs()
-        moments: dict[int, list] = {}
-        left = []
-        for (stretch,), (text,) in list(self.waiting.iterator()):
-            rows = json.loads(text) if stretch * self.stretch_us <= now else []
-            later = [r for r in rows if r[0] > now]
-            for at, *own in rows:
-                if at <= now:
-                    moments.setdefault(at, []).append(own)
-            if rows and not later:
-                self.waiting.removeKey((stretch,))
-                continue
-            if len(later) < len(rows):
-                self.waiting.updateValue((stretch,), (json.dumps(later),))
-            left.append(stretch)
-        out = list(self.take(key, sorted(moments.items()), now))
-        self._wake(left, timerValues.getCurrentWatermarkInMs())
-        yield pd.DataFrame(out, columns=self.out)
-
-    def _wake(self, stretches: list[int], now_ms: int) -> None:
+        now_ms, pieces = timerValues.getCurrentWatermarkInMs(), self._pieces()
+        for found in self.take(key, self._due(pieces, 1000 * now_ms), 1000 * now_ms):
+            yield found[self.out]
+        self._wake(pieces, now_ms)
+
+    def _wake(self, stretches: Iterable[int], now_ms: int) -> None:
         times = [k * self.stretch_us for k in stretches]
         if (other := self.until()) is not None:
             times.append(other)
@@ -180,13 +220,14 @@ class _Occupancy(InOrder):
         super().init(handle)
         self.totals = handle.getValueState("totals", "entered long, exited long, least long")
 
-    def take(self, key, moments, now):
+    def take(self, key, due, now):
         entered, exited, least = self.totals.get() if self.totals.exists() else (0, 0, 0)
-        for _, rows in moments:
-            for t, entity, step in sorted(rows, key=lambda r: (r[0], -r[2], r[1])):
-                entered, exited = entered + (step > 0), exited + (step < 0)
-                least = min(least, entered - exited)
-                yield key[0], t, entity, entered, exited, entered - exited, least
+        for rows in due:
+            rows = rows.sort_values([AT, "t", "step", "entity_id"], ascending=[True, True, False, True])
+            came, went = entered + (rows["step"] > 0).cumsum(), exited + (rows["step"] < 0).cumsum()
+            low = (came - went).cummin().clip(upper=least)
+            yield rows.assign(site=key[0], entered_total=came, exited_total=went, running=came - went, least=low)
+            entered, exited, least = int(came.iloc[-1]), int(went.iloc[-1]), int(low.iloc[-1])
         self.totals.update((entered, exited, least))
 
 
@@ -207,17 +248,18 @@ class _Skip(InOrder):
         super().init(handle)
         self.left = handle.getValueState("left", "left int")
 
-    def take(self, key, moments, now):
+    def take(self, key, due, now):
         left = self.left.get()[0] if self.left.exists() else 0
-        for _, rows in moments:
-            for frame, detections in sorted(rows):
-                if frame % self.n:
-                    continue
+        for rows in due:
+            rows = rows[rows["frame_index"] % self.n == 0].sort_values([AT, "frame_index", "detections"])
+            kept = []
+            for frame, detections in zip(rows["frame_index"].tolist(), rows["detections"].tolist()):
                 if left:
                     left -= 1
                 else:
-                    yield key[0], frame
+                    kept.append((key[0], frame))
                     left = self.skip if detections == 0 else 0
+            yield pd.DataFrame(kept, columns=self.out)
         self.left.update((left,))
 
 
@@ -227,11 +269,42 @@ def stream_adaptive_skip_in_order(frames: DataFrame, n: int, skip: int, late: st
     return _in_order(frames, "video", _Skip(n, skip), late, "video string, frame_index long")
 
 
+def _framed(most: int):
+    """Boxes (x, y, w, h) of a frame as one row, as far as they are in the same task and its next `most` rows: what keeps
+    state takes rows one at a time."""
+    keys = ["video", "ts", "frame_index"]
+
+    def packed(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = pa.Table.from_batches(held).combine_chunks()
+        video = rows["video"].combine_chunks().dictionary_encode(null_encoding="encode").indices
+        columns = [c.fill_null(-(2**63)).to_numpy() for c in (video.cast("int64"), rows["ts"].cast("int64"), rows["frame_index"])]
+        order = np.lexsort(columns[::-1])
+        starts = np.array([begin for begin, _ in _runs(*[c[order] for c in columns])], dtype="int64")
+        boxes = np.column_stack([rows[c].to_numpy() for c in "xywh"]).astype(float)[order]
+        ends = np.append(starts, len(boxes)) * boxes.itemsize * 4
+        found = pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(ends.astype("int32")), pa.py_buffer(boxes.tobytes())])
+        yield from rows.select(keys).take(pa.array(order[starts])).append_column("boxes", found).to_batches(max_chunksize=4096)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
+        for batch in batches:
+            held.append(batch)
+            n += batch.num_rows
+            if n >= most:
+                yield from packed(held)
+                held, n = [], 0
+        if n:
+            yield from packed(held)
+
+    return run
+
+
 class _Tracks(InOrder):
-    """Live tracks by number: first and last frame, boxes, the last box and its time. The counter of numbers stays when
-    all tracks have ended."""
+    """Live tracks in the order of their numbers: first and last frame, boxes, the time of the last box and that box. The
+    counter of numbers stays when all tracks have ended."""
 
-    columns = ("ts", "frame_index", "x", "y", "w", "h")
+    columns = ("ts", "frame_index", "boxes")
+    spans, box = ["track_id", "first_frame", "last_frame", "boxes", "at"], ["x", "y", "w", "h"]
 
     def __init__(self, iou: float, alive: int, fps: float):
         self.iou, self.alive, self.lives = iou, alive, int(1e6 * alive / fps)
@@ -239,39 +312,49 @@ class _Tracks(InOrder):
     def init(self, handle) -> None:
         super().init(handle)
         self.following = handle.getValueState("following", "id long")
-        self.live = handle.getMapState("live", "id long", "first long, last long, boxes long, x double, y double, w double, h double, at long")
-
-    def take(self, key, moments, now):
-        live = dict(sorted((k[0], list(v)) for k, v in self.live.iterator()))
-        stored, new = set(live), self.following.get()[0] if self.following.exists() else 1
-        ended = lambda number: (key[0], number, *live.pop(number)[:3])
-        for at, rows in moments:
-            for frame in sorted({r[0] for r in rows}):
-                for number in [k for k, t in live.items() if frame - t[1] > self.alive]:
-                    yield ended(number)
-                boxes = [[float(v) for v in b] for b in sorted(r[1:] for r in rows if r[0] == frame)]
-                pairs = sorted((-s, d, number) for d, b in enumerate(boxes) for number, t in live.items() if (s := _iou(b, t[3:7])) >= self.iou)
-                used_d, used_t = set(), set()
-                for _, d, number in pairs:
-                    if d not in used_d and number not in used_t:
-                        used_d.add(d)
-                        used_t.add(number)
-                        live[number][1:] = [frame, live[number][2] + 1, *boxes[d], at]
-                for d, b in enumerate(boxes):
-                    if d not in used_d:
-                        live[new] = [frame, frame, 1, *b, at]
-                        new += 1
-        for number in [k for k, t in live.items() if t[7] + self.lives < now]:
-            yield ended(number)
+        self.live = handle.getValueState("live", "rows binary, at long")
+
+    def take(self, key, due, now):
+        new = self.following.get()[0] if self.following.exists() else 1
+        stored = _unpacked(self.live.get()[0]) if self.live.exists() else pd.DataFrame(columns=self.spans + self.box)
+        live, last = stored[self.spans].to_numpy("int64"), stored[self.box].to_numpy(float)
+        ended = lambda tracks: pd.DataFrame(np.concatenate(tracks)[:, :4], columns=self.spans[:4]).assign(video=key[0])
+        for rows in due:
+            rows = rows.sort_values([AT, "frame_index"])
+            times, frames, boxes = rows[AT].to_numpy(), rows["frame_index"].to_numpy("int64"), rows["boxes"].to_numpy()
+            gone = [live[:0]]
+            for begin, end in _runs(times, frames):
+                stays = frames[begin] - live[:, 2] <= self.alive
+                gone.append(live[~stays])
+                live, last = live[stays], last[stays]
+                own = np.frombuffer(b"".join(boxes[begin:end])).reshape(-1, 4)
+                own = own[np.lexsort(own.T[::-1])]
+                i, k, iou = met(last, own, self.iou)
+                order = np.lexsort((k, i, -iou))
+                i, k = i[order], k[order]
+                took = taken_in_order(i, k)
+                i, k = i[took], k[took]
+                live[k, 2], live[k, 4], last[k] = frames[begin], times[begin], own[i]
+                live[k, 3] += 1
+                fresh = np.ones(len(own), bool)
+                fresh[i] = False
+                n = int(fresh.sum())
+                begun = np.tile(np.array([0, frames[begin], frames[begin], 1, times[begin]], dtype="int64"), (n, 1))
+                begun[:, 0] = np.arange(new, new + n)
+                live, last, new = np.concatenate([live, begun]), np.concatenate([last, own[fresh]]), new + n
+            yield ended(gone)
+        over = live[:, 4] + self.lives < now
+        yield ended([live[over]])
+        live, last = live[~over], last[~over]
         self.following.update((new,))
-        for number in stored - set(live):
-            self.live.removeKey((number,))
-        for number, t in live.items():
-            self.live.updateValue((number,), tuple(t))
+        if len(live):
+            rows = pd.DataFrame(live, columns=self.spans).join(pd.DataFrame(last, columns=self.box))
+            self.live.update((_packed(rows), int(live[:, 4].min())))
+        else:
+            self.live.clear()
 
     def until(self):
-        ends = [v[7] + self.lives + 1000 for v in self.live.values()]
-        return min(ends) if ends else None
+        return self.live.get()[1] + self.lives + 1000 if self.live.exists() else None
 
 
 def stream_tracks(detections: DataFrame, late: str, iou: float = 0.15, alive: int = 60, fps: float = 30.0) -> DataFrame:
@@ -279,7 +362,12 @@ def stream_tracks(detections: DataFrame, late: str, iou: float = 0.15, alive: in
     box followed for `alive` frames, or when its video is silent for as long (alive / fps seconds of event time).
 
     Frames are taken in the order of event time over all micro-batches, each once the watermark has passed it. Numbers
-    count from 1 in each video and go on after a silence. Needs the RocksDB state store (see `state_store`)."""
+    count from 1 in each video and go on after a silence. Boxes without a frame don't count. Boxes of a frame that come
+    together go through as one row, so where late rows are counted these are one. Needs the RocksDB state store (see
+    `state_store`)."""
+    boxes = detections.filter("frame_index is not null").select("video", "ts", F.col("frame_index").cast("long").alias("frame_index"), *[F.col(c).cast("double").alias(c) for c in "xywh"])
+    ts = detections.schema["ts"].dataType.simpleString()
+    detections = boxes.mapInArrow(_framed(1_000_000), f"video string, ts {ts}, frame_index long, boxes binary")
     return _in_order(detections, "video", _Tracks(iou, alive, fps), late, "video string, track_id long, first_frame long, last_frame long, boxes long")
 
 
