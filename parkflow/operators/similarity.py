@@ -108,3 +108,81 @@ def near_candidates(detections: DataFrame, gallery: DataFrame, similarity: Colum
     own = lambda rows, s: rows.withColumnRenamed("at", f"{s}_at").drop("camera", "v", "far", "long", "block")
     both = found.join(own(d, "d"), "d_at").join(own(g, "g"), "g_at")
     return both.withColumn("__s", similarity).groupBy("d_id", "g_entity").agg(F.max("__s").alias("similarity"))
+
+
+def _two(i: np.ndarray, e: np.ndarray, s: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of each i the two entities e of the greatest s, each with its greatest; the smaller e if tied. NaN is the greatest."""
+    high = np.where(np.isnan(s), np.inf, s)
+    order = np.lexsort((-high, e, i))
+    i, e, s, high = (v[order] for v in (i, e, s, high))
+    new = np.append(True, (i[1:] != i[:-1]) | (e[1:] != e[:-1]))[: len(i)]
+    i, e, s, high = (v[new] for v in (i, e, s, high))
+    order = np.lexsort((e, -high, i))
+    i, e, s = (v[order] for v in (i, e, s))
+    top = np.append([True, True], i[2:] != i[:-2])[: len(i)]
+    return i[top], e[top], s[top]
+
+
+def _two_best(least: float) -> Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame]:
+    """The two best entities of each row of d among the rows of g, of the pairs of blocks that d lists in rows without v.
+    What products can't rule out is summed up anew in the vector's order, so that the result is that of a column."""
+
+    def found(d: pd.DataFrame, g: pd.DataFrame) -> pd.DataFrame:
+        pairs, d, g = d[d["v"].isna()], d[d["v"].notna()].sort_values("block"), g.sort_values(["block", "e"])
+        out = [pd.DataFrame({"d_id": d["id"][:0], "e": g["e"][:0], "s": pd.Series([], dtype=float), "none": pd.Series([], dtype=bool)})]
+        if not len(d) or not len(g):
+            return out[0]
+        a, b, id_a, id_b, e = _stacked(d["v"]), _stacked(g["v"]), d["id"].to_numpy(), g["id"].to_numpy(), g["e"].to_numpy("int64")
+        size_a, size_b = np.linalg.norm(a, axis=1), np.linalg.norm(b, axis=1)
+        spans = [{k: np.searchsorted(x, [k, k + 1]) for k in np.unique(x)} for x in (d["block"].to_numpy(), g["block"].to_numpy())]
+        for block, own in pairs.groupby("block")["other"]:
+            begin, end = spans[0][block]
+            for at in range(begin, end, 256):
+                to = min(at + 256, end)
+                floor, tops = np.full(to - at, least), []
+                for low, high in (spans[1][int(k)] for k in own):
+                    near = a[at:to] @ b[low:high].T
+                    near = np.where(id_a[at:to, None] == id_b[None, low:high], -np.inf, np.where(np.isnan(near), np.inf, near))
+                    starts = np.flatnonzero(np.append(True, e[low + 1 : high] != e[low : high - 1]))
+                    if len(starts) > 1:
+                        floor = np.maximum(floor, np.partition(np.maximum.reduceat(near, starts, axis=1), -2, axis=1)[:, -2])
+                    slack = np.nan_to_num(1e-9 * (1 + size_a[at:to, None] * size_b[None, low:high]))
+                    i, j = np.nonzero((near >= floor[:, None] - slack) & (near > -np.inf))
+                    s, j = np.zeros(len(i)), j + low
+                    for c in range(a.shape[1]):
+                        s += a[at + i, c] * b[j, c]
+                    tops.append(_two(i, e[j], s))
+                i, best, s = _two(*(np.concatenate(c) for c in zip(*tops)))
+                out.append(pd.DataFrame({"d_id": id_a[at + i], "e": best, "s": s, "none": np.isnan(s)}))
+        return pd.concat(out)
+
+    return found
+
+
+def nearest_entities(detections: DataFrame, gallery: DataFrame, least: float, block: int = 1024, n_pivots: int = 16, wide: int = 64, slices: int = 32) -> DataFrame:
+    """As `near_candidates` where the similarity is the product of d_v and g_v and no row meets that of its own id: d_id,
+    g_entity and the best similarity, but of each d_id only the two best entities (the smaller, if tied) and some more
+    beside them, which is all that `best_match` looks at.
+
+    Pairs of blocks are gone through in cells: about `slices` slices of the detections by `wide` blocks of the gallery, each
+    a task that holds its rows (no more than `wide` blocks on a side) and goes through them block by block. A vector goes to
+    as many cells as there are slices of its camera, whatever the tables' size, until slices are `wide` blocks too; pairs
+    never leave their task.
+    """
+    whole = lambda v: F.coalesce(~F.exists(v, F.isnull), F.lit(False))
+    entities = written(numbered(gallery.select("g_entity").distinct(), ["g_entity"], "e"))
+    known = gallery.filter(whole("g_v")).join(entities.withColumnRenamed("g_entity", "__e"), F.col("g_entity").eqNullSafe(F.col("__e")))
+    d, g, pairs = blocks_apart(detections.filter(whole("d_v")), known, least, block, n_pivots)
+    last = pairs.agg(F.max("d")).first()[0] or 0
+    each = max(1, min(wide, -(-(last + 1) // slices)))
+    pairs = pairs.select("camera", F.floor(F.col("d") / each).alias("__d"), F.floor(F.col("g") / wide).alias("__g"), "d", "g")
+    cell = ["camera", "__d", "__g"]
+    to = lambda which: pairs.select(*cell, F.col(which).alias("block")).distinct()
+    left = d.select("camera", "block", F.col("d_id").alias("id"), "v").join(to("d"), ["camera", "block"])
+    left = left.unionByName(pairs.select(*cell, F.col("d").alias("block"), F.col("g").alias("other")), allowMissingColumns=True)
+    right = g.select("camera", "block", F.col("g_id").alias("id"), "e", "v").join(to("g"), ["camera", "block"])
+    right = right.select(*[F.col(c).alias(c) for c in right.columns])
+    kind = detections.schema["d_id"].dataType.simpleString()
+    found = left.groupBy(*cell).cogroup(right.groupBy(*cell)).applyInPandas(_two_best(least), f"d_id {kind}, e long, s double, none boolean")
+    found = found.withColumn("s", F.when(F.col("none"), F.lit(float("nan"))).otherwise(F.col("s")))  # pandas has NaN for nulls
+    return found.groupBy("d_id", "e").agg(F.max("s").alias("similarity")).join(entities, "e").select("d_id", "g_entity", "similarity")

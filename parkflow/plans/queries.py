@@ -835,8 +835,7 @@ def g_best_match(spark, sf_dir):
     """D20, G6 of every profile against all others of its camera, at any time."""
     p = view(spark, sf_dir, "profile")
     side = lambda s: p.select(F.col("camera").alias(f"{s}_camera"), F.col("vec_id").alias(f"{s}_id"), F.col("label").alias(f"{s}_entity"), F.col("embedding").alias(f"{s}_v"))
-    other = F.when(F.col("d_id") == F.col("g_id"), -1.0).otherwise(vectors.cosine(F.col("d_v"), F.col("g_v")))
-    near = similarity.near_candidates(side("d"), side("g"), other, similarity.decisive(0.2, 0.95))
+    near = similarity.nearest_entities(side("d"), side("g"), similarity.decisive(0.2, 0.95))
     return _rounded(tracking.best_match(near, 0.2, 0.95), similarity=6)
 
 
