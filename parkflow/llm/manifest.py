@@ -144,16 +144,17 @@ def prove(manifest: Manifest, requests: DataFrame) -> DataFrame:
         at = _step(at, manifest.top[h], "s")
         ways = wanted("s", h)
         at = at.join(ways, at["s"] == ways["__way"], "left_semi")
-    at = at.withColumns({"subroot": F.col("digest"), "p": F.lit(0).cast("long")}).join(manifest.roots, "s")
+    subs = saved(at.withColumns({"subroot": F.col("digest"), "p": F.lit(0).cast("long")}).join(manifest.roots, "s"))
+    at = subs.filter("false")
     for h in range(len(manifest.tree) - 1, 0, -1):
-        deeper = F.col("n") > FAN**h
+        # The sources whose own root is at this height join those on their way down, so that each step is read once.
+        at = at.unionByName(subs.filter((F.col("n") > FAN**h) & (F.col("n") <= FAN ** (h + 1))))
         ways = wanted("p", h - 1).withColumnRenamed("s", "__s")
-        down = _step(at.filter(deeper).withColumnRenamed("n", "leaves"), manifest.tree[h], "p").withColumnRenamed("leaves", "n")
-        down = down.join(ways, (down["s"] == ways["__s"]) & (down["p"] == ways["__way"]), "left_semi") if h > 1 else down
-        at = down.unionByName(at.filter(~deeper))
-    at = at.join(requests, ["s", "p"])
-    alone = at.filter("n = 1").withColumn("children", F.array("digest"))
-    found = _by_digest(at.filter("n > 1").withColumnRenamed("n", "leaves"), manifest.tree[0]).withColumnRenamed("leaves", "n").unionByName(alone)
+        at = _step(at.withColumnRenamed("n", "leaves"), manifest.tree[h], "p").withColumnRenamed("leaves", "n")
+        at = at.join(ways, (at["s"] == ways["__s"]) & (at["p"] == ways["__way"]), "left_semi") if h > 1 else at
+    at = at.unionByName(subs.filter((F.col("n") > 1) & (F.col("n") <= FAN))).join(requests, ["s", "p"])
+    alone = subs.filter("n = 1").join(requests, ["s", "p"]).withColumn("children", F.array("digest"))
+    found = _by_digest(at.withColumnRenamed("n", "leaves"), manifest.tree[0]).withColumnRenamed("leaves", "n").unionByName(alone)
     last = lambda x: F.when(F.col("n") > 1, F.array(F.struct(x["digit"].alias("digit"), beside(F.col("children"), x["digit"]).alias("others"))))
     own = F.transform("wanted", lambda x: x.withField("segments", F.reverse(F.concat("path", F.coalesce(last(x), F.expr("cast(array() as array<struct<digit: int, others: array<string>>>)"))))))
     return found.select("s", "p", "subroot", "root", own.alias("own"))

@@ -87,3 +87,14 @@ def test_some_requests(spark):
             own = h(*others[:digit], own, *others[digit:])
         assert own == r.root
     assert len({r.root for r in found}) == 1
+
+
+def test_each_step_is_planned_once(spark):
+    """The plan grows with the height of the tallest tree, not with its power."""
+    rows = spark.range(4400).select("id", F.when(F.col("id") < 4200, "a").when(F.col("id") < 4390, "b").when(F.col("id") < 4399, "c").otherwise("d").alias("source"))
+    leaves = rows.select(F.col("id").alias("doc_id"), "source", manifest.digest(F.col("id").cast("string")).alias("leaf"), F.col("id").alias("__row"))
+    made = manifest.build_manifest(leaves)
+    found = manifest.prove(made, made.runs.select("s", "p", F.col("own").alias("wanted")))
+    assert len(made.tree) == 4 and found._jdf.queryExecution().optimizedPlan().toString().count("Generate posexplode") == 3
+    checked = found.select("root", F.explode("own").alias("x")).filter(manifest.fold(F.col("x.leaf"), F.col("x.segments")) == F.col("root"))
+    assert checked.select("x.doc_id").distinct().count() == 4400
