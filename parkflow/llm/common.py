@@ -2,16 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-from pathlib import Path
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parkflow.tables import dropped, shared_folder, written as saved
+from parkflow.tables import dropped, shared_folder, task, written as saved
 
 __all__ = ["dropped", "heavy_join", "saved", "shared_folder", "table", "task"]
-ROOT = str(Path(__file__).resolve().parents[2])
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,26 +15,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def task(module: str, name: str, sides: int = 1, **args) -> Callable:
-    """``module.name`` as a function for mapInArrow or applyInPandas; with two sides, for a cogroup.
-
-    The module is imported on the worker, so what it caches lives as long as the worker does. Broadcast values
-    among the arguments are opened there.
-    """
-    root = ROOT
-
-    def run(first, *more):
-        import importlib
-        import sys
-
-        if root not in sys.path:
-            sys.path.append(root)
-        own = {k: v.value if type(v).__name__ == "Broadcast" else v for k, v in args.items()}
-        return getattr(importlib.import_module(module), name)(first, *more, **own)
-
-    return (lambda first, second: run(first, second)) if sides == 2 else (lambda first: run(first))
-
-
 def heavy_join(big: DataFrame, small: DataFrame, on: list[str], meets: str, each: int = 5000, counts: DataFrame | None = None, spread: list[str] | None = None) -> DataFrame:
     """big joined with small on keys that are unique in small and never null. Column `meets` of small (dropped) says how
     many rows of big a key meets: a row of small that meets more than `each` is repeated, and the rows of big are dealt

@@ -2,17 +2,25 @@
 
 A file is cut at its closing braces by the text source, whose splits are byte ranges. What a piece means hangs on what
 stands before it: whether a text is open, how deep it is, which keys lead there. Each split is summed up in one small row
-for both ways in which it can begin, and only these rows are gone through in the file's order.
+for both ways in which it can begin, and only these rows are gone through in the file's order. Pieces stay in the task
+that reads their split, in their order: what runs on from piece to piece is added up there, and only objects that stand
+in two splits or more are put together elsewhere.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from parkflow.tables import written
+from parkflow.tables import task, written
 
-SPLIT = ["file", "start"]
+SUMS = pa.schema([("file", pa.string()), ("start", pa.int64()), ("quotes", pa.int64()), ("step0", pa.int64()), ("step1", pa.int64())])
+RECORDS = pa.schema([("split", pa.int64()), ("at", pa.int64()), ("first", pa.bool_()), ("ended", pa.bool_()), ("depth", pa.int64()), ("after", pa.int64()), ("text", pa.string())])
 
 
 def _masked(text: Column) -> Column:
@@ -21,62 +29,120 @@ def _masked(text: Column) -> Column:
 
 
 def _count(text: Column, what: str) -> Column:
-    return F.length(text) - F.length(F.replace(text, F.lit(what), F.lit("")))
-
-
-def _opened(masked: Column, inside: int) -> Column:
-    """The braces that open objects; inside: a text is open where the piece begins."""
-    bare = F.regexp_replace(F.concat(F.lit('"' if inside else ""), masked), '"[^"]*+(?:"|$)', "")
-    return _count(bare, "{")
-
-
-def _windows():
-    return Window.partitionBy(*SPLIT).orderBy("at"), Window.partitionBy("file").orderBy("start")
-
-
-def _ahead(value: str, w) -> Column:
-    return F.coalesce(F.sum(value).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return F.octet_length(text) - F.octet_length(F.replace(text, F.lit(what), F.lit("")))
 
 
 def _pieces(spark: SparkSession, paths: str | list[str]) -> DataFrame:
-    """file, start (of the split), at (its place there) and text of what stands between closing braces."""
+    """What stands between closing braces, in the order of the file: file, start (of the split), text, quotes, braces, and
+    opened, how many of these open objects if no text is open where the piece begins; if one is, the others do."""
     meta = [F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start")]
-    return written(spark.read.option("lineSep", "}").text(paths).select(*meta, F.monotonically_increasing_id().alias("at"), F.col("value").alias("text")))
-
-
-def _placed(pieces: DataFrame) -> DataFrame:
-    """The pieces with depth (how many objects are open where one begins), closes (whether its brace closes an object and
-    isn't part of a text) and after (the depth behind it)."""
-    split, file = _windows()
-    masked = _masked(F.col("text"))
-    own = pieces.withColumn("quotes", _count(masked, '"')).withColumn("odd", _ahead("quotes", split) % 2)
-    for begun in (0, 1):  # as if the split began outside and inside a text
-        inside = (F.col("odd") + begun) % 2
-        own = own.withColumn(f"closes{begun}", (inside + F.col("quotes")) % 2 == 0)
-        own = own.withColumn(f"step{begun}", F.when(inside == 0, _opened(masked, 0)).otherwise(_opened(masked, 1)) - F.col(f"closes{begun}").cast("long"))
-    own = written(own)
-    of = lambda name: F.when(F.col("begun") == 0, F.col(f"{name}0")).otherwise(F.col(f"{name}1"))
-    sums = own.groupBy(*SPLIT).agg(F.sum("quotes").alias("quotes"), F.sum("step0").alias("step0"), F.sum("step1").alias("step1"))
-    sums = sums.withColumn("begun", _ahead("quotes", file) % 2).withColumn("step", of("step"))
-    every = Window.partitionBy("file")
+    pieces = spark.read.option("lineSep", "}").text(paths).select(*meta, F.col("value").alias("text"), _masked(F.col("value")).alias("masked"))
+    pieces = pieces.select("*", _count(F.col("masked"), "{").alias("braces"))
+    one = 1 - _count(F.substring_index("masked", "{", 1), '"') % 2
+    some = _count(F.regexp_replace("masked", '"[^"]*+(?:"|$)', ""), "{")
+    opened = F.when(F.col("braces") == 0, 0).when(F.col("braces") == 1, one).otherwise(some)
+    return pieces.select("file", "start", "text", *[c.cast("long").alias(n) for n, c in (("quotes", _count(F.col("masked"), '"')), ("braces", F.col("braces")), ("opened", opened))])
+
+
+def _stretches(batch: pa.RecordBatch, keys: list[str]) -> Iterator[pa.RecordBatch]:
+    """The rows of a batch, split by split."""
+    turns = [pc.not_equal(batch[k][1:], batch[k][:-1]).to_numpy(zero_copy_only=False) for k in keys]
+    ends = [0, *(np.flatnonzero(np.logical_or.reduce(turns)) + 1), batch.num_rows]
+    for begin, end in zip(ends, ends[1:]):
+        yield batch.slice(begin, end - begin)
+
+
+def _steps(rows: pa.RecordBatch, inside: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of each piece whether its brace closes an object and isn't part of a text, and by how much it goes deeper; inside:
+    whether a text is open where the first begins."""
+    quotes, braces, opened = (rows[c].to_numpy() for c in ("quotes", "braces", "opened"))
+    begun = (inside + np.cumsum(quotes) - quotes) % 2
+    closes = (begun + quotes) % 2 == 0
+    return closes, np.where(begun == 0, opened, braces - opened) - closes
+
+
+def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row for each split."""
+    row = lambda: pa.RecordBatch.from_pylist([dict(zip(SUMS.names, (*split, *sums)))], schema=SUMS)
+    split, sums = None, None
+    for batch in batches:
+        for rows in _stretches(batch, ["file", "start"]) if batch.num_rows else ():
+            own = rows["file"][0].as_py(), rows["start"][0].as_py()
+            if own != split:
+                if split:
+                    yield row()
+                split, sums = own, [0, 0, 0]
+            steps = [int(_steps(rows, (sums[0] + begun) % 2)[1].sum()) for begun in (0, 1)]
+            sums = [sums[0] + pc.sum(rows["quotes"]).as_py(), sums[1] + steps[0], sums[2] + steps[1]]
+    if split:
+        yield row()
+
+
+def _joined(texts: pa.Array, ends: np.ndarray) -> pa.Array:
+    """Pieces put together, up to each end."""
+    return pc.binary_join(pa.ListArray.from_arrays(pa.array(np.append(0, ends), pa.int32()), texts), "}")
+
+
+def _recorded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """An object of the third level and all that stands between it and the one before is one record: its text, the depth
+    where it begins and the one after it. first: it may begin in a split before; not ended: it ends in a later one."""
+    split = inside = depth = at = begun = None
+    first, held = True, []  # what has no end yet
+
+    def rest() -> Iterator[pa.RecordBatch]:
+        if held:
+            yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip((split, at, first, False, begun, None, "}".join(held) + "}"), RECORDS.types)], schema=RECORDS)
+
+    for batch in batches:
+        for rows in _stretches(batch, ["split"]) if batch.num_rows else ():
+            if (own := rows["split"][0].as_py()) != split:
+                yield from rest()
+                split, inside, depth, at, first, held = own, rows["begun"][0].as_py(), rows["before"][0].as_py(), 0, True, []
+            closes, step = _steps(rows, inside)
+            after = depth + np.cumsum(step)
+            before, texts = after - step, rows["text"]
+            inside, depth = (inside + pc.sum(rows["quotes"]).as_py()) % 2, int(after[-1])
+            ends = np.flatnonzero(closes & (after <= 2)) + 1
+            if len(ends):
+                n, begins = len(ends), before[np.append(0, ends[:-1])]
+                found = _joined(texts, ends)
+                if held:
+                    found = pa.concat_arrays([pa.array(["}".join([*held, found[0].as_py()])], pa.string()), found[1:]])
+                    begins[0] = begun
+                columns = [np.full(n, split), at + np.arange(n), np.arange(n) < int(first), np.full(n, True), begins, after[ends - 1]]
+                records = pa.RecordBatch.from_arrays([*map(pa.array, columns), pc.binary_join_element_wise(found, "}", "")], schema=RECORDS)
+                yield records.filter(pa.array(columns[2] | (columns[5] == 2)))
+                at, first, held, texts, before = at + n, False, [], texts[int(ends[-1]) :], before[ends[-1] :]
+            if len(texts):
+                begun = begun if held else int(before[0])
+                held.append(_joined(texts, np.array([len(texts)]))[0].as_py())
+    yield from rest()
+
+
+def _filled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Keys go on to the records of the split that have none of their own."""
+    split, last = None, {}
+    for batch in batches:
+        for rows in _stretches(batch, ["split"]) if batch.num_rows else ():
+            if (own := rows["split"][0].as_py()) != split:
+                split, last = own, {"outer": None, "inner": None}
+            for c in last:
+                filled = pc.fill_null_forward(pa.concat_arrays([pa.array([last[c]], pa.string()), rows[c]]))[1:]
+                last[c] = filled[-1].as_py()
+                rows = rows.set_column(rows.schema.get_field_index(c), c, filled)
+            yield rows
+
+
+def _splits(pieces: DataFrame) -> DataFrame:
+    """split (its number), file, start, begun (whether a text is open where it begins) and before (the depth there)."""
+    sums = written(pieces.select("file", "start", "quotes", "braces", "opened").mapInArrow(task(__name__, "_summed"), "file string, start long, quotes long, step0 long, step1 long"))
+    file, every = Window.partitionBy("file").orderBy("start"), Window.partitionBy("file")
+    ahead = lambda value: F.coalesce(F.sum(value).over(file.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    sums = sums.withColumn("begun", ahead("quotes") % 2).withColumn("step", F.when(F.col("begun") == 0, F.col("step0")).otherwise(F.col("step1")))
     # Behind the last brace there may be blanks, which no brace follows.
     sound = F.sum("step").over(every).isin(0, -1) & (F.sum("quotes").over(every) % 2 == 0)
-    sums = sums.select(*SPLIT, "begun", _ahead("step", file).alias("before"), sound.alias("sound"))
-    found = own.join(sums, SPLIT).select(*SPLIT, "at", "text", of("closes").alias("closes"), of("step").alias("step"), "before", "sound")
-    depth = F.when(F.col("sound"), F.col("before") + _ahead("step", split)).otherwise(F.raise_error(F.concat(F.lit("not whole JSON: "), "file")).cast("long"))
-    found = found.withColumn("depth", depth)
-    return found.select(*SPLIT, "at", "text", "depth", (F.col("depth") + F.col("step")).alias("after"), "closes")
-
-
-def _carried(df: DataFrame, values: dict[str, Column]) -> DataFrame:
-    """df with some values and, as <name>_before, the last of each (not null) in the rows ahead in the file."""
-    split, file = _windows()
-    df = written(df.withColumns(values))
-    ahead = lambda c, w: F.last(c, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1))
-    last = df.groupBy(*SPLIT).agg(*[F.max_by(c, F.when(F.col(c).isNotNull(), F.col("at"))).alias(c) for c in values])
-    last = last.select(*SPLIT, *[ahead(c, file).alias(f"__{c}") for c in values])
-    found = df.join(last, SPLIT).withColumns({f"{c}_before": F.coalesce(ahead(c, split), F.col(f"__{c}")) for c in values})
-    return found.drop(*[f"__{c}" for c in values])
+    before = F.when(sound, ahead("step")).otherwise(F.raise_error(F.concat(F.lit("not whole JSON: "), "file")).cast("long"))
+    return written(sums.select(F.monotonically_increasing_id().alias("split"), "file", "start", "begun", before.alias("before")))
 
 
 def _together(tokens: Column, first: Column | int, n: Column) -> Column:
@@ -93,27 +159,12 @@ def _last_key(head: Column) -> Column:
     return F.when(F.array_contains(keys, True), F.regexp_extract(key, r'(?s)^(".*")\s*:$', 1))
 
 
-def listed_objects(spark: SparkSession, paths: str | list[str], under: str) -> DataFrame:
-    """key and value (JSON text) of the objects listed in {under: {key: [object, ...], ...}, ...}, of files of any size.
-
-    Objects within objects, other fields beside `under`, braces and escapes within keys and texts are all right. Keys
-    without objects give no rows, nor do entries that aren't objects; of a repeated key both lists are read. Braces or
-    quotes that don't match are an error; a missing last brace isn't noticed. An object is small, a file needn't be.
-    """
-    split, _ = _windows()
-    # An object of the third level and all that stands between it and the one before is one record.
-    ends = F.col("closes") & (F.col("after") <= 2)
-    parts = _carried(_placed(_pieces(spark, paths)), {"ends": F.when(ends, F.struct("start", "at"))})
-    alone = F.col("ends").isNotNull() & F.lag("ends").over(split).isNotNull()
-    parts = parts.select(*SPLIT, "at", "depth", "after", F.concat("text", F.lit("}")).alias("text"), "ends_before", alone.alias("alone"))
-    columns = [*SPLIT, "at", "depth", "after", "text"]
-    some = parts.filter("not alone").groupBy("file", "ends_before").agg(F.array_sort(F.collect_list(F.struct(*columns[1:]))).alias("own"))
-    last = F.element_at("own", -1)
-    some = some.select("file", last["start"].alias("start"), last["at"].alias("at"), F.col("own")[0]["depth"].alias("depth"), last["after"].alias("after"), F.concat_ws("", F.col("own.text")).alias("text"))
-    records = parts.filter("alone").select(*columns).unionByName(some).filter("after = 2")
+def _keyed(records: DataFrame) -> DataFrame:
+    """records(depth, text) with the keys that stand in them, outer and inner, and the object alone as text.
 
-    # The object follows on the (3 - depth)-th brace; what stands before the last two braces has the keys. Most objects
-    # follow on another: no text stands before them.
+    The object follows on the (3 - depth)-th brace; what stands before the last two braces has the keys. Most objects
+    follow on another: no text stands before them."""
+    columns = [c for c in records.columns if c != "text"]
     keys = (F.col("depth") < 2) | ~F.col("text").rlike(r'^[^"{]*+\{')
     records = records.withColumn("tokens", F.when(keys, F.regexp_extract_all(_masked(F.col("text")), F.lit(r'"[^"]*+"|[^"{]++|\{'), F.lit(0))))
     tokens, keys = F.col("tokens"), F.col("tokens").isNotNull()
@@ -122,7 +173,43 @@ def listed_objects(spark: SparkSession, paths: str | list[str], under: str) -> D
     records = records.withColumn("outer_at", F.when(keys & (F.col("depth") < 2), at(2))).withColumn("inner_at", F.when(keys, at(3)).otherwise(F.instr("text", "{") - 1))
     head = F.substring("text", F.coalesce(F.col("outer_at"), F.lit(0)) + 1, F.col("inner_at") - F.coalesce(F.col("outer_at"), F.lit(0)))
     outer = F.when(F.col("outer_at").isNotNull(), _last_key(F.substring("text", F.lit(1), F.col("outer_at"))))
-    records = records.select(*SPLIT, "at", outer.alias("outer"), F.when(keys, _last_key(head)).alias("inner"), F.substring("text", F.col("inner_at") + 1, F.length("text")).alias("value"))
-    keyed = _carried(records.withColumnsRenamed({"outer": "o", "inner": "i"}), {"outer": F.col("o"), "inner": F.col("i")})
-    plain = lambda c: F.from_json(F.concat(F.lit('{"k":'), F.coalesce(c, f"{c}_before"), F.lit("}")), "k string")["k"]
-    return keyed.select(plain("outer").alias("outer"), plain("inner").alias("key"), "value").filter(F.col("outer") == under).select("key", "value")
+    plain = lambda c: F.from_json(F.concat(F.lit('{"k":'), c, F.lit("}")), "k string")["k"]
+    return records.select(*columns, plain(outer).alias("outer"), plain(F.when(keys, _last_key(head))).alias("inner"), F.substring("text", F.col("inner_at") + 1, F.length("text")).alias("text"))
+
+
+def listed_objects(spark: SparkSession, paths: str | list[str], under: str) -> DataFrame:
+    """key and value (JSON text) of the objects listed in {under: {key: [object, ...], ...}, ...}, of files of any size.
+
+    Objects within objects, other fields beside `under`, braces and escapes within keys and texts are all right. Keys
+    without objects give no rows, nor do entries that aren't objects; of a repeated key both lists are read. Braces or
+    quotes that don't match are an error; a missing last brace isn't noticed. An object is small, a file needn't be; a file
+    that is compressed by bzip2 is many tasks as well.
+
+    Files are read twice, and the records are written once. Of each split one row goes to every task, as the scan itself
+    keeps one. Were a file cut otherwise the second time, that is an error.
+    """
+    pieces = _pieces(spark, paths)
+    splits = _splits(pieces)
+    found = pieces.join(F.broadcast(splits), ["file", "start"], "left")
+    number = F.coalesce("split", F.raise_error(F.concat(F.lit("cut otherwise when read again: "), "file")).cast("long"))
+    records = found.select(number.alias("split"), "begun", "before", "text", "quotes", "braces", "opened").mapInArrow(task(__name__, "_recorded"), "split long, at long, first boolean, ended boolean, depth long, after long, text string")
+    whole = F.col("ended") & ~F.col("first")
+    own = _keyed(records.withColumn("all", F.when(~whole, F.col("text"))).withColumn("text", F.when(whole, F.col("text"))))
+    own = own.withColumn("text", F.coalesce("all", "text")).drop("all")
+    own = written(own.mapInArrow(task(__name__, "_filled"), own.schema))
+
+    edges = own.filter(~whole).join(splits.select("split", "file", "start"), "split")
+    ahead = Window.partitionBy("file").orderBy("start", "at").rowsBetween(Window.unboundedPreceding, -1)
+    edges = edges.withColumn("ends", F.coalesce(F.sum(F.col("ended").cast("int")).over(ahead), F.lit(0)))
+    edges = edges.groupBy("file", "ends").agg(F.array_sort(F.collect_list(F.struct("start", "at", "split", "ended", "depth", "after", "text"))).alias("own"))
+    last = F.element_at("own", -1)
+    edges = edges.filter(last["ended"] & (last["after"] == 2)).select(last["split"].alias("split"), F.col("own")[0]["depth"].alias("depth"), F.concat_ws("", F.col("own.text")).alias("text"))
+    edges = written(_keyed(edges))
+
+    ends = own.filter(whole).groupBy("split").agg(*[F.max_by(c, "at").alias(f"{c}_end") for c in ("outer", "inner")])
+    keys = splits.select("split", "file", "start").join(edges.select("split", "outer", "inner"), "split", "left").join(ends, "split", "left")
+    before = Window.partitionBy("file").orderBy("start").rowsBetween(Window.unboundedPreceding, -1)
+    keys = written(keys.select("split", *[F.coalesce(c, F.last(F.coalesce(f"{c}_end", c), ignorenulls=True).over(before)).alias(f"{c}_before") for c in ("outer", "inner")]))
+    every = own.filter(whole).select("split", "outer", "inner", "text").unionByName(edges.select("split", "outer", "inner", "text")).join(keys, "split")
+    key = lambda c: F.coalesce(c, f"{c}_before")
+    return every.filter(key("outer") == under).select(key("inner").alias("key"), F.col("text").alias("value"))

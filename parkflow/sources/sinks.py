@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+import json
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parkflow.tables import written
+from parkflow.tables import task, written
 
 
 def write_csv(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
@@ -47,6 +53,30 @@ def write_report(path: str, metadata: dict[str, str], statistics: DataFrame, row
     rows.write.json(f"{path}/{name}")
 
 
+def listed_lines(batches: Iterator[pa.RecordBatch], under: str) -> Iterator[pa.RecordBatch]:
+    """For mapInArrow: rows of a key and an object (JSON text), the rows of a key together, as the lines of one document
+    {under: {key: [object, ...], ...}} a task. Rows go through as they come, so a document may have any size."""
+    last = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        keys, begun = batch[0], last is not None
+        fresh = np.append(not begun or keys[0].as_py() != last, pc.not_equal(keys[1:], keys[:-1]).to_numpy(zero_copy_only=False))
+        ahead = np.full(batch.num_rows, ",", object)
+        for i in np.flatnonzero(fresh):
+            ahead[i] = ("]," if begun or i else f"{{{json.dumps(under)}: {{") + f"{json.dumps(keys[int(i)].as_py())}: ["
+        last = keys[-1].as_py()
+        yield pa.RecordBatch.from_arrays([pc.binary_join_element_wise(pa.array(ahead, pa.string()), batch[1], "")], ["value"])
+    if last is not None:
+        yield pa.RecordBatch.from_arrays([pa.array(["]}}"])], ["value"])
+
+
+def write_listed(df: DataFrame, path: str, under: str) -> None:
+    """df(key, object as JSON text), the rows of a key together in their task, as a report for each task, compressed by
+    bzip2, whose blocks are read on their own."""
+    df.mapInArrow(task(__name__, "listed_lines", under=under), "value string").write.option("compression", "bzip2").text(path)
+
+
 def write_gallery(profiles: DataFrame, path: str) -> None:
     """Profiles by entity, vectors included."""
     profiles.write.partitionBy("camera").parquet(path)

@@ -1,13 +1,17 @@
-"""Intermediate tables in the folder that all machines of the cluster share."""
+"""Intermediate tables in the folder that all machines of the cluster share, and functions that run in tasks."""
 
 from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+ROOT = str(Path(__file__).resolve().parents[1])
+
 
 def shared_folder(spark: SparkSession) -> str:
     """spark.checkpoint.dir; a folder of this machine only where that is unset and Spark runs in one process."""
@@ -38,6 +42,26 @@ def dropped(table: DataFrame) -> None:
     path.getFileSystem(table.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
 
 
+def task(module: str, name: str, sides: int = 1, **args) -> Callable:
+    """``module.name`` as a function for mapInArrow or applyInPandas; with two sides, for a cogroup.
+
+    The module is imported on the worker, so what it caches lives as long as the worker does. Broadcast values
+    among the arguments are opened there.
+    """
+    root = ROOT
+
+    def run(first, *more):
+        import importlib
+        import sys
+
+        if root not in sys.path:
+            sys.path.append(root)
+        own = {k: v.value if type(v).__name__ == "Broadcast" else v for k, v in args.items()}
+        return getattr(importlib.import_module(module), name)(first, *more, **own)
+
+    return (lambda first, second: run(first, second)) if sides == 2 else (lambda first: run(first))
+
+
 def exact_quantiles(df: DataFrame, keys: list[str], column: str, shares: dict[str, float]) -> DataFrame:
     """keys and, for each share, the exact quantile of a column in each group, linear between the two nearest values;
     nulls don't count, and groups without values are missing. Without keys there is always one row, of nulls where there

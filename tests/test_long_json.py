@@ -1,10 +1,13 @@
 """Long reports in parts: the same rows as from the whole document, wherever splits fall."""
 
+import bz2
 import json
 import random
 
 import pytest
 
+from parkflow.plans.exchange import a_long_reports
+from parkflow.sources import long_json, sinks
 from parkflow.sources.long_json import listed_objects
 from parkflow.sources.readers import read_image_detections, read_video_detections
 
@@ -64,3 +67,44 @@ def test_a_report_without_objects_and_a_broken_one(spark, tmp_path):
         (tmp_path / f"broken{k}").write_text(text)
         with pytest.raises(Exception, match="not whole JSON"):
             listed_objects(spark, str(tmp_path / f"broken{k}"), "detections").collect()
+
+
+@pytest.mark.parametrize("size", [3000, 20_000])
+def test_compressed_reports_in_parts(spark, tmp_path, small_splits, size):
+    """Blocks of bzip2 are splits; each object is written once, whatever the splits."""
+    rng, want = random.Random(size), []
+    for k in range(2):
+        detections = {f"{name}{k}": [{"n": i, "id": rng.random(), "t": rng.choice(ODD), **({"in": {"}": {}}} if i % 50 == 0 else {})} for i in range(5000)] for name in ("a", "b}{", 'q"')}
+        document = {"detections": {"none": [], **detections}, "more": {"k": [{"n": 1}]}}
+        (tmp_path / f"{k}.txt.bz2").write_bytes(bz2.compress(json.dumps(document, ensure_ascii=k > 0, indent=(None, 1)[k]).encode(), 1))
+        want += [(key, json.dumps(d)) for key, own in detections.items() for d in own]
+    small_splits(size)
+    tables, plain = [], long_json.written
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(long_json, "written", lambda df: tables.append(plain(df)) or tables[-1])
+        found = listed_objects(spark, str(tmp_path), "detections")
+    assert sorted((r.key, json.dumps(json.loads(r.value))) for r in found.collect()) == sorted(want)
+    assert 8 < tables[0].count() and sum(t.count() for t in tables) < len(want) + 1 + 6 * tables[0].count()
+
+
+def test_documents_of_listed_objects(spark, tmp_path):
+    rows = [(f'v"{k}', json.dumps({"k": k, "i": i})) for k in range(5) for i in range(300)]
+    df = spark.createDataFrame(rows, "key string, one string").repartition(3, "key").sortWithinPartitions("key")
+    batch = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 100)
+    try:
+        sinks.write_listed(df, str(tmp_path / "out"), "d")
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+    texts = [bz2.decompress(p.read_bytes()).decode() for p in (tmp_path / "out").glob("*.bz2")]
+    got = [(key, json.dumps(d)) for text in texts if text for key, own in json.loads(text)["d"].items() for d in own]
+    assert sorted(got) == sorted(rows)
+
+
+def test_long_reports_are_written_once(spark):
+    """Beside the records, only a few rows for each split."""
+    tables, plain = [], long_json.written
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(long_json, "written", lambda df: tables.append(plain(df)) or tables[-1])
+        n = a_long_reports(spark, "/root/testdata/sf0.001").count()
+    assert n and sum(t.count() for t in tables) < 1.2 * n
