@@ -120,17 +120,24 @@ def _recorded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _filled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Keys go on to the records of the split that have none of their own."""
-    split, last = None, {}
+    """Keys go on to the records of the split that have none of their own. A row more for each split, in which `ended` is
+    null, has the last ones."""
+    last, kind = {}, None
+    over = lambda: pa.RecordBatch.from_pylist([last], schema=kind)
     for batch in batches:
+        kind = batch.schema
         for rows in _stretches(batch, ["split"]) if batch.num_rows else ():
-            if (own := rows["split"][0].as_py()) != split:
-                split, last = own, {"outer": None, "inner": None}
-            for c in last:
+            if (own := rows["split"][0].as_py()) != last.get("split"):
+                if last:
+                    yield over()
+                last = {"split": own, "outer": None, "inner": None}
+            for c in ("outer", "inner"):
                 filled = pc.fill_null_forward(pa.concat_arrays([pa.array([last[c]], pa.string()), rows[c]]))[1:]
                 last[c] = filled[-1].as_py()
-                rows = rows.set_column(rows.schema.get_field_index(c), c, filled)
+                rows = rows.set_column(rows.schema.get_field_index(c), kind.field(c), filled)
             yield rows
+    if last:
+        yield over()
 
 
 def _splits(pieces: DataFrame) -> DataFrame:
@@ -206,7 +213,7 @@ def listed_objects(spark: SparkSession, paths: str | list[str], under: str) -> D
     edges = edges.filter(last["ended"] & (last["after"] == 2)).select(last["split"].alias("split"), F.col("own")[0]["depth"].alias("depth"), F.concat_ws("", F.col("own.text")).alias("text"))
     edges = written(_keyed(edges))
 
-    ends = own.filter(whole).groupBy("split").agg(*[F.max_by(c, "at").alias(f"{c}_end") for c in ("outer", "inner")])
+    ends = own.filter("ended is null").select("split", *[F.col(c).alias(f"{c}_end") for c in ("outer", "inner")])
     keys = splits.select("split", "file", "start").join(edges.select("split", "outer", "inner"), "split", "left").join(ends, "split", "left")
     before = Window.partitionBy("file").orderBy("start").rowsBetween(Window.unboundedPreceding, -1)
     keys = written(keys.select("split", *[F.coalesce(c, F.last(F.coalesce(f"{c}_end", c), ignorenulls=True).over(before)).alias(f"{c}_before") for c in ("outer", "inner")]))
