@@ -5,6 +5,7 @@ Only the fold itself is Python; everything before and after is DataFrame code.
 
 from __future__ import annotations
 
+from array import array
 from bisect import bisect_left
 from collections.abc import Callable
 from functools import reduce
@@ -15,8 +16,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from parkflow.functions.geometry import Box, box_iou, motion_direction, pixel_speed
+from parkflow.operators.bundles import Bundles
 from parkflow.operators.folds import Fold, fold_in_parts
 from parkflow.operators.graph import connected_components
+from parkflow.operators.overlap import met
 from parkflow.tables import numbered, written
 
 
@@ -59,46 +62,6 @@ def iou_candidates(detections: DataFrame, alive: int, least: float = 0.15) -> Da
     return overlaps(detections, ["video"], "frame_index", alive, least)
 
 
-def met(live: np.ndarray, own: np.ndarray, least: float, most: int = 1_000_000) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """i, k and IoU of the boxes own[i] and live[k] (rows x, y, w, h) that overlap by `least` or more (0: at all). Boxes
-    meet by bands of y and in them by a range of x; no more than about `most` are compared at once."""
-    n = max(1, len(live))
-    wide, tall = (np.fmax.reduce(live[:, c], initial=0) for c in (2, 3))
-    band = np.fmax.reduce(own[:, 3], initial=tall)
-    whole = np.isfinite(band) and band > 0
-    in_band = lambda y: np.clip(np.floor(np.nan_to_num(y / band)), -(2**31), 2**31).astype("int64") if whole else np.zeros(len(y), "int64")
-    by_x = np.argsort(live[:, 0], kind="stable")
-    xs = live[by_x, 0]
-    place = np.empty(len(live), "int64")
-    place[by_x] = np.arange(len(live))
-    place += in_band(live[:, 1]) * n
-    order = np.argsort(place)
-    place, lived = place[order], live[order]
-    first = in_band(own[:, 1] - tall)
-    bands = np.maximum(in_band(own[:, 1] + own[:, 3]) - first + 1, 0)
-    each = np.repeat(np.arange(len(own)), bands)
-    level = (np.arange(len(each)) - np.repeat(np.cumsum(bands) - bands, bands) + first[each]) * n
-    low = np.searchsorted(place, level + np.searchsorted(xs, own[:, 0] - wide, side="left")[each], side="left")
-    many = np.maximum(np.searchsorted(place, level + np.searchsorted(xs, own[:, 0] + own[:, 2], side="left")[each], side="left") - low, 0)
-    ends, out, at = np.cumsum(many), [], 0
-    while at < len(each):
-        end = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + most, side="right")))
-        size = many[at:end]
-        i = np.repeat(each[at:end], size)
-        k = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size) + np.repeat(low[at:end], size)
-        p, q = own[i], lived[k]
-        across = np.minimum(p[:, 0] + p[:, 2], q[:, 0] + q[:, 2]) - np.maximum(p[:, 0], q[:, 0])
-        down = np.minimum(p[:, 1] + p[:, 3], q[:, 1] + q[:, 3]) - np.maximum(p[:, 1], q[:, 1])
-        both = np.maximum(across, 0) * np.maximum(down, 0)
-        union = p[:, 2] * p[:, 3] + q[:, 2] * q[:, 3] - both
-        hit = (both > 0) & (union > 0)
-        i, k, iou = i[hit], k[hit], both[hit] / union[hit]
-        near = iou >= least if least > 0 else iou > 0
-        out.append((i[near], order[k[near]], iou[near]))
-        at = end
-    return tuple(np.concatenate(c) for c in zip(*out)) if out else (np.empty(0, int), np.empty(0, int), np.empty(0))
-
-
 def taken_in_order(i: np.ndarray, k: np.ndarray) -> np.ndarray:
     """The places of the pairs (i, k), in the order in which they stand, of which neither end is taken yet."""
     at, out = np.arange(len(i)), []
@@ -189,19 +152,106 @@ def _ranked(chains: DataFrame, key: str) -> DataFrame:
     return begun.join(first, key).select("chain", (F.col("at") - F.col("from") + 1).alias("number"))
 
 
-def track_frames(detections: DataFrame, iou: float = 0.15, lost_s: float = 2.0, fps: float = 30.0) -> DataFrame:
+#: Tracks that came into a part are numbered from here on, in the order in which they began; those of the part from 0 on.
+CAME = -(2**62)
+
+
+def _bundled(group: str, time: str, most: float, least: float) -> Fold:
+    """Which tracks have the boxes(id, group, part, time, x, y, w, h, n) of one part: the copies of id from the at-th on, n
+    of them, go on with the tracks from `head` on. Rows with id -1 are the tracks handed on, the at-th and those behind it.
+    Handed on are only boxes, times and how many, in the order in which the tracks began: what another part hangs on."""
+
+    def fold(rows: pd.DataFrame, came: list[np.ndarray]) -> tuple[pd.DataFrame, list[np.ndarray]]:
+        rows = rows.sort_values([time, "x", "y", "w", "h"], kind="stable")
+        ids, times, boxes, many = rows["id"].tolist(), rows[time].to_numpy(float), rows[["x", "y", "w", "h"]].to_numpy(float), rows["n"].tolist()
+        n, at, box = came if came else (np.empty(0, "int64"), np.empty((0, 1)), np.empty((0, 4)))
+        live = Bundles.of(box, at, list(zip((CAME + np.cumsum(n) - n).tolist(), n.tolist())))
+        found, new = [array("q") for _ in range(4)], 0
+
+        def add(own: int, pieces: list[tuple]) -> None:
+            at = 0
+            for head, n in pieces:
+                for column, value in zip(found, (own, at, head, n)):
+                    column.append(value)
+                at += n
+
+        ends = [*(np.flatnonzero(times[1:] != times[:-1]) + 1).tolist(), len(times)]
+        for begin, end in zip([0, *ends], ends):
+            live.leave(times[begin] - live.at[:, 0] <= most)
+            given, new = live.follow(boxes[begin:end], times[begin : begin + 1], many[begin:end], least, new)
+            for own, pieces in zip(ids[begin:end], given):
+                add(own, pieces)
+        live.leave(times[-1] - live.at[:, 0] <= most)
+        box, at, pieces = live.single()
+        add(-1, pieces)
+        n = np.array([p[1] for p in pieces], "int64")
+        fresh = np.flatnonzero(np.append(True, (box[1:] != box[:-1]).any(axis=1) | (at[1:] != at[:-1]).any(axis=1))) if len(n) else n
+        columns = dict(zip(("id", "at", "head", "n"), (np.frombuffer(c, "int64") for c in found)))
+        handed = [np.add.reduceat(n, fresh) if len(n) else n, at[fresh], box[fresh]]
+        return pd.DataFrame(columns).assign(**{group: rows[group].iloc[0], "part": rows["part"].iloc[0]}), handed
+
+    return fold
+
+
+def _begun(found: DataFrame, group: str) -> DataFrame:
+    """group, part, id, at, n and head of the boxes that _bundled finds: the number of the first of their tracks among those
+    that began in `part`, which is the boxes' own or an earlier one."""
+    own = found.filter("id >= 0")
+    if own.filter("head < 0").isEmpty():
+        return own
+    each = lambda df, offset: df.withColumn("i", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1))).select(group, "part", "id", (F.col("at") + F.col("i")).alias("at"), (F.col("head") + F.col("i") - F.when(F.col("head") < 0, F.lit(CAME)).otherwise(0)).alias("head"), (F.col("head") < 0).alias("came"))
+    node = lambda part, at: F.struct(F.col(group).alias("group"), part.alias("part"), F.col(at).alias("at"))
+    before = F.col("part") - 1
+    handed = written(each(found.filter("id < 0"), CAME))
+    links = handed.filter("came").select(node(F.col("part"), "at").alias("a"), node(before, "head").alias("b"))
+    first = connected_components(handed.select(node(F.col("part"), "at").alias("id")), links)
+    heads = handed.filter("not came").select(node(F.col("part"), "at").alias("component"), F.col("part").alias("__part"), F.col("head").alias("__head"))
+    known = written(first.join(heads, "component").select("id", "__part", "__head"))
+    later = each(own.filter("head < 0"), CAME).withColumn("__id", node(before, "head")).join(known.withColumnRenamed("id", "__id"), "__id")
+    later = later.select(group, F.col("__part").alias("part"), "id", "at", F.col("__head").alias("head"), F.lit(1).cast("long").alias("n"))
+    return own.filter("head >= 0").select(later.columns).unionByName(later)
+
+
+def track_frames(detections: DataFrame, iou: float = 0.15, lost_s: float = 2.0, fps: float = 30.0, each: int = 250_000) -> DataFrame:
     """detections(video, frame_index, x, y, w, h, class_id) with track_id, from 1 within each video.
 
     In each frame the detections and live tracks that overlap most go together first, one to one; a detection that is
     left begins a track; a track that none follows for lost_s ends. Equal overlaps are in the order of the detections
-    (by x, y, w, h, class_id), then in that in which the tracks began. A video is gone through in parts (`followed`), so
-    that none, long or busy as it may be, is one task.
+    (by x, y, w, h, class_id), then in that in which the tracks began. Without a video or frame each is a track.
+
+    Equal boxes of a frame go through as one row and their tracks together (see Bundles). A video is gone through in parts
+    of about `each` different boxes (see fold_in_parts), so that none, long or busy as it may be, is one task; no part is
+    shorter than lost_s, so that nothing reaches over one.
     """
-    cols = ["video", "frame_index", "x", "y", "w", "h", "class_id"]
-    rows = written(numbered(detections.select(*cols), cols, "id"))
-    chains = written(followed(rows, "video", "frame_index", int(fps * lost_s), iou))
-    owners = rows.join(chains.select("id", "chain"), "id")
-    return owners.join(_ranked(owners.filter("id = chain"), "video").withColumnRenamed("number", "track_id"), "chain").select(*cols, "track_id")
+    most, box = int(fps * lost_s), ["x", "y", "w", "h"]
+    same = ["video", "frame_index", *box]
+    kinds = detections.groupBy(*same, "class_id").agg(F.count("*").alias("__n"))
+    alike = kinds.groupBy(*same).agg(F.sum("__n").alias("n"), F.array_sort(F.collect_list(F.struct("class_id", "__n"))).alias("kinds"))
+    rows = written(alike.withColumn("id", F.monotonically_increasing_id()))
+    timed = F.col("video").isNotNull() & F.col("frame_index").isNotNull()
+    n, low, high, videos = rows.filter(timed).agg(F.count("*"), F.min("frame_index"), F.max("frame_index"), F.count_distinct("video")).first()
+    long = max(1.001 * most + 1e-9, (high - low) * each * videos / n) if n else 1.0
+    boxes = [F.coalesce(F.col(c).cast("double"), F.lit(float("-inf"))).alias(c) for c in box]  # nulls are first in order, and meet none
+    dealt = rows.filter(timed).select("id", "video", "frame_index", *boxes, "n", F.floor((F.col("frame_index") - F.lit(low or 0)) / F.lit(float(long))).alias("part"))
+    video = rows.schema["video"].dataType.simpleString()
+    found = written(fold_in_parts(dealt, "video", _bundled("video", "frame_index", most, iou), f"video {video}, part long, id long, at long, head long, n long"))
+
+    loose = written(numbered(rows.filter(~timed).select(*same, "id", F.col("n").alias("many")), same, sums=("many",)))
+    before = loose.groupBy(F.col("video").alias("of")).agg(F.min("before_many").alias("before"), F.sum("many").alias("loose"))
+    loose = loose.join(before, F.col("video").eqNullSafe(F.col("of"))).select("id", F.lit(0).cast("long").alias("at"), F.col("many").alias("n"), (F.col("before_many") - F.col("before") + 1).alias("track_id"))
+    begun = found.filter("id >= 0 and head >= 0").groupBy("video", "part").agg(F.max(F.col("head") + F.col("n")).alias("begun"))
+    ahead = F.coalesce(F.sum("begun").over(Window.partitionBy("video").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    begun = begun.select("video", "part", ahead.alias("ahead")).join(before.select(F.col("of").alias("video"), "loose"), "video", "left")
+    tracks = _begun(found, "video").join(begun, ["video", "part"]).select("id", "at", "n", (F.col("ahead") + F.coalesce("loose", F.lit(0)) + F.col("head") + 1).alias("track_id"))
+
+    upto = F.transform("kinds", lambda k, i: F.struct(k["class_id"].alias("class_id"), k["__n"].alias("own"), F.aggregate(F.slice("kinds", 1, i + 1), F.lit(0).cast("long"), lambda s, e: s + e["__n"]).alias("upto")))
+    pieces = rows.select("id", *same, F.explode(upto).alias("kind")).join(tracks.unionByName(loose), "id")
+    begin, end = F.greatest("at", F.col("kind.upto") - F.col("kind.own")), F.least(F.col("at") + F.col("n"), F.col("kind.upto"))
+    # One row for each copy, by way of stretches of them, so that no list is long.
+    pieces = pieces.withColumn("begin", begin).withColumn("end", end).filter("begin < end")
+    pieces = pieces.withColumn("from", F.explode(F.sequence("begin", F.col("end") - 1, F.lit(65_536).cast("long"))))
+    pieces = pieces.withColumn("copy", F.explode(F.sequence("from", F.least(F.col("from") + 65_535, F.col("end") - 1))))
+    return pieces.select(*same, F.col("kind.class_id").alias("class_id"), (F.col("track_id") + F.col("copy") - F.col("at")).alias("track_id"))
 
 
 def track_catalog(instances: DataFrame, images: DataFrame, gap: float = 1.0) -> DataFrame:
