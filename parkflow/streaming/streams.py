@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StreamingQueryListener
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from parkflow.operators.tracking import met, taken_in_order
+from parkflow.operators.bundles import Bundles
 
 
 def stream_new_media(paths: DataFrame, late: str | None = None) -> DataFrame:
@@ -269,42 +269,53 @@ def stream_adaptive_skip_in_order(frames: DataFrame, n: int, skip: int, late: st
     return _in_order(frames, "video", _Skip(n, skip), late, "video string, frame_index long")
 
 
-def _framed(most: int):
+def _framed(most: int, counted: bool = False):
     """Boxes (x, y, w, h) of a frame as one row, as far as they are in the same task and its next `most` rows: what keeps
-    state takes rows one at a time."""
-    keys = ["video", "ts", "frame_index"]
+    state takes rows one at a time. counted: equal boxes once, as (x, y, w, h, n), and `most` counts different boxes."""
+    keys, boxes = ["video", "ts", "frame_index"], [*"xywh", "n"] if counted else [*"xywh"]
 
-    def packed(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = pa.Table.from_batches(held).combine_chunks()
+    def packed(rows: pa.Table) -> Iterator[pa.RecordBatch]:
+        rows = rows.combine_chunks()
         video = rows["video"].combine_chunks().dictionary_encode(null_encoding="encode").indices
         columns = [c.fill_null(-(2**63)).to_numpy() for c in (video.cast("int64"), rows["ts"].cast("int64"), rows["frame_index"])]
         order = np.lexsort(columns[::-1])
         starts = np.array([begin for begin, _ in _runs(*[c[order] for c in columns])], dtype="int64")
-        boxes = np.column_stack([rows[c].to_numpy() for c in "xywh"]).astype(float)[order]
-        ends = np.append(starts, len(boxes)) * boxes.itemsize * 4
-        found = pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(ends.astype("int32")), pa.py_buffer(boxes.tobytes())])
+        own = np.column_stack([rows[c].to_numpy() for c in boxes]).astype(float)[order]
+        ends = np.append(starts, len(own)) * own.itemsize * len(boxes)
+        found = pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(ends.astype("int32")), pa.py_buffer(own.tobytes())])
         yield from rows.select(keys).take(pa.array(order[starts])).append_column("boxes", found).to_batches(max_chunksize=4096)
 
+    def alike(rows: pa.Table) -> pa.Table:
+        found = rows.group_by([*keys, *"xywh"], use_threads=False).aggregate([("n", "sum")])
+        return found.rename_columns({"n_sum": "n"}).select([*keys, *boxes])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, n = [], 0
         for batch in batches:
-            held.append(batch)
+            held.append(batch.append_column("n", pa.array(np.ones(batch.num_rows, "int64"))) if counted else batch)
             n += batch.num_rows
             if n >= most:
-                yield from packed(held)
+                rows = pa.Table.from_batches(held)
+                if counted:
+                    rows = alike(rows)
+                    held, n = rows.combine_chunks().to_batches(), rows.num_rows
+                    if 2 * n < most:
+                        continue
+                yield from packed(rows)
                 held, n = [], 0
         if n:
-            yield from packed(held)
+            rows = pa.Table.from_batches(held)
+            yield from packed(alike(rows) if counted else rows)
 
     return run
 
 
 class _Tracks(InOrder):
-    """Live tracks in the order of their numbers: first and last frame, boxes, the time of the last box and that box. The
+    """Live tracks (see Bundles): of each piece the first frame and how many boxes, of each last box its frame and time. The
     counter of numbers stays when all tracks have ended."""
 
     columns = ("ts", "frame_index", "boxes")
-    spans, box = ["track_id", "first_frame", "last_frame", "boxes", "at"], ["x", "y", "w", "h"]
+    pieces, last, box = ["track_id", "n", "first_frame", "boxes"], ["last_frame", "at"], ["x", "y", "w", "h"]
 
     def __init__(self, iou: float, alive: int, fps: float):
         self.iou, self.alive, self.lives = iou, alive, int(1e6 * alive / fps)
@@ -314,42 +325,37 @@ class _Tracks(InOrder):
         self.following = handle.getValueState("following", "id long")
         self.live = handle.getValueState("live", "rows binary, at long")
 
+    def _ended(self, video: str, gone: list[tuple[np.ndarray, list]]) -> pd.DataFrame:
+        """A row for each track of the bundles that have gone."""
+        rows = np.array([(*p, at[0]) for ats, held in gone for at, pieces in zip(ats.tolist(), held) for p in pieces], "int64").reshape(-1, 5)
+        n = rows[:, 1]
+        found = pd.DataFrame(np.repeat(rows, n, axis=0)[:, [0, 2, 4, 3]], columns=["track_id", "first_frame", "last_frame", "boxes"])
+        found["track_id"] += np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        return found.assign(video=video)
+
     def take(self, key, due, now):
         new = self.following.get()[0] if self.following.exists() else 1
-        stored = _unpacked(self.live.get()[0]) if self.live.exists() else pd.DataFrame(columns=self.spans + self.box)
-        live, last = stored[self.spans].to_numpy("int64"), stored[self.box].to_numpy(float)
-        ended = lambda tracks: pd.DataFrame(np.concatenate(tracks)[:, :4], columns=self.spans[:4]).assign(video=key[0])
+        stored = _unpacked(self.live.get()[0]) if self.live.exists() else pd.DataFrame(columns=[*self.pieces, *self.last, *self.box])
+        live = Bundles.of(stored[self.box].to_numpy(float), stored[self.last].to_numpy("int64"), list(zip(*(stored[c].tolist() for c in self.pieces))))
+        on = lambda p: (*p[:3], p[3] + 1)
         for rows in due:
             rows = rows.sort_values([AT, "frame_index"])
             times, frames, boxes = rows[AT].to_numpy(), rows["frame_index"].to_numpy("int64"), rows["boxes"].to_numpy()
-            gone = [live[:0]]
+            gone = []
             for begin, end in _runs(times, frames):
-                stays = frames[begin] - live[:, 2] <= self.alive
-                gone.append(live[~stays])
-                live, last = live[stays], last[stays]
-                own = np.frombuffer(b"".join(boxes[begin:end])).reshape(-1, 4)
-                own = own[np.lexsort(own.T[::-1])]
-                i, k, iou = met(last, own, self.iou)
-                order = np.lexsort((k, i, -iou))
-                i, k = i[order], k[order]
-                took = taken_in_order(i, k)
-                i, k = i[took], k[took]
-                live[k, 2], live[k, 4], last[k] = frames[begin], times[begin], own[i]
-                live[k, 3] += 1
-                fresh = np.ones(len(own), bool)
-                fresh[i] = False
-                n = int(fresh.sum())
-                begun = np.tile(np.array([0, frames[begin], frames[begin], 1, times[begin]], dtype="int64"), (n, 1))
-                begun[:, 0] = np.arange(new, new + n)
-                live, last, new = np.concatenate([live, begun]), np.concatenate([last, own[fresh]]), new + n
-            yield ended(gone)
-        over = live[:, 4] + self.lives < now
-        yield ended([live[over]])
-        live, last = live[~over], last[~over]
+                gone.append(live.leave(frames[begin] - live.at[:, 0] <= self.alive))
+                own = np.frombuffer(b"".join(boxes[begin:end])).reshape(-1, 5)
+                own = own[np.lexsort(own[:, 3::-1].T)]
+                first = np.flatnonzero(np.append(True, (own[1:, :4] != own[:-1, :4]).any(axis=1)))
+                many = np.add.reduceat(own[:, 4], first).astype("int64").tolist()
+                _, new = live.follow(own[first, :4], np.array([frames[begin], times[begin]]), many, self.iou, new, (int(frames[begin]), 1), on)
+            yield self._ended(key[0], gone)
+        yield self._ended(key[0], [live.leave(live.at[:, 1] + self.lives >= now)])
         self.following.update((new,))
-        if len(live):
-            rows = pd.DataFrame(live, columns=self.spans).join(pd.DataFrame(last, columns=self.box))
-            self.live.update((_packed(rows), int(live[:, 4].min())))
+        if live.held:
+            box, last, pieces = live.single()
+            rows = pd.DataFrame(pieces, columns=self.pieces).join(pd.DataFrame(last, columns=self.last)).join(pd.DataFrame(box, columns=self.box))
+            self.live.update((_packed(rows), int(last[:, 1].min())))
         else:
             self.live.clear()
 
@@ -363,11 +369,11 @@ def stream_tracks(detections: DataFrame, late: str, iou: float = 0.15, alive: in
 
     Frames are taken in the order of event time over all micro-batches, each once the watermark has passed it. Numbers
     count from 1 in each video and go on after a silence. Boxes without a frame don't count. Boxes of a frame that come
-    together go through as one row, so where late rows are counted these are one. Needs the RocksDB state store (see
-    `state_store`)."""
+    together go through as one row, so where late rows are counted these are one, and equal ones of them with how many they
+    are; their tracks go on together (see Bundles). Needs the RocksDB state store (see `state_store`)."""
     boxes = detections.filter("frame_index is not null").select("video", "ts", F.col("frame_index").cast("long").alias("frame_index"), *[F.col(c).cast("double").alias(c) for c in "xywh"])
     ts = detections.schema["ts"].dataType.simpleString()
-    detections = boxes.mapInArrow(_framed(1_000_000), f"video string, ts {ts}, frame_index long, boxes binary")
+    detections = boxes.mapInArrow(_framed(2_000_000, counted=True), f"video string, ts {ts}, frame_index long, boxes binary")
     return _in_order(detections, "video", _Tracks(iou, alive, fps), late, "video string, track_id long, first_frame long, last_frame long, boxes long")
 
 

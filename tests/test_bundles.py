@@ -8,6 +8,8 @@ import pandas as pd
 import pytest
 
 from parkflow.operators import tracking
+from parkflow.streaming import streams
+from tests.test_streams_in_order import at, run, shuffled, stream
 
 
 def plain(rows, least, alive):
@@ -89,3 +91,54 @@ def test_copies_are_counted_in_a_table(spark):
     assert got.count() == 120_000
     per = got.groupBy("track_id").count()
     assert per.count() == 40_000 and per.filter("count = 3").count() == 40_000
+
+
+def test_copies_in_a_stream_are_tracked_as_in_a_table(spark, tmp_path):
+    schema = "video string, ts timestamp, frame_index long, x int, y int, w int, h int"
+    rows = [(v, at(f / 10), f, *b[:4]) for k, v in enumerate("ab") for f, *b in crowd(20 + k, 6)]
+    last = [(v, at(100), 1000, 0, 0, 5, 5) for v in "ab"]
+    df = stream(spark, tmp_path / "in", [*shuffled(rows, lambda r: r[2] / 10, 3.0, 1500, random.Random(1)), last], schema)
+    got, _ = run(streams.stream_tracks(df, "4 seconds", 0.15, 8, 10.0), tmp_path)
+    want = {}
+    for v in "ab":
+        for r, track in plain([(f, *b, 2) for w, _, f, *b in rows if w == v], 0.15, 8):
+            want.setdefault((v, track), []).append(r[0])
+    assert sorted(map(tuple, got.collect())) == sorted((*k, min(f), max(f), len(f)) for k, f in want.items())
+
+
+def test_equal_boxes_go_through_as_one(spark):
+    """However many copies, in turn: 200,000 rows of 12 different boxes in 3 frames, no more than 10,000 rows held."""
+    df = spark.range(200_000).selectExpr("'v' as video", "timestamp_seconds(id % 3) as ts", "id % 3 as frame_index", "cast(id % 4 as double) as x", "0D as y", "1D as w", "2D as h").coalesce(1)
+    got = df.mapInArrow(streams._framed(10_000, counted=True), "video string, ts timestamp, frame_index long, boxes binary").collect()
+    boxes = {r.frame_index: np.frombuffer(r.boxes).reshape(-1, 5) for r in got}
+    assert len(got) == 3 and all(len(b) == 4 for b in boxes.values()) and sum(b[:, 4].sum() for b in boxes.values()) == 200_000
+
+
+def test_copies_cost_a_stream_no_pairs():
+    """20,000 copies of each of 10 boxes in 50 frames."""
+
+    class Value:
+        def __init__(self):
+            self.value = None
+
+        def exists(self):
+            return self.value is not None
+
+        def get(self):
+            return self.value
+
+        def update(self, value):
+            self.value = value
+
+        def clear(self):
+            self.value = None
+
+    tracks = streams._Tracks(0.15, 50, 25.0)
+    tracks.following, tracks.live = Value(), Value()
+    due = pd.DataFrame({streams.AT: [40_000 * f for f in range(50)], "frame_index": range(50), "boxes": [np.array([(100.0 * k + f, 5.0, 40.0, 30.0, 20_000) for k in range(10)]).tobytes() for f in range(50)]})
+    began = time.process_time()
+    out = [r for half in (due[:25], due[25:]) for r in tracks.take(("v",), iter([half]), int(half[streams.AT].max()))]
+    assert sum(map(len, out)) == 0 and tracks.following.get() == (200_001,)
+    out = pd.concat(list(tracks.take(("v",), iter([]), 10_000_000_000)))
+    assert time.process_time() - began < 5 and not tracks.live.exists()
+    assert sorted(out["track_id"]) == list(range(1, 200_001)) and (out["boxes"] == 50).all() and (out["last_frame"] == 49).all()
