@@ -37,21 +37,22 @@ def _cornered(df: DataFrame, d: str = "d") -> list:
     return [c.alias(n) for c, n in zip(box, "xywh")]
 
 
-def _listed(spark: SparkSession, paths: str | list[str], fields: str, key: str, in_parts: bool) -> DataFrame:
+def _listed(spark: SparkSession, paths: str | list[str], fields: str, key: str, in_parts: bool, rolled: bool = False) -> DataFrame:
     """The key and each d (a struct of fields) of {"detections": {key: [d, ...], ...}}."""
-    if in_parts:
-        found = listed_objects(spark, paths, "detections")
+    if in_parts or rolled:
+        found = listed_objects(spark, paths, "detections", rolled)
         return found.select(F.col("key").alias(key), F.from_json("value", fields, {"mode": "FAILFAST"}).alias("d"))
     df = _json(spark, paths, f"detections map<string, array<struct<{_fields(fields)}>>>")
     return df.select(F.explode("detections").alias(key, "list")).select(key, F.explode("list").alias("d"))
 
 
-def read_video_detections(spark: SparkSession, path: str | list[str], in_parts: bool = False) -> DataFrame:
+def read_video_detections(spark: SparkSession, path: str | list[str], in_parts: bool = False, rolled: bool = False) -> DataFrame:
     """video, frame_index, x, y, w, h, class_id, label, confidence from {"detections": {video: [...]}}.
 
     in_parts: a file is read by many tasks, as a long report needs (see listed_objects); else each file is one task's.
+    rolled: a report is several files, which are read so too.
     """
-    rows = _listed(spark, path, VIDEO_DETECTION, "video", in_parts)
+    rows = _listed(spark, path, VIDEO_DETECTION, "video", in_parts, rolled)
     return rows.select("video", "d.frame_index", *_cornered(rows), "d.class_id", "d.label", "d.confidence")
 
 

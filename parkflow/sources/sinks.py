@@ -54,8 +54,9 @@ def write_report(path: str, metadata: dict[str, str], statistics: DataFrame, row
 
 
 def listed_lines(batches: Iterator[pa.RecordBatch], under: str) -> Iterator[pa.RecordBatch]:
-    """For mapInArrow: rows of a key and an object (JSON text), the rows of a key together, as the lines of one document
-    {under: {key: [object, ...], ...}} a task. Rows go through as they come, so a document may have any size."""
+    """For mapInArrow: rows of a key and an object (JSON text), the rows of a key together, as one document
+    {under: {key: [object, ...], ...}} a task, cut at its closing braces, which are left out. Rows go through as they come,
+    so a document may have any size."""
     last = None
     for batch in batches:
         if not batch.num_rows:
@@ -66,15 +67,23 @@ def listed_lines(batches: Iterator[pa.RecordBatch], under: str) -> Iterator[pa.R
         for i in np.flatnonzero(fresh):
             ahead[i] = ("]," if begun or i else f"{{{json.dumps(under)}: {{") + f"{json.dumps(keys[int(i)].as_py())}: ["
         last = keys[-1].as_py()
-        yield pa.RecordBatch.from_arrays([pc.binary_join_element_wise(pa.array(ahead, pa.string()), batch[1], "")], ["value"])
+        ones = pc.utf8_rtrim_whitespace(batch[1])
+        if not pc.all(pc.fill_null(pc.ends_with(ones, "}"), False)).as_py():
+            raise ValueError("not an object of JSON")
+        yield pa.RecordBatch.from_arrays([pc.binary_join_element_wise(pa.array(ahead, pa.string()), pc.utf8_slice_codeunits(ones, 0, -1), "")], ["value"])
     if last is not None:
-        yield pa.RecordBatch.from_arrays([pa.array(["]}}"])], ["value"])
+        yield pa.RecordBatch.from_arrays([pa.array(["]", ""])], ["value"])
 
 
-def write_listed(df: DataFrame, path: str, under: str) -> None:
-    """df(key, object as JSON text), the rows of a key together in their task, as a report for each task, compressed by
-    bzip2, whose blocks are read on their own."""
-    df.mapInArrow(task(__name__, "listed_lines", under=under), "value string").write.option("compression", "bzip2").text(path)
+def write_listed(df: DataFrame, path: str, under: str, each: int | None = None) -> None:
+    """df(key, object as JSON text), the rows of a key together in their task, as a report for each task.
+
+    It is one file compressed by bzip2, whose blocks are read on their own. each: files of so many objects that follow one
+    another by their names (read by `listed_objects` with `rolled`), compressed by gzip, which costs far less than bzip2,
+    above all where objects repeat."""
+    lines = df.mapInArrow(task(__name__, "listed_lines", under=under), "value string").write.option("lineSep", "}")
+    lines = lines.option("compression", "bzip2") if each is None else lines.option("compression", "gzip").option("maxRecordsPerFile", each)
+    lines.text(path)
 
 
 def write_gallery(profiles: DataFrame, path: str) -> None:
