@@ -135,11 +135,24 @@ def _objects(texts: pa.Array, depth: np.ndarray) -> tuple[pa.Array, pa.Array, pa
     return pa.array(outer, pa.string()), pa.array(inner, pa.string()), objects
 
 
-def _recorded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _lists(records: pa.RecordBatch, most: int) -> pa.RecordBatch:
+    """Records that follow one another under the same keys as one, a list of no more than `most` objects."""
+    n = records.num_rows
+    new = np.arange(n) % most == 0
+    for c in ("outer", "inner"):
+        key = records[c].dictionary_encode(null_encoding="encode").indices.to_numpy()
+        new[1:] |= key[1:] != key[:-1]
+    starts = np.flatnonzero(new)
+    lists = pc.binary_join(pa.ListArray.from_arrays(pa.array(np.append(starts, n), pa.int32()), records["text"]), ",")
+    found = records.take(pa.array(starts))
+    return found.set_column(RECORDS.get_field_index("text"), RECORDS.field("text"), pc.binary_join_element_wise("[", lists, "]", ""))
+
+
+def _recorded(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
     """An object of the third level and all that stands between it and the one before is one record: the depth where it
     begins and the one after it, the keys that hold there, as far as they stand in this split, and the object. Records that
     may begin in a split before (first) or end in a later one (not ended) have their whole text. A row more for each split,
-    in which `ended` is null, has the last keys."""
+    in which `ended` is null, has the last keys. most: if not 0, objects are put together as lists (see _lists)."""
     split = inside = depth = at = begun = None
     first, held = True, []  # what has no end yet
     last: dict[str, str | None] = {}
@@ -157,7 +170,8 @@ def _recorded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             filled = pc.fill_null_forward(pa.concat_arrays([pa.array([last[c]], pa.string()), own]))[1:]
             last[c] = filled[-1].as_py()
             records = records.set_column(RECORDS.get_field_index(c), RECORDS.field(c), filled)
-        return records.set_column(RECORDS.get_field_index("text"), RECORDS.field("text"), keys[2])
+        records = records.set_column(RECORDS.get_field_index("text"), RECORDS.field("text"), keys[2])
+        return _lists(records, most) if most else records
 
     for batch in batches:
         for rows in _stretches(batch, ["split"]) if batch.num_rows else ():
@@ -244,14 +258,15 @@ def _keyed(records: DataFrame) -> DataFrame:
     return records.select(*columns, plain(outer).alias("outer"), plain(F.when(keys, _last_key(head))).alias("inner"), F.substring("text", F.col("inner_at") + 1, F.length("text")).alias("text"))
 
 
-def listed_objects(spark: SparkSession, paths: str | list[str], under: str, rolled: bool = False) -> DataFrame:
+def listed_objects(spark: SparkSession, paths: str | list[str], under: str, rolled: bool = False, most: int = 0) -> DataFrame:
     """key and value (JSON text) of the objects listed in {under: {key: [object, ...], ...}, ...}, of files of any size.
 
     Objects within objects, other fields beside `under`, braces and escapes within keys and texts are all right. Keys
     without objects give no rows, nor do entries that aren't objects; of a repeated key both lists are read. Braces or
     quotes that don't match are an error; a missing last brace isn't noticed. An object is small, a file needn't be; a file
     that is compressed by bzip2 is many tasks as well. rolled: a document is several files, of any compression, that end at
-    closing braces and follow one another by the numbers in their names, as those of a task do (see `write_listed`).
+    closing braces and follow one another by the numbers in their names, as those of a task do (see `write_listed`). most:
+    if not 0, a value is a list of up to so many objects of a key, which costs less to go on with than one by one.
 
     Files are read twice, and the records are written once. Of each split one row goes to every task, as the scan itself
     keeps one. Were a file cut otherwise the second time, that is an error.
@@ -260,7 +275,7 @@ def listed_objects(spark: SparkSession, paths: str | list[str], under: str, roll
     splits = _splits(pieces, rolled)
     found = pieces.join(F.broadcast(splits.select("file", "start", "split", "begun", "before")), ["file", "start"], "left")
     number = F.coalesce("split", F.raise_error(F.concat(F.lit("cut otherwise when read again: "), "file")).cast("long"))
-    own = written(found.select(number.alias("split"), "begun", "before", "text").mapInArrow(task(__name__, "_recorded"), KINDS))
+    own = written(found.select(number.alias("split"), "begun", "before", "text").mapInArrow(task(__name__, "_recorded", most=most), KINDS))
     whole = F.col("ended") & ~F.col("first")
 
     edges = own.filter(~whole).join(splits.select("split", "document", "place"), "split")
@@ -270,11 +285,12 @@ def listed_objects(spark: SparkSession, paths: str | list[str], under: str, roll
     last = F.element_at("own", -1)
     edges = edges.filter(last["ended"] & (last["after"] == 2)).select(last["split"].alias("split"), F.col("own")[0]["depth"].alias("depth"), F.concat_ws("", F.col("own.text")).alias("text"))
     edges = written(_keyed(edges))
+    single = F.concat(F.lit("["), "text", F.lit("]")).alias("text") if most else F.col("text")
 
     ends = own.filter("ended is null").select("split", *[F.col(c).alias(f"{c}_end") for c in ("outer", "inner")])
     keys = splits.select("split", "document", "place").join(edges.select("split", "outer", "inner"), "split", "left").join(ends, "split", "left")
     before = Window.partitionBy("document").orderBy("place").rowsBetween(Window.unboundedPreceding, -1)
     keys = written(keys.select("split", *[F.coalesce(c, F.last(F.coalesce(f"{c}_end", c), ignorenulls=True).over(before)).alias(f"{c}_before") for c in ("outer", "inner")]))
-    every = own.filter(whole).select("split", "outer", "inner", "text").unionByName(edges.select("split", "outer", "inner", "text")).join(F.broadcast(keys), "split")
+    every = own.filter(whole).select("split", "outer", "inner", "text").unionByName(edges.select("split", "outer", "inner", single)).join(F.broadcast(keys), "split")
     key = lambda c: F.coalesce(c, f"{c}_before")
     return every.filter(key("outer") == under).select(key("inner").alias("key"), F.col("text").alias("value"))

@@ -40,8 +40,8 @@ def _cornered(df: DataFrame, d: str = "d") -> list:
 def _listed(spark: SparkSession, paths: str | list[str], fields: str, key: str, in_parts: bool, rolled: bool = False) -> DataFrame:
     """The key and each d (a struct of fields) of {"detections": {key: [d, ...], ...}}."""
     if in_parts or rolled:
-        found = listed_objects(spark, paths, "detections", rolled)
-        return found.select(F.col("key").alias(key), F.from_json("value", fields, {"mode": "FAILFAST"}).alias("d"))
+        found = listed_objects(spark, paths, "detections", rolled, most=128)
+        return found.select(F.col("key").alias(key), F.explode(F.from_json("value", f"array<struct<{_fields(fields)}>>", {"mode": "FAILFAST"})).alias("d"))
     df = _json(spark, paths, f"detections map<string, array<struct<{_fields(fields)}>>>")
     return df.select(F.explode("detections").alias(key, "list")).select(key, F.explode("list").alias("d"))
 

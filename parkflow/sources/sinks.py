@@ -67,10 +67,10 @@ def listed_lines(batches: Iterator[pa.RecordBatch], under: str) -> Iterator[pa.R
         for i in np.flatnonzero(fresh):
             ahead[i] = ("]," if begun or i else f"{{{json.dumps(under)}: {{") + f"{json.dumps(keys[int(i)].as_py())}: ["
         last = keys[-1].as_py()
-        ones = pc.utf8_rtrim_whitespace(batch[1])
+        ones = pc.ascii_rtrim_whitespace(batch[1])
         if not pc.all(pc.fill_null(pc.ends_with(ones, "}"), False)).as_py():
             raise ValueError("not an object of JSON")
-        yield pa.RecordBatch.from_arrays([pc.binary_join_element_wise(pa.array(ahead, pa.string()), pc.utf8_slice_codeunits(ones, 0, -1), "")], ["value"])
+        yield pa.RecordBatch.from_arrays([pc.binary_join_element_wise(pa.array(ahead, pa.string()), pc.binary_slice(ones.cast("binary"), 0, -1).cast("string"), "")], ["value"])
     if last is not None:
         yield pa.RecordBatch.from_arrays([pa.array(["]", ""])], ["value"])
 

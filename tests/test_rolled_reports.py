@@ -7,10 +7,12 @@ import time
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
 
 from parkflow.sources import long_json, sinks
 from parkflow.sources.long_json import listed_objects
+from parkflow.sources.readers import read_video_detections
 from tests.test_long_json import ODD, small_splits  # noqa: F401
 
 
@@ -41,10 +43,12 @@ def test_many_pieces_are_counted_together():
     piece = '{"frame_index":12,"box":[1.0,2.0,3.0,4.0],"class_id":2,"label":"car","confidence":0.5'
     batch = pa.RecordBatch.from_pydict({"split": [0] * 200_001, "begun": [0] * 200_001, "before": [0] * 200_001, "text": ['{"d": {"a": [' + piece] + ["," + piece] * 200_000})
     began = time.process_time()
-    out = pa.Table.from_batches(long_json._recorded(iter([batch])), long_json.RECORDS)
+    out = pa.Table.from_batches(long_json._recorded(iter([batch]), 0), long_json.RECORDS)
     assert time.process_time() - began < 2
     assert out.num_rows == 200_002 and out["text"].to_pylist()[1:-1] == [piece + "}"] * 200_000
     assert out["ended"].null_count == 1
+    lists = pa.Table.from_batches(long_json._recorded(iter([batch]), 128), long_json.RECORDS).filter(pc.field("ended") & ~pc.field("first"))
+    assert [len(json.loads(t)) for t in lists["text"].to_pylist()] == [128] * 1562 + [64]
 
 
 @pytest.mark.parametrize(("each", "size"), [(25, 1 << 20), (400, 300), (100_000, 1 << 20)])
@@ -63,6 +67,8 @@ def test_reports_over_several_files(spark, tmp_path, small_splits, each, size):
     got = [(r.key, json.loads(r.value)) for r in listed_objects(spark, str(tmp_path / "out"), "d", rolled=True).collect()]
     order = lambda found: sorted(json.dumps(r) for r in found)
     assert order(got) == order(whole) == order((key, json.loads(one)) for key, one in rows)
+    lists = [(r.key, json.loads(r.value)) for r in listed_objects(spark, str(tmp_path / "out"), "d", rolled=True, most=9).collect()]
+    assert order((key, d) for key, own in lists for d in own) == order(got) and len(lists) < len(got) and max(len(own) for _, own in lists) <= 9
 
 
 def test_a_missing_file_of_a_report_is_an_error(spark, tmp_path):
@@ -93,3 +99,15 @@ def test_repeated_objects_are_written_fast(spark, tmp_path):
     files = sorted((tmp_path / "out").glob("*.gz"))
     assert len(files) == 5 and sum(f.stat().st_size for f in files) < 4_000_000
     assert np.sum([gzip.decompress(f.read_bytes()).count(b"frame_index") for f in files]) == 800_000
+
+
+@pytest.mark.parametrize("box", ['"no list"', "[1, 2, 3, {}]", "[1, 2, 3, 4"])
+def test_a_wrong_object_is_an_error(spark, tmp_path, box):
+    """Objects are parsed as lists; one that doesn't fit fails the read, wherever it stands in its list."""
+    good = '{"frame_index": 1, "box": [1, 2, 3, 4], "class_id": 2, "label": "car", "confidence": 0.5}'
+    bad = good.replace("[1, 2, 3, 4]", box)
+    (tmp_path / "good.json").write_text('{"detections": {"v": [%s]}}' % ", ".join([good] * 40))
+    (tmp_path / "bad.json").write_text('{"detections": {"v": [%s]}}' % ", ".join([good, good, bad, good]))
+    assert read_video_detections(spark, str(tmp_path / "good.json"), in_parts=True).count() == 40
+    with pytest.raises(Exception, match="(?i)malformed"):
+        read_video_detections(spark, str(tmp_path / "bad.json"), in_parts=True).collect()
